@@ -1,0 +1 @@
+"""Every input of this engine is a closed file read once, so there are no streaming operators."""
