@@ -1,7 +1,257 @@
-"""Ensembles."""
-from pyspark.sql import Column, functions as F
+"""Learners that Spark ML lacks, built from its own: neighbours, AdaBoost, voting and stacking.
 
+They follow the Estimator/Model protocol, so they end a pipeline as any regressor does.
+"""
 
-def mean_vote(columns) -> Column:
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+from math import exp, log
+
+from pyspark.ml import Estimator, Model
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.sql import Column, DataFrame, functions as F
+
+from voltmes.operators.neighbors import mean_of_neighbours, nearest, vote_of_neighbours
+from voltmes.operators.ordering import join_facts
+from voltmes.operators.splits import FOLDS, contiguous_folds
+from voltmes.session import scratch_path
+
+# Boosting rounds, depth of a boosted regression tree, neighbours.
+ROUNDS = 50
+BOOSTED_DEPTH = 3
+NEIGHBOURS = 5
+
+
+def mean_vote(columns: Sequence[str]) -> Column:
     """Mean of several models' predictions; null if one is missing."""
-    return sum(F.col(c) for c in columns) / len(columns)
+    return sum((F.col(c) for c in columns), F.lit(0.0)) / len(columns)
+
+
+def lineage_cut(df: DataFrame) -> DataFrame:
+    """Written to the shared checkpoint folder, so that an iterative plan stays short and survives lost executors."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_path(df.sparkSession, "checkpoints"))
+    return df.checkpoint()
+
+
+class Neighbours(Estimator):
+    """k nearest neighbours: mean of their labels, or their most frequent one."""
+
+    def __init__(self, key: str, k: int = NEIGHBOURS, labelCol: str = "label", featuresCol: str = "features", classify: bool = False):
+        super().__init__()
+        self.key, self.k, self.label, self.features, self.classify = key, k, labelCol, featuresCol, classify
+
+    def _fit(self, df: DataFrame) -> NeighboursModel:
+        points = df.select(F.col(self.key).alias("point"), vector_to_array(self.features).alias("vector"), F.col(self.label).alias("label"))
+        return NeighboursModel(self, points)
+
+
+class NeighboursModel(Model):
+    def __init__(self, learner: Neighbours, points: DataFrame):
+        super().__init__()
+        self.learner, self.points = learner, points
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        me = self.learner
+        queries = df.select(F.col(me.key).alias("query"), vector_to_array(me.features).alias("vector"))
+        found = nearest(queries, self.points, me.k)
+        answer = (vote_of_neighbours if me.classify else mean_of_neighbours)(found, self.points)
+        return join_facts(df, answer.withColumnRenamed("query", me.key), [me.key], "left")
+
+
+class Voting(Estimator):
+    """Mean of the members' predictions; with ``soft`` the class of greatest mean probability."""
+
+    def __init__(self, members: Sequence[Estimator], soft: bool = False):
+        super().__init__()
+        self.members, self.soft = list(members), soft
+
+    def _fit(self, df: DataFrame) -> VotingModel:
+        return VotingModel([member.fit(df) for member in self.members], self.soft)
+
+
+class VotingModel(Model):
+    def __init__(self, models: Sequence[Model], soft: bool):
+        super().__init__()
+        self.models, self.soft = list(models), soft
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        kept = df.columns
+        for i, model in enumerate(self.models):
+            answer = vector_to_array("probability") if self.soft else F.col("prediction")
+            df = model.transform(df).select(*kept, answer.alias(f"_vote{i}"))
+            kept = df.columns
+        votes = [c for c in kept if c.startswith("_vote")]
+        if self.soft:
+            summed = F.col(votes[0])
+            for vote in votes[1:]:
+                summed = F.zip_with(summed, F.col(vote), lambda a, b: a + b)
+            prediction = (F.array_position(summed, F.array_max(summed)) - 1).cast("double")
+        else:
+            prediction = mean_vote(votes)
+        return df.withColumn("prediction", prediction).drop(*votes)
+
+
+class _Boosting(Estimator):
+    """Rounds of trees on reweighted rows. The weights travel with the rows, nothing of them is collected."""
+
+    def __init__(self, labelCol: str = "label", rounds: int = ROUNDS, depth: int = 1, seed: int = 42, cut_every: int = 10):
+        super().__init__()
+        self.label, self.rounds, self.depth, self.seed, self.cut_every = labelCol, rounds, depth, seed, cut_every
+
+    def tree(self, round_: int) -> Estimator:
+        raise NotImplementedError
+
+    def judge(self, rows: DataFrame) -> tuple[float, Column] | None:
+        """The tree's vote and the factor for each row's weight; None once boosting has to stop."""
+        raise NotImplementedError
+
+    def _boost(self, df: DataFrame) -> tuple[list[Model], list[float]]:
+        rows = df.select("features", F.col(self.label).cast("double").alias("label"), F.lit(1.0).alias("weight")).persist()
+        kept, trees, votes = [rows], [], []
+        for round_ in range(self.rounds):
+            tree = self.tree(round_).fit(rows)
+            judged = tree.transform(rows).select("features", "label", "weight", "prediction")
+            vote, factor = self.judge(judged, first=not trees)
+            if vote is not None:
+                trees.append(tree)
+                votes.append(vote)
+            if factor is None:
+                break
+            rows = judged.select("features", "label", (F.col("weight") * factor).alias("weight"))
+            rows = lineage_cut(rows) if (round_ + 1) % self.cut_every == 0 else rows.persist()
+            kept.append(rows)
+        for rows in kept:
+            rows.unpersist()
+        return trees, votes
+
+
+class BoostedRegressor(_Boosting):
+    """AdaBoost.R2 with linear loss and a weighted-median answer."""
+
+    def tree(self, round_):
+        return DecisionTreeRegressor(labelCol="label", weightCol="weight", maxDepth=self.depth, seed=self.seed + round_)
+
+    def judge(self, rows, first):
+        error = F.abs(F.col("label") - F.col("prediction"))
+        n, worst, total, wrong = rows.agg(F.count("*"), F.max(error), F.sum("weight"), F.sum(F.col("weight") * error)).first()
+        loss = wrong / worst / total if worst else 0.0
+        if loss <= 0:
+            return 1.0, None
+        if loss >= 0.5:
+            return (1.0, None) if first else (None, None)
+        beta = loss / (1 - loss)
+        # Scaled back to a mean weight near 1, so that the weights do not fade over the rounds.
+        return log(1 / beta), F.pow(F.lit(beta), 1 - error / worst) * F.lit(n / total)
+
+    def _fit(self, df: DataFrame) -> BoostedRegressorModel:
+        return BoostedRegressorModel(*self._boost(df))
+
+
+class BoostedClassifier(_Boosting):
+    """AdaBoost for any number of classes; the class with the greatest sum of votes wins."""
+
+    def tree(self, round_):
+        return DecisionTreeClassifier(labelCol="label", weightCol="weight", maxDepth=self.depth, seed=self.seed + round_)
+
+    def judge(self, rows, first):
+        missed = F.col("label") != F.col("prediction")
+        n, classes, total, wrong = rows.agg(
+            F.count("*"), F.count_distinct("label"), F.sum("weight"), F.sum(F.when(missed, F.col("weight")).otherwise(0.0))).first()
+        loss = wrong / total
+        if loss <= 0:
+            return 1.0, None
+        if loss >= 1 - 1 / max(classes, 2):
+            return (1.0, None) if first else (None, None)
+        vote = log((1 - loss) / loss) + log(max(classes, 2) - 1)
+        return vote, F.when(missed, F.lit(exp(vote))).otherwise(1.0) * F.lit(n / total)
+
+    def _fit(self, df: DataFrame) -> BoostedClassifierModel:
+        return BoostedClassifierModel(*self._boost(df))
+
+
+class _BoostedModel(Model):
+    def __init__(self, trees: Sequence[Model], votes: Sequence[float]):
+        super().__init__()
+        self.trees, self.votes = list(trees), list(votes)
+
+    def combine(self, answers: Column) -> Column:
+        raise NotImplementedError
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        kept = df.columns
+        for i, tree in enumerate(self.trees):
+            df = tree.transform(df).select(*kept, *[f"_tree{j}" for j in range(i)], F.col("prediction").alias(f"_tree{i}"))
+        answers = F.array(*[
+            F.struct(F.col(f"_tree{i}").alias("answer"), F.lit(vote).alias("vote")) for i, vote in enumerate(self.votes)])
+        return df.withColumn("prediction", self.combine(answers)).select(*kept, "prediction")
+
+
+class BoostedRegressorModel(_BoostedModel):
+    def combine(self, answers):
+        half = sum(self.votes) / 2
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("answer"))
+        return F.aggregate(F.array_sort(answers), start, lambda s, a: F.struct(
+            (s["sum"] + a["vote"]).alias("sum"),
+            F.when(s["sum"] < half, a["answer"]).otherwise(s["answer"]).alias("answer")))["answer"]
+
+
+class BoostedClassifierModel(_BoostedModel):
+    def combine(self, answers):
+        classes = F.array_distinct(F.transform(answers, lambda a: a["answer"]))
+        tallies = F.transform(classes, lambda c: F.struct(
+            F.aggregate(answers, F.lit(0.0), lambda s, a: s + F.when(a["answer"] == c, a["vote"]).otherwise(0.0)).alias("votes"),
+            (-c).alias("order")))
+        return -F.array_max(tallies)["order"]
+
+
+class Stacking(Estimator):
+    """A final learner on out-of-fold answers of the base learners.
+
+    The folds are contiguous blocks in the given order. Each learner answers with its ``prediction``, or with
+    the probability of class 1 where it has one and ``probabilities`` is set.
+    """
+
+    def __init__(self, members: Sequence[Estimator], final: Estimator, order: Sequence[str], folds: int = FOLDS, probabilities: bool = False):
+        super().__init__()
+        self.members, self.final, self.order, self.folds, self.probabilities = list(members), final, list(order), folds, probabilities
+
+    def answers(self, models: Sequence[Model], df: DataFrame) -> DataFrame:
+        kept = df.columns
+        for i, model in enumerate(models):
+            scored = model.transform(df)
+            soft = self.probabilities and "probability" in scored.columns
+            answer = vector_to_array("probability")[1] if soft else F.col("prediction")
+            df = scored.select(*kept, *[f"_base{j}" for j in range(i)], answer.alias(f"_base{i}"))
+        return df
+
+    def assembler(self) -> VectorAssembler:
+        return VectorAssembler(inputCols=[f"_base{i}" for i in range(len(self.members))], outputCol="_stacked", handleInvalid="skip")
+
+    def _fit(self, df: DataFrame) -> StackingModel:
+        placed = contiguous_folds(df, self.order, self.folds).persist()
+        parts = []
+        for fold in range(self.folds):
+            train, test = placed.where(F.col("fold") != fold), placed.where(F.col("fold") == fold)
+            parts.append(self.answers([m.fit(train) for m in self.members], test))
+        unseen = self.assembler().transform(reduce(DataFrame.unionByName, parts)).persist()
+        final = self.final.copy().setFeaturesCol("_stacked").fit(unseen)
+        unseen.unpersist()
+        placed.unpersist()
+        return StackingModel(self, [m.fit(df) for m in self.members], final)
+
+
+class StackingModel(Model):
+    def __init__(self, learner: Stacking, models: Sequence[Model], final: Model):
+        super().__init__()
+        self.learner, self.models, self.final = learner, list(models), final
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        stacked = self.learner.assembler().transform(self.learner.answers(self.models, df))
+        return self.final.transform(stacked).select(*df.columns, "prediction")

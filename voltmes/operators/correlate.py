@@ -3,41 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voltmes.operators.ordering import GROUP_LIMIT, join_facts, running_total
 
 
-def _matrix(cells: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Symmetric rows ``(feature, other, r)`` from one row that holds one column per pair."""
-    made = []
-    for a, b in pairs:
-        r = F.col(f"{a}__{b}")
-        made += [F.struct(F.lit(a).alias("feature"), F.lit(b).alias("other"), r.alias("r")),
-                 F.struct(F.lit(b).alias("feature"), F.lit(a).alias("other"), r.alias("r"))]
-    for c in columns:
-        self_r = F.when(F.col(f"{c}__spread") > 0, F.lit(1.0))
-        made.append(F.struct(F.lit(c).alias("feature"), F.lit(c).alias("other"), self_r.alias("r")))
-    return cells.select(F.inline(F.array(*made)))
+def _correlations(df: DataFrame, sides: dict[tuple[str, str], tuple[Column, Column]]) -> DataFrame:
+    """Symmetric rows ``(feature, other, r)`` over the rows that have both sides; null where a side is constant.
 
-
-def _correlation(a: Column, b: Column) -> Column:
-    """Null instead of NaN where a side is constant; rows with a null on either side do not count."""
-    both = a.isNotNull() & b.isNotNull()
-    a, b = F.when(both, a), F.when(both, b)
-    return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.corr(a, b))
+    Each task keeps one small state per pair, so no row is shuffled. The states stay few in the generated code
+    because the pair is a grouping key.
+    """
+    cells = [part for (a, b), (x, y) in sides.items() for part in (F.lit(a), F.lit(b), x.cast("double"), y.cast("double"))]
+    pairs = df.select(F.stack(F.lit(len(sides)), *cells).alias("feature", "other", "x", "y"))
+    x, y = F.col("x"), F.col("y")
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    found = pairs.where(x.isNotNull() & y.isNotNull()).groupBy("feature", "other").agg(
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.covar_pop(x, y), spread))).alias("r"))
+    mirrored = F.when(F.col("feature") == F.col("other"), F.array(F.struct("feature", "other", "r"))).otherwise(
+        F.array(F.struct("feature", "other", "r"), F.struct(F.col("other").alias("feature"), F.col("feature").alias("other"), "r")))
+    return found.select(F.inline(mirrored))
 
 
 def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All pairs in one aggregation pass, without a shuffle of rows."""
-    pairs = list(combinations(columns, 2))
-    cells = df.agg(
-        *[_correlation(F.col(a), F.col(b)).alias(f"{a}__{b}") for a, b in pairs],
-        *[(F.max(c) - F.min(c)).alias(f"{c}__spread") for c in columns],
-    )
-    return _matrix(cells, columns, pairs)
+    """All pairs in one pass."""
+    return _correlations(df, {
+        (a, b): (F.col(a), F.col(b)) for a, b in combinations_with_replacement(columns, 2)})
 
 
 def average_ranks(
@@ -66,11 +59,8 @@ def spearman(df: DataFrame, columns: Sequence[str], key: Sequence[str], limit: i
     def ranking(c: str, partner: str) -> str:
         return f"{c}__with__{partner}" if partner in gappy and partner != c else c
 
-    pairs = list(combinations(columns, 2))
-    needed = {ranking(c, c): (c, c) for c in columns}
-    for a, b in pairs:
-        needed[ranking(a, b)] = (a, b)
-        needed[ranking(b, a)] = (b, a)
+    pairs = list(combinations_with_replacement(columns, 2))
+    needed = {ranking(a, b): (a, b) for pair in pairs for a, b in (pair, pair[::-1])}
     cells = F.array(*[
         F.struct(F.lit(name).alias("ranking"),
                  F.when(F.col(partner).isNotNull(), F.col(c).cast("double")).alias("value"))
@@ -81,8 +71,4 @@ def spearman(df: DataFrame, columns: Sequence[str], key: Sequence[str], limit: i
     wide = ranks.groupBy(*key).agg(*[
         F.max(F.when(F.col("ranking") == name, F.col("rank"))).alias(name) for name in needed
     ])
-    found = wide.agg(
-        *[_correlation(F.col(ranking(a, b)), F.col(ranking(b, a))).alias(f"{a}__{b}") for a, b in pairs],
-        *[(F.max(c) - F.min(c)).alias(f"{c}__spread") for c in columns],
-    )
-    return _matrix(found, columns, pairs)
+    return _correlations(wide, {(a, b): (F.col(ranking(a, b)), F.col(ranking(b, a))) for a, b in pairs})

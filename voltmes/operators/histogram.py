@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from math import ceil, log2, pi, sqrt
 
 from pyspark.sql import DataFrame, functions as F
 
 from voltmes.operators.ordering import GROUP_LIMIT
-from voltmes.operators.quantiles import wide_quantiles
+from voltmes.operators.quantiles import quantile_values
 
 # Fixed value: points at which a density is drawn.
 GRID_POINTS = 200
@@ -20,7 +19,7 @@ def automatic_bins(df: DataFrame, column: str, limit: int = GROUP_LIMIT) -> int:
     n, low, high = df.agg(F.count(column), F.min(column), F.max(column)).first()
     if not n or low == high:
         return 1
-    q1, q3 = wide_quantiles(df, [column], [0.25, 0.75], limit=limit).first()[column]
+    q1, q3 = quantile_values(df, [column], [0.25, 0.75], limit)[column]
     sturges = (high - low) / (log2(n) + 1)
     diaconis = 2 * (q3 - q1) / n ** (1 / 3)
     width = min(sturges, diaconis) if diaconis > 0 else sturges

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from voltmes.functions.numbers import exact_mean, exact_sum
 from voltmes.operators.ordering import GROUP_LIMIT
-from voltmes.operators.quantiles import wide_quantiles
+from voltmes.operators.quantiles import quantile_values
 
 PANEL_KEYS = ("mes_ano", "regiao")
 
@@ -44,10 +44,10 @@ def with_population(
     panel: DataFrame, population: DataFrame, limit: int = GROUP_LIMIT, out: str = "pop_2022"
 ) -> DataFrame:
     """Population of the row's region; the median over the known regions where it is missing."""
-    middle = wide_quantiles(population, ["populacao"], [0.5], limit=limit).first()["populacao"]
+    middle = quantile_values(population, ["populacao"], [0.5], limit)["populacao"][0]
     known = population.select("regiao", F.col("populacao").cast("double").alias(out))
     return panel.join(known, "regiao", "left").withColumn(
-        out, F.coalesce(F.col(out), F.lit(middle[0] if middle else None).cast("double")))
+        out, F.coalesce(F.col(out), F.lit(middle).cast("double")))
 
 
 def per_thousand(panel: DataFrame, value: str = "consumo", population: str = "pop_2022") -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voltmes.functions.numbers import MAX_MAGNITUDE, is_suspicious
-from voltmes.operators.ordering import GROUP_LIMIT
-from voltmes.operators.quantiles import attach, wide_quantiles
+from voltmes.operators.ordering import GROUP_LIMIT, join_facts
+from voltmes.operators.quantiles import group_quantiles, quantile_values
 
 # Fixed values.
 IQR_FACTOR = 1.5
@@ -22,23 +22,24 @@ def iqr_outliers(
 
     A feature without values gives no row.
     """
-    quarters = wide_quantiles(df, columns, [0.25, 0.75], by, limit).select(
-        *by, *[F.col(c).alias(f"{c}__q") for c in columns])
-    spread = attach(df.select(*by, *columns), quarters, by)
+    shares = [0.25, 0.75]
+    if by:
+        fenced = join_facts(df.select(*by, *columns), group_quantiles(df, columns, shares, by, limit), by)
+    else:
+        found = quantile_values(df, columns, shares, limit)
+        fenced = df.select(*columns, *[
+            F.array(*[F.lit(v).cast("double") for v in found[c]]).alias(f"{c}__q") for c in columns])
 
     def fences(c: str) -> tuple[Column, Column]:
         q1, q3 = F.col(f"{c}__q")[0], F.col(f"{c}__q")[1]
         return q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1)
 
-    aggregates = []
-    for c in columns:
+    def counts(c: str) -> list[Column]:
         lower, upper = fences(c)
-        aggregates += [
-            F.count_if((F.col(c) < lower) | (F.col(c) > upper)).alias(f"{c}__out"),
-            F.count(c).alias(f"{c}__n"),
-            F.first(f"{c}__q").alias(f"{c}__q"),
-        ]
-    counted = spread.groupBy(*by).agg(*aggregates)
+        outside = F.count_if((F.col(c) < lower) | (F.col(c) > upper))
+        return [outside.alias(f"{c}__out"), F.count(c).alias(f"{c}__n"), F.first(f"{c}__q").alias(f"{c}__q")]
+
+    counted = fenced.groupBy(*by).agg(*[made for c in columns for made in counts(c)])
 
     def row(c: str) -> Column:
         q1, q3 = F.col(f"{c}__q")[0], F.col(f"{c}__q")[1]
@@ -54,7 +55,7 @@ def iqr_outliers(
 def clip_bounds(
     df: DataFrame, column: str, shares: Sequence[float] = CLIP_SHARES, limit: int = GROUP_LIMIT
 ) -> tuple[float, float]:
-    low, high = wide_quantiles(df, [column], shares, limit=limit).first()[column]
+    low, high = quantile_values(df, [column], shares, limit)[column]
     return low, high
 
 
@@ -73,11 +74,9 @@ def winsorize(
 
 
 def fill_median(df: DataFrame, columns: Sequence[str], limit: int = GROUP_LIMIT) -> DataFrame:
-    medians = wide_quantiles(df, columns, [0.5], limit=limit).first()
+    medians = quantile_values(df, columns, [0.5], limit)
     return df.withColumns({
-        c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c][0] if medians[c] else None).cast("double"))
-        for c in columns
-    })
+        c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c][0]).cast("double")) for c in columns})
 
 
 def parse_audit(df: DataFrame, text: str, loose: str, strict: str) -> DataFrame:

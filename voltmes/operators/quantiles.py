@@ -1,8 +1,8 @@
 """Exact quantiles with linear interpolation, whole or per group, at any size.
 
 A group proven small uses ``percentile``, which keeps the group's values in one buffer. Beyond the limit a
-mergeable sketch brackets each wanted rank, one pass counts the rows below each bracket, and only the rows
-inside the brackets are shuffled and ranked.
+mergeable sketch brackets each wanted rank; one more pass counts the values below each bracket by task and
+shuffles only the distinct values inside the brackets, which are then ranked.
 """
 
 from __future__ import annotations
@@ -16,48 +16,54 @@ from voltmes.operators.ordering import GROUP_LIMIT, join_facts, largest_group, r
 SKETCH_ACCURACY = 10_000
 
 
-def quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    by: Sequence[str] = (),
-    limit: int = GROUP_LIMIT,
-) -> DataFrame:
-    """Rows ``(*by, feature, probability, value)``; a feature without values gives null."""
-    wide = wide_quantiles(df, columns, probabilities, by, limit)
-    cells = [
-        F.struct(F.lit(c).alias("feature"), F.lit(float(p)).alias("probability"), F.col(c)[i].alias("value"))
-        for c in columns for i, p in enumerate(probabilities)
-    ]
-    return wide.select(*by, F.inline(F.array(*cells)))
+def melted(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """One row per value: the kept columns, ``feature`` and ``value`` without nulls."""
+    numbers = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
+    return numbers.unpivot(list(keep), list(columns), "feature", "value").where(F.col("value").isNotNull())
 
 
-def wide_quantiles(
+def quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
     by: Sequence[str] = (),
     limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    """One row per group; each column holds the array of its quantiles."""
+    """Rows ``(*by, feature, quantiles)`` with an array in the order of the probabilities.
+
+    A feature without values has no row.
+    """
     if largest_group(df, by) <= limit:
-        probs = F.array(*[F.lit(float(p)) for p in probabilities])
-        return df.groupBy(*by).agg(*[F.percentile(F.col(c).cast("double"), probs).alias(c) for c in columns])
+        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+        return melted(df, columns, by).groupBy(*by, "feature").agg(F.percentile("value", wanted).alias("quantiles"))
     return _selected(df, columns, probabilities, list(by), limit)
 
 
-def attach(df: DataFrame, facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Adds the columns of a one-row-per-group frame; the single row of an ungrouped frame as literals."""
-    if by:
-        return join_facts(df, facts, by)
-    row = facts.first()
-    return df.select("*", *[_literal(row[f.name], f.dataType).alias(f.name) for f in facts.schema.fields])
+def quantile_rows(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = (), limit: int = GROUP_LIMIT
+) -> DataFrame:
+    """One row per group, feature and probability."""
+    found = quantiles(df, columns, probabilities, by, limit)
+    cells = [F.struct(F.lit(float(p)).alias("probability"), F.col("quantiles")[i].alias("value"))
+             for i, p in enumerate(probabilities)]
+    return found.select(*by, "feature", F.inline(F.array(*cells)))
 
 
-def _literal(value, kind) -> Column:
-    if isinstance(value, list):
-        return F.array(*[F.lit(v).cast("double") for v in value]).cast(kind)
-    return F.lit(value).cast(kind)
+def quantile_values(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], limit: int = GROUP_LIMIT
+) -> dict[str, list[float | None]]:
+    """Quantiles of whole columns as plain numbers, as many as columns times probabilities."""
+    found = {row["feature"]: list(row["quantiles"]) for row in quantiles(df, columns, probabilities, limit=limit).collect()}
+    return {c: found.get(c, [None] * len(probabilities)) for c in columns}
+
+
+def group_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str], limit: int = GROUP_LIMIT
+) -> DataFrame:
+    """One row per group with a ``<column>__q`` array per column."""
+    found = quantiles(df, columns, probabilities, by, limit)
+    return found.groupBy(*by).agg(*[
+        F.first(F.when(F.col("feature") == c, F.col("quantiles")), ignorenulls=True).alias(f"{c}__q") for c in columns])
 
 
 def _selected(
@@ -66,58 +72,52 @@ def _selected(
     margin = 4.0 / SKETCH_ACCURACY
     low = [max(0.0, p - margin) for p in probabilities]
     high = [min(1.0, p + margin) for p in probabilities]
-    narrow = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    targets = range(len(probabilities))
 
+    narrow = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
     brackets = narrow.groupBy(*by).agg(*[
-        made for c in columns for made in (
-            F.percentile_approx(c, low, SKETCH_ACCURACY).alias(f"{c}__low"),
-            F.percentile_approx(c, high, SKETCH_ACCURACY).alias(f"{c}__high"),
-            F.count(c).alias(f"{c}__n"),
-        )
-    ])
-    targets = range(len(probabilities))
-    marked = attach(narrow, brackets, by)
-
-    below = marked.groupBy(*by).agg(*[
-        F.count_if(F.col(c) < F.col(f"{c}__low")[i]).alias(f"{c}__below{i}") for c in columns for i in targets
-    ])
-    below = below.select(*by, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.lit(i).alias("target"), F.col(f"{c}__below{i}").alias("below"))
-        for c in columns for i in targets
-    ])))
-
-    inside = [
-        F.when(
-            F.col(c).between(F.col(f"{c}__low")[i], F.col(f"{c}__high")[i]),
-            F.struct(F.lit(c).alias("feature"), F.lit(i).alias("target"), F.col(c).alias("value"),
-                     F.col(f"{c}__n").alias("n")),
-        )
-        for c in columns for i in targets
-    ]
-    cell = [*by, "feature", "target"]
-    candidates = (
-        marked.select(*by, F.inline(F.filter(F.array(*inside), lambda s: s.isNotNull())))
-        .groupBy(*cell, "n", "value").count()
-    )
-    ranked = running_total(candidates, ["value"], cell, "count", "through", "inside", limit)
-    ranked = join_facts(ranked, below, cell)
-
-    wanted = F.get(F.array(*[F.lit(float(p)) for p in probabilities]), F.col("target")) * (F.col("n") - 1)
-    first, last = F.floor(wanted), F.ceil(wanted)
-    through = F.col("below") + F.col("through")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((through > rank) & (through - F.col("count") <= rank), F.col("value")))
-
-    picked = ranked.groupBy(*cell).agg(
-        at(first).alias("first"), at(last).alias("last"), F.max(wanted - first).alias("share"))
-    sure = F.when(
-        F.col("first").isNull() | F.col("last").isNull(),
-        F.raise_error(F.lit("quantile sketch missed a wanted rank")).cast("double"),
-    ).otherwise(F.col("first") + F.col("share") * (F.col("last") - F.col("first")))
-    return picked.groupBy(*by).agg(*[
-        F.array(*[
-            F.max(F.when((F.col("feature") == c) & (F.col("target") == i), sure)) for i in targets
-        ]).alias(c)
-        for c in columns
-    ])
+        F.struct(
+            F.percentile_approx(c, low, SKETCH_ACCURACY).alias("low"),
+            F.percentile_approx(c, high, SKETCH_ACCURACY).alias("high"),
+            F.count(c).alias("n"),
+        ).alias(f"{c}__bracket") for c in columns])
+    marked = _with_brackets(narrow, brackets, by)
+
+    # A value below its bracket is only counted: it leaves as a null, which sorts first.
+    def cell(c: str, i: int) -> Column:
+        bracket = F.col(f"{c}__bracket")
+        inside = F.when(F.col(c) >= bracket["low"][i], F.col(c))
+        return F.when(F.col(c) <= bracket["high"][i], F.struct(
+            F.lit(c).alias("feature"), F.lit(i).alias("target"), bracket["n"].alias("n"), inside.alias("value")))
+
+    cells = F.filter(F.array(*[cell(c, i) for c in columns for i in targets]), lambda s: s.isNotNull())
+    group = [*by, "feature", "target"]
+    candidates = marked.select(*by, F.inline(cells)).groupBy(*group, "n", "value").count().persist()
+    ranked = running_total(candidates, ["value"], group, "count", "through", "_kept", limit)
+
+    rank = F.get(F.array(*[F.lit(float(p)) for p in probabilities]), F.col("target")) * (F.col("n") - 1)
+
+    def at(wanted: Column) -> Column:
+        here = (F.col("through") > wanted) & (F.col("through") - F.col("count") <= wanted)
+        return F.max(F.when(here, F.col("value")))
+
+    picked = ranked.groupBy(*group).agg(
+        at(F.floor(rank)).alias("first"), at(F.ceil(rank)).alias("last"), F.max(rank - F.floor(rank)).alias("share"))
+    missed = F.raise_error(F.lit("quantile sketch missed a wanted rank")).cast("double")
+    value = F.when(F.col("first").isNull() | F.col("last").isNull(), missed).otherwise(
+        F.col("first") + F.col("share") * (F.col("last") - F.col("first")))
+    return picked.groupBy(*by, "feature").agg(
+        F.array(*[F.max(F.when(F.col("target") == i, value)) for i in targets]).alias("quantiles"))
+
+
+def _with_brackets(df: DataFrame, brackets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each row with the brackets of its group; those of the whole table come as literals."""
+    if by:
+        return join_facts(df, brackets, by)
+    found = brackets.first()
+
+    def literal(bracket) -> Column:
+        ends = [F.array(*[F.lit(v).cast("double") for v in bracket[end] or []]).alias(end) for end in ("low", "high")]
+        return F.struct(*ends, F.lit(bracket["n"]).alias("n"))
+
+    return df.select("*", *[literal(found[name]).alias(name) for name in brackets.columns])

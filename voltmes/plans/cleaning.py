@@ -160,7 +160,7 @@ def fill_median(spark, folder):
 
 
 @query("fill_median_stations", f"""{PANEL_SQL}
-SELECT codigo, mes_ano, {r('coalesce(pressao_mb, (SELECT quantile_cont(pressao_mb, 0.5) FROM st))', 8, 'pressao_mb')} FROM st""")
+SELECT codigo, mes_ano, {r('coalesce(pressao_mb, (SELECT quantile_cont(pressao_mb, 0.5) FROM st))', 9, 'pressao_mb')} FROM st""")
 def fill_median_stations(spark, folder):
     filled = outliers.fill_median(p.station_months(spark, folder), ["pressao_mb"])
-    return rounded(filled.select("codigo", "mes_ano", "pressao_mb"), 8)
+    return rounded(filled.select("codigo", "mes_ano", "pressao_mb"), 9)

@@ -57,14 +57,14 @@ PERCENTS = [0.5, 0.9, 0.95, 0.99, 0.999]
 @query("quantiles", " UNION ALL ".join(
     f"SELECT 'o_totalprice' AS feature, {q}::DOUBLE AS probability, {r(f'quantile_cont(o_totalprice, {q})', 4, 'value')} FROM orders" for q in PERCENTS))
 def quantiles_of_bills(spark, folder):
-    return rounded(quantiles.quantiles(p.table(spark, folder, "orders"), ["o_totalprice"], PERCENTS), 4)
+    return rounded(quantiles.quantile_rows(p.table(spark, folder, "orders"), ["o_totalprice"], PERCENTS), 4)
 
 
 @query("quantiles_by_region", PANEL_SQL + " UNION ALL ".join(
     f"SELECT regiao, '{c}' AS feature, {q}::DOUBLE AS probability, {r(f'quantile_cont({c}, {q})', 4, 'value')} FROM panel GROUP BY regiao"
     for c in NUMBERS for q in PERCENTS))
 def quantiles_by_region(spark, folder):
-    return rounded(quantiles.quantiles(p.panel(spark, folder), NUMBERS, PERCENTS, by=["regiao"]), 4)
+    return rounded(quantiles.quantile_rows(p.panel(spark, folder), NUMBERS, PERCENTS, by=["regiao"]), 4)
 
 
 def _iqr_sql(prefix: str, source: str, columns: list[str], by: str = "") -> str:

@@ -76,9 +76,9 @@ def contiguous_folds(spark, folder):
 
 
 TSCV_SQL = f"""{LAG_SQL}, pos AS (
-  SELECT *, row_number() OVER (ORDER BY month, regiao) - 1 AS at, count(*) OVER () AS n FROM lagged),
+  SELECT *, row_number() OVER (ORDER BY month, regiao) - 1 AS ix, count(*) OVER () AS n FROM lagged),
 cv AS (
-  SELECT pos.*, CAST(i AS INTEGER) AS fold, CASE WHEN at < n - (5 - i) * (n // 6) THEN 'train' WHEN at < n - (4 - i) * (n // 6) THEN 'test' END AS role
+  SELECT pos.*, CAST(i AS INTEGER) AS fold, CASE WHEN ix < n - (5 - i) * (n // 6) THEN 'train' WHEN ix < n - (4 - i) * (n // 6) THEN 'test' END AS role
   FROM pos, range(5) f(i))
 """
 
@@ -89,11 +89,11 @@ def tscv(spark, folder):
 
 
 @query("tscv_region", f"""{LAG_SQL}, pos AS (
-  SELECT *, row_number() OVER (PARTITION BY regiao ORDER BY month) - 1 AS at, count(*) OVER (PARTITION BY regiao) AS n FROM lagged),
+  SELECT *, row_number() OVER (PARTITION BY regiao ORDER BY month) - 1 AS ix, count(*) OVER (PARTITION BY regiao) AS n FROM lagged),
 cv AS (
-  SELECT pos.*, CAST(i AS INTEGER) AS fold, CASE WHEN at < n - (5 - i) * (n // 6) THEN 'train' WHEN at < n - (4 - i) * (n // 6) THEN 'test' END AS role
+  SELECT pos.*, CAST(i AS INTEGER) AS fold, CASE WHEN ix < n - (5 - i) * (n // 6) THEN 'train' WHEN ix < n - (4 - i) * (n // 6) THEN 'test' END AS role
   FROM pos, range(5) f(i) WHERE n > 5
-  UNION ALL SELECT pos.*, 0 AS fold, CASE WHEN at < floor(0.8 * n) THEN 'train' ELSE 'test' END AS role FROM pos WHERE n BETWEEN 3 AND 5)
+  UNION ALL SELECT pos.*, 0 AS fold, CASE WHEN ix < floor(0.8 * n) THEN 'train' ELSE 'test' END AS role FROM pos WHERE n BETWEEN 3 AND 5)
 SELECT mes_ano, regiao, fold, role FROM cv WHERE role IS NOT NULL""")
 def tscv_region(spark, folder):
     return splits.expanding_folds_by_group(p.panel(spark, folder)).select("mes_ano", "regiao", "fold", "role")
@@ -103,11 +103,11 @@ def tscv_region(spark, folder):
 WITH mm AS (
   SELECT o_custkey AS medidor, strftime(o_orderdate, '%Y-%m') AS mes_ano FROM orders JOIN customer ON o_custkey = c_custkey
   WHERE c_mktsegment = 'HOUSEHOLD' GROUP BY ALL),
-pos AS (SELECT *, row_number() OVER (PARTITION BY medidor ORDER BY mes_ano) - 1 AS at, count(*) OVER (PARTITION BY medidor) AS n FROM mm),
+pos AS (SELECT *, row_number() OVER (PARTITION BY medidor ORDER BY mes_ano) - 1 AS ix, count(*) OVER (PARTITION BY medidor) AS n FROM mm),
 cv AS (
-  SELECT pos.*, CAST(i AS INTEGER) AS fold, CASE WHEN at < n - (5 - i) * (n // 6) THEN 'train' WHEN at < n - (4 - i) * (n // 6) THEN 'test' END AS role
+  SELECT pos.*, CAST(i AS INTEGER) AS fold, CASE WHEN ix < n - (5 - i) * (n // 6) THEN 'train' WHEN ix < n - (4 - i) * (n // 6) THEN 'test' END AS role
   FROM pos, range(5) f(i) WHERE n > 5
-  UNION ALL SELECT pos.*, 0 AS fold, CASE WHEN at < floor(0.8 * n) THEN 'train' ELSE 'test' END AS role FROM pos WHERE n BETWEEN 3 AND 5)
+  UNION ALL SELECT pos.*, 0 AS fold, CASE WHEN ix < floor(0.8 * n) THEN 'train' ELSE 'test' END AS role FROM pos WHERE n BETWEEN 3 AND 5)
 SELECT medidor, mes_ano, fold, role FROM cv WHERE role IS NOT NULL""")
 def tscv_meter(spark, folder):
     folds = splits.expanding_folds_by_group(p.meter_months(spark, folder), by=["medidor"])
@@ -161,8 +161,8 @@ def metrics_meter(spark, folder):
 
 
 @query("region_holdout", f"""{LAG_SQL}, pos AS (
-  SELECT *, lag12 AS prediction, row_number() OVER (PARTITION BY regiao ORDER BY month) AS at, count(*) OVER (PARTITION BY regiao) AS n FROM lagged)
-SELECT regiao, max(n) AS n, {_score_sql().split(',', 1)[1]}, '' AS notes FROM pos WHERE at > floor(0.8 * n) GROUP BY 1""")
+  SELECT *, lag12 AS prediction, row_number() OVER (PARTITION BY regiao ORDER BY month) AS ix, count(*) OVER (PARTITION BY regiao) AS n FROM lagged)
+SELECT regiao, max(n) AS n, {_score_sql().split(',', 1)[1]}, '' AS notes FROM pos WHERE ix > floor(0.8 * n) GROUP BY 1""")
 def region_holdout(spark, folder):
     placed = splits.holdout(naive(spark, folder), order=("month",), by=("regiao",))
     return shown_scores(metrics.region_metrics(placed))

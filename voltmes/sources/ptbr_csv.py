@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from voltmes.functions.numbers import format_ptbr, nan_to_null, parse_ptbr
 
-# Encodings in the order in which they are tried.
+# Encodings in the order in which they are tried, and Spark's names for them.
 ENCODINGS = ("utf-8", "latin1", "cp1252")
+SPARK_NAMES = {"latin1": "iso-8859-1", "latin-1": "iso-8859-1"}
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -30,7 +31,7 @@ def read_text_columns(
     spark: SparkSession, path: str, columns: Sequence[str] | None = None, sep: str = ";", encoding: str = "utf-8"
 ) -> DataFrame:
     """All columns as text. Naming the columns saves the pass that reads the header."""
-    reader = spark.read.option("sep", sep).option("header", True).option("encoding", encoding)
+    reader = spark.read.option("sep", sep).option("header", True).option("encoding", SPARK_NAMES.get(encoding, encoding))
     if columns:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     return reader.csv(path)
@@ -61,7 +62,7 @@ def read_any_encoding(
 
 def has_broken_text(spark: SparkSession, path: str, encoding: str) -> bool:
     """Whether any line has bytes that the encoding cannot decode; stops at the first such line."""
-    lines = spark.read.option("encoding", encoding).option("sep", "\x01").schema("line string").csv(path)
+    lines = spark.read.option("encoding", SPARK_NAMES.get(encoding, encoding)).option("sep", "\x01").schema("line string").csv(path)
     return not lines.where(F.col("line").contains("�")).limit(1).isEmpty()
 
 
