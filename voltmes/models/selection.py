@@ -55,6 +55,10 @@ def side_by_side(spark: SparkSession, jobs: Sequence[Callable], parallel: int =
         return list(pool.map(inheritable_thread_target(spark)(safe), jobs))
 
 
+def stacked(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def predicted(maker: Maker, train: DataFrame, test: DataFrame, keep: Sequence[str]) -> DataFrame:
     return maker().fit(train).transform(test).select(*keep, "prediction")
 
@@ -80,7 +84,7 @@ def fold_predictions(
     done = side_by_side(df.sparkSession, [job(*task) for task in tasks], parallel)
     failed = [n for n in makers if any(isinstance(r, Exception) for (name, _), r in zip(tasks, done) if name == n)]
     parts = [r for (name, _), r in zip(tasks, done) if name not in failed]
-    return (reduce(DataFrame.unionByName, parts) if parts else None), failed
+    return (stacked(parts) if parts else None), failed
 
 
 def compare(
@@ -114,7 +118,7 @@ def compare_with_holdout(
     done = [r for r in side_by_side(df.sparkSession, jobs, parallel) if not isinstance(r, Exception)]
     if not done:
         return cv.withColumns({c: F.lit(None).cast("double") for c in ("hold_mae", "hold_rmse", "hold_r2")})
-    held = metrics.regression_metrics(reduce(DataFrame.unionByName, done), truth, by=["model"]).select(
+    held = metrics.regression_metrics(stacked(done), truth, by=["model"]).select(
         "model", F.col("mae").alias("hold_mae"), F.col("rmse").alias("hold_rmse"), F.col("r2").alias("hold_r2"))
     return metrics.leaderboard(cv.join(held, "model", "left"), by="hold_mae")
 
@@ -225,7 +229,7 @@ def region_models(
         return run
 
     done = [r for r in side_by_side(df.sparkSession, [job(r) for r in regions_of(placed, by)], parallel) if not isinstance(r, Exception)]
-    tested = reduce(DataFrame.unionByName, done)
+    tested = stacked(done)
     paths = tested.groupBy(by).agg(F.max("model_path").alias("model_path"))
     return metrics.region_metrics(tested, truth, by=by).drop("notes").join(paths, by)
 
@@ -249,7 +253,7 @@ def region_folds(
             maker, mine.where("role = 'train'"), mine.where("role = 'test'"), [by, "fold", "group_size", truth])
 
     done = [r for r in side_by_side(df.sparkSession, [job(*t) for t in tasks], parallel) if not isinstance(r, Exception)]
-    tested = reduce(DataFrame.unionByName, done)
+    tested = stacked(done)
     sizes = tested.groupBy(by).agg(F.max("group_size").alias("n"))
     return metrics.fold_means(tested, truth, by=[by]).drop("rmse_of_mean_mse").join(sizes, by)
 
