@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voltmes.operators.neighbors import mean_of_neighbours, nearest, vote_of_neighbours
 from voltmes.operators.ordering import join_facts
+from voltmes.operators.quantiles import quantile_values
 from voltmes.operators.splits import FOLDS, contiguous_folds
-from voltmes.session import scratch_path
+from voltmes.session import stored
 
 # Boosting rounds, depth of a boosted regression tree, neighbours.
 ROUNDS = 50
@@ -32,14 +33,6 @@ def mean_vote(columns: Sequence[str]) -> Column:
     return sum((F.col(c) for c in columns), F.lit(0.0)) / len(columns)
 
 
-def lineage_cut(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder, so that an iterative plan stays short and survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_path(df.sparkSession, "checkpoints"))
-    return df.checkpoint()
-
-
 class Neighbours(Estimator):
     """k nearest neighbours: mean of their labels, or their most frequent one."""
 
@@ -65,6 +58,32 @@ class NeighboursModel(Model):
         return join_facts(df, answer.withColumnRenamed("query", me.key), [me.key], "left")
 
 
+class ScaledLabel(Estimator):
+    """Fits the inner regressor on a label of median 0 and interquartile range 1, and answers in the label's units.
+
+    For a solver that starts from unit scale and would not get to a label in the millions.
+    """
+
+    def __init__(self, inner: Estimator, labelCol: str = "label"):
+        super().__init__()
+        self.inner, self.label = inner, labelCol
+
+    def _fit(self, df: DataFrame) -> ScaledLabelModel:
+        low, middle, high = quantile_values(df, [self.label], [0.25, 0.5, 0.75])[self.label]
+        spread = (high - low) or 1.0
+        scaled = df.withColumn("_scaled_label", (F.col(self.label) - middle) / spread)
+        return ScaledLabelModel(self.inner.copy().setLabelCol("_scaled_label").fit(scaled), middle, spread)
+
+
+class ScaledLabelModel(Model):
+    def __init__(self, model: Model, middle: float, spread: float):
+        super().__init__()
+        self.model, self.middle, self.spread = model, middle, spread
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df).withColumn("prediction", F.col("prediction") * self.spread + self.middle)
+
+
 class Voting(Estimator):
     """Mean of the members' predictions; with ``soft`` the class of greatest mean probability."""
 
@@ -101,20 +120,21 @@ class VotingModel(Model):
 class _Boosting(Estimator):
     """Rounds of trees on reweighted rows. The weights travel with the rows, nothing of them is collected."""
 
-    def __init__(self, labelCol: str = "label", rounds: int = ROUNDS, depth: int = 1, seed: int = 42, cut_every: int = 10):
+    def __init__(self, labelCol: str = "label", rounds: int = ROUNDS, depth: int = 1, seed: int = 42):
         super().__init__()
-        self.label, self.rounds, self.depth, self.seed, self.cut_every = labelCol, rounds, depth, seed, cut_every
+        self.label, self.rounds, self.depth, self.seed = labelCol, rounds, depth, seed
 
     def tree(self, round_: int) -> Estimator:
         raise NotImplementedError
 
-    def judge(self, rows: DataFrame) -> tuple[float, Column] | None:
-        """The tree's vote and the factor for each row's weight; None once boosting has to stop."""
+    def judge(self, rows: DataFrame, first: bool) -> tuple[float | None, Column | None]:
+        """The tree's vote (none for a useless tree) and the factor for each row's weight (none to stop)."""
         raise NotImplementedError
 
     def _boost(self, df: DataFrame) -> tuple[list[Model], list[float]]:
-        rows = df.select("features", F.col(self.label).cast("double").alias("label"), F.lit(1.0).alias("weight")).persist()
-        kept, trees, votes = [rows], [], []
+        """Each round's weights are stored, so that no round's plan holds the rounds before it."""
+        rows = stored(df.select("features", F.col(self.label).cast("double").alias("label"), F.lit(1.0).alias("weight")))
+        trees, votes = [], []
         for round_ in range(self.rounds):
             tree = self.tree(round_).fit(rows)
             judged = tree.transform(rows).select("features", "label", "weight", "prediction")
@@ -124,11 +144,8 @@ class _Boosting(Estimator):
                 votes.append(vote)
             if factor is None:
                 break
-            rows = judged.select("features", "label", (F.col("weight") * factor).alias("weight"))
-            rows = lineage_cut(rows) if (round_ + 1) % self.cut_every == 0 else rows.persist()
-            kept.append(rows)
-        for rows in kept:
-            rows.unpersist()
+            if round_ + 1 < self.rounds:
+                rows = stored(judged.select("features", "label", (F.col("weight") * factor).alias("weight")), "boosting")
         return trees, votes
 
 
@@ -235,15 +252,13 @@ class Stacking(Estimator):
         return VectorAssembler(inputCols=[f"_base{i}" for i in range(len(self.members))], outputCol="_stacked", handleInvalid="skip")
 
     def _fit(self, df: DataFrame) -> StackingModel:
-        placed = contiguous_folds(df, self.order, self.folds).persist()
+        placed = stored(contiguous_folds(df, self.order, self.folds))
         parts = []
         for fold in range(self.folds):
             train, test = placed.where(F.col("fold") != fold), placed.where(F.col("fold") == fold)
             parts.append(self.answers([m.fit(train) for m in self.members], test))
-        unseen = self.assembler().transform(reduce(DataFrame.unionByName, parts)).persist()
+        unseen = stored(self.assembler().transform(reduce(DataFrame.unionByName, parts)))
         final = self.final.copy().setFeaturesCol("_stacked").fit(unseen)
-        unseen.unpersist()
-        placed.unpersist()
         return StackingModel(self, [m.fit(df) for m in self.members], final)
 
 

@@ -21,6 +21,7 @@ from voltmes.models.features import required_columns, tree_pipeline
 from voltmes.models.zoo import DEEPEST, forest
 from voltmes.operators import metrics, splits
 from voltmes.operators.ordering import with_position
+from voltmes.session import stored
 from voltmes.sources.ptbr_csv import first_existing
 
 log = logging.getLogger(__name__)
@@ -72,7 +73,7 @@ def fold_predictions(
     parallel: int = PARALLEL_FITS,
 ) -> tuple[DataFrame | None, list[str]]:
     """Test predictions of every model in every expanding fold, and the models that failed."""
-    placed = with_position(df, order).persist()
+    placed = stored(with_position(df, order))
     tasks = [(name, fold) for name in makers for fold in range(folds)]
 
     def job(name: str, fold: int) -> Callable[[], DataFrame]:
@@ -110,7 +111,7 @@ def compare_with_holdout(
     parallel: int = PARALLEL_FITS,
 ) -> DataFrame:
     """Fold scores on the training rows next to scores on the last fifth, sorted by holdout MAE."""
-    placed = splits.holdout(df, order, test_rounds_down=True).drop("position", "group_size").persist()
+    placed = stored(splits.holdout(df, order, test_rounds_down=True).drop("position", "group_size"))
     train, test = placed.where("role = 'train'").drop("role"), placed.where("role = 'test'").drop("role")
     cv = compare(train, makers, truth, order, parallel=parallel).select(
         "model", F.col("mae_mean").alias("cv_mae"), F.col("rmse_of_mean_mse").alias("cv_rmse"), F.col("r2_mean").alias("cv_r2"))
@@ -213,7 +214,7 @@ def region_models(
     parallel: int = PARALLEL_FITS,
 ) -> DataFrame:
     """One model per region with enough rows, fitted on its first four fifths and scored on the rest."""
-    placed = splits.holdout(df, order, (by,)).where(F.col("group_size") >= metrics.MIN_REGION_ROWS).persist()
+    placed = stored(splits.holdout(df, order, (by,)).where(F.col("group_size") >= metrics.MIN_REGION_ROWS))
 
     def job(region: str) -> Callable[[], DataFrame]:
         mine = placed.where(F.col(by) == region)
@@ -244,7 +245,7 @@ def region_folds(
     parallel: int = PARALLEL_FITS,
 ) -> DataFrame:
     """Fold-mean scores per region, the model refitted in every fold of every region."""
-    spread = splits.expanding_folds_by_group(df, (by,), order, folds).persist()
+    spread = stored(splits.expanding_folds_by_group(df, (by,), order, folds))
     tasks = [(r["region"], r["fold"]) for r in spread.select(F.col(by).alias("region"), "fold").distinct().orderBy("region", "fold").collect()]
 
     def job(region: str, fold: int) -> Callable[[], DataFrame]:

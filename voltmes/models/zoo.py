@@ -10,7 +10,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 
 from voltmes.models.ensembles import (
-    BOOSTED_DEPTH, BoostedClassifier, BoostedRegressor, Neighbours, Stacking, Voting)
+    BOOSTED_DEPTH, BoostedClassifier, BoostedRegressor, Neighbours, ScaledLabel, Stacking, Voting)
 from voltmes.models.features import sensitive_pipeline, tree_pipeline
 
 # Fixed values of the compared models. Spark trees go 30 levels deep at most.
@@ -50,8 +50,8 @@ def linear(label: str) -> LinearRegression:
     return LinearRegression(labelCol=label, solver="normal")
 
 
-def huber(label: str) -> LinearRegression:
-    return LinearRegression(labelCol=label, loss="huber", epsilon=HUBER_EPSILON, regParam=HUBER_ALPHA, maxIter=100)
+def huber(label: str) -> ScaledLabel:
+    return ScaledLabel(LinearRegression(loss="huber", epsilon=HUBER_EPSILON, regParam=HUBER_ALPHA, maxIter=100), label)
 
 
 def regressors(label: str, key: str, order: Sequence[str]) -> dict[str, Callable[[], Estimator]]:

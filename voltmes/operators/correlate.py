@@ -21,7 +21,9 @@ def _correlations(df: DataFrame, sides: dict[tuple[str, str], tuple[Column, Colu
     x, y = F.col("x"), F.col("y")
     spread = F.stddev_pop(x) * F.stddev_pop(y)
     found = pairs.where(x.isNotNull() & y.isNotNull()).groupBy("feature", "other").agg(
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.covar_pop(x, y), spread))).alias("r"))
+        F.try_divide(F.covar_pop(x, y), spread).alias("r"))
+    r = F.col("r")
+    found = found.withColumn("r", F.when(r.isNotNull() & (F.col("feature") == F.col("other")), 1.0).when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r))
     mirrored = F.when(F.col("feature") == F.col("other"), F.array(F.struct("feature", "other", "r"))).otherwise(
         F.array(F.struct("feature", "other", "r"), F.struct(F.col("other").alias("feature"), F.col("feature").alias("other"), "r")))
     return found.select(F.inline(mirrored))

@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from voltmes.session import stored
+
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 512
 _SLICE_VALUES = 4_000_000
@@ -48,7 +50,7 @@ def nearest(
     if len(cells) == 1:
         return _closest(home, k)
 
-    home = home.persist()
+    home = stored(home, "neighbours")
     bound = _closest(home, k).groupBy("query").agg(F.count("*").alias("found"), F.max("distance").alias("reach"))
     bound = bound.select("query", F.when(F.col("found") >= k, F.col("reach")).alias("reach"))
     reachable = _reachable_cells(pivots, cells, k)

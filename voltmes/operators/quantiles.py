@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voltmes.operators.ordering import GROUP_LIMIT, join_facts, largest_group, running_total
+from voltmes.session import stored
 
 SKETCH_ACCURACY = 10_000
 
@@ -69,9 +70,10 @@ def group_quantiles(
 def _selected(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: list[str], limit: int
 ) -> DataFrame:
-    margin = 4.0 / SKETCH_ACCURACY
-    low = [max(0.0, p - margin) for p in probabilities]
-    high = [min(1.0, p + margin) for p in probabilities]
+    # Four sketch errors around each rank, more in groups so small that this is less than a few rows.
+    margins = (4.0 / SKETCH_ACCURACY, 0.05, 1.0)
+    low = [max(0.0, p - margin) for margin in margins for p in probabilities]
+    high = [min(1.0, p + margin) for margin in margins for p in probabilities]
     targets = range(len(probabilities))
 
     narrow = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
@@ -86,13 +88,15 @@ def _selected(
     # A value below its bracket is only counted: it leaves as a null, which sorts first.
     def cell(c: str, i: int) -> Column:
         bracket = F.col(f"{c}__bracket")
-        inside = F.when(F.col(c) >= bracket["low"][i], F.col(c))
-        return F.when(F.col(c) <= bracket["high"][i], F.struct(
+        skipped = F.when(bracket["n"] >= SKETCH_ACCURACY, 0).when(bracket["n"] >= 100, 1).otherwise(2)
+        at = skipped * len(probabilities) + i
+        inside = F.when(F.col(c) >= F.get(bracket["low"], at), F.col(c))
+        return F.when(F.col(c) <= F.get(bracket["high"], at), F.struct(
             F.lit(c).alias("feature"), F.lit(i).alias("target"), bracket["n"].alias("n"), inside.alias("value")))
 
     cells = F.filter(F.array(*[cell(c, i) for c in columns for i in targets]), lambda s: s.isNotNull())
     group = [*by, "feature", "target"]
-    candidates = marked.select(*by, F.inline(cells)).groupBy(*group, "n", "value").count().persist()
+    candidates = stored(marked.select(*by, F.inline(cells)).groupBy(*group, "n", "value").count(), "quantiles")
     ranked = running_total(candidates, ["value"], group, "count", "through", "_kept", limit)
 
     rank = F.get(F.array(*[F.lit(float(p)) for p in probabilities]), F.col("target")) * (F.col("n") - 1)

@@ -14,7 +14,7 @@ from voltmes.plans.panel import MEASURES, NUMBERS, PANEL_SQL
 from voltmes.plans.registry import query, r, rounded, rs
 from voltmes.plans.relational import FEATURES, LAG_SQL, WIDE_FEATURES, lagged_panel, prepared
 from voltmes.plans.validation import shown_scores
-from voltmes.session import scratch_path
+from voltmes.session import scratch_path, stored
 
 KEY = ["mes_ano", "regiao"]
 TRUTH = "consumo"
@@ -97,7 +97,7 @@ def yeo_johnson(spark, folder):
 @query("yeo_johnson_fit")
 def yeo_johnson_fit(spark, folder):
     """Most likely power of every reading column of the station months, and the transformed values."""
-    rows = p.station_months(spark, folder).persist()
+    rows = stored(p.station_months(spark, folder))
     columns = [c for c in MEASURES if c != "pressao_mb"]
     model = ft.YeoJohnson(inputCols=columns, outputCols=columns).fit(rows)
     return rounded(model.transform(rows).select("codigo", "mes_ano", *columns))
@@ -130,7 +130,7 @@ z AS (SELECT split.*, {", ".join(f"({c} - m_{c}) / s_{c} AS z_{c}" for c in NEAR
 SELECT mes_ano, regiao, {r('avg(consumo)', 2, 'prediction')} FROM d WHERE k <= 5 GROUP BY ALL""")
 def knn_reg(spark, folder):
     rows = prepared(spark, folder).withColumn("id", F.concat("mes_ano", "regiao"))
-    placed = splits.holdout(rows).persist()
+    placed = stored(splits.holdout(rows))
     train = placed.where("role = 'train'")
     scaler = ft.Standardizer(inputCols=NEAR, outputCols=NEAR).fit(train)
     points, queries = (
@@ -193,9 +193,9 @@ def linreg_readings(spark, folder):
 # Models over expanding folds.
 
 def modelling_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Prepared rows with an id, cut from their lineage: every fold of every model reads them."""
+    """Prepared rows with an id, stored once: every fold of every model reads them."""
     rows = prepared(spark, folder).withColumn("id", F.concat("mes_ano", "regiao"))
-    return rows.select("id", "month", *KEY, TRUTH, *WIDE_FEATURES).persist()
+    return stored(rows.select("id", "month", *KEY, TRUTH, *WIDE_FEATURES))
 
 
 def _makers(names: list[str]) -> dict[str, selection.Maker]:
@@ -212,7 +212,7 @@ def _register_fold_scores(name: str) -> None:
 def _register_holdout_scores(name: str) -> None:
     @query(f"hold_{name}")
     def scores(spark, folder):
-        placed = splits.holdout(modelling_rows(spark, folder)).drop("position", "group_size").persist()
+        placed = stored(splits.holdout(modelling_rows(spark, folder)).drop("position", "group_size"))
         train, test = placed.where("role = 'train'"), placed.where("role = 'test'")
         done = selection.predicted(_makers([name])[name], train, test, [TRUTH])
         return shown_scores(metrics.regression_metrics(done))
@@ -298,7 +298,7 @@ def isolation_forest(spark, folder):
 
 @query("isolation_forest_stations")
 def isolation_forest_stations(spark, folder):
-    stations = p.station_months(spark, folder).persist()
+    stations = stored(p.station_months(spark, folder))
     return rounded(isolation_scores(stations, MEASURES, ["codigo", "mes_ano"]).select("codigo", "mes_ano", "score", "is_outlier"))
 
 
@@ -308,7 +308,7 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
     documents = p.table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
     rows = p.table(spark, folder, "labels").join(documents, "doc_id").select(
         "doc_id", "lang", F.col("n_chars").cast("double").alias("n_chars"), F.col("quality").cast("double").alias("label"))
-    return splits.random_holdout(rows, ["doc_id"], 0.35, by=["label"]).persist()
+    return stored(splits.random_holdout(rows, ["doc_id"], 0.35, by=["label"]))
 
 
 def _register_classifier(name: str) -> None:
@@ -329,7 +329,7 @@ for _name in ("knn", "tree", "bayes", "perceptron", "vote", "forest", "bagging",
 @query("cls_folds")
 def cls_folds(spark, folder):
     """Naive Bayes over five shuffled folds: the mean of the fold scores."""
-    rows = splits.random_folds(labelled(spark, folder).drop("position", "group_size", "role"), ["doc_id"]).persist()
+    rows = stored(splits.random_folds(labelled(spark, folder).drop("position", "group_size", "role"), ["doc_id"]))
 
     def job(fold: int):
         make = zoo.classifiers("label", "doc_id", ["doc_id"], 0)["bayes"]

@@ -8,6 +8,7 @@ from voltmes.operators import correlate, describe, histogram, outliers, quantile
 from voltmes.plans import panel as p
 from voltmes.plans.panel import MEASURES, NUMBERS, PANEL_SQL, STATION_SQL, UF_SQL
 from voltmes.plans.registry import query, r, rounded
+from voltmes.session import stored
 from voltmes.sources.census import population_by_region
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -137,7 +138,7 @@ def corr_spearman(spark, folder):
 
 @query("corr_spearman_stations", f"WITH {UF_SQL}, {STATION_SQL} " + _spearman_sql("st", MEASURES))
 def corr_spearman_stations(spark, folder):
-    return rounded(correlate.spearman(p.station_months(spark, folder), MEASURES, key=["codigo", "mes_ano"]))
+    return rounded(correlate.spearman(stored(p.station_months(spark, folder)), MEASURES, key=["codigo", "mes_ano"]))
 
 
 @query("null_counts", PANEL_SQL + " UNION ALL ".join(

@@ -15,7 +15,7 @@ CENSUS_YEAR = 2022
 # The file, or the folder a distributed writer leaves under that name; hyphens inside the region stay.
 _NAME = r"(?i)(censo[^/]*\.csv)(?:/[^/]*)?$"
 _REGION = r"(?i)^censo.* - (.+)\.csv$"
-_REGION_UNSPACED = r"-([^-]+)\.csv$"
+_REGION_UNSPACED = r"(?i)-([^-]+)\.csv$"
 
 
 def census_lines(spark: SparkSession, folder: str) -> DataFrame:
