@@ -15,13 +15,13 @@ from voltmes.session import local_session
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CORES = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "2"))
+RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 HEADLINES = [
     "filter_segment", "panel_join", "weather_rollup", "key_coverage", "features", "lags_by_meter", "prepared_rows", "recommend",
     "ptbr_parse_strict", "clean_counts", "winsorize", "scan_ptbr_csv", "station_union",
     "describe", "describe_readings", "quantiles", "iqr_readings", "corr_pearson", "corr_spearman_stations", "histogram",
     "holdout_bills", "holdout_random", "tscv_meter", "metrics_region", "leaderboard", "class_metrics",
-    "standardize", "robust_scale", "linreg_readings", "knn_cls", "isolation_forest_stations", "cv_linear", "cv_forest",
+    "standardize", "robust_scale", "linreg_readings", "knn_cls", "isolation_forest_stations", "cv_linear",
 ]
 
 

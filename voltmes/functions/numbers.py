@@ -61,7 +61,12 @@ def format_ptbr(number: Column) -> Column:
 
 
 def exact_sum(number: Column, scale: int = 9) -> Column:
-    """Sum in decimals: the same double whatever the partitioning or the retries."""
+    """Sum that is the same double whatever the partitioning or the retries.
+
+    Up to hundredths are added as whole numbers, finer amounts as decimals. An overflow fails the job.
+    """
+    if scale <= 2:
+        return F.sum(F.rint(number * 10 ** scale).cast("long")) / F.lit(float(10 ** scale))
     return F.sum(number.cast(f"decimal(28,{scale})")).cast("double")
 
 

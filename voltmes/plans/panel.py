@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voltmes.functions.dates import first_day, month_of, season_of, year_of
+from voltmes.functions.dates import distinct_days, first_day, month_of, month_text, season_of, year_of
 from voltmes.functions.numbers import exact_mean, exact_sum
 from voltmes.operators.joins import consumption_by_region, join_panel, weather_by_region, with_region
 
@@ -50,7 +50,7 @@ def bills(spark: SparkSession, folder: str, segment: str | None = RESIDENTIAL) -
     known = meters(spark, folder, segment)
     return orders.join(known, orders.o_custkey == known.c_custkey).select(
         F.col("o_orderkey").alias("conta"), F.col("c_custkey").alias("medidor"), "uf", "regiao",
-        F.date_format("o_orderdate", "yyyy-MM").alias("mes_ano"), F.col("o_totalprice").alias("consumo"))
+        month_text(F.col("o_orderdate")).alias("mes_ano"), F.col("o_totalprice").alias("consumo"))
 
 
 def meter_months(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,20 +61,21 @@ def meter_months(spark: SparkSession, folder: str) -> DataFrame:
 
 def station_months(spark: SparkSession, folder: str) -> DataFrame:
     """Monthly readings per station; pressure is missing in February."""
-    lines = table(spark, folder, "lineitem").withColumn("mes_ano", F.date_format("l_shipdate", "yyyy-MM"))
-    price = exact_mean(F.col("l_extendedprice"), 2) / 100
-    return (
-        lines.groupBy(F.col("l_suppkey").cast("string").alias("codigo"), "mes_ano").agg(
-            F.count_distinct(F.to_date("l_shipdate")).cast("double").alias("dias_chuva"),
+    lines = table(spark, folder, "lineitem")
+    read = (
+        lines.groupBy("l_suppkey", F.trunc("l_shipdate", "month").alias("month")).agg(
+            distinct_days(F.col("l_shipdate")).cast("double").alias("dias_chuva"),
             exact_sum(F.col("l_quantity"), 2).alias("precip_mm"),
-            price.alias("pressao_mb"),
+            (exact_mean(F.col("l_extendedprice"), 2) / 100).alias("pressao_mb"),
             (20 + 100 * exact_mean(F.col("l_discount"), 2)).alias("temp_c"),
             (100 * F.max("l_tax")).alias("vento_max"),
             (100 * exact_mean(F.col("l_tax"), 2)).alias("vento_med"),
         )
-        .withColumn("pressao_mb", F.when(month_of(F.col("mes_ano")) != 2, F.col("pressao_mb")))
-        .withColumns({c: F.round(c, 9) for c in MEASURES})
+        .withColumn("pressao_mb", F.when(F.month("month") != 2, F.col("pressao_mb")))
     )
+    return read.select(
+        F.col("l_suppkey").cast("string").alias("codigo"), month_text(F.col("month")).alias("mes_ano"),
+        *[F.round(c, 9).alias(c) for c in MEASURES])
 
 
 def located_station_months(spark: SparkSession, folder: str) -> DataFrame:
