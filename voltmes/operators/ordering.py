@@ -8,6 +8,7 @@ inside its own range. A row's range depends on its own key only, so a recomputed
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 from math import ceil, isqrt
@@ -16,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 GROUP_LIMIT = 1_000_000
 ROWS_PER_RANGE = 250_000
-MAX_RANGES = 4096
-SAMPLES_PER_RANGE = 20
+MAX_RANGES = 20_000
+SAMPLES_PER_RANGE = 10
 
 
 def largest_group(df: DataFrame, by: Sequence[str] = ()) -> int:
@@ -83,28 +84,34 @@ def key_range(df: DataFrame, keys: Sequence[str]) -> Column:
     ranges = max(2, min(MAX_RANGES, ceil(rows / ROWS_PER_RANGE)))
     wanted = ranges * SAMPLES_PER_RANGE
     sample = (
-        df.select(*keys).sample(min(1.0, 2 * wanted / max(rows, 1)), seed=7)
-        .orderBy(*keys).limit(4 * wanted).collect()
+        df.select(*keys).sample(min(1.0, 1.5 * wanted / max(rows, 1)), seed=7)
+        .orderBy(*keys).limit(3 * wanted).select(*[F.col(k).cast("string") for k in keys]).collect()
     )
     step = max(1, len(sample) // ranges)
     return _range_of([tuple(r) for r in sample[step::step]], df, keys)
 
 
 def _range_of(starts: list[tuple], df: DataFrame, keys: Sequence[str]) -> Column:
-    """How many range starts are at or below the key: a coarse look-up, then one inside its block."""
+    """How many range starts are at or below the key: a coarse look-up, then one inside its block.
+
+    The starts travel as one constant, which the optimizer folds into typed arrays.
+    """
     if not starts:
         return F.lit(0)
-    types = [df.schema[k].dataType for k in keys]
+    names = [f"k{i}" for i in range(len(keys))]
+    texts = f"struct<{','.join(f'{n}:string' for n in names)}>"
+    typed = f"struct<{','.join(f'{n}:{df.schema[k].dataType.simpleString()}' for n, k in zip(names, keys))}>"
 
-    def literal(row: tuple) -> Column:
-        return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(row, types))])
+    def constant(value: list, wrap: str) -> Column:
+        return F.from_json(F.lit(json.dumps(value)), wrap.format(texts)).cast(wrap.format(typed))
 
     width = max(1, isqrt(len(starts)))
-    blocks = [starts[i:i + width] for i in range(0, len(starts), width)]
-    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    coarse = F.size(F.filter(F.array(*[literal(b[0]) for b in blocks]), lambda s: s <= key))
-    inside = F.array(*[F.array(*[literal(r) for r in b]) for b in blocks])
-    fine = F.size(F.filter(F.get(inside, coarse - 1), lambda s: s <= key))
+    rows = [dict(zip(names, row)) for row in starts]
+    blocks = [rows[i:i + width] for i in range(0, len(rows), width)]
+    key = F.struct(*[F.col(k).alias(n) for n, k in zip(names, keys)])
+    coarse = F.size(F.filter(constant([b[0] for b in blocks], "array<{}>"), lambda s: s <= key))
+    block = F.get(constant(blocks, "array<array<{}>>"), coarse - 1)
+    fine = F.size(F.filter(block, lambda s: s <= key))
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * width + fine)
 
 

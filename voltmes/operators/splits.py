@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -118,3 +119,18 @@ def expanding_folds_by_group(
     held = F.when(F.col("position") <= F.floor(F.col("group_size") * share), "train").otherwise("test")
     role = F.when(long, expanding_role(F.col("fold"), folds)).otherwise(held)
     return spread.withColumn("role", role).where(F.col("role").isNotNull())
+
+
+def bootstrap(df: DataFrame, key: Sequence[str], seed: int = SEED) -> DataFrame:
+    """Rows with ``copies``, how often each is drawn with replacement; rows that are not drawn are left out.
+
+    On many rows a bootstrap draws each row a Poisson(1) number of times, independently, so no row has to know
+    of another and nothing is shuffled.
+    """
+    text = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    chance = F.conv(F.substring(text, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    copies, below = F.lit(0), 0.0
+    for drawn in range(12):
+        below += exp(-1) / factorial(drawn)
+        copies = copies + F.when(chance >= below, 1).otherwise(0)
+    return df.withColumn("copies", copies).where(F.col("copies") > 0)

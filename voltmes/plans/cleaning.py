@@ -10,6 +10,7 @@ from voltmes.operators.describe import auto_numeric
 from voltmes.plans import panel as p
 from voltmes.plans.panel import PANEL_SQL
 from voltmes.plans.registry import query, r, rounded
+from voltmes.session import stored
 
 
 def ptbr_text(number: Column) -> Column:
@@ -162,5 +163,5 @@ def fill_median(spark, folder):
 @query("fill_median_stations", f"""{PANEL_SQL}
 SELECT codigo, mes_ano, {r('coalesce(pressao_mb, (SELECT quantile_cont(pressao_mb, 0.5) FROM st))', 9, 'pressao_mb')} FROM st""")
 def fill_median_stations(spark, folder):
-    filled = outliers.fill_median(p.station_months(spark, folder), ["pressao_mb"])
+    filled = outliers.fill_median(stored(p.station_months(spark, folder)), ["pressao_mb"])
     return rounded(filled.select("codigo", "mes_ano", "pressao_mb"), 9)

@@ -168,15 +168,17 @@ def knn_cls(spark, folder):
     return neighbors.vote_of_neighbours(found, points, "vec_id").withColumnRenamed("query", "vec_id")
 
 
+def _line(spark: SparkSession, model) -> DataFrame:
+    return spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "slope double, intercept double")
+
+
 @query("linreg_uni", f"""{PANEL_SQL}
 SELECT {r('regr_slope(consumo, precip_mm)', 4, 'slope')}, {r('regr_intercept(consumo, precip_mm)', 2, 'intercept')} FROM panel""")
 def linreg_uni(spark, folder):
     panel = p.panel(spark, folder)
     rows = VectorAssembler(inputCols=["precip_mm"], outputCol="features").transform(panel)
     model = zoo.linear(TRUTH).fit(rows)
-    return rounded(
-        panel.agg(F.count("*").alias("n")).select(F.lit(float(model.coefficients[0])).alias("slope"), F.lit(float(model.intercept)).alias("intercept")),
-        intercept=2, slope=4)
+    return rounded(_line(spark, model), intercept=2, slope=4)
 
 
 @query("linreg_readings", f"""
@@ -185,9 +187,7 @@ def linreg_readings(spark, folder):
     lines = p.table(spark, folder, "lineitem").select("l_quantity", "l_extendedprice")
     rows = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(lines)
     model = zoo.linear("l_extendedprice").fit(rows)
-    return rounded(
-        lines.limit(1).select(F.lit(float(model.coefficients[0])).alias("slope"), F.lit(float(model.intercept)).alias("intercept")),
-        intercept=3, slope=4)
+    return rounded(_line(spark, model), intercept=3, slope=4)
 
 
 # Models over expanding folds.

@@ -12,6 +12,7 @@ from voltmes.operators.ordering import top_rows
 from voltmes.plans import panel as p
 from voltmes.plans.panel import BILL_SQL, CONSUMPTION_SQL, PANEL_SQL, STATION_SQL, UF_SQL, WEATHER_SQL
 from voltmes.plans.registry import query, r, rounded, rs
+from voltmes.session import stored
 
 # Regions of the supplied tables that stand in for the rainy ones.
 WET_REGIONS = Thresholds(hydro_regions=("africa", "asia"))
@@ -188,7 +189,7 @@ def roll3_compat(spark, folder):
 @query("lags_by_meter", f"""{METER_LAG_SQL}
 SELECT medidor, mes_ano, {rs('consumo lag1 lag12')}, {r('roll3', 4)} FROM lagged""")
 def lags_by_meter(spark, folder):
-    lagged = windows.lag_features(p.meter_months(spark, folder), by=["medidor"])
+    lagged = windows.lag_features(stored(p.meter_months(spark, folder)), by=["medidor"])
     return rounded(lagged.select("medidor", "mes_ano", "consumo", "lag1", "lag12", "roll3"), roll3=4)
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from voltmes.models.ensembles import mean_vote
 from voltmes.operators import metrics, splits
 from voltmes.operators.windows import lag_features
 from voltmes.plans import panel as p
 from voltmes.plans.panel import PANEL_SQL
 from voltmes.plans.registry import query, r, rounded
 from voltmes.plans.relational import LAG_SQL, METER_LAG_SQL, lagged_panel, prepared
+from voltmes.session import stored
 
 NAIVE = {"last_month": "lag1", "last_year": "lag12"}
 
@@ -75,6 +79,18 @@ def contiguous_folds(spark, folder):
     return splits.contiguous_folds(orders, ["o_orderdate", "conta"]).select("conta", "fold")
 
 
+_POISSON = [sum(exp(-1) / factorial(i) for i in range(drawn + 1)) for drawn in range(12)]
+
+
+@query("bootstrap", """
+WITH u AS (SELECT o_orderkey AS conta, CAST('0x' || substr(md5('42|' || o_orderkey), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM orders),
+c AS (SELECT conta, """ + " + ".join(f"CAST(u >= {x!r}::DOUBLE AS INTEGER)" for x in _POISSON) + """ AS copies FROM u)
+SELECT conta, CAST(copies AS INTEGER) AS copies FROM c WHERE copies > 0""")
+def bootstrap(spark, folder):
+    orders = p.table(spark, folder, "orders").select(F.col("o_orderkey").alias("conta"))
+    return splits.bootstrap(orders, ["conta"])
+
+
 TSCV_SQL = f"""{LAG_SQL}, pos AS (
   SELECT *, row_number() OVER (ORDER BY month, regiao) - 1 AS ix, count(*) OVER () AS n FROM lagged),
 cv AS (
@@ -110,7 +126,7 @@ cv AS (
   UNION ALL SELECT pos.*, 0 AS fold, CASE WHEN ix < floor(0.8 * n) THEN 'train' ELSE 'test' END AS role FROM pos WHERE n BETWEEN 3 AND 5)
 SELECT medidor, mes_ano, fold, role FROM cv WHERE role IS NOT NULL""")
 def tscv_meter(spark, folder):
-    folds = splits.expanding_folds_by_group(p.meter_months(spark, folder), by=["medidor"])
+    folds = splits.expanding_folds_by_group(stored(p.meter_months(spark, folder)), by=["medidor"])
     return folds.select("medidor", "mes_ano", "fold", "role")
 
 
@@ -156,7 +172,7 @@ def metrics_region(spark, folder):
 @query("metrics_meter", f"""{METER_LAG_SQL}
 SELECT {_score_sql(e='consumo - lag1')} FROM lagged WHERE lag1 IS NOT NULL""")
 def metrics_meter(spark, folder):
-    lagged = lag_features(p.meter_months(spark, folder), by=["medidor"])
+    lagged = lag_features(stored(p.meter_months(spark, folder)), by=["medidor"])
     return shown_scores(metrics.regression_metrics(lagged.withColumn("prediction", F.col("lag1"))))
 
 
@@ -206,8 +222,6 @@ def best_model(spark, folder):
 SELECT mes_ano, regiao, {r('(lag1 + lag12 + roll3) / 3', 3, 'prediction')} FROM lagged
 WHERE lag1 IS NOT NULL AND lag12 IS NOT NULL AND roll3 IS NOT NULL""")
 def vote_mean(spark, folder):
-    from voltmes.models.ensembles import mean_vote
-
     rows = prepared(spark, folder)
     return rounded(rows.select("mes_ano", "regiao", mean_vote(["lag1", "lag12", "roll3"]).alias("prediction")), 3)
 
