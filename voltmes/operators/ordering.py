@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from functools import reduce
-from math import ceil, isqrt
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -92,27 +92,22 @@ def key_range(df: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def _range_of(starts: list[tuple], df: DataFrame, keys: Sequence[str]) -> Column:
-    """How many range starts are at or below the key: a coarse look-up, then one inside its block.
+    """How many range starts are at or below the key, by halving: some 15 comparisons for 20,000 ranges.
 
-    The starts travel as one constant, which the optimizer folds into typed arrays.
+    The starts travel as one constant, which the optimizer folds into a typed array.
     """
     if not starts:
         return F.lit(0)
     names = [f"k{i}" for i in range(len(keys))]
-    texts = f"struct<{','.join(f'{n}:string' for n in names)}>"
-    typed = f"struct<{','.join(f'{n}:{df.schema[k].dataType.simpleString()}' for n, k in zip(names, keys))}>"
+    texts = ",".join(f"{n}:string" for n in names)
+    typed = ",".join(f"{n}:{df.schema[k].dataType.simpleString()}" for n, k in zip(names, keys))
+    listed = json.dumps([dict(zip(names, row)) for row in starts])
+    sorted_starts = F.from_json(F.lit(listed), f"array<struct<{texts}>>").cast(f"array<struct<{typed}>>")
 
-    def constant(value: list, wrap: str) -> Column:
-        return F.from_json(F.lit(json.dumps(value)), wrap.format(texts)).cast(wrap.format(typed))
-
-    width = max(1, isqrt(len(starts)))
-    rows = [dict(zip(names, row)) for row in starts]
-    blocks = [rows[i:i + width] for i in range(0, len(rows), width)]
     key = F.struct(*[F.col(k).alias(n) for n, k in zip(names, keys)])
-    coarse = F.size(F.filter(constant([b[0] for b in blocks], "array<{}>"), lambda s: s <= key))
-    block = F.get(constant(blocks, "array<array<{}>>"), coarse - 1)
-    fine = F.size(F.filter(block, lambda s: s <= key))
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * width + fine)
+    steps = F.array(*[F.lit(1 << power) for power in reversed(range(len(starts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda below, step: F.when(
+        F.get(sorted_starts, below + step - 1) <= key, below + step).otherwise(below))
 
 
 def with_position(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), limit: int = GROUP_LIMIT) -> DataFrame:
