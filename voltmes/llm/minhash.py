@@ -19,6 +19,12 @@ from voltmes.session import stored
 
 #: Up to so many ids (some 32 MB) are sent to all tasks to pick their texts; more are joined with a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Classes under one band key of several components from which they are compared by their rarest shingles instead.
+CROWD = 16
+#: Classes of one component that are compared with a class of another one in one go.
+CHUNK = 64
+#: Counters, 4 MB in all, that tell rare shingles from frequent ones.
+COUNTERS = 1 << 20
 _EMPTY = np.uint64(np.iinfo(np.uint64).max)
 
 
@@ -129,16 +135,66 @@ def alike(left: Column | str, right: Column | str, size: int, percent: int) -> C
     return of(left, right)
 
 
+def alike_in(text: Column | str, others: Column | str, size: int, percent: int) -> Column:
+    """The numbers of those of an array of texts that are ``alike`` to one."""
+
+    @F.arrow_udf("array<int>")
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for one, many in batches:
+            counts = np.diff(many.offsets.to_numpy())
+            first = np.cumsum(counts + 1) - counts - 1
+            flat = pa.concat_arrays([one.cast(pa.large_string()), many.flatten().cast(pa.large_string())])
+            turns = np.empty(len(flat), np.int64)
+            heads = np.zeros(len(flat), bool)
+            heads[first] = True
+            turns[heads], turns[~heads] = np.arange(len(one)), np.arange(len(one), len(flat))
+            rows, found, at = np.cumsum(heads) - 1, [], 0
+            column = flat.take(pa.array(turns))
+            while at < len(one):
+                # Some rows at a time, with all their texts.
+                to = max(at + 1, int(np.searchsorted(first, first[at] + 512)))
+                low, high = first[at], first[to] if to < len(one) else len(flat)
+                owner, value = _sets(column.slice(low, high - low), size)
+                row = rows[low:high][owner] - at
+                order = by_owner(row, value)
+                owner, run = owner[order], np.cumsum(new_runs(row[order], value[order])) - 1
+                head = heads[low:high][owner]
+                with_head = np.zeros(run[-1] + 1 if len(run) else 0, bool)
+                with_head[run[head]] = True
+                n, common = sums(owner, high - low), sums(owner[with_head[run]], high - low)
+                union = n + n[(first[at:to] - low)][rows[low:high] - at] - common
+                found.append((100 * common >= percent * union) & (union > 0) & ~heads[low:high])
+                at = to
+            hits = np.concatenate(found) if found else np.zeros(0, bool)
+            where = np.flatnonzero(hits)
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(rows[where], minlength=len(one)))])
+            yield lists(where - first[rows[where]] - 1, bounds, pa.int32())
+
+    return of(text, others)
+
+
+def _sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingles`` of a whole column of a bounded number of texts."""
+    found, done = [], 0
+    for block in blocks(column):
+        owner, value = shingles(block, size)
+        found.append((owner + done, value))
+        done += len(block)
+    return np.concatenate([o for o, _ in found]), np.concatenate([v for _, v in found])
+
+
 def near_duplicates(
     docs: DataFrame, id: str = "doc_id", text: str = "text", *, size: int = 5, percent: int = 80, bands: int = 32, rows: int = 4,
-    broadcast_ids: int = BROADCAST_IDS,
+    broadcast_ids: int = BROADCAST_IDS, crowd: int = CROWD,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row; rows of one component are linked by chains of verified pairs.
 
     Equal shingle sets are one class and enter the search once. Classes that share a band key are compared with
-    the class of the smallest id there, then, where a key still joins several components, with every class of
-    another component. So a bucket costs a comparison per member, but no pair that could join two components is left
-    out. With 32 bands of 4 rows a pair at 0.8 shares no key once in 20 million; more similar ones less often.
+    the class of the smallest id there. Where a key still joins several components, classes of different components
+    are compared too, so that no pair that could join two components is left out. A key of that kind with more than
+    ``crowd`` classes is mostly due to a passage that many texts share: its classes are compared if they share one of
+    their rarest shingles, as any two sets that are alike enough must. With 32 bands of 4 rows a pair at 0.8 shares
+    no key once in 20 million; more similar ones less often.
 
     Null or wordless texts have an empty set and no links. A row with a null id has a null component and is kept.
     Rows with one id count as one document: what links one links all. Other columns are not read.
@@ -158,11 +214,20 @@ def near_duplicates(
         F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = stored(_verified(first, texts, size, percent), "links")
     roots = components(links)
-    second = stored(_across(members, roots, first, percent), "pairs")
-    if not second.isEmpty():
-        more = stored(_verified(second, texts, size, percent), "links")
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+
+    rooted = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = _mixed(rooted)
+    crowded = stored(mixed.groupBy("key").count().where(F.col("count") > crowd).select("key"), "crowded")
+    few = mixed.join(crowded, "key", "left_anti")
+    many = stored(mixed.join(crowded, "key", "left_semi").select("node", "root").distinct(), "crowd")
+    chunks = _chunks(mixed)
+    meeting = _meeting(few, few, chunks)
+    if not many.isEmpty():
+        rarest = _mixed(_rarest(many, texts, size, percent))
+        meeting = meeting.union(_meeting(rarest.where("short"), rarest, chunks)).distinct()
+    more = stored(_linked(stored(meeting, "meeting"), chunks, texts, size, percent), "links")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
 
     named = stored(classes.select("a", "b", "node").join(roots, "node", "left").select(
         "a", "b", F.coalesce("root", "node").alias("component")), "named")
@@ -189,14 +254,77 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return pairs.join(other, "b").join(one, "a").where(alike("_one", "_other", size, percent)).select("a", "b").distinct()
 
 
-def _across(members: DataFrame, roots: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """The pairs of a key that lie in different components and haven't been compared."""
-    rooted = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rooted = stored(rooted.join(mixed, "key", "left_semi"), "rooted")
-    parts = rooted.select("key", "root").distinct()
-    pairs = parts.toDF("key", "low").join(parts.toDF("key", "high"), "key").where("low < high")
-    one, other = rooted.toDF("key", "a", "n", "low"), rooted.toDF("key", "b", "m", "high")
-    pairs = pairs.join(one, ["key", "low"]).join(other, ["key", "high"]).where(_sizes_allow("n", "m", percent))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+def _mixed(rooted: DataFrame) -> DataFrame:
+    """The rows (key, node, n, root) of keys with several components."""
+    keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return stored(rooted.join(keys, "key", "left_semi"), "mixed")
+
+
+def _chunks(mixed: DataFrame) -> DataFrame:
+    """(node, place): each class with its component, the component's size and a chunk of some classes of it."""
+    nodes = stored(mixed.select("node", "root").distinct(), "nodes")
+    sizes = stored(nodes.groupBy("root").count(), "sizes")
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / CHUNK))
+    return stored(nodes.join(sizes, "root").select("node", F.struct("count", "root", chunk.alias("chunk")).alias("place")), "chunks")
+
+
+def _meeting(smaller: DataFrame, larger: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(low, high): chunks of different components that share a key; ``high`` is of the larger component."""
+    one, other = (x.join(chunks, "node").select("key", F.col("place").alias(name)).distinct() for x, name in ((smaller, "r"), (larger, "s")))
+    pairs = one.join(other, "key").where("r.root <> s.root")
+    return pairs.select(F.least("r", "s").alias("low"), F.greatest("r", "s").alias("high")).distinct()
+
+
+def _linked(meeting: DataFrame, chunks: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The verified links (a, b) between the classes of chunks that meet, without a row per pair."""
+    nodes = chunks.join(texts.toDF("node", "text"), "node")
+    lists = nodes.groupBy(F.col("place").alias("high")).agg(F.collect_list(F.struct("node", "text")).alias("list"))
+    tasks = meeting.join(nodes.toDF("b", "low", "text"), "low").join(lists, "high")
+    found = tasks.select("b", alike_in("text", "list.text", size, percent).alias("which"), "list.node")
+    return found.where("size(which) > 0").select(F.explode(F.transform("which", lambda i: F.col("node")[i])).alias("a"), "b").distinct()
+
+
+def _rarest(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(key, node, n, root, short): each class under its rarest shingles, so many that two alike sets share one of them.
+
+    With t = percent / 100, sets of n <= m share 2 t / (1 + t) of n at least, and t of m. So, in one order of all
+    shingles, the first n - ceil(2 t n / (1 + t)) + 1 of the smaller set (its ``short`` ones) and the first
+    m - ceil(t m) + 1 of the larger hold a common one. Any order will do; rare ones first makes the keys small. The
+    counts behind it may mix some shingles.
+    """
+    rows = texts.withColumnRenamed("id", "node").join(nodes, "node").select("node", "root", "text")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for block in blocks(batch.column(0)):
+                total += np.bincount((shingles(block, size)[1] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "times"])
+
+    counts = rows.select("text").mapInArrow(counted, "at long, times long").groupBy("at").agg(F.sum("times").alias("times"))
+    times = np.zeros(COUNTERS, np.int32)
+    for batch in counts.toArrow().to_batches():
+        times[batch.column(0).to_numpy()] = np.minimum(batch.column(1).to_numpy(), np.iinfo(np.int32).max)
+
+    @F.arrow_udf("struct<n long, short long, keys array<long>>")
+    def rarest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            sizes, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for block in blocks(column):
+                owner, value = shingles(block, size)
+                order = by_owner(owner, times[value % np.uint64(COUNTERS)].astype(np.uint64) << np.uint64(32) | value >> np.uint64(32))
+                n = sums(owner, len(block))
+                number = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                wanted = number <= (n + -percent * n // 100)[owner]
+                sizes.append(n)
+                keys.append(value[order][wanted])
+            n = np.concatenate(sizes)
+            bounds = np.concatenate([[0], np.cumsum(np.where(n > 0, n + -percent * n // 100 + 1, 0))])
+            yield pa.StructArray.from_arrays(
+                [pa.array(n), pa.array(n + -2 * percent * n // (100 + percent)),
+                 lists(np.concatenate(keys).view(np.int64), bounds, pa.int64())], ["n", "short", "keys"])
+
+    found = rows.select("node", "root", rarest("text").alias("r"))
+    return found.select(F.posexplode("r.keys").alias("at", "key"), "node", "root", "r.n", "r.short").select(
+        "key", "node", "n", "root", (F.col("at") <= F.col("short")).alias("short"))
