@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from voltmes.llm.chat import digests, format_chats
 from voltmes.llm.minhash import near_duplicates
+from voltmes.llm.mixing import mix
 from voltmes.llm.packing import packed_documents
 from voltmes.llm.repetition import quality
 from voltmes.llm.tokenfile import read_digests, write_tokens
-from voltmes.session import scratch_path
+from voltmes.llm.urlfilter import judge
+from voltmes.session import scratch_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,14 +67,54 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return quality(documents(spark, folder)).drop("repeat_chars", "longest_repeat", "spans")
 
 
+@query("op3_chat_round_trip")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    rows = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    written = stored(format_chats(rows.union(more)), "chats")
+    return written.select("conv_id", digests("formatted", "loss").alias("d")).select("conv_id", "d.*")
+
+
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return packed_documents(documents(spark, folder), tokenizer_path("word_bpe_49k.json"))
 
 
+@query("op6_efraimidis_spirakis_mix")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mix(documents(spark, folder))
+    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+                        F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+
+
 @query("op7_simple8b_tokens")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_tokens(documents(spark, folder), path, tokenizer_path("byte_bpe_50k.json"))
     return read_digests(spark, path).withColumnRenamed("id", "doc_id").select(
         "doc_id", "start", "n_tokens", "ids_crc32")
+
+
+ALLOWED = ["com/", "www.example.com/en/"]
+BLOCKED = ["example.com/en/", "net/es/", "net/fr/"]
+#: Hosts that are unwanted as far as no rule speaks.
+UNWANTED = [
+    "ads-track.example.com/", "spam-farm.example.org/", "casino-win.example.net/", "adult-x.example.com/",
+    "cheap-pills.example.net/", "free-bets.example.net/",
+]
+
+
+@query("op9_bloom_cascade_urls", r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT row_number() OVER () AS r, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) v(rh, rp, rv)),
+m AS (SELECT r, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv
+      FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN regexp_matches(host,
+    '(^|[.])(ads-track[.]example[.]com|spam-farm[.]example[.]org|casino-win[.]example[.]net|adult-x[.]example[.]com|cheap-pills[.]example[.]net|free-bets[.]example[.]net)$')
+    AND starts_with(path, '/') THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN m USING (r)""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return judge(spark.read.parquet(f"{folder}/pages.parquet"), ALLOWED, BLOCKED, UNWANTED)
