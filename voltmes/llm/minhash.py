@@ -328,3 +328,24 @@ def _rarest(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     found = rows.select("node", "root", rarest("text").alias("r"))
     return found.select(F.posexplode("r.keys").alias("at", "key"), "node", "root", "r.n", "r.short").select(
         "key", "node", "n", "root", (F.col("at") <= F.col("short")).alias("short"))
+
+
+def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", broadcast_ids: int = BROADCAST_IDS, **options: int) -> DataFrame:
+    """The rows that ``near_duplicates`` keeps, with all columns; of rows with one id one stays, rows with a null id all do.
+
+    Of rows with one id the first by text stays (ties are equal in id and text).
+    """
+    found = stored(near_duplicates(docs, id, text, broadcast_ids=broadcast_ids, **options).select(F.col(id).alias("_id"), "kept"), "found")
+    dropped = stored(found.where("not kept").select("_id").distinct(), "ids")
+    repeated = stored(found.where("kept and _id is not null").groupBy("_id").count().where("count > 1").select("_id"), "ids")
+
+    def those(ids: DataFrame, how: str) -> DataFrame:
+        return docs.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, docs[id] == ids["_id"], how)
+
+    single = those(dropped.union(repeated), "left_anti")
+    if repeated.isEmpty():
+        return single
+    others = [c for c in docs.columns if c != id]
+    whole = F.struct(F.col(text).alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(others)])
+    first = those(repeated, "left_semi").groupBy(id).agg(F.min(whole).alias("_whole"))
+    return single.unionByName(first.select(id, *[F.col(f"_whole._{i}").alias(c) for i, c in enumerate(others)]).select(*docs.columns))

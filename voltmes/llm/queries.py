@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voltmes.llm.chat import digests, format_chats
+from voltmes.llm.language import identify
 from voltmes.llm.minhash import near_duplicates
 from voltmes.llm.mixing import mix
+from voltmes.llm.neighbours import nearest
 from voltmes.llm.packing import packed_documents
 from voltmes.llm.repetition import quality
 from voltmes.llm.tokenfile import read_digests, write_tokens
-from voltmes.llm.urlfilter import judge
+from voltmes.llm.toxicity import toxicity
+from voltmes.llm.urlfilter import host_and_path, judge
 from voltmes.session import scratch_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +79,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return written.select("conv_id", digests("formatted", "loss").alias("d")).select("conv_id", "d.*")
 
 
+@query("op4_stable_projections")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return packed_documents(documents(spark, folder), tokenizer_path("word_bpe_49k.json"))
@@ -96,6 +104,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query("op8_noisy_or_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")).drop("sentences")
+
+
 ALLOWED = ["com/", "www.example.com/en/"]
 BLOCKED = ["example.com/en/", "net/es/", "net/fr/"]
 #: Hosts that are unwanted as far as no rule speaks.
@@ -118,3 +131,23 @@ SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN regexp_matches(host,
 FROM h LEFT JOIN m USING (r)""")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return judge(spark.read.parquet(f"{folder}/pages.parquet"), ALLOWED, BLOCKED, UNWANTED)
+
+
+@query("op10_language_fusion")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents: the record declares the language, the source stands for the host."""
+    found = identify(documents(spark, folder), declared=F.col("lang"), host=F.col("source"))
+    return found.select("doc_id", "lang", "source", "_language.language", F.round("_language.probability", 9).alias("probability"),
+                        "_language.text_language", F.col("_language.accepted").alias("kept"))
+
+
+@query("language_pages")
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages: the markup declares the language, hosts and address suffixes come from the address."""
+    rows = spark.read.parquet(f"{folder}/pages.parquet")
+    host, _ = host_and_path(F.col("url"))
+    body = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), "<[^>]*>", " ")
+    rows = rows.select("page_id", body.alias("body"), host.alias("host"), F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-z]+)", 1).alias("declared"))
+    found = identify(rows, "body", declared=F.col("declared"), host=F.col("host"), suffix=F.substring_index("host", ".", -1))
+    return found.select("page_id", "host", "declared", "_language.language", F.round("_language.probability", 9).alias("probability"),
+                        "_language.text_language", F.col("_language.accepted").alias("kept"))
