@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import repeat
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 
 from voltmes.llm.text import SPACE, Block
 
-#: Cuts that a worker remembers before it starts anew, some 100 MB; longer cuts aren't remembered.
-REMEMBERED = 400_000
+#: Cuts that a worker remembers, some 200 MB; beyond that it forgets those it met in one block only. Longer cuts aren't remembered.
+REMEMBERED = 1_000_000
 LONGEST = 64
 _UNUSUAL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]|\xc2[\x80-\xa0\xad]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xaf]|\xe3\x80\x80|\xef\xbb\xbf")
 
@@ -32,27 +34,54 @@ class Encoder:
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.used = np.empty(1 << 20, np.int32), 0
-        self.starts, self.lengths = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
+        self.starts, self.lengths, self.met = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
+
+    def _thin(self) -> None:
+        """Only what was met in several blocks stays, if that is at most half."""
+        kept = [(c, i) for c, i in self.known.items() if self.met[i] > 1]
+        flat, starts, lengths, met = self.flat, self.starts, self.lengths, self.met
+        self._forget()
+        if kept and 2 * len(kept) <= REMEMBERED:
+            at = np.fromiter((i for _, i in kept), np.int64, len(kept))
+            self._keep([c for c, _ in kept], lengths[at], flat[ragged(starts[at], lengths[at])])
+            self.met[:len(kept)] = met[at] // 2
+
+    def _keep(self, cuts: list[bytes], lengths: np.ndarray, ids: np.ndarray) -> None:
+        first, total = len(self.known), len(ids)
+        self.flat = _room(self.flat, self.used, total)
+        self.starts, self.lengths, self.met = (_room(x, first, len(cuts)) for x in (self.starts, self.lengths, self.met))
+        self.flat[self.used:self.used + total] = ids
+        self.starts[first:first + len(cuts)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[first:first + len(cuts)] = lengths
+        self.met[first:first + len(cuts)] = 0
+        self.used += total
+        self.known.update(zip(cuts, range(first, first + len(cuts))))
+
+    def _encoded(self, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each cut, and all ids. The cuts begin with white space and end otherwise, so they join to one text."""
+        texts = [c.decode("utf-8", "replace") for c in cuts]
+        whole = "".join(texts)
+        if not is_normalized("NFC", whole) or len(whole.lower()) != len(whole):
+            # A normalizer may move characters, and then the places of ids don't tell their cuts.
+            each = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return np.fromiter(map(len, each), np.int64, len(each)), np.array([i for ids in each for i in ids], np.int32)
+        begins = np.cumsum([0, *map(len, texts)])
+        found = self.tokenizer.encode(whole, add_special_tokens=False)
+        at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
+        owner = np.searchsorted(begins, at, side="right") - 1
+        return np.bincount(owner, minlength=len(cuts)), np.array(found.ids, np.int32)
 
     def _learn(self, cuts: list[bytes]) -> np.ndarray:
-        """Where each cut's ids are kept."""
-        if len(self.known) + len(cuts) > max(REMEMBERED, 2 * len(cuts)):
-            self._forget()
-        places = np.fromiter((self.known.get(c, -1) for c in cuts), np.int64, len(cuts))
+        """Where the ids of each of some different cuts are kept."""
+        if len(self.known) + len(cuts) > REMEMBERED:
+            self._thin()
+        places = np.fromiter(map(self.known.get, cuts, repeat(-1)), np.int64, len(cuts))
         new = np.flatnonzero(places < 0)
         places[new] = np.arange(len(self.known), len(self.known) + len(new))
         for at in range(0, len(new), 4096):
             some = [cuts[i] for i in new[at:at + 4096]]
-            found = [e.ids for e in self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in some], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            first, total = len(self.known), int(lengths.sum())
-            self.flat = _room(self.flat, self.used, total)
-            self.starts, self.lengths = (_room(x, first, len(some)) for x in (self.starts, self.lengths))
-            self.flat[self.used:self.used + total] = [i for ids in found for i in ids]
-            self.starts[first:first + len(some)] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[first:first + len(some)] = lengths
-            self.used += total
-            self.known.update(zip(some, range(first, first + len(some))))
+            self._keep(some, *self._encoded(some))
+        self.met[places] += 1
         return places
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +101,10 @@ class Encoder:
         cuts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
         coded = cuts.dictionary_encode()
         different = coded.dictionary.to_pylist()
-        kept = [i for i, c in enumerate(different) if len(c) <= LONGEST]
-        rare = [i for i, c in enumerate(different) if len(c) > LONGEST]
+        # Cuts that join to one text are remembered; those without white space before or with it at the end are not.
+        usual = np.fromiter((len(c) <= LONGEST and c[0] <= 32 < c[-1] and (c[-1] < 128 or not c.decode("utf-8", "replace")[-1].isspace())
+                             for c in different), bool, len(different))
+        kept, rare = np.flatnonzero(usual).tolist(), np.flatnonzero(~usual).tolist()
         places = np.empty(len(different), np.int64)
         places[kept] = self._learn([different[i] for i in kept])
         starts, lengths, flat = self.starts, self.lengths, self.flat
@@ -88,10 +119,13 @@ class Encoder:
             flat = np.concatenate([flat[:self.used], np.array([i for ids in found for i in ids], np.int32)])
         place = places[coded.indices.to_numpy()]
         length = lengths[place]
-        after = np.cumsum(length)
-        total = int(after[-1]) if len(after) else 0
-        ids = flat[np.repeat(starts[place] - (after - length), length) + np.arange(total)]
-        return ids, np.concatenate([[0], after])[np.searchsorted(begins, bounds)]
+        return flat[ragged(starts[place], length)], np.concatenate([[0], np.cumsum(length)])[np.searchsorted(begins, bounds)]
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of runs with these starts and lengths, one run after the other."""
+    after = np.cumsum(lengths)
+    return np.repeat(starts - (after - lengths), lengths) + np.arange(after[-1] if len(after) else 0)
 
 
 def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
