@@ -21,6 +21,9 @@ from voltmes.llm.text import SPACE, Block
 REMEMBERED = 1_000_000
 LONGEST = 64
 _UNUSUAL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]|\xc2[\x80-\xa0\xad]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xaf]|\xe3\x80\x80|\xef\xbb\xbf")
+#: Bytes without which a text has none of those.
+_SUSPECT = np.zeros(256, bool)
+_SUSPECT[[*range(9), *range(14, 32), 127, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 
 
 class Encoder:
@@ -91,7 +94,8 @@ class Encoder:
         opens = SPACE[data]
         opens[1:] &= ~SPACE[data[:-1]]
         raw = data.tobytes()
-        if _UNUSUAL.search(raw):
+        odd = bool(_SUSPECT[data].any() and _UNUSUAL.search(raw))
+        if odd:
             for low, high in zip(bounds[:-1], bounds[1:]):
                 if _UNUSUAL.search(raw, low, high):
                     opens[low:high] = False
@@ -102,8 +106,13 @@ class Encoder:
         coded = cuts.dictionary_encode()
         different = coded.dictionary.to_pylist()
         # Cuts that join to one text are remembered; those without white space before or with it at the end are not.
-        usual = np.fromiter((len(c) <= LONGEST and c[0] <= 32 < c[-1] and (c[-1] < 128 or not c.decode("utf-8", "replace")[-1].isspace())
-                             for c in different), bool, len(different))
+        _, places, content = coded.dictionary.buffers()
+        places = np.frombuffer(places, np.int64)[coded.dictionary.offset:][:len(different) + 1]
+        content = np.frombuffer(content, np.uint8) if len(different) else np.zeros(0, np.uint8)
+        first, last = content[places[:-1]], content[places[1:] - 1]
+        usual = (np.diff(places) <= LONGEST) & (first <= 32) & (last > 32)
+        if odd:
+            usual &= np.fromiter((c[-1] < 128 or not c.decode("utf-8", "replace")[-1].isspace() for c in different), bool, len(different))
         kept, rare = np.flatnonzero(usual).tolist(), np.flatnonzero(~usual).tolist()
         places = np.empty(len(different), np.int64)
         places[kept] = self._learn([different[i] for i in kept])
