@@ -11,18 +11,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voltmes.llm.components import components
-from voltmes.llm.text import Block, blocks, by_owner, draw, lists, mix, new_runs, owners, span_hashes, sums, words
+from voltmes.llm.text import BLOCK_BYTES, Block, blocks, by_owner, draw, lists, mix, new_runs, owners, span_hashes, sums, words
 from voltmes.session import stored
 
 #: Up to so many ids (some 32 MB) are sent to all tasks to pick their texts; more are joined with a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Classes under one band key of several components from which they are compared by their rarest shingles instead.
 CROWD = 16
+#: Arrow batches of this size, unless the session names another than Spark's own 64 MB: rows hold many texts here.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
 #: Classes of one component that are compared with a class of another one in one go.
-CHUNK = 64
+CHUNK = 32
 #: Counters, 4 MB in all, that tell rare shingles from frequent ones.
 COUNTERS = 1 << 20
 _EMPTY = np.uint64(np.iinfo(np.uint64).max)
@@ -49,7 +52,7 @@ def signatures(owner: np.ndarray, seed: np.ndarray, texts: int, slots: int) -> n
     """One row of least ranks per text; a rank is its level in the upper, its fraction in the lower half."""
     best = np.full((texts, slots), _EMPTY)
     flat = best.reshape(-1)
-    places = np.empty((0, slots), np.uint16)
+    places = np.empty((0, slots), np.uint8)
     for level in range(slots):
         pick = level + ((draw(seed, 2 * level) >> np.uint64(32)) * np.uint64(slots - level) >> np.uint64(32)).astype(np.int64)
         rows = np.arange(len(seed))
@@ -67,7 +70,7 @@ def signatures(owner: np.ndarray, seed: np.ndarray, texts: int, slots: int) -> n
         if not still.any():
             break
         if not level:
-            places = np.tile(np.arange(slots, dtype=np.uint16), (int(still.sum()), 1))
+            places = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (int(still.sum()), 1))
             places[np.arange(len(places)), pick[still]] = 0
         elif not still.all():
             places = places[still]
@@ -92,7 +95,7 @@ def sketch(text: Column | str, size: int, bands: int, rows: int) -> Column:
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             parts = []
-            for block in blocks(column):
+            for block in blocks(column, BLOCK_BYTES // 2):
                 owner, value = shingles(block, size)
                 count = len(block)
                 n = sums(owner, count)
@@ -118,17 +121,16 @@ def alike(left: Column | str, right: Column | str, size: int, percent: int) -> C
     @F.arrow_udf("boolean")
     def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for one, other in batches:
-            both = pa.concat_arrays([one.cast(pa.large_string()), other.cast(pa.large_string())])
-            turns = np.arange(2 * len(one)).reshape(2, -1).T.reshape(-1)
             found = [np.zeros(0, bool)]
-            for block in blocks(both.take(pa.array(turns)), step=2):
-                owner, value = shingles(block, size)
+            for at, to in steps(pc.binary_length(one).fill_null(0).to_numpy() + pc.binary_length(other).fill_null(0).to_numpy()):
+                both = pa.concat_arrays([one.slice(at, to - at).cast(pa.large_string()), other.slice(at, to - at).cast(pa.large_string())])
+                turns = np.arange(2 * (to - at)).reshape(2, -1).T.reshape(-1)
+                owner, value = _sets(both.take(pa.array(turns)), size)
                 pair = owner // 2
                 order = by_owner(pair, value)
                 pair, value = pair[order], value[order]
-                count = len(block) // 2
-                union = sums(pair[new_runs(pair, value)], count)
-                common = sums(pair, count) - union
+                union = sums(pair[new_runs(pair, value)], to - at)
+                common = sums(pair, to - at) - union
                 found.append((100 * common >= percent * union) & (union > 0))
             yield pa.array(np.concatenate(found))
 
@@ -141,38 +143,43 @@ def alike_in(text: Column | str, others: Column | str, size: int, percent: int)
     @F.arrow_udf("array<int>")
     def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for one, many in batches:
-            counts = np.diff(many.offsets.to_numpy())
-            first = np.cumsum(counts + 1) - counts - 1
-            flat = pa.concat_arrays([one.cast(pa.large_string()), many.flatten().cast(pa.large_string())])
-            turns = np.empty(len(flat), np.int64)
-            heads = np.zeros(len(flat), bool)
-            heads[first] = True
-            turns[heads], turns[~heads] = np.arange(len(one)), np.arange(len(one), len(flat))
-            rows, found, at = np.cumsum(heads) - 1, [], 0
-            column = flat.take(pa.array(turns))
-            while at < len(one):
-                # Some rows at a time, with all their texts.
-                to = max(at + 1, int(np.searchsorted(first, first[at] + 512)))
-                low, high = first[at], first[to] if to < len(one) else len(flat)
-                owner, value = _sets(column.slice(low, high - low), size)
-                row = rows[low:high][owner] - at
-                order = by_owner(row, value)
-                owner, run = owner[order], np.cumsum(new_runs(row[order], value[order])) - 1
-                head = heads[low:high][owner]
+            places, whole = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+            length = np.concatenate([[0], np.cumsum(pc.binary_length(many.flatten()).fill_null(0).to_numpy())])
+            offsets = many.offsets.to_numpy() - many.offsets[0].as_py()
+            for at, to in steps(np.diff(length[offsets]) + pc.binary_length(one).fill_null(0).to_numpy()):
+                counts = np.diff(offsets[at:to + 1])
+                first = np.cumsum(counts + 1) - counts - 1
+                flat = pa.concat_arrays([one.slice(at, to - at).cast(pa.large_string()), many.slice(at, to - at).flatten().cast(pa.large_string())])
+                heads = np.zeros(len(flat), bool)
+                heads[first] = True
+                turns = np.empty(len(flat), np.int64)
+                turns[heads], turns[~heads] = np.arange(to - at), np.arange(to - at, len(flat))
+                rows = np.cumsum(heads) - 1
+                owner, value = _sets(flat.take(pa.array(turns)), size)
+                order = by_owner(rows[owner], value)
+                owner, value = owner[order], value[order]
+                run = np.cumsum(new_runs(rows[owner], value)) - 1
                 with_head = np.zeros(run[-1] + 1 if len(run) else 0, bool)
-                with_head[run[head]] = True
-                n, common = sums(owner, high - low), sums(owner[with_head[run]], high - low)
-                union = n + n[(first[at:to] - low)][rows[low:high] - at] - common
-                found.append((100 * common >= percent * union) & (union > 0) & ~heads[low:high])
-                at = to
-            hits = np.concatenate(found) if found else np.zeros(0, bool)
-            where = np.flatnonzero(hits)
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(rows[where], minlength=len(one)))])
-            yield lists(where - first[rows[where]] - 1, bounds, pa.int32())
+                with_head[run[heads[owner]]] = True
+                n, common = sums(owner, len(flat)), sums(owner[with_head[run]], len(flat))
+                union = n + n[first][rows] - common
+                hits = np.flatnonzero((100 * common >= percent * union) & (union > 0) & ~heads)
+                places.append(hits - first[rows[hits]] - 1)
+                whole.append(np.bincount(rows[hits], minlength=to - at))
+            yield lists(np.concatenate(places), np.cumsum(np.concatenate(whole)), pa.int32())
 
     return of(text, others)
 
 
+def steps(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of some megabytes in all, so that only those are copied at a time."""
+    ends, at = np.cumsum(lengths), 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2 * BLOCK_BYTES, side="right")))
+        yield at, to
+        at = to
+
+
 def _sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """``shingles`` of a whole column of a bounded number of texts."""
     found, done = [], 0
@@ -199,6 +206,9 @@ def near_duplicates(
     Null or wordless texts have an empty set and no links. A row with a null id has a null component and is kept.
     Rows with one id count as one document: what links one links all. Other columns are not read.
     """
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH[0]) == BATCH[1]:
+        conf.set(BATCH[0], BATCH[2])
     rows_ = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     marks = stored(rows_.select("id", sketch("text", size, bands, rows).alias("s")).select("id", "s.*"), "sketches")
     classes = stored(marks.where("n > 0 and id is not null").groupBy("a", "b").agg(
@@ -278,10 +288,12 @@ def _meeting(smaller: DataFrame, larger: DataFrame, chunks: DataFrame) -> DataFr
 def _linked(meeting: DataFrame, chunks: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The verified links (a, b) between the classes of chunks that meet, without a row per pair."""
     nodes = chunks.join(texts.toDF("node", "text"), "node")
-    lists = nodes.groupBy(F.col("place").alias("high")).agg(F.collect_list(F.struct("node", "text")).alias("list"))
-    tasks = meeting.join(nodes.toDF("b", "low", "text"), "low").join(lists, "high")
-    found = tasks.select("b", alike_in("text", "list.text", size, percent).alias("which"), "list.node")
-    return found.where("size(which) > 0").select(F.explode(F.transform("which", lambda i: F.col("node")[i])).alias("a"), "b").distinct()
+    wanted = meeting.select(F.col("high").alias("place")).distinct()
+    gathered = nodes.join(wanted, "place", "left_semi").groupBy(F.col("place").alias("high")).agg(F.collect_list(F.struct("node", "text")).alias("l"))
+    gathered = stored(gathered.select("high", F.col("l.node").alias("nodes"), F.col("l.text").alias("texts")), "chunk-texts")
+    tasks = meeting.join(nodes.toDF("b", "low", "text"), "low").join(gathered, "high")
+    found = tasks.select("b", "nodes", alike_in("text", "texts", size, percent).alias("which"))
+    return found.where("size(which) > 0").select(F.explode(F.transform("which", lambda i: F.col("nodes")[i])).alias("a"), "b").distinct()
 
 
 def _rarest(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
