@@ -231,10 +231,10 @@ def near_duplicates(
     few = mixed.join(crowded, "key", "left_anti")
     many = stored(mixed.join(crowded, "key", "left_semi").select("node", "root").distinct(), "crowd")
     chunks = _chunks(mixed)
-    meeting = _meeting(few, few, chunks)
+    meeting = _meeting(few, few, chunks, percent)
     if not many.isEmpty():
         rarest = _mixed(_rarest(many, texts, size, percent))
-        meeting = meeting.union(_meeting(rarest.where("short"), rarest, chunks)).distinct()
+        meeting = meeting.union(_meeting(rarest.where("short"), rarest, chunks, percent)).distinct()
     more = stored(_linked(stored(meeting, "meeting"), chunks, texts, size, percent), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
@@ -278,10 +278,12 @@ def _chunks(mixed: DataFrame) -> DataFrame:
     return stored(nodes.join(sizes, "root").select("node", F.struct("count", "root", chunk.alias("chunk")).alias("place")), "chunks")
 
 
-def _meeting(smaller: DataFrame, larger: DataFrame, chunks: DataFrame) -> DataFrame:
+def _meeting(smaller: DataFrame, larger: DataFrame, chunks: DataFrame, percent: int) -> DataFrame:
     """(low, high): chunks of different components that share a key; ``high`` is of the larger component."""
-    one, other = (x.join(chunks, "node").select("key", F.col("place").alias(name)).distinct() for x, name in ((smaller, "r"), (larger, "s")))
-    pairs = one.join(other, "key").where("r.root <> s.root")
+    one, other = (x.join(chunks, "node").groupBy("key", F.col("place").alias(name)).agg(F.min("n").alias(f"{name}_least"), F.max("n").alias(f"{name}_most"))
+                  for x, name in ((smaller, "r"), (larger, "s")))
+    # Of two alike sets the smaller has ``percent`` of the larger at least; chunks in which no two sets can be so don't meet.
+    pairs = one.join(other, "key").where("r.root <> s.root and r_least <= s_most").where(100 * F.col("r_most") >= percent * F.col("s_least"))
     return pairs.select(F.least("r", "s").alias("low"), F.greatest("r", "s").alias("high")).distinct()
 
 
