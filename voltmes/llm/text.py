@@ -45,6 +45,8 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES, step: int = 1) -> Iterator
         to = min(len(column), max(at + step, at + (to - at) // step * step))
         yield Block(data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at])
         at = to
+    # Workers outlive their tasks and share the executor's memory with the next ones.
+    pa.default_memory_pool().release_unused()
 
 
 def words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

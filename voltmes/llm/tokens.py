@@ -17,8 +17,8 @@ import pyarrow as pa
 
 from voltmes.llm.text import SPACE, Block
 
-#: Cuts that a worker remembers, some 100 MB; beyond that it forgets those it met in one block only. Longer cuts aren't remembered.
-REMEMBERED = 690_000
+#: Cuts that a worker remembers, some 80 MB; beyond that it forgets those it met in one block only. Longer cuts aren't remembered.
+REMEMBERED = 500_000
 LONGEST = 64
 _UNUSUAL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]|\xc2[\x80-\xa0\xad]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xaf]|\xe3\x80\x80|\xef\xbb\xbf")
 #: Bytes without which a text has none of those.
