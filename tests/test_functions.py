@@ -81,3 +81,17 @@ def test_column_selection(spark):
     numeric = auto_numeric(df)
     assert numeric.schema["temp_a"].dataType.simpleString() == "double"
     assert numeric.schema["vento"].dataType.simpleString() == "string"
+
+
+def test_fine_amounts_add_up(spark):
+    bills = spark.range(1000).selectExpr("'2020-01' AS mes_ano", "'SUL' AS regiao", "0.004D AS consumo")
+    from voltmes.operators.joins import consumption_by_region
+
+    assert [r.consumo for r in consumption_by_region(bills, by=("mes_ano", "regiao"), value="consumo").collect()] == [4.0]
+
+
+def test_an_outlier_does_not_coarsen_the_bins(spark):
+    from voltmes.operators.histogram import automatic_bins
+
+    rows = spark.range(2000).selectExpr("id / 1000D AS x").unionAll(spark.sql("SELECT 1e6D AS x"))
+    assert automatic_bins(rows, "x") > 10_000

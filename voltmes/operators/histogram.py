@@ -11,7 +11,6 @@ from voltmes.operators.quantiles import quantile_values
 
 # Fixed value: points at which a density is drawn.
 GRID_POINTS = 200
-MAX_BINS = 10_000
 
 
 def automatic_bins(df: DataFrame, column: str, limit: int = GROUP_LIMIT) -> int:
@@ -23,7 +22,7 @@ def automatic_bins(df: DataFrame, column: str, limit: int = GROUP_LIMIT) -> int:
     sturges = (high - low) / (log2(n) + 1)
     diaconis = 2 * (q3 - q1) / n ** (1 / 3)
     width = min(sturges, diaconis) if diaconis > 0 else sturges
-    return min(MAX_BINS, ceil((high - low) / width))
+    return ceil((high - low) / width)
 
 
 def histogram(df: DataFrame, column: str, bins: int | None = None, limit: int = GROUP_LIMIT) -> DataFrame:

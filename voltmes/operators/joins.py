@@ -37,7 +37,7 @@ def weather_by_region(
 
 
 def consumption_by_region(bills: DataFrame, value: str = "consumo", by: Sequence[str] = PANEL_KEYS) -> DataFrame:
-    return bills.groupBy(*by).agg(exact_sum(F.col(value), 2).alias("consumo"))
+    return bills.groupBy(*by).agg(exact_sum(F.col(value)).alias("consumo"))
 
 
 def with_population(

@@ -128,9 +128,10 @@ def bootstrap(df: DataFrame, key: Sequence[str], seed: int = SEED) -> DataFrame:
     of another and nothing is shuffled.
     """
     text = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
-    chance = F.conv(F.substring(text, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    chance = F.conv(F.substring(text, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     copies, below = F.lit(0), 0.0
-    for drawn in range(12):
+    # Until no draw of 52 bits is above.
+    for drawn in range(20):
         below += exp(-1) / factorial(drawn)
         copies = copies + F.when(chance >= below, 1).otherwise(0)
     return df.withColumn("copies", copies).where(F.col("copies") > 0)

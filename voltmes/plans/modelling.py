@@ -98,7 +98,7 @@ def yeo_johnson(spark, folder):
 def yeo_johnson_fit(spark, folder):
     """Most likely power of every reading column of the station months, and the transformed values."""
     rows = stored(p.station_months(spark, folder))
-    columns = [c for c in MEASURES if c != "pressao_mb"]
+    columns = list(MEASURES)
     model = ft.YeoJohnson(inputCols=columns, outputCols=columns).fit(rows)
     return rounded(model.transform(rows).select("codigo", "mes_ano", *columns))
 

@@ -142,7 +142,7 @@ we AS (
   FROM lst GROUP BY 1, 2)
 """
 CONSUMPTION_SQL = """
-co AS (SELECT mes_ano, regiao, CAST(sum(CAST(consumo AS DECIMAL(28,2))) AS DOUBLE) AS consumo FROM bill GROUP BY 1, 2)
+co AS (SELECT mes_ano, regiao, CAST(sum(CAST(consumo AS DECIMAL(28,9))) AS DOUBLE) AS consumo FROM bill GROUP BY 1, 2)
 """
 PANEL_SQL = f"""
 WITH {UF_SQL}, {STATION_SQL}, {BILL_SQL}, {WEATHER_SQL}, {CONSUMPTION_SQL},
@@ -156,7 +156,7 @@ panel AS (
          ELSE 'Primavera' END AS estacao
   FROM co JOIN we ON co.mes_ano = we.mes_ano AND co.regiao = we.regiao),
 mm AS (
-  SELECT medidor, regiao, mes_ano, CAST(sum(CAST(consumo AS DECIMAL(28,2))) AS DOUBLE) AS consumo,
+  SELECT medidor, regiao, mes_ano, CAST(sum(CAST(consumo AS DECIMAL(28,9))) AS DOUBLE) AS consumo,
     CAST(mes_ano || '-01' AS DATE) AS month
   FROM bill GROUP BY ALL)
 """

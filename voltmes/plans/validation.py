@@ -79,11 +79,11 @@ def contiguous_folds(spark, folder):
     return splits.contiguous_folds(orders, ["o_orderdate", "conta"]).select("conta", "fold")
 
 
-_POISSON = [sum(exp(-1) / factorial(i) for i in range(drawn + 1)) for drawn in range(12)]
+_POISSON = [sum(exp(-1) / factorial(i) for i in range(drawn + 1)) for drawn in range(20)]
 
 
 @query("bootstrap", """
-WITH u AS (SELECT o_orderkey AS conta, CAST('0x' || substr(md5('42|' || o_orderkey), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM orders),
+WITH u AS (SELECT o_orderkey AS conta, CAST('0x' || substr(md5('42|' || o_orderkey), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM orders),
 c AS (SELECT conta, """ + " + ".join(f"CAST(u >= {x!r}::DOUBLE AS INTEGER)" for x in _POISSON) + """ AS copies FROM u)
 SELECT conta, CAST(copies AS INTEGER) AS copies FROM c WHERE copies > 0""")
 def bootstrap(spark, folder):
