@@ -50,6 +50,10 @@ def test_written_number_reads_back(spark, numbers):
 
 
 def test_written_form(spark):
+    rows = [(1e-4,), (-1.25e-7,), (1e20,), (-1.5e22,), (12345678.9,), (1e7,), (0.0,), (0.001,)]
+    got = one(spark, rows, "n double", nb.format_ptbr(F.col("n")))
+    assert [g[0] for g in got] == [
+        "0,0001", "-0,000000125", "1" + "0" * 20 + ",0", "-15" + "0" * 21 + ",0", "12345678,9", "10000000,0", "0,0", "0,001"]
     rows = [(1104.0,), (35513319.999999996,), (1.5e9,), (math.nan,), (None,)]
     got = one(spark, rows, "n double", nb.format_ptbr(F.col("n")))
     assert [g[0] for g in got] == ["1104,0", "35513319,99999999", "1500000000,0", None, None] or got[1][0].startswith("35513319,99")

@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -170,6 +170,50 @@ def test_one_model_per_region(spark, rows):
     assert PipelineModel.load(found[0].model_path) is not None
 
 
+class Failing(Estimator):
+    """Does not fit the rows of region S."""
+
+    def _fit(self, df):
+        if df.where("regiao = 'S'").count():
+            raise ValueError("no fit\nat all")
+        return zoo.linear("consumo").fit(df)
+
+
+def test_a_region_that_fails_keeps_its_row(spark, rows):
+    def maker():
+        return ft.tree_pipeline(NUMERIC, Failing())
+
+    held = {r.regiao: r for r in selection.region_models(rows, maker).collect()}
+    folded = {r.regiao: r for r in selection.region_folds(rows, maker, folds=2).collect()}
+    assert set(held) == set(folded) == {r.regiao for r in rows.select("regiao").distinct().collect()}
+    for found in (held, folded):
+        assert found["S"].notes == "ValueError: no fit" and all(found[r].notes == "" for r in found if r != "S")
+    assert held["S"].mae is None and held["N"].mae is not None
+    with pytest.raises(ValueError, match="no fit"):
+        selection.region_models(rows.where("regiao = 'S'"), maker)
+
+
+class Silent(Estimator):
+    """Answers with the row's month, and not at all for the first month."""
+
+    def _fit(self, df):
+        return SilentModel()
+
+    def copy(self, extra=None):
+        return Silent()
+
+
+class SilentModel(Model):
+    def _transform(self, df):
+        return df.withColumn("prediction", F.when(F.col("month") > 0, F.col("month").cast("double")))
+
+
+def test_stacking_keeps_rows_without_a_base_answer(spark):
+    df = spark.createDataFrame([(m, "N", float(m % 7)) for m in range(40)], "month int, regiao string, consumo double")
+    made = Stacking([Silent()], zoo.tree("consumo"), ["month", "regiao"], folds=2).fit(df).transform(df).collect()
+    assert len(made) == 40 and [r.month for r in made if r.prediction is None] == [0]
+
+
 def test_isolation_forest_finds_the_odd_rows(spark):
     random = np.random.default_rng(4)
     values = random.normal(size=(600, 2))

@@ -165,3 +165,16 @@ def test_fewer_points_than_neighbours(spark):
     p = spark.createDataFrame([(1, [0.0]), (2, [5.0])], "point long, vector array<double>")
     q = spark.createDataFrame([(9, [1.0])], "query long, vector array<double>")
     assert [(r.point, r.rank) for r in nearest(q, p, k=5).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+
+
+def test_facts_of_few_groups_do_not_shuffle_the_rows(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("x"))
+    facts = rows.groupBy("g").agg(F.max("x").alias("top"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few, many = ordering.join_few_facts(rows, facts, ["g"]), ordering.join_few_facts(rows, facts, ["g"], most=2)
+        plans = [j._jdf.queryExecution().executedPlan().toString() for j in (few, many)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plans[0] and "hashpartitioning" not in plans[0] and "hashpartitioning" in plans[1]
+    assert few.count() == many.count() == 1000

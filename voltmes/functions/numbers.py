@@ -51,13 +51,19 @@ def is_suspicious(text: Column, max_digits: int = MAX_DIGITS) -> Column:
 def format_ptbr(number: Column) -> Column:
     """Decimal-comma text of a double that reads back to the same double.
 
-    Doubles print in scientific form from 1e7 up and below 1e-3, so those go through a decimal.
+    Doubles print in scientific form from 1e7 up and below 1e-3; there the digits are moved to their places.
     """
     number = number.cast("double")
-    size = F.abs(number)
-    wide = F.regexp_replace(number.try_cast("decimal(38,18)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
-    text = F.when((size >= 1e7) & (size < 1e19), wide).otherwise(number.cast("string"))
-    return F.when(~F.isnan(number), F.replace(text, F.lit("."), F.lit(",")))
+    text = number.cast("string")
+    sign = F.regexp_extract(text, "^-?", 0)
+    digits = F.regexp_replace(F.regexp_extract(text, r"([0-9.]+)E", 1), r"\.0$|\.", "")
+    power = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
+    small = F.concat(sign, F.lit("0,"), F.repeat(F.lit("0"), -power - 1), digits)
+    whole = F.rpad(digits, power + 1, F.lit("0"))
+    rest = F.substring(digits, power + 2, F.length(digits))
+    large = F.concat(sign, whole, F.lit(","), F.when(rest == "", "0").otherwise(rest))
+    plain = F.replace(text, F.lit("."), F.lit(","))
+    return F.when(~F.isnan(number), F.when(power < 0, small).when(power >= 0, large).otherwise(plain))
 
 
 def exact_sum(number: Column, scale: int = 9) -> Column:

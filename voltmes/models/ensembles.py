@@ -249,7 +249,12 @@ class Stacking(Estimator):
         return df
 
     def assembler(self) -> VectorAssembler:
-        return VectorAssembler(inputCols=[f"_base{i}" for i in range(len(self.members))], outputCol="_stacked", handleInvalid="skip")
+        return VectorAssembler(inputCols=[f"_base{i}" for i in range(len(self.members))], outputCol="_stacked", handleInvalid="keep")
+
+    def complete(self) -> Column:
+        """Whether every base learner has an answer."""
+        bases = [F.col(f"_base{i}") for i in range(len(self.members))]
+        return reduce(Column.__and__, [b.isNotNull() & ~F.isnan(b) for b in bases])
 
     def _fit(self, df: DataFrame) -> StackingModel:
         placed = stored(contiguous_folds(df, self.order, self.folds))
@@ -257,7 +262,7 @@ class Stacking(Estimator):
         for fold in range(self.folds):
             train, test = placed.where(F.col("fold") != fold), placed.where(F.col("fold") == fold)
             parts.append(self.answers([m.fit(train) for m in self.members], test))
-        unseen = stored(self.assembler().transform(reduce(DataFrame.unionByName, parts)))
+        unseen = stored(self.assembler().transform(reduce(DataFrame.unionByName, parts).where(self.complete())))
         final = self.final.copy().setFeaturesCol("_stacked").fit(unseen)
         return StackingModel(self, [m.fit(df) for m in self.members], final)
 
@@ -268,5 +273,8 @@ class StackingModel(Model):
         self.learner, self.models, self.final = learner, list(models), final
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        stacked = self.learner.assembler().transform(self.learner.answers(self.models, df))
-        return self.final.transform(stacked).select(*df.columns, "prediction")
+        """A row that a base learner has no answer for keeps its place, without a prediction."""
+        answered = self.learner.answers(self.models, df).withColumn("_complete", self.learner.complete())
+        bases = {f"_base{i}": F.when(F.col("_complete"), F.col(f"_base{i}")).otherwise(0.0) for i in range(len(self.models))}
+        scored = self.final.transform(self.learner.assembler().transform(answered.withColumns(bases)))
+        return scored.select(*df.columns, F.when(F.col("_complete"), F.col("prediction")).alias("prediction"))

@@ -56,6 +56,28 @@ def side_by_side(spark: SparkSession, jobs: Sequence[Callable], parallel: int =
         return list(pool.map(inheritable_thread_target(spark)(safe), jobs))
 
 
+def with_notes(scores: DataFrame, failed: dict[str, str], by: str) -> DataFrame:
+    """A row without scores, but with the reason, for each group whose fit failed."""
+    if not failed:
+        return scores
+    reasons = scores.sparkSession.createDataFrame(list(failed.items()), [by, "notes"])
+    return scores.unionByName(reasons, allowMissingColumns=True)
+
+
+def finished(names: Sequence[str], results: Sequence) -> tuple[list, dict[str, str]]:
+    """The results of the groups of which no fit failed, and the first failure of each other group.
+
+    If every group failed, the cause is not one group's data, and the first failure is raised.
+    """
+    failed: dict[str, str] = {}
+    for name, result in zip(names, results):
+        if isinstance(result, Exception):
+            failed.setdefault(name, f"{type(result).__name__}: {str(result).splitlines()[0] if str(result) else ''}")
+    if results and len(failed) == len(set(names)):
+        raise next(r for r in results if isinstance(r, Exception))
+    return [r for name, r in zip(names, results) if name not in failed], failed
+
+
 def stacked(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -213,7 +235,10 @@ def region_models(
     folder: str | None = None,
     parallel: int = PARALLEL_FITS,
 ) -> DataFrame:
-    """One model per region with enough rows, fitted on its first four fifths and scored on the rest."""
+    """One model per region with enough rows, fitted on its first four fifths and scored on the rest.
+
+    A region whose fit failed keeps its row, with the reason in ``notes`` and no scores.
+    """
     placed = stored(splits.holdout(df, order, (by,)).where(F.col("group_size") >= metrics.MIN_REGION_ROWS))
 
     def job(region: str) -> Callable[[], DataFrame]:
@@ -229,10 +254,11 @@ def region_models(
 
         return run
 
-    done = [r for r in side_by_side(df.sparkSession, [job(r) for r in regions_of(placed, by)], parallel) if not isinstance(r, Exception)]
+    regions = regions_of(placed, by)
+    done, failed = finished(regions, side_by_side(df.sparkSession, [job(r) for r in regions], parallel))
     tested = stacked(done)
     paths = tested.groupBy(by).agg(F.max("model_path").alias("model_path"))
-    return metrics.region_metrics(tested, truth, by=by).drop("notes").join(paths, by)
+    return with_notes(metrics.region_metrics(tested, truth, by=by).join(paths, by), failed, by)
 
 
 def region_folds(
@@ -244,7 +270,10 @@ def region_folds(
     folds: int = splits.FOLDS,
     parallel: int = PARALLEL_FITS,
 ) -> DataFrame:
-    """Fold-mean scores per region, the model refitted in every fold of every region."""
+    """Fold-mean scores per region, the model refitted in every fold of every region.
+
+    A region with a failed fold has no mean over fewer folds: it keeps its row, with the reason in ``notes``.
+    """
     spread = stored(splits.expanding_folds_by_group(df, (by,), order, folds))
     tasks = [(r["region"], r["fold"]) for r in spread.select(F.col(by).alias("region"), "fold").distinct().orderBy("region", "fold").collect()]
 
@@ -253,10 +282,11 @@ def region_folds(
         return lambda: predicted(
             maker, mine.where("role = 'train'"), mine.where("role = 'test'"), [by, "fold", "group_size", truth])
 
-    done = [r for r in side_by_side(df.sparkSession, [job(*t) for t in tasks], parallel) if not isinstance(r, Exception)]
+    done, failed = finished([region for region, _ in tasks], side_by_side(df.sparkSession, [job(*t) for t in tasks], parallel))
     tested = stacked(done)
     sizes = tested.groupBy(by).agg(F.max("group_size").alias("n"))
-    return metrics.fold_means(tested, truth, by=[by]).drop("rmse_of_mean_mse").join(sizes, by)
+    means = metrics.fold_means(tested, truth, by=[by]).drop("rmse_of_mean_mse").join(sizes, by)
+    return with_notes(means.withColumn("notes", F.lit("")), failed, by)
 
 
 # Saving and scoring.

@@ -141,13 +141,15 @@ def _closest_in_cells(queries: DataFrame, points: DataFrame, cells: dict, k: int
             return pd.DataFrame({"query": [], "point": [], "distance": []})
         held = held.sort_values("point")
         names, vectors = held["point"].to_numpy(), np.stack(held["vector"].to_numpy())
-        parts = []
-        for query, distance in zip(asked["query"].to_numpy(), _rows(np.stack(asked["vector"].to_numpy()), vectors)):
+        places, distances = [], []
+        for distance in _rows(np.stack(asked["vector"].to_numpy()), vectors):
             cut = np.partition(distance, k - 1)[k - 1] if len(distance) > k else np.inf
             chosen = np.flatnonzero(distance <= cut)
             chosen = chosen[np.argsort(distance[chosen], kind="stable")][:k]
-            parts.append(pd.DataFrame({"query": query, "point": names[chosen], "distance": distance[chosen]}))
-        return pd.concat(parts)
+            places.append(chosen)
+            distances.append(distance[chosen])
+        queries_of = np.repeat(asked["query"].to_numpy(), [len(p) for p in places])
+        return pd.DataFrame({"query": queries_of, "point": names[np.concatenate(places)], "distance": np.concatenate(distances)})
 
     keys = ["cell", "p", "q"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, kind)

@@ -15,10 +15,14 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from voltmes.session import stored
+
 GROUP_LIMIT = 1_000_000
 ROWS_PER_RANGE = 250_000
 MAX_RANGES = 20_000
 SAMPLES_PER_RANGE = 10
+#: Facts of more rows than this are joined by a shuffle.
+BROADCAST_FACTS = 20_000
 
 
 def largest_group(df: DataFrame, by: Sequence[str] = ()) -> int:
@@ -35,6 +39,16 @@ def join_facts(df: DataFrame, facts: DataFrame, by: Sequence[str], how: str = "i
     return df.join(renamed, same, how).drop(*[f"_key_{k}" for k in by])
 
 
+def join_few_facts(df: DataFrame, facts: DataFrame, by: Sequence[str], most: int = BROADCAST_FACTS) -> DataFrame:
+    """As ``join_facts`` for facts that are a few numbers per group.
+
+    They are stored and counted first. Few of them are broadcast, so that a hot group is not shuffled onto one
+    task; with many groups a shuffle spreads the rows.
+    """
+    facts = stored(facts, "facts")
+    return join_facts(df, F.broadcast(facts) if facts.count() <= most else facts, by)
+
+
 def running_total(
     df: DataFrame,
     order: Sequence[str],
@@ -69,7 +83,7 @@ def running_total(
     inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ranged = ranged.withColumn("_inside", F.sum(amount).over(inside))
     return (
-        join_facts(ranged, sums, [*by, "_range"])
+        join_few_facts(ranged, sums, [*by, "_range"])
         .withColumn(out, F.col("_inside") + F.col("_before"))
         .select(*df.columns, out, total)
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voltmes.functions.numbers import MAX_MAGNITUDE, is_suspicious
-from voltmes.operators.ordering import GROUP_LIMIT, join_facts
+from voltmes.operators.ordering import GROUP_LIMIT, join_few_facts
 from voltmes.operators.quantiles import group_quantiles, quantile_values
 
 # Fixed values.
@@ -24,7 +24,7 @@ def iqr_outliers(
     """
     shares = [0.25, 0.75]
     if by:
-        fenced = join_facts(df.select(*by, *columns), group_quantiles(df, columns, shares, by, limit), by)
+        fenced = join_few_facts(df.select(*by, *columns), group_quantiles(df, columns, shares, by, limit), by)
     else:
         found = quantile_values(df, columns, shares, limit)
         fenced = df.select(*columns, *[
@@ -63,12 +63,12 @@ def winsorize(
     df: DataFrame,
     column: str,
     out: str,
-    train: DataFrame | None = None,
+    train: DataFrame,
     shares: Sequence[float] = CLIP_SHARES,
     limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    """Clips to the quantiles of the training rows, or of all rows if none are given; null stays null."""
-    low, high = clip_bounds(train if train is not None else df, column, shares, limit)
+    """Clips to the quantiles of the training rows; null stays null."""
+    low, high = clip_bounds(train, column, shares, limit)
     x = F.col(column)
     return df.withColumn(out, F.when(x < low, low).when(x > high, high).otherwise(x))
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voltmes.operators.ordering import GROUP_LIMIT, join_facts, largest_group, running_total
+from voltmes.operators.ordering import GROUP_LIMIT, join_few_facts, largest_group, running_total
 from voltmes.session import stored
 
 SKETCH_ACCURACY = 10_000
@@ -117,7 +117,7 @@ def _selected(
 def _with_brackets(df: DataFrame, brackets: DataFrame, by: Sequence[str]) -> DataFrame:
     """Each row with the brackets of its group; those of the whole table come as literals."""
     if by:
-        return join_facts(df, brackets, by)
+        return join_few_facts(df, brackets, by)
     found = brackets.first()
 
     def literal(bracket) -> Column:

@@ -142,7 +142,9 @@ def _amounts(spark, folder) -> DataFrame:
 
 @query("winsorize", "WITH " + CLIP_SQL.format(where=""))
 def winsorize(spark, folder):
-    return rounded(outliers.winsorize(_amounts(spark, folder), "consumo", "valor").select("conta", "valor"), 4)
+    """Bounds from all rows: there is no test period here."""
+    rows = _amounts(spark, folder)
+    return rounded(outliers.winsorize(rows, "consumo", "valor", train=rows).select("conta", "valor"), 4)
 
 
 @query("winsorize_train", "WITH " + CLIP_SQL.format(where="WHERE o_orderdate < DATE '2000-01-01'"))

@@ -241,7 +241,7 @@ def feature_variants(spark, folder):
 @query("tuned_forest")
 def tuned_forest(spark, folder):
     path = scratch_path(spark, "rfr_tuned")
-    return shown_scores(selection.tune_forest(modelling_rows(spark, folder), FEATURES, path, n=4))
+    return shown_scores(selection.tune_forest(modelling_rows(spark, folder), FEATURES, path))
 
 
 @query("region_forests")
@@ -255,7 +255,7 @@ def region_forests(spark, folder):
 @query("region_cv")
 def region_cv(spark, folder):
     rows = modelling_rows(spark, folder)
-    return shown_scores(selection.region_folds(rows, lambda: ft.tree_pipeline(FEATURES, zoo.forest(TRUTH, trees=20))))
+    return shown_scores(selection.region_folds(rows, lambda: ft.tree_pipeline(FEATURES, zoo.forest(TRUTH))))
 
 
 def _saved_forest(spark, folder, rows: DataFrame) -> str:
