@@ -18,7 +18,7 @@ from voltmes.llm import simple8b
 from voltmes.llm.text import blocks
 from voltmes.llm.tokens import encoder, with_end
 
-BLOCK = 1 << 20
+BLOCK = 4 << 20
 _BLOCKS = "shard int, start long, n_tokens long, ids array<long>, lengths array<long>, payload binary"
 
 

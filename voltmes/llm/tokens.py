@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 from itertools import repeat
+from operator import itemgetter
 from unicodedata import is_normalized
 
 import numpy as np
@@ -70,7 +71,7 @@ class Encoder:
             return np.fromiter(map(len, each), np.int64, len(each)), np.array([i for ids in each for i in ids], np.int32)
         begins = np.cumsum([0, *map(len, texts)])
         found = self.tokenizer.encode(whole, add_special_tokens=False)
-        at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
+        at = np.fromiter(map(itemgetter(0), found.offsets), np.int64, len(found))
         owner = np.searchsorted(begins, at, side="right") - 1
         return np.bincount(owner, minlength=len(cuts)), np.array(found.ids, np.int32)
 
