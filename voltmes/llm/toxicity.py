@@ -54,19 +54,22 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 def learn(texts: list[str], toxic: list[int], rounds: int = 120, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that make noisy-or over sentences fit the labels of the documents."""
     parts, labels, done, said = [], np.asarray(toxic, float), 0, 0
+    held_by = np.zeros(FEATURES, np.int64)
     for block in blocks(pa.array(texts, pa.string())):
         feature, sentence, text, _ = features(block)
-        parts.append((feature, sentence + said, text + done))
+        # A document is in one block, so its pairs with features are too.
+        held_by += np.bincount(np.unique(feature * len(block) + text[sentence]) // len(block), minlength=FEATURES)
+        parts.append([x.astype(np.int32) for x in (feature, sentence + said, text + done)])
         done, said = done + len(block), said + len(text)
     weights = np.zeros(FEATURES)
     if not parts or labels.min() == labels.max():
         return weights, -10.0 if not len(labels) or not labels.max() else 0.0
-    feature, sentence, text = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    pairs = np.unique(feature * len(texts) + text[sentence])
-    common = np.bincount(pairs // len(texts), minlength=FEATURES) >= np.clip(len(texts) / LEAST[0], *LEAST[1:])
-    usable = common[feature]
-    used, feature = np.unique(feature[usable], return_inverse=True)
-    sentence = sentence[usable]
+    common = held_by >= np.clip(len(texts) / LEAST[0], *LEAST[1:])
+    usable = [common[p[0]] for p in parts]
+    used, feature = np.unique(np.concatenate([p[0][u] for p, u in zip(parts, usable)]), return_inverse=True)
+    sentence = np.concatenate([p[1][u] for p, u in zip(parts, usable)]).astype(np.int64)
+    text = np.concatenate([p[2] for p in parts]).astype(np.int64)
+    del parts, usable
     theta, moment, square = (np.zeros(len(used) + 1) for _ in range(3))
     theta[-1] = -4.0
     share = np.where(labels > 0, 0.3 / max(1, labels.sum()), 0.7 / max(1, (1 - labels).sum()))
