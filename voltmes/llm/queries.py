@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -129,8 +129,9 @@ SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN regexp_matches(host,
     '(^|[.])(ads-track[.]example[.]com|spam-farm[.]example[.]org|casino-win[.]example[.]net|adult-x[.]example[.]com|cheap-pills[.]example[.]net|free-bets[.]example[.]net)$')
     AND starts_with(path, '/') THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN m USING (r)""")
-def op9(spark: SparkSession, folder: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{folder}/pages.parquet"), ALLOWED, BLOCKED, UNWANTED)
+def op9(spark: SparkSession, folder: str, unwanted: Sequence[str] = UNWANTED) -> DataFrame:
+    """The SQL holds the six keys of ``UNWANTED``; a caller gives the hosts that it wants blocked, under each of their domains."""
+    return judge(spark.read.parquet(f"{folder}/pages.parquet"), ALLOWED, BLOCKED, unwanted)
 
 
 @query("op10_language_fusion")
