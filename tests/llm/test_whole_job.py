@@ -1,8 +1,12 @@
 """Cases in which an operator or query once did less than the whole job."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from voltmes.llm import queries
+from voltmes.llm.language import fit, identify, keep_identified
 from voltmes.session import local_session
 
 
@@ -23,3 +27,23 @@ def test_op9_blocks_listed_sites_under_each_domain_where_no_rule_fits(spark, tmp
     assert found == {h: ("com/", "allow") if h.endswith("com") else (None, "allow" if h.startswith("fine") else "block") for h in hosts}
     plain = {r.host: r.verdict for r in queries.QUERIES["op9_bloom_cascade_urls"](spark, str(tmp_path)).collect()}
     assert plain["www.spam-farm.example.org"] == "block" and plain["www.adult-x.example.net"] == "allow"
+
+
+def words(letters, seed, n=60):
+    """A text of invented words from a vocabulary of its own."""
+    vocabulary = random.Random(letters)
+    vocabulary = ["".join(vocabulary.choices(letters, k=vocabulary.randint(2, 9))) for _ in range(150)]
+    return " ".join(random.Random(seed).choices(vocabulary, k=n))
+
+
+def test_rare_declared_languages_are_fitted(spark):
+    written = {"en": ("etaoinshrdlucm", 600), "fr": ("eaisnrtolucdmp", 300), "es": ("aeosrnidlctump", 19), "el": ("αειοτνσρκπ", 1), "ru": ("оеаинтсрвл", 19), "pt": ("aeosridmntucvl", 1)}
+    texts = [(words(letters, f"{lang}{i}"), lang, lang) for lang, (letters, n) in written.items() for i in range(n)]
+    # Missing declarations, an empty one, a language without a letter, and junk that no language explains.
+    texts += [(words(written["en"][0], "more"), None, "en"), (words(written["es"][0], "more"), "", "es"), ("12 345", "xx", None), ("qzqx jwvk " * 30, None, None)]
+    table = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string, truth string").repartition(3)
+    assert fit(table, "text", F.col("lang")).languages == sorted(written)
+    found = identify(table, declared=F.col("lang")).collect()
+    assert [(r.doc_id, r.truth, r._language) for r in found if r.truth and (r._language.language != r.truth or not r._language.accepted)] == []
+    assert [r._language.accepted for r in found if not r.truth] == [False, False]
+    assert keep_identified(table, declared=F.col("lang")).count() == len(texts) - 2

@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from voltmes.llm.text import Block, blocks, lists
 from voltmes.session import stored
 
-#: Documents per declared language that the trigram model is fitted on, about; languages with fewer declared ones than LEAST have no model.
+#: Documents per declared language that the trigram model is fitted on, about; all of a language that has no more.
 SAMPLE = 1000
-LEAST = 20
 BUCKETS = 1 << 16
+#: Share in each language's model of all languages together, and as much again of any trigram; the same for all
+#: languages, so that trigrams nobody wrote draw no text to a rare one.
+SMOOTHED = 0.025
 #: Overlapping trigrams are not independent: each counts for a third.
 TEMPER = 1 / 3
 #: Weight, in documents, of the suffix in a host's prior and of the corpus in a suffix's.
@@ -53,20 +55,24 @@ def trigrams(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Log-likelihoods of trigram buckets by language, and their mean under each language itself."""
+    """Log-likelihoods of trigram buckets by language, smoothed towards all languages, and their mean under each language itself."""
 
     def __init__(self, languages: Sequence[str], counts: np.ndarray) -> None:
         self.languages = list(languages)
-        smooth = counts + 0.5
-        share = smooth / smooth.sum(axis=1, keepdims=True)
+        own = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+        pool = counts.sum(axis=0) / max(counts.sum(), 1)
+        share = (1 - 2 * SMOOTHED) * own + SMOOTHED * (pool + 1 / BUCKETS)
         self.logs = np.log(share).astype(np.float32)
         self.usual = (share * np.log(share)).sum(axis=1)
 
 
 def fit(docs: DataFrame, text: str, declared: Column, sample: int = SAMPLE) -> Model:
-    """From about ``sample`` texts of each declared language, chosen by a hash of the text."""
-    rows = docs.select(F.col(text).alias("text"), declared.alias("lang")).where("text is not null and lang is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().where(F.col("count") >= LEAST).collect()}
+    """From about ``sample`` texts of each declared language, chosen by a hash of the text; rare languages from all theirs.
+
+    A language without a single trigram in its texts has no model; an empty declaration is a missing one.
+    """
+    rows = docs.select(F.col(text).alias("text"), declared.alias("lang")).where("text is not null and lang <> ''")
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, BUCKETS)))
@@ -89,7 +95,8 @@ def fit(docs: DataFrame, text: str, declared: Column, sample: int = SAMPLE) -> M
     summed = chosen.mapInArrow(counted, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(languages), BUCKETS))
     counts[summed.column("lang").to_numpy(), summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
-    return Model(languages, counts)
+    known = counts.any(axis=1)
+    return Model([name for name, k in zip(languages, known) if k], counts[known])
 
 
 def likelihoods(text: Column, model: Model) -> Column:
