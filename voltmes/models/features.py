@@ -37,10 +37,11 @@ class _Learned(Model, _Columns):
     values = Param(Params._dummy(), "values", "learned numbers per column", TypeConverters.toListFloat)
     more = Param(Params._dummy(), "more", "second learned number per column", TypeConverters.toListFloat)
     shapes = Param(Params._dummy(), "shapes", "third learned number per column", TypeConverters.toListFloat)
+    origins = Param(Params._dummy(), "origins", "fourth learned number per column", TypeConverters.toListFloat)
     words = Param(Params._dummy(), "words", "learned text per column", TypeConverters.toListString)
 
     @keyword_only
-    def __init__(self, *, inputCols=None, outputCols=None, values=None, more=None, shapes=None, words=None):
+    def __init__(self, *, inputCols=None, outputCols=None, values=None, more=None, shapes=None, origins=None, words=None):
         super().__init__()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
@@ -129,36 +130,92 @@ def yeo_johnson(x: Column, power: Column | float) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
+def _moved(x: Column, power: Column, origin: Column) -> Column:
+    """The Yeo-Johnson transform without the constant and the factor that ``origin`` has in it, which may exceed a double.
+
+    That is ``(yeo_johnson(x) - yeo_johnson(origin)) / exp(power * log1p(origin))`` for an origin from 0 on, and the mirror image
+    (powers seen from 2, signs changed) for one below.
+    """
+    mirror = F.when(origin < 0, -1.0).otherwise(1.0)
+    x, near, power = x * mirror, F.log1p(F.abs(origin)), F.when(origin < 0, 2 - power).otherwise(power)
+    rest, far = 2 - power, F.log1p(F.abs(x))
+    up = F.when(F.abs(power) < 1e-9, far - near).otherwise(F.try_divide(F.expm1(power * (far - near)), power))
+    zero = F.when(F.abs(power) < 1e-9, -near).otherwise(F.try_divide(F.expm1(-power * near), power))
+    down = F.when(F.abs(rest) < 1e-9, far * F.exp(-power * near)).otherwise(
+        F.try_divide(F.exp(rest * far - power * near) - F.exp(-power * near), rest))
+    return mirror * F.when(x >= 0, up).otherwise(zero - down)
+
+
+def _origin(power: Column, least: Column, most: Column) -> Column:
+    """The value next to which no other one's power is large."""
+    return F.when(power >= 1, most).otherwise(least)
+
+
+def _ends(values: DataFrame) -> dict[str, tuple[float, float]]:
+    """Smallest and largest value of each column that has any."""
+    found = values.groupBy("feature").agg(F.min("value").alias("least"), F.max("value").alias("most")).collect()
+    return {row["feature"]: (row["least"], row["most"]) for row in found}
+
+
 def yeo_johnson_powers(
     df: DataFrame, columns: Sequence[str], low: float = -5.0, high: float = 5.0, points: int = 21, passes: int = 5
 ) -> dict[str, float]:
     """Power of greatest likelihood per column: an even grid, narrowed around its best point in every pass.
 
+    As long as the best point lies on the edge of the first grid, its range is doubled. Beyond some power the
+    likelihood falls for any column, so this ends; columns without two different values keep power 1.
     A pass spreads each value over the grid inside its task and shuffles one partial variance per grid point.
     """
-    centers = {c: ((low + high) / 2, (high - low) / 2) for c in columns}
-    values = melted(df, columns)
-    for _ in range(passes):
+    return _powers(melted(df, columns), columns, low, high, points, passes)
+
+
+def _powers(
+    values: DataFrame, columns: Sequence[str], low: float = -5.0, high: float = 5.0, points: int = 21, passes: int = 5
+) -> dict[str, float]:
+    ends = {c: e for c, e in _ends(values).items() if e[0] < e[1]}
+    middle, reach = (low + high) / 2, (high - low) / 2
+    narrower = 2 / (points - 1)
+    enough = reach * narrower ** passes * (1 + 1e-9)
+    powers = {c: 1.0 for c in columns}
+    searched = {c: (middle, reach) for c in ends}
+    widening = set(searched)
+    while searched:
         grids = F.create_map(*[
-            part for c, (middle, reach) in centers.items()
+            part for c, (middle, reach) in searched.items()
             for part in (F.lit(c), F.array(*[F.lit(middle - reach + 2 * reach * i / (points - 1)) for i in range(points)]))
         ])
-        spread = values.select("feature", "value", F.explode(grids[F.col("feature")]).alias("power"))
+        bounds = F.create_map(*[part for c in searched for part in (F.lit(c), F.array(*map(F.lit, ends[c])))])
+        spread = values.where(F.col("feature").isin(list(searched))).select(
+            "feature", "value", bounds[F.col("feature")].alias("ends"), F.explode(grids[F.col("feature")]).alias("power"))
         x, power = F.col("value"), F.col("power")
-        variance = F.var_pop(yeo_johnson(x, power))
-        stretch = F.sum(F.signum(x) * F.log1p(F.abs(x)))
+        origin = _origin(power, F.get("ends", F.lit(0)), F.get("ends", F.lit(1)))
+        near, at = F.log1p(F.abs(origin)), F.when(origin < 0, 2 - power).otherwise(power)
+        variance = F.var_pop(_moved(x, power, origin))
+        # Beside the factor left out of the values, in which the powers are those of the origin.
+        stretch = F.sum((power - 1) * F.signum(x) * F.log1p(F.abs(x)) - at * near)
         scored = spread.groupBy("feature", "power").agg(
-            F.when(variance > 0, -F.count("*") / 2 * F.log(variance) + (power - 1) * stretch).alias("likelihood"))
+            F.when(variance > 0, -F.count("*") / 2 * F.log(variance) + stretch).alias("likelihood"))
         best = scored.where(F.col("likelihood").isNotNull() & ~F.isnan("likelihood")).groupBy("feature").agg(
             F.max_by("power", "likelihood").alias("power"))
         found = {row["feature"]: row["power"] for row in best.collect()}
-        centers = {c: (found.get(c, 1.0), 2 * reach / (points - 1)) for c, (_, reach) in centers.items()}
-    return {c: middle for c, (middle, _) in centers.items()}
+        following = {}
+        for c, (middle, reach) in searched.items():
+            if c not in found:
+                continue
+            powers[c] = found[c]
+            if c in widening and abs(found[c] - middle) >= reach * (1 - 1e-9):
+                following[c] = (middle, 2 * reach)
+                continue
+            widening.discard(c)
+            if reach * narrower > enough:
+                following[c] = (found[c], reach * narrower)
+        searched = following
+    return powers
 
 
 class YeoJohnsonModel(_Learned):
     def expression(self, x, i):
-        moved = yeo_johnson(x, self.getOrDefault("shapes")[i])
+        moved = _moved(x, F.lit(self.getOrDefault("shapes")[i]), F.lit(self.getOrDefault("origins")[i]))
         return (moved - self.getOrDefault("values")[i]) / self.getOrDefault("more")[i]
 
 
@@ -167,12 +224,14 @@ class YeoJohnson(_Learner):
 
     def _fit(self, df: DataFrame) -> YeoJohnsonModel:
         columns = self.getInputCols()
-        powers = yeo_johnson_powers(df, columns)
-        moved = df.select(*[yeo_johnson(F.col(c), powers[c]).alias(c) for c in columns])
+        values = melted(df, columns)
+        powers, ends = _powers(values, columns), _ends(values)
+        origins = [float(ends[c][1 if powers[c] >= 1 else 0]) if c in ends else 0.0 for c in columns]
+        moved = df.select(*[_moved(F.col(c), F.lit(powers[c]), F.lit(o)).alias(c) for c, o in zip(columns, origins)])
         means, spreads = _mean_and_spread(moved, columns)
         return YeoJohnsonModel(
             inputCols=columns, outputCols=self.getOutputCols(), values=means, more=spreads,
-            shapes=[powers[c] for c in columns])
+            shapes=[powers[c] for c in columns], origins=origins)
 
 
 class MissingColumns(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
