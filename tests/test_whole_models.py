@@ -3,7 +3,10 @@
 import numpy as np
 import pandas as pd
 
-from voltmes.models import features as ft
+from voltmes.models import features as ft, selection, zoo
+from voltmes.operators import splits
+from voltmes.plans import modelling
+from voltmes.session import stored
 
 
 def test_power_beyond_the_first_range_is_found(spark):
@@ -36,3 +39,27 @@ def test_power_beyond_the_first_range_is_found(spark):
         assert abs(z.mean()) < 1e-6 and abs(z.std() - 1) < 1e-6 and np.all(np.diff(z[np.argsort(x)]) >= 0)
         assert abs(((z - z.mean()) ** 3).mean()) < 0.5
     assert (out["same"] == 0).all()
+
+
+def test_boards_hold_every_model(spark, monkeypatch):
+    asked = {}
+
+    def noted(name, empty):
+        return lambda rows, models, *_: asked.update({name: set(models)}) or empty
+
+    empty = spark.createDataFrame([], "model string")
+    monkeypatch.setattr(modelling, "modelling_rows", lambda *_: empty)
+    monkeypatch.setattr(modelling, "labelled", lambda *_: spark.createDataFrame([(1, "a", 1.0, 0.0)], "doc_id long, lang string, n_chars double, label double"))
+    monkeypatch.setattr(selection, "compare_with_holdout", noted("regressors", empty))
+    monkeypatch.setattr(modelling, "classifier_folds", noted("classifiers", empty))
+    modelling.model_board(spark, "")
+    modelling.cls_folds(spark, "")
+    assert asked == {"regressors": set(zoo.regressors("consumo", "id", ["month"])), "classifiers": set(zoo.classifiers("label", "doc_id", ["doc_id"], 2))}
+
+
+def test_classifiers_share_the_folds(spark):
+    rows = [(i, "ab"[i % 2], float(i % 2 * 50 + i % 7), float(i % 2)) for i in range(100)]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, n_chars double, label double")
+    folds = stored(splits.random_folds(table, ["doc_id"]).select("doc_id", "lang", "n_chars", "label", "fold"))
+    found = {r.model: r for r in modelling.classifier_folds(folds, ["bayes", "tree", "perceptron"]).collect()}
+    assert set(found) == {"bayes", "tree", "perceptron"} and all(r.accuracy > 95 and r.notes == "" for r in found.values())

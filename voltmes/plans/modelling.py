@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -227,8 +229,9 @@ for _name in ("vote", "boosting", "stacking", "blending", "gradient", "histogram
 
 @query("model_board")
 def model_board(spark, folder):
-    """Fold and holdout scores side by side, best holdout first."""
-    return shown_scores(selection.compare_with_holdout(modelling_rows(spark, folder), _makers(["forest200", "histogram", "huber"])))
+    """Fold and holdout scores of every regressor side by side, best holdout first."""
+    names = list(zoo.regressors(TRUTH, "id", ["month", "regiao"]))
+    return shown_scores(selection.compare_with_holdout(modelling_rows(spark, folder), _makers(names)))
 
 
 @query("feature_variants")
@@ -322,20 +325,31 @@ def _register_classifier(name: str) -> None:
         return rounded(metrics.classification_metrics(model.transform(test)), 4)
 
 
-for _name in ("knn", "tree", "bayes", "perceptron", "vote", "forest", "bagging", "boosting", "stacking", "blending", "gradient"):
+CLASSIFIERS = ("knn", "tree", "bayes", "perceptron", "vote", "forest", "bagging", "boosting", "stacking", "blending", "gradient")
+for _name in CLASSIFIERS:
     _register_classifier(_name)
 
 
+def classifier_folds(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """A row per classifier: the mean of its scores in every ``fold``, or the reason why one of its fits failed."""
+    def job(name: str, fold: int):
+        train = rows.where(F.col("fold") != fold)
+        inputs = 1 + max(1, train.agg(F.count_distinct("lang")).first()[0])
+        make = zoo.classifiers("label", "doc_id", ["doc_id"], inputs)[name]
+        model = ft.sensitive_pipeline(["n_chars"], make(), categorical=["lang"]).fit(train)
+        tested = model.transform(rows.where(F.col("fold") == fold))
+        return tested.select(F.lit(name).alias("model"), "fold", "label", "prediction")
+
+    tasks = [(name, fold) for name in names for fold in range(splits.FOLDS)]
+    results = selection.side_by_side(rows.sparkSession, [lambda task=task: job(*task) for task in tasks])
+    done, failed = selection.finished([name for name, _ in tasks], results)
+    scored = metrics.classification_metrics(selection.stacked(done), by=["model", "fold"])
+    means = scored.groupBy("model").agg(*[F.avg(c).alias(c) for c in scored.columns if c not in ("model", "fold")])
+    return selection.with_notes(means.withColumn("notes", F.lit("")), failed, "model")
+
+
 @query("cls_folds")
 def cls_folds(spark, folder):
-    """Naive Bayes over five shuffled folds: the mean of the fold scores."""
+    """Every classifier over the same five shuffled folds: the means of the fold scores."""
     rows = stored(splits.random_folds(labelled(spark, folder).drop("position", "group_size", "role"), ["doc_id"]))
-
-    def job(fold: int):
-        make = zoo.classifiers("label", "doc_id", ["doc_id"], 0)["bayes"]
-        model = ft.sensitive_pipeline(["n_chars"], make(), categorical=["lang"]).fit(rows.where(F.col("fold") != fold))
-        return model.transform(rows.where(F.col("fold") == fold)).select("fold", "label", "prediction")
-
-    done = selection.side_by_side(spark, [lambda fold=fold: job(fold) for fold in range(splits.FOLDS)])
-    scored = metrics.classification_metrics(selection.stacked(done), by=["fold"])
-    return rounded(scored.agg(*[F.avg(c).alias(c) for c in scored.columns if c != "fold"]), 4)
+    return rounded(classifier_folds(rows, CLASSIFIERS), 4)
