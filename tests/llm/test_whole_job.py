@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voltmes.llm import queries
 from voltmes.llm.language import fit, identify, keep_identified
+from voltmes.llm.minhash import drop_near_duplicates, near_duplicates
 from voltmes.session import local_session
 
 
@@ -47,3 +48,14 @@ def test_rare_declared_languages_are_fitted(spark):
     assert [(r.doc_id, r.truth, r._language) for r in found if r.truth and (r._language.language != r.truth or not r._language.accepted)] == []
     assert [r._language.accepted for r in found if not r.truth] == [False, False]
     assert keep_identified(table, declared=F.col("lang")).count() == len(texts) - 2
+
+
+def test_an_id_with_different_texts_links_them(spark):
+    a, b, c, d = (" ".join(f"{letter}{i}" for i in range(40)) for letter in "abcd")
+    rows = [(1, a), (5, a), (5, b), (7, b), (9, c), (9, ""), (8, c), (20, d), (30, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = near_duplicates(table).collect()
+    root = {1: 1, 5: 1, 7: 1, 9: 8, 8: 8, 20: 20, 30: 30}
+    assert len(found) == len(rows)
+    assert all(r.component_id == root[r.doc_id] and r.kept == (r.doc_id == r.component_id) for r in found)
+    assert sorted(r.doc_id for r in drop_near_duplicates(table).collect()) == [1, 8, 20, 30]

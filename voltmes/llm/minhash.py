@@ -236,13 +236,25 @@ def near_duplicates(
         rarest = _mixed(_rarest(many, texts, size, percent))
         meeting = meeting.union(_meeting(rarest.where("short"), rarest, chunks, percent)).distinct()
     more = stored(_linked(stored(meeting, "meeting"), chunks, texts, size, percent), "links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    links = links.unionByName(more)
+    # An id with different texts links the classes of them all.
+    of_id = marks.where("id is not null").groupBy("id").agg(F.min(F.struct("n", "a", "b")).alias("low"), F.max(F.struct("n", "a", "b")).alias("high"))
+    shared = stored(of_id.where("low <> high").select("id"), "shared")
+    several = not shared.isEmpty()
+    if several:
+        own = marks.where("n > 0").join(shared, "id", "left_semi").join(classes.select("a", "b", "node"), ["a", "b"])
+        links = links.unionByName(stored(own.where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b")).distinct(), "links"))
+    if several or not more.isEmpty():
+        roots = components(links)
 
     named = stored(classes.select("a", "b", "node").join(roots, "node", "left").select(
         "a", "b", F.coalesce("root", "node").alias("component")), "named")
     found = marks.select("id", "n", "a", "b").join(named, ["a", "b"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    if several:
+        # An empty text belongs to the component of its id's other texts.
+        found = found.join(roots.join(shared, roots.node == shared.id, "left_semi").toDF("_node", "_root"), F.col("id") == F.col("_node"), "left")
+        component = F.coalesce("_root", component)
     return found.select(
         F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
