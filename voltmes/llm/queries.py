@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voltmes.llm.chat import digests, format_chats
 from voltmes.llm.language import identify
+from voltmes.llm.middle import fill_in_middle, restored
 from voltmes.llm.minhash import near_duplicates
 from voltmes.llm.mixing import mix
 from voltmes.llm.neighbours import nearest
@@ -152,3 +153,20 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     found = identify(rows, "body", declared=F.col("declared"), host=F.col("host"), suffix=F.substring_index("host", ".", -1))
     return found.select("page_id", "host", "declared", "_language.language", F.round("_language.probability", 9).alias("probability"),
                         "_language.text_language", F.col("_language.accepted").alias("kept"))
+
+
+_UNITS = r"regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+')"
+
+
+@query("op11_swar_fill_in_middle", f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, text, {_UNITS} AS u, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) for i in range(4)] AS h FROM t),
+k AS (SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, text, n, form, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    cut = fill_in_middle(documents(spark, folder))
+    return cut.withColumns({"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(restored(F.col("output"), F.col("form")), 256)}).drop("output")
