@@ -13,6 +13,7 @@ from voltmes.llm.minhash import near_duplicates
 from voltmes.llm.mixing import mix
 from voltmes.llm.neighbours import nearest
 from voltmes.llm.packing import packed_documents
+from voltmes.llm.phrases import phrases
 from voltmes.llm.repetition import quality
 from voltmes.llm.tokenfile import read_digests, write_tokens
 from voltmes.llm.toxicity import toxicity
@@ -170,3 +171,31 @@ FROM p""")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     cut = fill_in_middle(documents(spark, folder))
     return cut.withColumns({"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(restored(F.col("output"), F.col("form")), 256)}).drop("output")
+
+
+_PARTS = ("SELECT lang, size, phrase, k, array_to_string(w[1:k], ' ') AS one, array_to_string(w[k + 1:], ' ') AS other, f AS a "
+          "FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(generate_series(1, size - 1)) AS k FROM f WHERE size > 1)")
+
+
+@query("op12_counted_phrases", rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_extract_all(text, '[^.,;:!?
+-]+')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+i AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM w WHERE len(w) > 0),
+g AS (SELECT lang, w, i, unnest(generate_series(1, least(4, len(w) - i + 1))) AS size FROM i),
+c AS (SELECT lang, CAST(size AS INTEGER) AS size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE size = 1 GROUP BY lang),
+f AS (SELECT * FROM c WHERE f >= 30),
+k AS ({_PARTS}),
+s AS (SELECT k.lang, k.phrase, k.size, k.a, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score, k
+      FROM k JOIN f l ON l.lang = k.lang AND l.phrase = k.one JOIN f r ON r.lang = k.lang AND r.phrase = k.other),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM s),
+x AS (SELECT lang, f, string_split(phrase, ' ') AS w, size, unnest(generate_series(2, size - 1)) AS m FROM f WHERE size > 2),
+y AS (SELECT lang, f, w, m, unnest(generate_series(1, size - m + 1)) AS i FROM x),
+z AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS outer_f FROM y GROUP BY ALL),
+q AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN z ON z.lang = b.lang AND z.phrase = b.phrase WHERE o = 1 AND (outer_f IS NULL OR 100 * outer_f < 80 * a))
+SELECT q.lang, rank, phrase, a, l, r, n, score FROM q JOIN n ON n.lang = q.lang WHERE rank <= 2000""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases(documents(spark, folder))
