@@ -15,6 +15,7 @@ from voltmes.llm.neighbours import nearest
 from voltmes.llm.packing import packed_documents
 from voltmes.llm.phrases import phrases
 from voltmes.llm.repetition import quality
+from voltmes.llm.tiles import near_vectors
 from voltmes.llm.tokenfile import read_digests, write_tokens
 from voltmes.llm.toxicity import toxicity
 from voltmes.llm.urlfilter import host_and_path, judge
@@ -180,7 +181,8 @@ _PARTS = ("SELECT lang, size, phrase, k, array_to_string(w[1:k], ' ') AS one, ar
 @query("op12_counted_phrases", rf"""
 WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 p AS (SELECT lang, unnest(regexp_extract_all(text, '[^.,;:!?
--]+')) AS piece FROM t),
+-
+]+')) AS piece FROM t),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
 i AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM w WHERE len(w) > 0),
 g AS (SELECT lang, w, i, unnest(generate_series(1, least(4, len(w) - i + 1))) AS size FROM i),
@@ -199,3 +201,18 @@ q AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a
 SELECT q.lang, rank, phrase, a, l, r, n, score FROM q JOIN n ON n.lang = q.lang WHERE rank <= 2000""")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return phrases(documents(spark, folder))
+
+
+@query("op13_pca_tiled_vectors", """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT r, vec_id, v FROM e WHERE vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (SELECT a.r, a.vec_id, b.vec_id AS other FROM s a JOIN s b ON a.r <> b.r AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+c AS (SELECT DISTINCT vec_id, vec_id AS root FROM s UNION SELECT p.other, c.root FROM c JOIN p ON p.vec_id = c.vec_id),
+m AS (SELECT vec_id, min(root) AS root FROM c GROUP BY vec_id),
+n AS (SELECT r, count(*) AS n FROM p GROUP BY r)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, CASE WHEN s.r IS NULL THEN e.vec_id ELSE root END AS component_id,
+  coalesce(e.vec_id = CASE WHEN s.r IS NULL THEN e.vec_id ELSE root END, true) AS kept
+FROM e LEFT JOIN s ON s.r = e.r LEFT JOIN m ON m.vec_id = e.vec_id LEFT JOIN n ON n.r = e.r""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
