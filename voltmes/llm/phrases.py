@@ -7,7 +7,8 @@ each shard once. So a phrase counted from step s on is complete after step s + s
 complete long before as many whole scans as words have been made.
 
 What is active follows from the steps in which subphrases reached the threshold. A task sees these steps in a table of fixed
-size by hash, which lets through too much at worst; the phrases that it counted then meet the exact steps in a join.
+size by hash, which lets through too much at worst; of the phrases that it counted those that stand often enough in any
+shard meet the exact steps in a join, and only counts from a phrase's own first step on are added up.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voltmes.llm.text import Block, blocks, mix, owners, span_hashes, words
+from voltmes.llm.text import Block, blocks, mix, span_hashes, words
 from voltmes.session import scratch_path, stored
 
 LEAST, LONGEST, TOP, CONTAINED = 30, 4, 2000, 80
@@ -26,7 +29,9 @@ SHARDS = 4
 #: Places of the table of steps (a power of two; a byte each), whatever the number of phrases.
 SLOTS = 1 << 22
 #: Texts counted together before their counts leave the task, in bytes.
-COUNTED_BYTES = 1 << 22
+COUNTED_BYTES = 1 << 23
+#: Phrases that are looked up from every task; more of them are joined by a shuffle.
+BROADCAST_PHRASES = 500_000
 #: Parts of a language ranked apart before the best of all parts are ranked together.
 PARTS = 64
 _BREAK = np.zeros(256, bool)
@@ -38,8 +43,8 @@ _LOWER[65:91] += 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def plain(block: Block) -> Block:
-    """Texts in lower case (A-Z), with a space between words of one piece and a line feed between pieces."""
+def pieces(block: Block) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words in lower case (A-Z), text of each word, whether the next word follows in the same piece)."""
     data, bounds = block
     data = _LOWER[data]
     cut = _CUT[data]
@@ -49,75 +54,72 @@ def plain(block: Block) -> Block:
         first[bounds[bounds < len(data)]] = True
         last[bounds[bounds > 0] - 1] = True
     starts, ends = np.flatnonzero(first & ~cut), np.flatnonzero(last & ~cut) + 1
-    # The byte after a word stays if another word of the same text follows.
-    text = np.searchsorted(bounds, starts, side="right")
-    followed = np.flatnonzero(text[1:] == text[:-1])
-    after = ends[followed]
+    text = np.searchsorted(bounds, starts, side="right") - 1
     breaks = np.concatenate([[0], np.cumsum(_BREAK[data], dtype=np.int64)])
-    data[after] = np.where(breaks[starts[followed + 1]] > breaks[after], 10, 32)
-    keep = ~cut
-    keep[after] = True
-    return Block(data[keep], np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[bounds])
-
-
-def _strings(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+    followed = np.zeros(len(starts), bool)
+    followed[:-1] = (text[1:] == text[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1]])
+    return spans(data, starts, ends), text, followed
 
 
 def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The spans of bytes as strings."""
     lengths = ends - starts
     bounds = np.concatenate([[0], np.cumsum(lengths)])
-    return _strings(data[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], lengths)], bounds)
-
-
-class Words:
-    """The words of a block of plain texts of one or more languages, numbered by spelling and language."""
-
-    def __init__(self, block: Block, lang: np.ndarray, lang_hash: np.ndarray) -> None:
-        self.data = block.data
-        self.starts, self.ends, first = words(block)
-        owner = owners(first)
-        spelled = spans(self.data, self.starts, self.ends).dictionary_encode()
-        spelling = spelled.indices.to_numpy().astype(np.int64)
-        self.lang = lang[owner]
-        self.count = max(1, len(spelled.dictionary) * len(lang_hash))
-        #: Equal for equal words of a language, below ``count``.
-        self.number = spelling * len(lang_hash) + self.lang
-        hashes = string_hashes(spelled.dictionary)
-        #: Hashes of the phrases of 1, 2, ... words from each word on, as ``phrase_hashes`` has them.
-        self.hashes = [_started(hashes[spelling], lang_hash[self.lang])]
-        #: Whether so many words from each word on stand in one piece.
-        self.whole = [np.ones(len(self.starts), bool)]
-        joined = np.zeros(len(self.starts), bool)
-        joined[:-1] = (owner[1:] == owner[:-1]) & (self.data[self.ends[:-1]] == 32)
+    gathered = data[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], lengths)]
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(gathered))
+
+
+def numbered(block: Block, lang: np.ndarray) -> Iterator[tuple[int, int, pa.Array, np.ndarray]]:
+    """(lang, n, words, codes) for each language of a block: its different words, and its texts as their numbers, -1 behind each piece."""
+    spelled, text, followed = pieces(block)
+    spelled = spelled.dictionary_encode()
+    code, lang = spelled.indices.to_numpy(), lang[text]
+    for one in np.unique(lang):
+        own = lang == one
+        used, number = np.unique(code[own], return_inverse=True)
+        ends = ~followed[own]
+        codes = np.full(len(number) + int(ends.sum()), -1, np.int32)
+        codes[np.arange(len(number)) + np.cumsum(ends) - ends] = number
+        yield int(one), len(number), spelled.dictionary.take(pa.array(used)).cast(pa.string()), codes
+
+
+class Sequence:
+    """The numbered words of texts of one language."""
+
+    def __init__(self, words_: pa.Array, codes: np.ndarray, lang_hash: np.ndarray) -> None:
+        self.words, self.codes = words_, codes.astype(np.int64)
+        word = codes >= 0
+        #: Hashes of the phrases of 1, 2, ... words from each place on, as ``slots_of`` has them.
+        self.hashes = [_started(string_hashes(words_), lang_hash)[codes]]
+        #: Whether that many words from each place on stand in one piece.
+        self.whole = [word]
         for size in range(2, LONGEST + 1):
-            # At the end of a block phrases are cut off, and nowhere whole.
             self.hashes.append(_continued(self.hashes[-1][:-1], self.hashes[0][size - 1:]))
-            self.whole.append(self.whole[-1][:-1] & joined[size - 2:-1] if len(joined) else self.whole[-1])
+            self.whole.append(self.whole[-1][:-1] & word[size - 1:])
 
     def active(self, size: int, steps: np.ndarray, after: int) -> np.ndarray:
         """Where a phrase of that size starts whose subphrases have both reached the threshold, one in step ``after`` or later."""
         if size == 1:
-            return np.arange(len(self.starts))
-        reached = steps[_slot(self.hashes[size - 2], len(steps))].astype(np.int64) - 1
+            return np.flatnonzero(self.whole[0])
+        reached = steps[_slot(self.hashes[size - 2], len(steps))]
         one, other = reached[:-1], reached[1:]
-        return np.flatnonzero(self.whole[size - 1] & (np.minimum(one, other) >= 0) & (np.maximum(one, other) >= after))
+        return np.flatnonzero(self.whole[size - 1] & (np.minimum(one, other) > 0) & (np.maximum(one, other) > after))
 
     def grouped(self, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(a place, how often) for each different phrase of that size that starts at one of the places."""
-        key = self.number[at]
+        key = self.codes[at]
         if size == 2:
-            key = key * self.count + self.number[at + 1]
+            key = key * len(self.words) + self.codes[at + 1]
         elif size > 2:
-            pairs = self.number[np.concatenate([at, at + size - 2])] * self.count + self.number[np.concatenate([at + 1, at + size - 1])]
+            pairs = self.codes[np.concatenate([at, at + size - 2])] * len(self.words) + self.codes[np.concatenate([at + 1, at + size - 1])]
             found, key = np.unique(pairs, return_inverse=True)
             key = key[:len(at)] * len(found) + key[len(at):]
         _, place, count = np.unique(key, return_index=True, return_counts=True)
         return at[place], count
 
     def phrases(self, size: int, at: np.ndarray) -> pa.Array:
-        return spans(self.data, self.starts[at], self.ends[at + size - 1])
+        parts = [self.words.take(pa.array(self.codes[at + i])) for i in range(size)]
+        return parts[0] if size == 1 else pc.binary_join_element_wise(*parts, " ")
 
 
 def string_hashes(strings: pa.Array) -> np.ndarray:
@@ -158,39 +160,46 @@ def slots_of(phrases: pa.Array, langs: pa.Array, slots: int) -> np.ndarray:
 
 # Scans.
 
+_DEALT = "shard int, lang string, n long, words array<string>, codes binary"
+
+
 def _dealt(docs: DataFrame, lang: str, text: str, shards: int) -> DataFrame:
-    """(lang, text, shard): the plain texts; equal texts lie in one shard."""
+    """The texts in blocks of one language, numbered word by word, dealt into shards block by block."""
     def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId()
         for table in tables:
-            at = 0
+            langs, at = table.column("lang").dictionary_encode(), 0
+            code = langs.indices.to_numpy()
             for block in blocks(table.column("text"), COUNTED_BYTES):
-                to = at + len(block)
-                yield pa.RecordBatch.from_arrays([table.column("lang").slice(at, to - at), _strings(*plain(block)).cast(pa.string())], ["lang", "text"])
-                at = to
+                for one, n, words_, codes in numbered(block, code[at:at + len(block)]):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([shard % shards], pa.int32()), langs.dictionary.take(pa.array([one])), pa.array([n], pa.int64()),
+                        pa.ListArray.from_arrays(pa.array([0, len(words_)], pa.int32()), words_), pa.array([codes.astype("<i4").tobytes()], pa.binary()),
+                    ], ["shard", "lang", "n", "words", "codes"])
+                at += len(block)
+                shard += 1
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
     path = scratch_path(docs.sparkSession, "shards")
-    rows.mapInArrow(batches, "lang string, text string").withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(path)
-    return docs.sparkSession.read.schema("lang string, text string, shard int").parquet(path)
+    rows.mapInArrow(batches, _DEALT).write.partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema(_DEALT).parquet(path)
 
 
 def _counted(shard: DataFrame, sizes: list[int], steps: np.ndarray, after: int) -> DataFrame:
     """(lang, size, phrase, c): how often the active phrases of the sizes stand in the shard, some inactive ones among them."""
     def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
-            langs, at = table.column("lang").dictionary_encode(), 0
-            lang_hash, code = string_hashes(langs.dictionary), langs.indices.to_numpy()
-            for block in blocks(table.column("text"), COUNTED_BYTES):
-                found = Words(block, code[at:at + len(block)], lang_hash)
-                at += len(block)
+            for row in range(table.num_rows):
+                lang, words_, codes = (table.column(name)[row] for name in ("lang", "words", "codes"))
+                found = Sequence(words_.values, np.frombuffer(codes.as_buffer(), "<i4"), string_hashes(pa.array([lang.as_py()])))
                 for size in sizes:
                     place, count = found.grouped(size, found.active(size, steps, after))
                     if len(place):
                         yield pa.RecordBatch.from_arrays([
-                            langs.dictionary.take(pa.array(found.lang[place])), pa.array(np.full(len(place), size, np.int32)),
-                            found.phrases(size, place).cast(pa.string()), pa.array(count, pa.int64())], ["lang", "size", "phrase", "c"])
+                            pa.repeat(lang, len(place)), pa.array(np.full(len(place), size, np.int32)), found.phrases(size, place),
+                            pa.array(count, pa.int64())], ["lang", "size", "phrase", "c"])
 
-    counted = shard.select("lang", "text").mapInArrow(batches, "lang string, size int, phrase string, c long")
+    counted = shard.select("lang", "words", "codes").mapInArrow(batches, "lang string, size int, phrase string, c long")
     return counted.groupBy("lang", "size", "phrase").agg(F.sum("c").alias("c"))
 
 
@@ -210,7 +219,7 @@ def frequent_phrases(
         raise ValueError("phrases have 1 to 4 words, slots are a power of two, shards 1 to 30")
     spark = docs.sparkSession
     texts, path = _dealt(docs, lang, text, shards), scratch_path(spark, "phrases")
-    counts = "lang string, size int, phrase string, c long, start int, step int"
+    counts = "lang string, size int, phrase string, c long, step int, likely boolean"
     facts = "lang string, size int, phrase string, f long, reached boolean, complete boolean, step int"
 
     def table(name: str, schema: str, condition: Column) -> DataFrame:
@@ -223,26 +232,33 @@ def frequent_phrases(
         sizes = [size for size in range(1, longest + 1) if (oldest < 0 if size == 1 else last.get(size - 1, -1) >= max(0, oldest))]
         if not sizes:
             break
-        counted = _counted(texts.where(F.col("shard") == step % shards), sizes, steps, oldest)
-        start = F.lit(0)
-        if step:
-            reached = table("facts", facts, F.col("reached")).select("lang", "phrase", "step")
-            counted = counted.withColumns({"one": _first("size - 1"), "other": _rest("size - 1")}).join(
-                reached.toDF("lang", "one", "_one"), ["lang", "one"], "left").join(reached.toDF("lang", "other", "_other"), ["lang", "other"], "left")
-            start = F.when(F.col("size") == 1, 0).when(F.col("_one").isNotNull() & F.col("_other").isNotNull(), F.greatest("_one", "_other") + 1)
-        counted.select("lang", "size", "phrase", "c", start.cast("int").alias("start")).where(F.col("start") > oldest).write.parquet(f"{path}/counts/step={step}")
-
-        now = F.sum(F.when(F.col("step") == step, F.col("c")).otherwise(0))
-        totals = table("counts", counts, (F.col("step") > oldest) & (F.col("start") > oldest)).groupBy("lang", "size", "phrase", "start").agg(
-            F.sum("c").alias("f"), now.alias("now"))
+        # A phrase that stands ``least`` times in all shards stands ``least / shards`` times in one of them.
+        _counted(texts.where(F.col("shard") == step % shards), sizes, steps, oldest).withColumn("likely", F.col("c") * shards >= least).write.partitionBy(
+            "likely").parquet(f"{path}/counts/step={step}")
+        window = table("counts", counts, (F.col("step") > oldest) & (F.col("step") <= step))
+        likely = stored(window.where("likely").select("lang", "phrase").distinct(), "likely")
+        likely = F.broadcast(likely) if likely.count() <= BROADCAST_PHRASES else likely
+        rows = _started_at(window.join(likely, ["lang", "phrase"], "left_semi"), table("facts", facts, F.col("reached")) if step else None)
+        totals = rows.where((F.col("step") >= F.col("start")) & (F.col("start") > oldest)).groupBy("lang", "size", "phrase", "start").agg(
+            F.sum("c").alias("f"), F.sum(F.when(F.col("step") == step, F.col("c")).otherwise(0)).alias("now"))
         totals.select("lang", "size", "phrase", "f", (F.col("f") - F.col("now") < least).alias("reached"), (F.col("start") == oldest + 1).alias("complete")).where(
             (F.col("f") >= least) & (F.col("reached") | F.col("complete"))).write.parquet(f"{path}/facts/step={step}")
 
         new = _slots(table("facts", facts, F.col("reached") & (F.col("size") < longest) & (F.col("step") == step)), slots).distinct().toArrow()
         steps[new.column("slot").to_numpy()] = step + 1
         last.update(dict.fromkeys(new.column("size").unique().to_pylist(), step))
-    words_ = table("counts", counts, F.col("size") == 1).groupBy("lang").agg(F.sum("c").alias("n"))
-    return table("facts", facts, F.col("complete")).select("lang", "size", "phrase", "f"), words_
+    return table("facts", facts, F.col("complete")).select("lang", "size", "phrase", "f"), texts.groupBy("lang").agg(F.sum("n").alias("n"))
+
+
+def _started_at(rows: DataFrame, reached: DataFrame | None) -> DataFrame:
+    """Adds ``start``, the step after the one in which both subphrases had reached the threshold; null if they have not."""
+    if reached is None:
+        return rows.withColumn("start", F.lit(0))
+    reached = reached.select("lang", "phrase", "step")
+    parts = rows.withColumns({"one": _first("size - 1"), "other": _rest("size - 1")}).join(
+        reached.toDF("lang", "one", "_one"), ["lang", "one"], "left").join(reached.toDF("lang", "other", "_other"), ["lang", "other"], "left")
+    later = F.when(F.col("_one").isNotNull() & F.col("_other").isNotNull(), F.greatest("_one", "_other") + 1)
+    return parts.withColumn("start", F.when(F.col("size") == 1, 0).otherwise(later))
 
 
 def _slots(phrases: DataFrame, slots: int) -> DataFrame:
