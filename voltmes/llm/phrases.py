@@ -25,7 +25,7 @@ from voltmes.llm.text import Block, blocks, mix, span_hashes, words
 from voltmes.session import scratch_path, stored
 
 LEAST, LONGEST, TOP, CONTAINED = 30, 4, 2000, 80
-SHARDS = 4
+SHARDS = 3
 #: Places of the table of steps (a power of two; a byte each), whatever the number of phrases.
 SLOTS = 1 << 22
 #: Texts counted together before their counts leave the task, in bytes.
@@ -54,7 +54,7 @@ def pieces(block: Block) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         first[bounds[bounds < len(data)]] = True
         last[bounds[bounds > 0] - 1] = True
     starts, ends = np.flatnonzero(first & ~cut), np.flatnonzero(last & ~cut) + 1
-    text = np.searchsorted(bounds, starts, side="right") - 1
+    text = np.repeat(np.arange(len(block)), np.diff(np.searchsorted(starts, bounds)))
     breaks = np.concatenate([[0], np.cumsum(_BREAK[data], dtype=np.int64)])
     followed = np.zeros(len(starts), bool)
     followed[:-1] = (text[1:] == text[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1]])
@@ -76,8 +76,10 @@ def numbered(block: Block, lang: np.ndarray) -> Iterator[tuple[int, int, pa.Arra
     code, lang = spelled.indices.to_numpy(), lang[text]
     for one in np.unique(lang):
         own = lang == one
-        used, number = np.unique(code[own], return_inverse=True)
-        ends = ~followed[own]
+        number, place = code[own], np.zeros(len(spelled.dictionary), np.int32)
+        used = np.flatnonzero(np.bincount(number, minlength=len(place)))
+        place[used] = np.arange(len(used))
+        number, ends = place[number], ~followed[own]
         codes = np.full(len(number) + int(ends.sum()), -1, np.int32)
         codes[np.arange(len(number)) + np.cumsum(ends) - ends] = number
         yield int(one), len(number), spelled.dictionary.take(pa.array(used)).cast(pa.string()), codes

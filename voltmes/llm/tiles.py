@@ -32,7 +32,7 @@ BLOCK_ROWS = 16_384
 TILE, FEW = 1024, 0.02
 #: More than rounding can move a bound of unit vectors.
 SLACK = 1e-9
-_OUT = "id long, links long, root long"
+_OUT = "id long, a long, links long, root long"
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -153,8 +153,8 @@ def near_vectors(
     shared = marks.join(several.select("id"), "id", "left_semi").join(names, ["a", "b"]).select("id", F.col("node").alias("root"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(shared.select(F.col("id").alias("a"), F.col("root").alias("b"))))
 
-    counted = found.groupBy("id").agg(F.sum("links").alias("links"))
-    named = names.join(counted.withColumnRenamed("id", "node"), "node", "left").join(roots, "node", "left").select(
+    counted = found.groupBy(F.col("id").alias("node"), "a").agg(F.sum("links").alias("links"))
+    named = names.join(counted, ["node", "a"], "left").join(roots, "node", "left").select(
         "a", "b", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component"))
     return marks.join(named, ["a", "b"], "left").select(
         F.col("id").alias(id), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component_id"),
@@ -162,7 +162,7 @@ def near_vectors(
 
 
 def _linked(rows: DataFrame, width: int, count: int, threshold: float, block_rows: int, leading: int) -> DataFrame:
-    """(id, links, root) of classes of one width, several rows for one: its links in a comparison, and a class reached by them."""
+    """(id, a, links, root) of classes of one width, several rows for one: its links in a comparison, and a class reached by them."""
     def grams(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
         for table in tables:
@@ -189,7 +189,7 @@ def _linked(rows: DataFrame, width: int, count: int, threshold: float, block_row
     def cell(p: pa.Array) -> pa.Array:
         return pa.array(cells.of(matrix(p, leading + 1)), pa.int32())
 
-    index = stored(rows.select("node", "copies", "x", point("x").alias("p")).withColumn("cell", cell("p")), "index")
+    index = stored(rows.select("node", "a", "copies", "x", point("x").alias("p")).withColumn("cell", cell("p")), "index")
     largest = max(1, min(block_rows, ceil(count / (1 << LEAST_DEPTH))))
     blocks = np.ones(1 << depth, np.int64)
     for r in index.groupBy("cell").count().collect():
@@ -213,7 +213,7 @@ def _linked(rows: DataFrame, width: int, count: int, threshold: float, block_row
         return pa.ListArray.from_arrays(
             pa.array(np.searchsorted(at, np.arange(len(near) + 1)), pa.int32()), pa.StructArray.from_arrays(fields, ["one", "other", "second"]))
 
-    met = index.select("node", "copies", "x", F.explode(meetings("p", "cell", F.pmod(F.xxhash64("node"), F.lit(1 << 30)))).alias("m"))
+    met = index.select("node", "a", "copies", "x", F.explode(meetings("p", "cell", F.pmod(F.xxhash64("node"), F.lit(1 << 30)))).alias("m"))
 
     def links(table: pa.Table) -> pa.Table:
         def column(name: str) -> np.ndarray:
@@ -223,6 +223,6 @@ def _linked(rows: DataFrame, width: int, count: int, threshold: float, block_row
         apart = table.column("one")[0].as_py() != table.column("other")[0].as_py()
         found, label = compare(x, column("copies").astype(float), column("second").astype(bool), apart, turn, threshold)
         some, node = np.flatnonzero(found), column("node")
-        return pa.table({"id": node[some], "links": found[some], "root": node[label[some]]})
+        return pa.table({"id": node[some], "a": column("a")[some], "links": found[some], "root": node[label[some]]})
 
-    return met.select("node", "copies", "x", "m.*").groupBy("one", "other").applyInArrow(links, _OUT)
+    return met.select("node", "a", "copies", "x", "m.*").groupBy("one", "other").applyInArrow(links, _OUT)
