@@ -131,7 +131,8 @@ def test_phrases_of_nothing(spark):
 
 def plain_links(rows, threshold=0.9):
     usable = [(i, v) for i, (_, v) in enumerate(rows) if rows[i][0] is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in usable}
+    unit = {i: np.array(v) / np.abs(v).max() for i, v in usable}
+    unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
     linked = {i: [j for j in unit if j != i and len(unit[j]) == len(unit[i]) and unit[i] @ unit[j] >= threshold] for i in unit}
     root = {rows[i][0]: rows[i][0] for i in unit}
     changed = True
