@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from math import log2, sqrt
 from typing import NamedTuple
@@ -94,6 +95,57 @@ def forest_answers(grown: Grown) -> DataFrame:
     return found.join(grown.rows.select("id", "truth"), "id").select("id", "group", "model", "truth", F.col("value")[0].alias("prediction"))
 
 
+# Saved forests: all of a folder in one table of nodes, and a line of facts for each.
+
+_NOTES = "model string, notes string"
+
+
+def save_forests(grown: Grown, names: dict[int, str], folder: str, params: dict | None = None) -> None:
+    """Writes the forest of each named group; the folder may hold others already."""
+    spark = grown.rows.sparkSession
+    of_tree = spark.createDataFrame([(i, names[t.group]) for i, t in enumerate(grown.trees) if t.group in names], "tree int, model string")
+    grown.nodes.join(F.broadcast(of_tree), "tree").write.mode("append").partitionBy("model").parquet(f"{folder}/nodes")
+    notes = []
+    for group, name in names.items():
+        own = [(i, t.tries) for i, t in enumerate(grown.trees) if t.group == group]
+        notes.append((name, json.dumps({
+            "numeric": grown.inputs.numeric, "levels": grown.inputs.levels, "cuts": [c.tolist() for c in grown.binning.cuts], "fills": grown.facts.fills[group].tolist(),
+            "mean": float(grown.facts.means[group, 0]), "rows": int(grown.facts.rows[group]), "trees": [i for i, _ in own], "params": params})))
+    spark.createDataFrame(notes, _NOTES).coalesce(1).write.mode("append").json(f"{folder}/forests")
+
+
+class SavedForest(NamedTuple):
+    nodes: DataFrame
+    trees: list[Tree]
+    facts: Facts
+    binning: Binning
+    inputs: Inputs
+    params: dict | None
+
+
+def load_forest(spark, folder: str, names: Sequence[str]) -> SavedForest:
+    """The first of the named forests that the folder holds."""
+    held = {r["model"]: json.loads(r["notes"]) for r in spark.read.schema(_NOTES).json(f"{folder}/forests").collect()}
+    name = next((n for n in names if n in held), None)
+    if name is None:
+        raise FileNotFoundError(f"{folder}: {', '.join(names)}")
+    found, numbers = held[name], held[name]["trees"]
+    nodes = spark.read.schema(f"{grove.TREES}, model string").parquet(f"{folder}/nodes").where(F.col("model") == name).drop("model")
+    trees = [Tree(name, 0 if i in set(numbers) else -1, 0, 1) for i in range(max(numbers, default=-1) + 1)]
+    facts = Facts(np.array([found["rows"]]), np.array([[found["mean"]]]), np.array([found["fills"]], np.uint8))
+    return SavedForest(nodes, trees, facts, Binning([np.array(c) for c in found["cuts"]]), Inputs(found["numeric"], found["levels"]), found["params"])
+
+
+def score_forest(forest: SavedForest, df: DataFrame, key: str = "id", out: str = "pred_consumo") -> DataFrame:
+    """Input rows with their prediction; columns that the forest wants and the rows lack count as missing."""
+    lacking = {c: F.lit(None).cast("double") for c in forest.inputs.numeric if c not in df.columns} | {
+        c: F.lit(None).cast("string") for c in forest.inputs.levels if c not in df.columns}
+    named = df.withColumns(lacking).withColumn("_inputs", forest.inputs.column())
+    rows = grove.binned(named, "_inputs", forest.binning, id=F.col(key).cast("string"), tested=F.array(F.lit(0)))
+    found = grove.answers(rows, forest.nodes, forest.trees, forest.facts).select(F.col("id").alias("_id"), F.col("value")[0].alias(out))
+    return df.join(found, F.col(key).cast("string") == F.col("_id"), "left").drop("_id")
+
+
 # Learners of a features vector.
 
 def _vector_rows(df: DataFrame, features: str, label: str, classes: int) -> tuple[DataFrame, Binning, Facts]:

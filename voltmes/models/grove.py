@@ -559,6 +559,8 @@ def answers(rows: DataFrame, nodes: DataFrame, trees: Sequence[Tree], facts: Fac
     spark, inputs, targets = rows.sparkSession, facts.fills.shape[1], facts.means.shape[1]
     chunks, place = {}, []
     for number, tree in enumerate(trees):
+        if tree.group < 0:
+            continue
         seen = chunks.setdefault(tree.group, 0)
         chunks[tree.group] += 1
         place.append((number, tree.group, seen // ANSWERING))

@@ -15,10 +15,10 @@ from random import Random
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from voltmes.models.features import required_columns, tree_pipeline
-from voltmes.models.zoo import DEEPEST, forest
+from voltmes.models.features import required_columns
+from voltmes.models.forests import Forest, forest_answers, grow_forests, load_forest, save_forests
 from voltmes.operators import metrics, splits
 from voltmes.operators.ordering import with_position
 from voltmes.session import stored
@@ -146,6 +146,74 @@ def compare_with_holdout(
     return metrics.leaderboard(cv.join(held, "model", "left"), by="hold_mae")
 
 
+def prepared_splits(
+    df: DataFrame, stages: Callable[[], list], roles: dict[str, Column], keep: Sequence[str], parallel: int = PARALLEL_FITS,
+) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """(train, test) with ``features`` for each named split, whose column says ``train`` or ``test``.
+
+    The preparation of a split is learned once, on its training rows, and its rows are stored for all models.
+    """
+    def job(role: Column) -> Callable[[], tuple[DataFrame, DataFrame]]:
+        def run() -> tuple[DataFrame, DataFrame]:
+            placed = df.withColumn("_role", role).where("_role is not null")
+            ready = Pipeline(stages=stages()).fit(placed.where("_role = 'train'")).transform(placed)
+            ready = stored(ready.select(*keep, "features", "_role"), "prepared")
+            return ready.where("_role = 'train'").drop("_role"), ready.where("_role = 'test'").drop("_role")
+
+        return run
+
+    done = side_by_side(df.sparkSession, [job(role) for role in roles.values()], parallel)
+    for result in done:
+        if isinstance(result, Exception):
+            raise result
+    return dict(zip(roles, done))
+
+
+def split_scores(
+    parts: dict[str, tuple[DataFrame, DataFrame]], finals: dict[str, Maker], score: Callable[[DataFrame], DataFrame], parallel: int = PARALLEL_FITS,
+) -> tuple[list[dict], dict[str, str]]:
+    """A row of scores per model and split, and the reason why a model failed."""
+    tasks = [(name, part) for name in finals for part in parts]
+
+    def job(name: str, part: str) -> Callable[[], dict]:
+        def run() -> dict:
+            train, test = parts[part]
+            return {"model": name, "split": part, **score(finals[name]().fit(train).transform(test)).first().asDict()}
+
+        return run
+
+    done, failed = finished([name for name, _ in tasks], side_by_side(next(iter(parts.values()))[0].sparkSession, [job(*t) for t in tasks], parallel))
+    return done, failed
+
+
+HELD = "holdout"
+
+
+def board(
+    df: DataFrame, finals: dict[str, Maker], stages: Callable[[], list], truth: str = "consumo", key: str = "id", order: Sequence[str] = ("month", "regiao"),
+    folds: int = splits.FOLDS, parallel: int = PARALLEL_FITS,
+) -> DataFrame:
+    """Scores of every model in the folds of the first four fifths next to those on the last fifth, best holdout first.
+
+    All models share the prepared rows of a split. A failed model keeps its row, with the reason in ``notes``.
+    """
+    placed = stored(splits.holdout(df, order, test_rounds_down=True).withColumnRenamed("role", "_held"))
+    trained = placed.where("_held = 'train'").count()
+    # Positions go by the order of all rows, so the folds of the training part are a matter of its size.
+    inside = F.col("_held") == "train"
+    sized = placed.withColumn("group_size", F.when(F.col("_held") == "train", F.lit(trained)).otherwise(F.col("group_size")))
+    roles = {str(fold): F.when(inside, splits.expanding_role(fold, folds)) for fold in range(folds)} | {HELD: F.col("_held")}
+    parts = prepared_splits(sized, stages, roles, [*dict.fromkeys([key, *order, truth])], parallel)
+    done, failed = split_scores(parts, finals, lambda tested: metrics.regression_metrics(tested, truth), parallel)
+    scores = df.sparkSession.createDataFrame(
+        [(r["model"], r["split"], r["mae"], r["mse"], r["r2"]) for r in done], "model string, split string, mae double, mse double, r2 double")
+    held, folded = F.col("split") == HELD, F.col("split") != HELD
+    means = scores.groupBy("model").agg(
+        F.avg(F.when(folded, F.col("mae"))).alias("cv_mae"), F.sqrt(F.avg(F.when(folded, F.col("mse")))).alias("cv_rmse"), F.avg(F.when(folded, F.col("r2"))).alias("cv_r2"),
+        F.max(F.when(held, F.col("mae"))).alias("hold_mae"), F.sqrt(F.max(F.when(held, F.col("mse")))).alias("hold_rmse"), F.max(F.when(held, F.col("r2"))).alias("hold_r2"))
+    return metrics.leaderboard(with_notes(means.withColumn("notes", F.lit("")), failed, "model"), by="hold_mae")
+
+
 def refit_best(df: DataFrame, board: DataFrame, makers: dict[str, Maker], by: str = "hold_mae", path: str | None = None) -> tuple[str, Model] | None:
     """The best model of a leaderboard fitted on all rows, saved if a path is given; None without a valid score."""
     best = metrics.best_model(board, by).collect()
@@ -180,43 +248,50 @@ def draws(n: int = SEARCH_DRAWS, seed: int = splits.SEED) -> list[dict]:
     return chosen
 
 
-def searched_forest(label: str, picked: dict):
-    """A forest with the drawn parameters; Spark has no minimum size of a node to split, so that one is not applied."""
-    share = picked["max_features"]
-    return forest(
-        label, trees=picked["n_estimators"], depth=min(picked["max_depth"] or DEEPEST, DEEPEST),
-        minInstancesPerNode=picked["min_samples_leaf"], bootstrap=picked["bootstrap"],
-        featureSubsetStrategy={"sqrt": "sqrt", "log2": "log2", None: "all"}.get(share, str(share)))
+def searched_forest(picked: dict) -> Forest:
+    return Forest(picked["n_estimators"], picked["max_depth"], picked["min_samples_split"], picked["min_samples_leaf"], picked["max_features"], picked["bootstrap"])
+
+
+def _numbered(roles: Sequence[Column], role: str) -> Column:
+    """The numbers of the splits in which a row has the role."""
+    return F.array_compact(F.array(*[F.when(r == role, F.lit(i)) for i, r in enumerate(roles)]))
+
+
+def forest_folds(
+    df: DataFrame, tried: dict[str, Forest], numeric: Sequence[str], truth: str = "consumo", key: str = "id", order: Sequence[str] = ("month", "regiao"),
+    folds: int = splits.FOLDS,
+) -> DataFrame:
+    """(model, fold, truth, prediction) of every forest in every expanding fold, all of them grown together."""
+    roles = [splits.expanding_role(fold, folds) for fold in range(folds)]
+    placed = stored(with_position(df, order)).withColumns({"groups": _numbered(roles, "train"), "tested": _numbered(roles, "test")})
+    grown = grow_forests(placed, tried, numeric, folds, truth=truth, key=key)
+    return forest_answers(grown).select("model", F.col("group").alias("fold"), F.col("truth").alias(truth), "prediction")
 
 
 def search_forest(
-    df: DataFrame,
-    numeric: Sequence[str],
-    truth: str = "consumo",
-    n: int = SEARCH_DRAWS,
-    seed: int = splits.SEED,
-    order: Sequence[str] = ("month", "regiao"),
-    parallel: int = PARALLEL_FITS,
+    df: DataFrame, numeric: Sequence[str], truth: str = "consumo", n: int = SEARCH_DRAWS, seed: int = splits.SEED, order: Sequence[str] = ("month", "regiao"),
 ) -> tuple[DataFrame, dict[str, dict]]:
     """Fold scores per draw and the parameters behind each name."""
     tried = {f"draw{i:02d}": picked for i, picked in enumerate(draws(n, seed))}
-    makers = {
-        name: (lambda picked=picked: tree_pipeline(numeric, searched_forest(truth, picked))) for name, picked in tried.items()}
-    return compare(df, makers, truth, order, parallel=parallel), tried
+    return metrics.fold_means(forest_folds(df, {name: searched_forest(p) for name, p in tried.items()}, numeric, truth, order=order), truth), tried
 
 
 def tune_forest(
-    df: DataFrame, numeric: Sequence[str], path: str, truth: str = "consumo", n: int = SEARCH_DRAWS,
-    order: Sequence[str] = ("month", "regiao"),
+    df: DataFrame, numeric: Sequence[str], folder: str, truth: str = "consumo", n: int = SEARCH_DRAWS, order: Sequence[str] = ("month", "regiao"),
+    name: str = "rfr_tuned",
 ) -> DataFrame:
-    """Searches, refits the best draw on the first four fifths, saves it and scores it on the rest."""
-    board, tried = search_forest(df, numeric, truth, n, order=order)
-    best = metrics.best_model(board, "mae_mean").collect()[0]
-    placed = splits.holdout(df, order)
-    model = tree_pipeline(numeric, searched_forest(truth, tried[best["model"]])).fit(placed.where("role = 'train'"))
-    save_model(model, path)
-    scored = metrics.regression_metrics(model.transform(placed.where("role = 'test'")), truth)
-    return scored.withColumns({"model": F.lit(best["model"]), "cv_mae": F.lit(best["mae_mean"])})
+    """All draws with their parameters and fold scores, best first; the best is grown on the first four fifths, saved and scored on the rest."""
+    scores, tried = search_forest(df, numeric, truth, n, order=order)
+    scores = stored(scores, "search")
+    best = metrics.best_model(scores, "mae_mean").collect()[0]["model"]
+    placed = splits.holdout(df, order).withColumns({"groups": _numbered([F.col("role")], "train"), "tested": _numbered([F.col("role")], "test")})
+    grown = grow_forests(stored(placed), {name: searched_forest(tried[best])}, numeric, 1, truth=truth)
+    save_forests(grown, {0: name}, folder, tried[best])
+    held = metrics.regression_metrics(forest_answers(grown), "truth").first()
+    listed = df.sparkSession.createDataFrame([(m, *[None if v is None else str(v) for v in p.values()]) for m, p in tried.items()], ["model", *SEARCH_SPACE])
+    chosen = F.col("model") == best
+    return metrics.leaderboard(scores.join(F.broadcast(listed), "model").withColumn("best", chosen).withColumns(
+        {f"hold_{c}": F.when(chosen, F.lit(held[c])) for c in ("mae", "rmse", "r2")}), by="mae_mean")
 
 
 # Regions.
@@ -289,6 +364,57 @@ def region_folds(
     return with_notes(means.withColumn("notes", F.lit("")), failed, by)
 
 
+def region_forests(
+    df: DataFrame, forest: Forest, numeric: Sequence[str], folder: str | None = None, truth: str = "consumo", by: str = "regiao", key: str = "id",
+    order: Sequence[str] = ("month",),
+) -> DataFrame:
+    """One forest per region with enough rows, all grown together on the first four fifths of each, saved and scored on the rest."""
+    placed = stored(splits.holdout(df, order, (by,)).where((F.col("group_size") >= metrics.MIN_REGION_ROWS) & F.col(by).isNotNull()))
+    regions = regions_of(placed, by)
+    number = F.create_map(*[x for i, region in enumerate(regions) for x in (F.lit(region), F.lit(i))])[F.col(by)] if regions else F.lit(0)
+    none = F.array().cast("array<int>")
+    ready = placed.withColumns({"groups": F.when(F.col("role") == "train", F.array(number)).otherwise(none), "tested": F.when(F.col("role") == "test", F.array(number)).otherwise(none)})
+    grown = grow_forests(ready, {"forest": forest}, numeric, len(regions), truth=truth, key=key, categorical=())
+    names = {i: f"rfr_region_{region.replace(' ', '_')}" for i, region in enumerate(regions)}
+    if folder:
+        save_forests(grown, names, folder)
+    tested = forest_answers(grown).join(placed.select(F.col(key).cast("string").alias("id"), by, "role", "group_size"), "id")
+    scores = metrics.region_metrics(tested, "truth", by=by)
+    listed = df.sparkSession.createDataFrame([(region, f"{folder}/{names[i]}" if folder else None) for i, region in enumerate(regions)], f"{by} string, model_path string")
+    return scores.join(F.broadcast(listed), by)
+
+
+def train_tuned(df: DataFrame, numeric: Sequence[str], folder: str, truth: str = "consumo", by: str = "regiao", order: Sequence[str] = ("month", "regiao")) -> DataFrame:
+    """With the parameters of the folder's tuned forest: ``rfr_global`` on the first four fifths of all rows, and one forest per region.
+
+    All are saved beside it. A row per model: the regions and ``TOTAL`` for the global one.
+    """
+    forest = searched_forest(load_forest(df.sparkSession, folder, ["rfr_tuned"]).params)
+    placed = splits.holdout(df, order).withColumns({"groups": _numbered([F.col("role")], "train"), "tested": _numbered([F.col("role")], "test")})
+    grown = grow_forests(stored(placed), {"rfr_global": forest}, numeric, 1, truth=truth)
+    save_forests(grown, {0: "rfr_global"}, folder)
+    whole = metrics.regression_metrics(forest_answers(grown), "truth").select(
+        F.lit("TOTAL").alias(by), F.lit(df.count()).alias("n"), "mae", "mse", "rmse", "r2", F.lit("").alias("notes"), F.lit(f"{folder}/rfr_global").alias("model_path"))
+    return metrics.leaderboard(whole.unionByName(region_forests(df, forest, numeric, folder, truth, by)).drop("model_path"), name=by)
+
+
+def region_forest_folds(
+    df: DataFrame, forest: Forest, numeric: Sequence[str], truth: str = "consumo", by: str = "regiao", key: str = "id", order: Sequence[str] = ("month",),
+    folds: int = splits.FOLDS,
+) -> DataFrame:
+    """Fold-mean scores per region; the forests of all folds of all regions are grown together."""
+    spread = stored(splits.expanding_folds_by_group(df.where(F.col(by).isNotNull()), (by,), order, folds))
+    regions = regions_of(spread, by)
+    number = F.create_map(*[x for i, region in enumerate(regions) for x in (F.lit(region), F.lit(i * folds))])[F.col(by)] + F.col("fold")
+    once = spread.groupBy(key).agg(
+        *[F.first(c).alias(c) for c in spread.columns if c not in (key, "fold", "role")],
+        F.collect_set(F.when(F.col("role") == "train", number)).alias("groups"), F.collect_set(F.when(F.col("role") == "test", number)).alias("tested"))
+    grown = grow_forests(stored(once), {"forest": forest}, numeric, len(regions) * folds, truth=truth, key=key, categorical=())
+    tested = forest_answers(grown).join(once.select(F.col(key).cast("string").alias("id"), by, "group_size"), "id").withColumn("fold", F.col("group") % folds)
+    sizes = tested.groupBy(by).agg(F.max("group_size").alias("n"))
+    return metrics.fold_means(tested, "truth", by=[by]).drop("rmse_of_mean_mse").join(sizes, by).withColumn("notes", F.lit(""))
+
+
 # Saving and scoring.
 
 def save_model(model: PipelineModel, path: str) -> str:

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier)
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.classification import MultilayerPerceptronClassifier, NaiveBayes
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 
-from voltmes.models.ensembles import (
-    BOOSTED_DEPTH, BoostedClassifier, BoostedRegressor, Neighbours, ScaledLabel, Stacking, Voting)
+from voltmes.models.ensembles import BOOSTED_DEPTH, ROUNDS, Neighbours, ScaledLabel, Stacking, Voting
 from voltmes.models.features import sensitive_pipeline, tree_pipeline
+from voltmes.models.forests import Boost, Forest, GroveBoost, GroveForest
 
 # Fixed values of the compared models. Spark trees go 30 levels deep at most.
 SEED = 42
@@ -27,23 +26,31 @@ HUBER_ALPHA = 1e-4
 BLEND_FOLDS = 2
 PERCEPTRON_LAYER = 100
 PERCEPTRON_ROUNDS = 500
-# A leaf-wise booster of 31 leaves with 20 rows each, as a tree of that many leaves.
-LEAFWISE = {"maxDepth": 5, "minInstancesPerNode": 20, "maxBins": 255}
+# Boosters on binned inputs: leaves of 20 rows or more, 31 leaves grown best first or five levels of them.
+BINNED_LEAVES, BINNED_DEPTH, BINNED_ROWS = 31, 5, 20
 
 
 def forest(label: str, trees: int = TREES, depth: int = DEEPEST, **params) -> RandomForestRegressor:
-    """Every split may look at all features unless told otherwise."""
+    """Spark's own forest, for pipelines that are saved. Every split may look at all features unless told otherwise."""
     params = {"featureSubsetStrategy": "all", **params}
     return RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, seed=SEED, **params)
 
 
-def tree(label: str) -> DecisionTreeRegressor:
-    return DecisionTreeRegressor(labelCol=label, maxDepth=DEEPEST, seed=SEED)
+def tree(label: str) -> GroveForest:
+    return GroveForest(Forest(1, bootstrap=False), label)
 
 
-def boosted(label: str, **params) -> GBTRegressor:
-    params = {"maxDepth": BOOST_DEPTH, **params}
-    return GBTRegressor(labelCol=label, maxIter=BOOST_ROUNDS, stepSize=BOOST_STEP, seed=SEED, **params)
+def boosted(label: str) -> GroveBoost:
+    return GroveBoost("squares", Boost(BOOST_ROUNDS, BOOST_STEP, BOOST_DEPTH), label)
+
+
+def levelwise(label: str) -> GroveBoost:
+    return GroveBoost("squares", Boost(BOOST_ROUNDS, BOOST_STEP, BINNED_DEPTH, min_leaf=BINNED_ROWS), label)
+
+
+def leafwise(label: str) -> GroveBoost:
+    """The leaf of greatest gain is split next, however deep it lies."""
+    return GroveBoost("squares", Boost(BOOST_ROUNDS, BOOST_STEP, leaves=BINNED_LEAVES, min_leaf=BINNED_ROWS), label)
 
 
 def linear(label: str) -> LinearRegression:
@@ -59,21 +66,24 @@ def regressors(label: str, key: str, order: Sequence[str]) -> dict[str, Callable
     def base() -> list[Estimator]:
         return [tree(label), Neighbours(key, labelCol=label)]
 
+    def grown(trees: int = TREES) -> GroveForest:
+        return GroveForest(Forest(trees), label)
+
     return {
         "linear": lambda: linear(label),
         "knn": lambda: Neighbours(key, labelCol=label),
         "tree": lambda: tree(label),
-        "vote": lambda: Voting([forest(label), linear(label), boosted(label)]),
-        "forest": lambda: forest(label),
-        "bagging": lambda: forest(label, trees=BAGGED_TREES),
-        "boosting": lambda: BoostedRegressor(label, depth=BOOSTED_DEPTH),
-        "stacking": lambda: Stacking(base(), forest(label), order),
-        "blending": lambda: Stacking(base(), forest(label), order, folds=BLEND_FOLDS),
+        "vote": lambda: Voting([grown(), linear(label), boosted(label)]),
+        "forest": grown,
+        "bagging": lambda: grown(BAGGED_TREES),
+        "boosting": lambda: GroveBoost("median", Boost(ROUNDS, depth=BOOSTED_DEPTH), label),
+        "stacking": lambda: Stacking(base(), grown(), order),
+        "blending": lambda: Stacking(base(), grown(), order, folds=BLEND_FOLDS),
         "gradient": lambda: boosted(label),
-        "histogram": lambda: boosted(label, **LEAFWISE),
-        "leafwise": lambda: boosted(label, **LEAFWISE),
+        "histogram": lambda: levelwise(label),
+        "leafwise": lambda: leafwise(label),
         "huber": lambda: huber(label),
-        "forest200": lambda: forest(label, trees=COMPARED_TREES),
+        "forest200": lambda: grown(COMPARED_TREES),
     }
 
 
@@ -92,14 +102,14 @@ def pipeline_variants(numeric: Sequence[str], label: str) -> dict[str, Callable[
 
 def classifiers(label: str, key: str, order: Sequence[str], inputs: int, classes: int = 2) -> dict[str, Callable[[], Estimator]]:
     """Final classifiers by name; the perceptron has to know its number of inputs."""
-    def forest_of(trees: int = TREES, **params) -> RandomForestClassifier:
-        return RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=DEEPEST, seed=SEED, **params)
+    def forest_of(trees: int = TREES, share: str | None = "sqrt") -> GroveForest:
+        return GroveForest(Forest(trees, share=share), label, classify=True)
 
     def bayes() -> NaiveBayes:
         return NaiveBayes(labelCol=label, modelType="gaussian")
 
-    def tree_of() -> DecisionTreeClassifier:
-        return DecisionTreeClassifier(labelCol=label, maxDepth=DEEPEST, seed=SEED)
+    def tree_of() -> GroveForest:
+        return GroveForest(Forest(1, bootstrap=False), label, classify=True)
 
     def base() -> list[Estimator]:
         return [tree_of(), Neighbours(key, labelCol=label)]
@@ -112,10 +122,9 @@ def classifiers(label: str, key: str, order: Sequence[str], inputs: int, classes
             labelCol=label, layers=[inputs, PERCEPTRON_LAYER, classes], maxIter=PERCEPTRON_ROUNDS, seed=SEED),
         "vote": lambda: Voting([forest_of(), bayes()], soft=True),
         "forest": forest_of,
-        "bagging": lambda: forest_of(BAGGED_TREES, featureSubsetStrategy="all"),
-        "boosting": lambda: BoostedClassifier(label),
+        "bagging": lambda: forest_of(BAGGED_TREES, None),
+        "boosting": lambda: GroveBoost("ballot", Boost(ROUNDS, depth=1), label),
         "stacking": lambda: Stacking(base(), forest_of(), order, probabilities=True),
         "blending": lambda: Stacking(base(), forest_of(), order, folds=BLEND_FOLDS, probabilities=True),
-        "gradient": lambda: GBTClassifier(
-            labelCol=label, maxIter=BOOST_ROUNDS, maxDepth=BOOST_DEPTH, stepSize=BOOST_STEP, seed=SEED),
+        "gradient": lambda: GroveBoost("logistic", Boost(BOOST_ROUNDS, BOOST_STEP, BOOST_DEPTH), label),
     }

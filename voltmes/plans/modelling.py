@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voltmes.models import features as ft, selection, zoo
+from voltmes.models.forests import Forest
 from voltmes.models.isolation import isolation_scores
 from voltmes.operators import metrics, neighbors, splits
 from voltmes.plans import panel as p
@@ -211,27 +212,30 @@ def _register_fold_scores(name: str) -> None:
         return shown_scores(selection.compare(modelling_rows(spark, folder), _makers([name])))
 
 
-def _register_holdout_scores(name: str) -> None:
-    @query(f"hold_{name}")
+for _name in ("linear", "knn", "huber", "vote", "boosting", "stacking", "blending", "gradient", "histogram", "leafwise"):
+    _register_fold_scores(_name)
+
+
+FORESTS = {"tree": Forest(1, bootstrap=False), "forest": Forest(zoo.TREES), "bagging": Forest(zoo.BAGGED_TREES), "forest200": Forest(zoo.COMPARED_TREES)}
+
+
+def _register_forest_scores(name: str) -> None:
+    @query(f"cv_{name}")
     def scores(spark, folder):
-        placed = stored(splits.holdout(modelling_rows(spark, folder)).drop("position", "group_size"))
-        train, test = placed.where("role = 'train'"), placed.where("role = 'test'")
-        done = selection.predicted(_makers([name])[name], train, test, [TRUTH])
-        return shown_scores(metrics.regression_metrics(done))
+        """The trees of all folds are grown together."""
+        done = selection.forest_folds(modelling_rows(spark, folder), {name: FORESTS[name]}, FEATURES)
+        return shown_scores(metrics.fold_means(done, TRUTH))
 
 
-# Models of a few Spark jobs are fitted in every fold, those of hundreds of jobs once.
-for _name in ("linear", "knn", "tree", "forest", "bagging", "huber"):
-    _register_fold_scores(_name)
-for _name in ("vote", "boosting", "stacking", "blending", "gradient", "histogram", "leafwise"):
-    _register_holdout_scores(_name)
+for _name in FORESTS:
+    _register_forest_scores(_name)
 
 
 @query("model_board")
 def model_board(spark, folder):
     """Fold and holdout scores of every regressor side by side, best holdout first."""
-    names = list(zoo.regressors(TRUTH, "id", ["month", "regiao"]))
-    return shown_scores(selection.compare_with_holdout(modelling_rows(spark, folder), _makers(names)))
+    finals = zoo.regressors(TRUTH, "id", ["month", "regiao"])
+    return shown_scores(selection.board(modelling_rows(spark, folder), finals, lambda: ft.preparation(FEATURES, scaler="standard")))
 
 
 @query("feature_variants")
@@ -243,22 +247,28 @@ def feature_variants(spark, folder):
 
 @query("tuned_forest")
 def tuned_forest(spark, folder):
-    path = scratch_path(spark, "rfr_tuned")
-    return shown_scores(selection.tune_forest(modelling_rows(spark, folder), FEATURES, path))
+    """Every draw of the search with its parameters and fold scores; the best also on the last fifth."""
+    return shown_scores(selection.tune_forest(modelling_rows(spark, folder), FEATURES, scratch_path(spark, "models")))
+
+
+@query("global_forest")
+def global_forest(spark, folder):
+    """The tuned parameters, read back from the saved forest, for one forest of all regions and one of each; all saved and scored."""
+    rows, models = modelling_rows(spark, folder), scratch_path(spark, "models")
+    selection.tune_forest(rows, FEATURES, models)
+    return shown_scores(selection.train_tuned(rows, FEATURES, models))
 
 
 @query("region_forests")
 def region_forests(spark, folder):
     """One forest per region, each saved under the region's name."""
-    models = selection.region_models(
-        modelling_rows(spark, folder), lambda: ft.tree_pipeline(FEATURES, zoo.forest(TRUTH)), folder=scratch_path(spark, "models"))
+    models = selection.region_forests(modelling_rows(spark, folder), Forest(zoo.TREES), FEATURES, scratch_path(spark, "models"))
     return shown_scores(metrics.leaderboard(models.drop("model_path"), name="regiao"))
 
 
 @query("region_cv")
 def region_cv(spark, folder):
-    rows = modelling_rows(spark, folder)
-    return shown_scores(selection.region_folds(rows, lambda: ft.tree_pipeline(FEATURES, zoo.forest(TRUTH))))
+    return shown_scores(selection.region_forest_folds(modelling_rows(spark, folder), Forest(zoo.TREES), FEATURES))
 
 
 def _saved_forest(spark, folder, rows: DataFrame) -> str:
@@ -331,20 +341,24 @@ for _name in CLASSIFIERS:
 
 
 def classifier_folds(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    """A row per classifier: the mean of its scores in every ``fold``, or the reason why one of its fits failed."""
-    def job(name: str, fold: int):
-        train = rows.where(F.col("fold") != fold)
-        inputs = 1 + max(1, train.agg(F.count_distinct("lang")).first()[0])
-        make = zoo.classifiers("label", "doc_id", ["doc_id"], inputs)[name]
-        model = ft.sensitive_pipeline(["n_chars"], make(), categorical=["lang"]).fit(train)
-        tested = model.transform(rows.where(F.col("fold") == fold))
-        return tested.select(F.lit(name).alias("model"), "fold", "label", "prediction")
-
-    tasks = [(name, fold) for name in names for fold in range(splits.FOLDS)]
-    results = selection.side_by_side(rows.sparkSession, [lambda task=task: job(*task) for task in tasks])
-    done, failed = selection.finished([name for name, _ in tasks], results)
-    scored = metrics.classification_metrics(selection.stacked(done), by=["model", "fold"])
-    means = scored.groupBy("model").agg(*[F.avg(c).alias(c) for c in scored.columns if c not in ("model", "fold")])
+    """A row per classifier: the mean of its scores in every ``fold``, or the reason why one of its fits failed.
+
+    All classifiers share the prepared rows of a fold. The perceptron has as many inputs as the widest fold.
+    """
+    roles = {str(fold): F.when(F.col("fold") != fold, "train").otherwise("test") for fold in range(splits.FOLDS)}
+    parts = selection.prepared_splits(rows, lambda: ft.preparation(["n_chars"], ["lang"], scaler="standard"), roles, ["doc_id", "label"])
+    inputs = {part: train.select(F.size(vector_to_array("features"))).first()[0] for part, (train, _) in parts.items()}
+    done, failed = [], {}
+    # Inputs differ from fold to fold only if one lacks a language.
+    for width in sorted(set(inputs.values())):
+        finals = zoo.classifiers("label", "doc_id", ["doc_id"], width)
+        some, reasons = selection.split_scores(
+            {p: parts[p] for p in parts if inputs[p] == width}, {n: finals[n] for n in names}, metrics.classification_metrics)
+        done, failed = done + some, failed | reasons
+    columns = [c for c in done[0] if c not in ("model", "split")]
+    scored = rows.sparkSession.createDataFrame(
+        [(r["model"], *[r[c] for c in columns]) for r in done if r["model"] not in failed], f"model string, {', '.join(f'{c} double' for c in columns)}")
+    means = scored.groupBy("model").agg(*[F.avg(c).alias(c) for c in columns])
     return selection.with_notes(means.withColumn("notes", F.lit("")), failed, "model")
 
 
