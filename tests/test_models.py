@@ -7,7 +7,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from voltmes.models import features as ft, selection, zoo
-from voltmes.models.ensembles import BoostedClassifier, BoostedRegressor, Neighbours, ScaledLabel, Stacking, Voting, mean_vote
+from voltmes.models.ensembles import Neighbours, ScaledLabel, Stacking, Voting, mean_vote
+from voltmes.models.forests import Boost, Forest, GroveBoost, GroveForest
 from voltmes.models.isolation import isolation_scores
 from voltmes.session import scratch_path, stored
 
@@ -119,9 +120,9 @@ def test_regressors(rows, name, least):
 
 
 def test_ensembles(rows):
-    assert beats_the_mean(rows, BoostedRegressor("consumo", rounds=8, depth=3)) > 0.95
+    assert beats_the_mean(rows, GroveBoost("median", Boost(8, depth=3), "consumo")) > 0.95
     assert beats_the_mean(rows, Voting([zoo.linear("consumo"), zoo.tree("consumo")])) > 0.95
-    stack = Stacking([zoo.tree("consumo"), Neighbours("id", labelCol="consumo")], zoo.forest("consumo", trees=10), ["month", "regiao"], folds=3)
+    stack = Stacking([zoo.tree("consumo"), Neighbours("id", labelCol="consumo")], GroveForest(Forest(10), "consumo"), ["month", "regiao"], folds=3)
     assert beats_the_mean(rows, stack) > 0.9
 
 
@@ -134,7 +135,7 @@ def test_boosted_classifier(spark):
     data = [(float(i), float(j), 1.0 if i + j > 9 else 0.0) for i in range(10) for j in range(10)]
     df = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(spark.createDataFrame(data, "x double, y double, label double"))
     right = {
-        rounds: BoostedClassifier("label", rounds=rounds).fit(df).transform(df).where("label = prediction").count() for rounds in (1, 20)}
+        rounds: GroveBoost("ballot", Boost(rounds, depth=1), "label").fit(df).transform(df).where("label = prediction").count() for rounds in (1, 20)}
     assert right[20] > 90 and right[20] > right[1] + 10
 
 

@@ -1,4 +1,4 @@
-"""Learners that Spark ML lacks, built from its own: neighbours, AdaBoost, voting and stacking.
+"""Learners that Spark ML lacks: neighbours, voting and stacking.
 
 They follow the Estimator/Model protocol, so they end a pipeline as any regressor does.
 """
@@ -7,13 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from math import exp, log
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voltmes.operators.neighbors import mean_of_neighbours, nearest, vote_of_neighbours
@@ -117,117 +114,6 @@ class VotingModel(Model):
         return df.withColumn("prediction", prediction).drop(*votes)
 
 
-class _Boosting(Estimator):
-    """Rounds of trees on reweighted rows. The weights travel with the rows, nothing of them is collected."""
-
-    def __init__(self, labelCol: str = "label", rounds: int = ROUNDS, depth: int = 1, seed: int = 42):
-        super().__init__()
-        self.label, self.rounds, self.depth, self.seed = labelCol, rounds, depth, seed
-
-    def tree(self, round_: int) -> Estimator:
-        raise NotImplementedError
-
-    def judge(self, rows: DataFrame, first: bool) -> tuple[float | None, Column | None]:
-        """The tree's vote (none for a useless tree) and the factor for each row's weight (none to stop)."""
-        raise NotImplementedError
-
-    def _boost(self, df: DataFrame) -> tuple[list[Model], list[float]]:
-        """Each round's weights are stored, so that no round's plan holds the rounds before it."""
-        rows = stored(df.select("features", F.col(self.label).cast("double").alias("label"), F.lit(1.0).alias("weight")))
-        trees, votes = [], []
-        for round_ in range(self.rounds):
-            tree = self.tree(round_).fit(rows)
-            judged = tree.transform(rows).select("features", "label", "weight", "prediction")
-            vote, factor = self.judge(judged, first=not trees)
-            if vote is not None:
-                trees.append(tree)
-                votes.append(vote)
-            if factor is None:
-                break
-            if round_ + 1 < self.rounds:
-                rows = stored(judged.select("features", "label", (F.col("weight") * factor).alias("weight")), "boosting")
-        return trees, votes
-
-
-class BoostedRegressor(_Boosting):
-    """AdaBoost.R2 with linear loss and a weighted-median answer."""
-
-    def tree(self, round_):
-        return DecisionTreeRegressor(labelCol="label", weightCol="weight", maxDepth=self.depth, seed=self.seed + round_)
-
-    def judge(self, rows, first):
-        error = F.abs(F.col("label") - F.col("prediction"))
-        n, worst, total, wrong = rows.agg(F.count("*"), F.max(error), F.sum("weight"), F.sum(F.col("weight") * error)).first()
-        loss = wrong / worst / total if worst else 0.0
-        if loss <= 0:
-            return 1.0, None
-        if loss >= 0.5:
-            return (1.0, None) if first else (None, None)
-        beta = loss / (1 - loss)
-        # Scaled back to a mean weight near 1, so that the weights do not fade over the rounds.
-        return log(1 / beta), F.pow(F.lit(beta), 1 - error / worst) * F.lit(n / total)
-
-    def _fit(self, df: DataFrame) -> BoostedRegressorModel:
-        return BoostedRegressorModel(*self._boost(df))
-
-
-class BoostedClassifier(_Boosting):
-    """AdaBoost for any number of classes; the class with the greatest sum of votes wins."""
-
-    def tree(self, round_):
-        return DecisionTreeClassifier(labelCol="label", weightCol="weight", maxDepth=self.depth, seed=self.seed + round_)
-
-    def judge(self, rows, first):
-        missed = F.col("label") != F.col("prediction")
-        n, classes, total, wrong = rows.agg(
-            F.count("*"), F.count_distinct("label"), F.sum("weight"), F.sum(F.when(missed, F.col("weight")).otherwise(0.0))).first()
-        loss = wrong / total
-        if loss <= 0:
-            return 1.0, None
-        if loss >= 1 - 1 / max(classes, 2):
-            return (1.0, None) if first else (None, None)
-        vote = log((1 - loss) / loss) + log(max(classes, 2) - 1)
-        return vote, F.when(missed, F.lit(exp(vote))).otherwise(1.0) * F.lit(n / total)
-
-    def _fit(self, df: DataFrame) -> BoostedClassifierModel:
-        return BoostedClassifierModel(*self._boost(df))
-
-
-class _BoostedModel(Model):
-    def __init__(self, trees: Sequence[Model], votes: Sequence[float]):
-        super().__init__()
-        self.trees, self.votes = list(trees), list(votes)
-
-    def combine(self, answers: Column) -> Column:
-        raise NotImplementedError
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        kept = df.columns
-        for i, tree in enumerate(self.trees):
-            df = tree.transform(df).select(*kept, *[f"_tree{j}" for j in range(i)], F.col("prediction").alias(f"_tree{i}"))
-        answers = F.array(*[
-            F.struct(F.col(f"_tree{i}").alias("answer"), F.lit(vote).alias("vote")) for i, vote in enumerate(self.votes)])
-        return df.withColumn("prediction", self.combine(answers)).select(*kept, "prediction")
-
-
-class BoostedRegressorModel(_BoostedModel):
-    def combine(self, answers):
-        half = sum(self.votes) / 2
-        start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("answer"))
-        return F.aggregate(F.array_sort(answers), start, lambda s, a: F.struct(
-            (s["sum"] + a["vote"]).alias("sum"),
-            F.when(s["sum"] < half, a["answer"]).otherwise(s["answer"]).alias("answer")))["answer"]
-
-
-class BoostedClassifierModel(_BoostedModel):
-    def combine(self, answers):
-        classes = F.array_distinct(F.transform(answers, lambda a: a["answer"]))
-        tallies = F.transform(classes, lambda c: F.struct(
-            F.aggregate(answers, F.lit(0.0), lambda s, a: s + F.when(a["answer"] == c, a["vote"]).otherwise(0.0)).alias("votes"),
-            (-c).alias("order")))
-        return -F.array_max(tallies)["order"]
-
-
 class Stacking(Estimator):
     """A final learner on out-of-fold answers of the base learners.
 

@@ -94,9 +94,9 @@ def scaled(numeric: Sequence[str], regressor: Estimator, categorical: Sequence[s
 def pipeline_variants(numeric: Sequence[str], label: str) -> dict[str, Callable[[], Pipeline]]:
     """Three ways to prepare the same forest: filled only, power + standard scale, power + robust scale."""
     return {
-        "tree": lambda: tree_pipeline(numeric, forest(label)),
-        "sensitive_std": lambda: sensitive_pipeline(numeric, forest(label), "standard", power=True),
-        "sensitive_robust": lambda: sensitive_pipeline(numeric, forest(label), "robust", power=True),
+        "tree": lambda: tree_pipeline(numeric, GroveForest(Forest(TREES), label)),
+        "sensitive_std": lambda: sensitive_pipeline(numeric, GroveForest(Forest(TREES), label), "standard", power=True),
+        "sensitive_robust": lambda: sensitive_pipeline(numeric, GroveForest(Forest(TREES), label), "robust", power=True),
     }
 
 

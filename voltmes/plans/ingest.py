@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from voltmes.functions.advice import recommend
 from voltmes.functions.numbers import format_ptbr
+from voltmes.operators.ordering import top_rows
+from voltmes.operators.outliers import winsorize
 from voltmes.plans import panel as p
 from voltmes.plans.panel import MEASURES, PANEL_SQL
 from voltmes.plans.registry import query, r, rounded, rs
-from voltmes.plans.relational import LAG_SQL, prepared
+from voltmes.plans.relational import LAG_SQL, SAMPLE_ROWS, WET_REGIONS, lagged_panel
 from voltmes.session import scratch_path
 from voltmes.sources import census, ptbr_csv, stations
 
@@ -58,14 +61,33 @@ def scan_encoding(spark, folder):
     return ptbr_csv.read_any_encoding(spark, path)
 
 
-@query("prepared_sink", f"""{LAG_SQL}
-SELECT mes_ano, regiao, {rs('consumo lag1 lag12')} FROM lagged WHERE lag12 IS NOT NULL AND regiao = 'ASIA'""")
+PREPARED = "consumo_clean consumo_wins lag1 lag12 dias_chuva precip_mm pressao_mb temp_c vento_max vento_med"
+
+
+@query("prepared_sink", f"""{LAG_SQL}, b AS (SELECT quantile_cont(consumo, 0.005) AS low, quantile_cont(consumo, 0.995) AS high FROM lagged),
+t AS (SELECT lagged.*, consumo AS consumo_clean, least(greatest(consumo, low), high) AS consumo_wins FROM lagged, b)
+SELECT mes_ano, regiao, ano, mes, {rs(PREPARED)}, {r('roll3', 4)} FROM t
+WHERE consumo IS NOT NULL AND lag1 IS NOT NULL AND lag12 IS NOT NULL AND roll3 IS NOT NULL""")
 def prepared_sink(spark, folder):
-    """The stored table is partitioned by region, so one region is read without the others."""
-    rows = prepared(spark, folder).select("mes_ano", "regiao", "consumo", "lag1", "lag12")
-    path = ptbr_csv.write_prepared(rows, scratch_path(spark, "prepared"))
-    asia = spark.read.parquet(path).where(F.col("regiao") == "ASIA")
-    return rounded(asia.select("mes_ano", "regiao", "consumo", "lag1", "lag12"))
+    """The modelling table with the target as parsed and winsorized over all rows, stored by region and read back whole."""
+    rows = lagged_panel(spark, folder).withColumn("consumo_clean", F.col("consumo"))
+    rows = winsorize(rows, "consumo_clean", "consumo_wins", rows).na.drop(subset=["consumo_wins", "lag1", "lag12", "roll3"])
+    path = ptbr_csv.write_prepared(rows.select("mes_ano", "regiao", "ano", "mes", *PREPARED.split(), "roll3"), scratch_path(spark, "prepared"))
+    return rounded(spark.read.parquet(path).select("mes_ano", "regiao", "ano", "mes", *PREPARED.split(), "roll3"), roll3=4)
+
+
+@query("recommend_sink", PANEL_SQL + f""", adv AS (
+SELECT *, concat_ws('; ', CASE WHEN vento_med >= 6 THEN 'Eólica' END,
+    CASE WHEN precip_mm >= 200 AND lower(regiao) IN ('africa', 'asia') THEN 'Hidrelétrica / Pequenas Centrais Hidrelétricas (PCH)' END,
+    CASE WHEN precip_mm < 100 AND temp_c >= 22 THEN 'Solar fotovoltaica' END) AS rec FROM panel ORDER BY mes_ano, regiao LIMIT 200)
+SELECT mes_ano, regiao, {rs('consumo temp_c precip_mm vento_med', 4)}, CASE WHEN rec = '' THEN 'Solar fotovoltaica (padrão)' ELSE rec END AS recomendacao FROM adv""")
+def recommend_sink(spark, folder):
+    """The first rows of the panel with consumption and advice, written with decimal commas and read back."""
+    advice = recommend(F.col("regiao"), F.col("precip_mm"), F.col("temp_c"), F.col("vento_med"), WET_REGIONS)
+    numbers = ["consumo", "temp_c", "precip_mm", "vento_med"]
+    rows = p.panel(spark, folder).select("mes_ano", "regiao", *numbers, advice.alias("recomendacao"))
+    path = ptbr_csv.write_ptbr_csv(top_rows(rows, ["mes_ano", "regiao"], SAMPLE_ROWS), scratch_path(spark, "recommend"))
+    return rounded(ptbr_csv.read_ptbr_csv(spark, path, numbers, rows.columns), 4)
 
 
 # Station files: one station per state, named after it.

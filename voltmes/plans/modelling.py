@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voltmes.models import features as ft, selection, zoo
+from voltmes.models import features as ft, scoring, selection, zoo
+from voltmes.models.foldfits import linear_folds
 from voltmes.models.forests import Forest
 from voltmes.models.isolation import isolation_scores
-from voltmes.operators import metrics, neighbors, splits
+from voltmes.operators import metrics, neighbors, outliers, splits, windows
 from voltmes.plans import panel as p
 from voltmes.plans.panel import MEASURES, NUMBERS, PANEL_SQL
 from voltmes.plans.registry import query, r, rounded, rs
@@ -212,10 +214,16 @@ def _register_fold_scores(name: str) -> None:
         return shown_scores(selection.compare(modelling_rows(spark, folder), _makers([name])))
 
 
-for _name in ("linear", "knn", "huber", "vote", "boosting", "stacking", "blending", "gradient", "histogram", "leafwise"):
+for _name in ("knn", "huber", "vote", "boosting", "stacking", "blending", "gradient", "histogram", "leafwise"):
     _register_fold_scores(_name)
 
 
+@query("cv_linear")
+def cv_linear(spark, folder):
+    """The fits of all folds come from one pass over the rows."""
+    return shown_scores(metrics.fold_means(linear_folds(modelling_rows(spark, folder), FEATURES), TRUTH))
+
+
 FORESTS = {"tree": Forest(1, bootstrap=False), "forest": Forest(zoo.TREES), "bagging": Forest(zoo.BAGGED_TREES), "forest200": Forest(zoo.COMPARED_TREES)}
 
 
@@ -238,6 +246,17 @@ def model_board(spark, folder):
     return shown_scores(selection.board(modelling_rows(spark, folder), finals, lambda: ft.preparation(FEATURES, scaler="standard")))
 
 
+@query("winsor_board")
+def winsor_board(spark, folder):
+    """The models of the prepared table on its winsorized target, with bounds from the first four fifths."""
+    rows = modelling_rows(spark, folder)
+    train = splits.holdout(rows, test_rounds_down=True).where("role = 'train'")
+    rows = stored(outliers.winsorize(rows, TRUTH, "consumo_wins", train))
+    every = zoo.regressors("consumo_wins", "id", ["month", "regiao"])
+    finals = {name: every[name] for name in ("forest200", "histogram", "leafwise", "huber")}
+    return shown_scores(selection.board(rows, finals, lambda: ft.preparation(FEATURES, scaler="standard"), "consumo_wins"))
+
+
 @query("feature_variants")
 def feature_variants(spark, folder):
     """The same forest behind three ways to prepare its inputs."""
@@ -297,6 +316,26 @@ def saved_model_regions(spark, folder):
     return shown_scores(metrics.region_metrics(selection.score_rows(model, placed, "prediction")))
 
 
+LATER = 1997
+
+
+@query("predictions_sink", f"""{LAG_SQL}, line AS (SELECT regr_slope(consumo, lag12) AS slope, regr_intercept(consumo, lag12) AS base FROM lagged WHERE ano < {LATER} AND lag12 IS NOT NULL)
+SELECT mes_ano, regiao, {rs('consumo lag1 lag12')}, {r('base + slope * lag12', 2, 'pred_consumo')} FROM lagged, line WHERE ano >= {LATER} AND lag12 IS NOT NULL""")
+def predictions_sink(spark, folder):
+    """A line on the month a year before, learned and saved up to 1996; each later year arrives alone, is scored against the stored tail and written."""
+    rows = p.panel(spark, folder).select("month", "ano", *KEY, TRUTH)
+    models, out = scratch_path(spark, "models"), scratch_path(spark, "predictions")
+    history = rows.where(F.col("ano") < LATER)
+    known = windows.lag_features(history).where("lag12 is not null")
+    selection.save_model(Pipeline(stages=[VectorAssembler(inputCols=["lag12"], outputCol="features"), zoo.linear(TRUTH)]).fit(known), f"{models}/rfr")
+    scoring.save_tail(history, models)
+    for (year,) in sorted(rows.where(F.col("ano") >= LATER).select("ano").distinct().collect()):
+        model = selection.load_model(spark, models)
+        scoring.score_appended(lambda lagged: selection.score_rows(model, lagged.where("lag12 is not null")), rows.where(F.col("ano") == year), models, out)
+    written = spark.read.parquet(out)
+    return rounded(written.select(*KEY, TRUTH, "lag1", "lag12", "pred_consumo"), pred_consumo=2)
+
+
 @query("random_holdout_forest")
 def random_holdout_forest(spark, folder):
     rows = modelling_rows(spark, folder)

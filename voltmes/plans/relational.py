@@ -324,7 +324,7 @@ SELECT codigo, mes_ano, {r('dias_chuva')}, {r('precip_mm')} FROM lst WHERE regia
 UNION ALL SELECT codigo, mes_ano, NULL AS dias_chuva, {r('precip_mm')} FROM lst WHERE regiao = 'ASIA'""")
 def union_by_name(spark, folder):
     """Stations of one region do not report rain days."""
-    stations = p.located_station_months(spark, folder)
+    stations = stored(p.located_station_months(spark, folder))
     full = stations.where(F.col("regiao") != "ASIA").select("codigo", "mes_ano", "dias_chuva", "precip_mm")
     short = stations.where(F.col("regiao") == "ASIA").select("precip_mm", "mes_ano", "codigo")
     return rounded(full.unionByName(short, allowMissingColumns=True))
