@@ -112,11 +112,10 @@ class Broken:
 
 def test_whole_regression_board(rows):
     finals = {**zoo.regressors("consumo", "id", ["month", "regiao"]), "broken": Broken}
-    found = {r.model: r for r in selection.board(rows, finals, lambda: ft.preparation(NUMERIC, scaler="standard")).collect()}
+    found = {r.model: r for r in selection.board(rows, finals, lambda: ft.preparation(NUMERIC, scaler="standard"), folds=2).collect()}
     assert set(found) == set(finals) and found["broken"].notes == "ValueError: no" and found["broken"].hold_mae is None
     assert all(r.notes == "" and r.hold_mae > 0 and r.cv_mae > 0 for name, r in found.items() if name != "broken")
     assert found["linear"].hold_r2 > 0.9 and found["forest"].hold_r2 > 0.2
-    assert found["leafwise"].hold_mae != found["histogram"].hold_mae
 
 
 def test_whole_classification_board(spark):
