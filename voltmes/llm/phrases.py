@@ -7,8 +7,9 @@ each shard once. So a phrase counted from step s on is complete after step s + s
 complete long before as many whole scans as words have been made.
 
 What is active follows from the steps in which subphrases reached the threshold. A task sees these steps in a table of fixed
-size by hash, which lets through too much at worst; of the phrases that it counted those that stand often enough in any
-shard meet the exact steps in a join, and only counts from a phrase's own first step on are added up.
+size by hash, which lets through too much at worst; of the phrases that it counted those at places (again by hash) where one
+stands often enough in any shard meet the exact steps in a join, and only counts from a phrase's own first step on are
+added up.
 """
 
 from __future__ import annotations
@@ -25,13 +26,11 @@ from voltmes.llm.text import Block, blocks, mix, span_hashes, words
 from voltmes.session import scratch_path, stored
 
 LEAST, LONGEST, TOP, CONTAINED = 30, 4, 2000, 80
-SHARDS = 3
+SHARDS = 2
 #: Places of the table of steps (a power of two; a byte each), whatever the number of phrases.
 SLOTS = 1 << 22
 #: Texts counted together before their counts leave the task, in bytes.
 COUNTED_BYTES = 1 << 23
-#: Phrases that are looked up from every task; more of them are joined by a shuffle.
-BROADCAST_PHRASES = 500_000
 #: Parts of a language ranked apart before the best of all parts are ranked together.
 PARTS = 64
 _BREAK = np.zeros(256, bool)
@@ -199,10 +198,20 @@ def _counted(shard: DataFrame, sizes: list[int], steps: np.ndarray, after: int)
                     if len(place):
                         yield pa.RecordBatch.from_arrays([
                             pa.repeat(lang, len(place)), pa.array(np.full(len(place), size, np.int32)), found.phrases(size, place),
-                            pa.array(count, pa.int64())], ["lang", "size", "phrase", "c"])
+                            pa.array(_slot(found.hashes[size - 1][place], len(steps)).astype(np.int32)), pa.array(count, pa.int64())],
+                            ["lang", "size", "phrase", "slot", "c"])
 
-    counted = shard.select("lang", "words", "codes").mapInArrow(batches, "lang string, size int, phrase string, c long")
-    return counted.groupBy("lang", "size", "phrase").agg(F.sum("c").alias("c"))
+    counted = shard.select("lang", "words", "codes").mapInArrow(batches, "lang string, size int, phrase string, slot int, c long")
+    return counted.groupBy("lang", "size", "phrase", "slot").agg(F.sum("c").alias("c"))
+
+
+def _at_slots(counts: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """The rows at the wanted places, without a join or a shuffle of the others."""
+    def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            yield table.filter(pa.array(wanted[table.column("slot").to_numpy()]))
+
+    return counts.mapInArrow(batches, counts.schema)
 
 
 def _first(words_: str) -> Column:
@@ -221,7 +230,7 @@ def frequent_phrases(
         raise ValueError("phrases have 1 to 4 words, slots are a power of two, shards 1 to 30")
     spark = docs.sparkSession
     texts, path = _dealt(docs, lang, text, shards), scratch_path(spark, "phrases")
-    counts = "lang string, size int, phrase string, c long, step int, likely boolean"
+    counts = "lang string, size int, phrase string, slot int, c long, step int, likely boolean"
     facts = "lang string, size int, phrase string, f long, reached boolean, complete boolean, step int"
 
     def table(name: str, schema: str, condition: Column) -> DataFrame:
@@ -238,9 +247,9 @@ def frequent_phrases(
         _counted(texts.where(F.col("shard") == step % shards), sizes, steps, oldest).withColumn("likely", F.col("c") * shards >= least).write.partitionBy(
             "likely").parquet(f"{path}/counts/step={step}")
         window = table("counts", counts, (F.col("step") > oldest) & (F.col("step") <= step))
-        likely = stored(window.where("likely").select("lang", "phrase").distinct(), "likely")
-        likely = F.broadcast(likely) if likely.count() <= BROADCAST_PHRASES else likely
-        rows = _started_at(window.join(likely, ["lang", "phrase"], "left_semi"), table("facts", facts, F.col("reached")) if step else None)
+        likely = np.zeros(slots, bool)
+        likely[window.where("likely").select("slot").distinct().toArrow().column("slot").to_numpy()] = True
+        rows = _started_at(_at_slots(window.select("lang", "size", "phrase", "slot", "c", "step"), likely), table("facts", facts, F.col("reached")) if step else None)
         totals = rows.where((F.col("step") >= F.col("start")) & (F.col("start") > oldest)).groupBy("lang", "size", "phrase", "start").agg(
             F.sum("c").alias("f"), F.sum(F.when(F.col("step") == step, F.col("c")).otherwise(0)).alias("now"))
         totals.select("lang", "size", "phrase", "f", (F.col("f") - F.col("now") < least).alias("reached"), (F.col("start") == oldest + 1).alias("complete")).where(
