@@ -30,7 +30,7 @@ SHARDS = 2
 #: Places of the table of steps (a power of two; a byte each), whatever the number of phrases.
 SLOTS = 1 << 22
 #: Texts counted together before their counts leave the task, in bytes.
-COUNTED_BYTES = 1 << 23
+COUNTED_BYTES = 3 << 21
 #: Parts of a language ranked apart before the best of all parts are ranked together.
 PARTS = 64
 _BREAK = np.zeros(256, bool)
@@ -249,10 +249,13 @@ def frequent_phrases(
         window = table("counts", counts, (F.col("step") > oldest) & (F.col("step") <= step))
         likely = np.zeros(slots, bool)
         likely[window.where("likely").select("slot").distinct().toArrow().column("slot").to_numpy()] = True
-        rows = _started_at(_at_slots(window.select("lang", "size", "phrase", "slot", "c", "step"), likely), table("facts", facts, F.col("reached")) if step else None)
-        totals = rows.where((F.col("step") >= F.col("start")) & (F.col("start") > oldest)).groupBy("lang", "size", "phrase", "start").agg(
-            F.sum("c").alias("f"), F.sum(F.when(F.col("step") == step, F.col("c")).otherwise(0)).alias("now"))
-        totals.select("lang", "size", "phrase", "f", (F.col("f") - F.col("now") < least).alias("reached"), (F.col("start") == oldest + 1).alias("complete")).where(
+        # Few phrases stand often enough in the whole window; only those need their first step.
+        each = [F.sum(F.when(F.col("step") == s, F.col("c")).otherwise(0)).alias(f"c{s}") for s in range(max(0, oldest + 1), step + 1)]
+        summed = _at_slots(window.select("lang", "size", "phrase", "slot", "c", "step"), likely).groupBy("lang", "size", "phrase").agg(F.sum("c").alias("all"), *each)
+        rows = _started_at(summed.where(F.col("all") >= least), table("facts", facts, F.col("reached")) if step else None).where(F.col("start") > oldest)
+        total = sum((F.when(F.col("start") <= s, F.col(f"c{s}")).otherwise(0) for s in range(max(0, oldest + 1), step + 1)), F.lit(0))
+        rows.withColumn("f", total).select(
+            "lang", "size", "phrase", "f", (F.col("f") - F.col(f"c{step}") < least).alias("reached"), (F.col("start") == oldest + 1).alias("complete")).where(
             (F.col("f") >= least) & (F.col("reached") | F.col("complete"))).write.parquet(f"{path}/facts/step={step}")
 
         new = _slots(table("facts", facts, F.col("reached") & (F.col("size") < longest) & (F.col("step") == step)), slots).distinct().toArrow()
