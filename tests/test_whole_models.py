@@ -50,7 +50,7 @@ def test_boards_hold_every_model(spark, monkeypatch):
     empty = spark.createDataFrame([], "model string")
     monkeypatch.setattr(modelling, "modelling_rows", lambda *_: empty)
     monkeypatch.setattr(modelling, "labelled", lambda *_: spark.createDataFrame([(1, "a", 1.0, 0.0)], "doc_id long, lang string, n_chars double, label double"))
-    monkeypatch.setattr(selection, "compare_with_holdout", noted("regressors", empty))
+    monkeypatch.setattr(selection, "board", noted("regressors", empty))
     monkeypatch.setattr(modelling, "classifier_folds", noted("classifiers", empty))
     modelling.model_board(spark, "")
     modelling.cls_folds(spark, "")
