@@ -28,7 +28,7 @@ from voltmes.session import scratch_path, stored
 LEAST, LONGEST, TOP, CONTAINED = 30, 4, 2000, 80
 SHARDS = 2
 #: Places of the table of steps (a power of two; a byte each), whatever the number of phrases.
-SLOTS = 1 << 22
+SLOTS = 1 << 24
 #: Texts counted together before their counts leave the task, in bytes.
 COUNTED_BYTES = 3 << 21
 #: Parts of a language ranked apart before the best of all parts are ranked together.
