@@ -327,11 +327,18 @@ def predictions_sink(spark, folder):
     models, out = scratch_path(spark, "models"), scratch_path(spark, "predictions")
     history = rows.where(F.col("ano") < LATER)
     known = windows.lag_features(history).where("lag12 is not null")
-    selection.save_model(Pipeline(stages=[VectorAssembler(inputCols=["lag12"], outputCol="features"), zoo.linear(TRUTH)]).fit(known), f"{models}/rfr")
+    trained = not known.isEmpty()
+    if trained:
+        selection.save_model(Pipeline(stages=[VectorAssembler(inputCols=["lag12"], outputCol="features"), zoo.linear(TRUTH)]).fit(known), f"{models}/rfr")
     scoring.save_tail(history, models)
+
+    def score(lagged: DataFrame) -> DataFrame:
+        """Without any row to learn from there is no line, and no prediction."""
+        asking = lagged.where("lag12 is not null")
+        return selection.score_rows(selection.load_model(spark, models), asking) if trained else asking.withColumn("pred_consumo", F.lit(None).cast("double"))
+
     for (year,) in sorted(rows.where(F.col("ano") >= LATER).select("ano").distinct().collect()):
-        model = selection.load_model(spark, models)
-        scoring.score_appended(lambda lagged: selection.score_rows(model, lagged.where("lag12 is not null")), rows.where(F.col("ano") == year), models, out)
+        scoring.score_appended(score, rows.where(F.col("ano") == year), models, out)
     written = spark.read.parquet(out)
     return rounded(written.select(*KEY, TRUTH, "lag1", "lag12", "pred_consumo"), pred_consumo=2)
 
