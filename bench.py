@@ -22,6 +22,7 @@ HEADLINES = [
     "describe", "describe_readings", "quantiles", "iqr_readings", "corr_pearson", "corr_spearman_stations", "histogram",
     "holdout_bills", "holdout_random", "tscv_meter", "metrics_region", "leaderboard", "class_metrics",
     "standardize", "robust_scale", "linreg_readings", "knn_cls", "isolation_forest_stations", "cv_linear", "cv_forest",
+    "cv_leafwise", "tuned_forest", "predictions_sink",
 ]
 
 
