@@ -195,16 +195,19 @@ def test_token_cuts_give_the_tokenizer_s_ids():
 
     random.seed(2)
     bits = ["a", "b", "é", "Σ", "ς", " ", "  ", "\n", "\t", " ", " ", "'s", "'S", "1", "...", "<|endoftext|>", "é", " ́", "가", "\x1c", "😀", "\r\n", "don't", "ﬁ", "İ", " x"]
-    texts = TEXTS + ["".join(random.choice(bits) for _ in range(random.randint(0, 30))) for _ in range(600)] + ["x" * 300 + " y"]
+    special = ["a <|endoftext|> b <|startoftext|>", " <|endoftext|>x", "<|endoftext|>", "<|endoftext|>" * 9, "<| endoftext|>", " b<|endoftext|> \n<|endoftext|>c "]
+    texts = TEXTS + special + ["".join(random.choice(bits) for _ in range(random.randint(0, 30))) for _ in range(600)] + ["x" * 300 + " y"]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
-        plain = tokenizers.Tokenizer.from_file(public.path(name))
-        plain.encode_special_tokens = True
-        encoder = tokens.Encoder(public.path(name))
-        found = []
-        for block in all_blocks(texts, 2000):
-            ids, bounds = encoder.encode(block)
-            found += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
-        assert found == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+        for as_text in (False, True):
+            plain = tokenizers.Tokenizer.from_file(public.path(name))
+            if as_text:
+                plain.encode_special_tokens = True
+            encoder = tokens.Encoder(public.path(name), as_text)
+            found = []
+            for block in all_blocks(texts, 2000):
+                ids, bounds = encoder.encode(block)
+                found += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+            assert found == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_a_thinned_store_gives_the_same_ids(monkeypatch):

@@ -2,7 +2,8 @@
 
 A text is cut before white space that follows something else. No piece that the supplied tokenizers match crosses
 such a place, so the ids of a text are those of its cuts in order. Each different cut is encoded once per worker
-while it stays in a bounded store. Texts with unusual white space or control characters are encoded whole.
+while it stays in a bounded store. Texts with unusual white space, control characters or the tokenizer's special
+tokens (such as ``<|endoftext|>``, one id each unless ``special_as_text``) are encoded whole.
 """
 
 from __future__ import annotations
@@ -28,11 +29,14 @@ _SUSPECT[[*range(9), *range(14, 32), 127, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        #: Never matches if there are none.
+        self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added) or rb"(?!)")
         self._forget()
 
     def _forget(self) -> None:
@@ -95,10 +99,10 @@ class Encoder:
         opens = SPACE[data]
         opens[1:] &= ~SPACE[data[:-1]]
         raw = data.tobytes()
-        odd = bool(_SUSPECT[data].any() and _UNUSUAL.search(raw))
+        odd = bool(self.added.search(raw) or _SUSPECT[data].any() and _UNUSUAL.search(raw))
         if odd:
             for low, high in zip(bounds[:-1], bounds[1:]):
-                if _UNUSUAL.search(raw, low, high):
+                if _UNUSUAL.search(raw, low, high) or self.added.search(raw, low, high):
                     opens[low:high] = False
         opens[bounds[bounds < n]] = True
         begins = np.flatnonzero(opens)
@@ -113,7 +117,8 @@ class Encoder:
         first, last = content[places[:-1]], content[places[1:] - 1]
         usual = (np.diff(places) <= LONGEST) & (first <= 32) & (last > 32)
         if odd:
-            usual &= np.fromiter((c[-1] < 128 or not c.decode("utf-8", "replace")[-1].isspace() for c in different), bool, len(different))
+            usual &= np.fromiter(
+                ((c[-1] < 128 or not c.decode("utf-8", "replace")[-1].isspace()) and not self.added.search(c) for c in different), bool, len(different))
         kept, rare = np.flatnonzero(usual).tolist(), np.flatnonzero(~usual).tolist()
         places = np.empty(len(different), np.int64)
         places[kept] = self._learn([different[i] for i in kept])
@@ -147,9 +152,9 @@ def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
 
 
 @lru_cache(1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """One per worker and file."""
-    return Encoder(path)
+    return Encoder(path, special_as_text)
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
