@@ -17,6 +17,7 @@ from voltmes.session import stored
 
 #: Per source one row of facts; up to so many are sent to all tasks, more are joined with a shuffle.
 BROADCAST_SOURCES = 100_000
+_RESULTS = ["_size", "_source_size", "_target", "_taken"]
 _SYMBOLS = "#*$%&|<>{}[]^~_=+\\@0123456789"
 
 
@@ -36,17 +37,30 @@ def mix(
 ) -> DataFrame:
     """The rows with ``_size, _source_size, _target, _taken``; sizes are words of the text, a null text has none.
 
+    Columns of the caller named like these four are replaced, all others come back as they are.
+
     Sources in code point order, null last, have the ``weights`` in turn and share ``percent`` % of all words by
     weight. No target exceeds ``most`` times its source's words; the excess goes to the others by weight. ``_taken``
     counts the words the mix takes of a document, repeats included; only the document in which a budget ends gives
     a part of its words, and rows that can't be told apart give like parts. A rerun takes the same.
     """
+    options = dict(weights=weights, percent=percent, most=most, weight=weight, seed=seed, broadcast_sources=broadcast_sources)
+    own = [F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in _RESULTS]
+    return _mixed(docs, id, text, source, **options).select(*own, *_RESULTS)
+
+
+def _mixed(
+    docs: DataFrame, id: str, text: str, source: str, *, weights: Sequence[int] = (3, 1, 2), percent: int = 150, most: int = 2,
+    weight: Column | None = None, seed: int = 1, broadcast_sources: int = BROADCAST_SOURCES,
+) -> DataFrame:
+    """(_row, _size, _source_size, _target, _taken): the caller's columns lie in ``_row``, where no name can meet another."""
     words = word_count(F.col(text))
     quality = F.coalesce(weight if weight is not None else quality_weight(F.col(text)), F.lit(0.1))
     drawn = F.xxhash64(F.lit(seed), F.col(id), F.col(text))
     key = F.log(-F.log((F.pmod(drawn, F.lit(1 << 52)) + 0.5) / (1 << 52))) - F.log(quality)
-    marked = docs.withColumns({
-        "_size": words, "_key": key, "_mark": drawn, "_source": F.coalesce(F.concat(F.lit("s"), source), F.lit("-"))})
+    marked = docs.select(
+        F.struct("*").alias("_row"), words.alias("_size"), key.alias("_key"), drawn.alias("_mark"),
+        F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("-")).alias("_source"))
     sized = stored(marked.select("_source", "_size", "_key", "_mark"), "sizes")
     sources = stored(_targets(sized, weights, percent, most), "sources")
     cuts = stored(_cuts(sized, sources), "cuts")
@@ -56,7 +70,7 @@ def mix(
     at = F.struct("_key", "_mark") == F.struct(F.col("_cut._key"), F.col("_cut._mark"))
     part = F.when(F.col("_rest") == 0, 0).when(behind, F.col("_size")).when(at, F.col("_part")).otherwise(0)
     taken = F.col("_epochs") * F.col("_size") + part
-    return joined.withColumn("_taken", taken.cast("long")).select(*docs.columns, "_size", "_source_size", "_target", "_taken")
+    return joined.withColumn("_taken", taken.cast("long")).select("_row", *_RESULTS)
 
 
 def _targets(sized: DataFrame, weights: Sequence[int], percent: int, most: int) -> DataFrame:
@@ -109,5 +123,5 @@ def _ending(sums: DataFrame, ends: DataFrame, by: str) -> DataFrame:
 def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """Whole documents, each as often as the mix takes it; one that gives a part stays if it gives half or more."""
     copies = F.floor(F.col("_taken") / F.greatest(F.col("_size"), F.lit(1)) + 0.5).cast("int")
-    repeated = mix(docs, id, text, source, **options).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return repeated.select(*docs.columns)
+    repeated = _mixed(docs, id, text, source, **options).select("_row", F.explode(F.array_repeat(F.lit(1), copies)))
+    return repeated.select("_row.*")
