@@ -30,6 +30,9 @@ SMOOTHING = 10.0
 #: Rejected: a posterior below this, or a mean log-likelihood per trigram this much below that of the language's own texts.
 LEAST_POSTERIOR = 0.5
 MARGIN = 3.0
+#: A declared name whose texts hold fewer different trigrams is no language: one text of a few repeated strings would
+#: vouch for itself. A sentence of seven words holds as many.
+LEAST_TRIGRAMS = 30
 #: Hosts whose priors are sent to all tasks, at most; more are joined with a shuffle.
 BROADCAST_HOSTS = 100_000
 
@@ -69,7 +72,7 @@ class Model:
 def fit(docs: DataFrame, text: str, declared: Column, sample: int = SAMPLE) -> Model:
     """From about ``sample`` texts of each declared language, chosen by a hash of the text; rare languages from all theirs.
 
-    A language without a single trigram in its texts has no model; an empty declaration is a missing one.
+    A name with fewer than ``LEAST_TRIGRAMS`` different trigrams in its texts has no model; an empty declaration is a missing one.
     """
     rows = docs.select(F.col(text).alias("text"), declared.alias("lang")).where("text is not null and lang <> ''")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
@@ -80,22 +83,23 @@ def fit(docs: DataFrame, text: str, declared: Column, sample: int = SAMPLE) -> M
     chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), np.int64)
+        numbers = {name: i for i, name in enumerate(languages)}
         for batch in batches:
-            names, done = np.array([languages.index(x) for x in batch.column(1).to_pylist()], np.int64), 0
+            names, done = np.array([numbers[x] for x in batch.column(1).to_pylist()], np.int64), 0
             for block in blocks(batch.column(0)):
                 bucket, inside = trigrams(block)
                 own = np.repeat(names[done:done + len(block)], np.diff(block.bounds))
-                total += np.bincount((own * BUCKETS + bucket)[inside], minlength=total.size).reshape(total.shape)
+                # Spark adds these up in the same task; nothing here grows with the number of languages.
+                pair, n = np.unique((own * BUCKETS + bucket)[inside], return_counts=True)
+                lang, bucket = np.divmod(pair, BUCKETS)
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(n, pa.int64())], ["lang", "bucket", "n"])
                 done += len(block)
-        lang, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[lang, bucket])], ["lang", "bucket", "n"])
 
     # At most a row per language and bucket.
     summed = chosen.mapInArrow(counted, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(languages), BUCKETS))
     counts[summed.column("lang").to_numpy(), summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
-    known = counts.any(axis=1)
+    known = (counts > 0).sum(axis=1) >= LEAST_TRIGRAMS
     return Model([name for name, k in zip(languages, known) if k], counts[known])
 
 
@@ -141,7 +145,9 @@ def identify(
         empty = "struct<language string, probability double, text_language string, mean double, accepted boolean>"
         return docs.withColumn(out, F.struct(F.lit(None), F.lit(None), F.lit(None), F.lit(None), F.lit(False)).cast(empty))
     seen = [F.coalesce(c, F.lit("")) for c in (declared, host, suffix)]
-    evidence = docs.withColumn("_evidence", F.struct(likelihoods(F.col(text), model).alias("l"), *[c.alias(n) for c, n in zip(seen, "dhs")]))
+    # The caller's columns lie in ``_row``, where no name can meet another.
+    facts = F.struct(likelihoods(F.col(text), model).alias("l"), *[c.alias(n) for c, n in zip(seen, "dhs")])
+    evidence = docs.select(F.struct("*").alias("_row"), facts.alias("_evidence"))
     said = F.slice("_evidence.l", 1, len(names))
     trigram_count = F.get("_evidence.l", F.lit(len(names)))
     best = F.array_position(said, F.array_max(said)).cast("int") - 1
@@ -171,8 +177,9 @@ def identify(
     result = F.struct(
         F.get(listed, at).alias("language"), probability.alias("probability"), F.when(trigram_count > 0, F.get(listed, best)).alias("text_language"),
         F.when(trigram_count > 0, mean).alias("mean"), F.coalesce(accepted, F.lit(False)).alias("accepted"))
-    columns = [c for c in docs.columns if c.lower() != out.lower()]
-    return joined.withColumn("_posterior", posterior).select(*columns, result.alias(out))
+    columns = [F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() != out.lower()]
+    judged = joined.withColumn("_posterior", posterior).select("_row", result.alias("_judged"))
+    return judged.select(*columns, F.col("_judged").alias(out))
 
 
 def _priors(tallies: DataFrame, everywhere: list[float]) -> DataFrame:
