@@ -155,6 +155,47 @@ def test_mix(spark, docs):
     assert mixed_documents(docs).columns == docs.columns
 
 
+#: Names that the operators use within themselves.
+INTERNAL = ["_source", "_key", "_size", "_mark", "_copy", "_target", "_rest", "_cut", "_part", "_epochs", "_taken", "_source_size", "_row",
+            "_evidence", "_posterior", "_h", "_s", "_prior", "_language", "position", "row", "l", "a.b"]
+
+
+def test_columns_named_like_internal_ones_keep_their_values(spark):
+    rows = [(i, f"the quick brown fox number {i} and the lazy dog of the old house by the river", "en", f"s{i % 3}", *[f"{n}{i}" for n in INTERNAL]) for i in range(30)]
+    table = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *INTERNAL]).repartition(3)
+    own = {r[0]: tuple(r) for r in rows}
+    repeated = mixed_documents(table)
+    assert repeated.columns == table.columns
+    found = [tuple(r) for r in repeated.collect()]
+    assert {r[0] for r in found} <= set(own) and len(found) > 30 and all(r == own[r[0]] for r in found)
+    plain = {r.doc_id: r for r in mix(table.select("doc_id", "text", "lang", "source")).collect()}
+    results = ["_size", "_source_size", "_target", "_taken"]
+    for r in mix(table).collect():
+        assert [r[c] for c in results] == [plain[r.doc_id][c] for c in results]
+        assert all(r[c] == f"{c}{r.doc_id}" for c in INTERNAL if c not in results)
+    kept = keep_identified(table, declared=F.col("lang"), host=F.col("source"))
+    assert kept.columns == table.columns and {r[0]: tuple(r) for r in kept.collect()} == own
+    for r in identify(table, declared=F.col("lang"), host=F.col("source")).collect():
+        assert r["_language"].accepted and all(r[c] == f"{c}{r.doc_id}" for c in INTERNAL if c != "_language")
+
+
+def test_a_long_passage_pasted_twice_is_dropped(spark):
+    def pasted(n):
+        passage = [f"p{i}" for i in range(n)]
+        return " ".join([*passage, *(f"x{i}" for i in range(3000)), *passage, *(f"y{i}" for i in range(3000))])
+
+    table = spark.createDataFrame([(n, pasted(n)) for n in (40, 50, 51, 60)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in keep_unrepetitive(table).collect()) == [40, 50]
+
+
+def test_junk_does_not_vouch_for_itself(spark):
+    prose = "the quick brown fox and the lazy dog were sleeping in the old house by the river when a small boat came along "
+    rows = [(i, prose * (1 + i % 3), "en") for i in range(30)] + [(100 + i, "qzqx jwvk " * (30 + i), "zz") for i in range(3)] + [(200, "qzqx jwvk " * 30, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert fit(table, "text", F.col("lang")).languages == ["en"]
+    assert sorted(r.doc_id for r in keep_identified(table, declared=F.col("lang")).collect()) == list(range(30))
+
+
 def test_nearest(spark):
     rows = [(i, [float((i * 7 + d * 3) % 11 - 5) for d in range(6)], "c") for i in range(200)] + [
         (500, None, "c"), (501, [0.0] * 6, "c"), (502, [float("nan")] + [1.0] * 5, "c"), (503, [float("inf")] + [1.0] * 5, "c"),

@@ -19,7 +19,7 @@ from voltmes.llm.text import SPACE, Block, blocks, by_owner, lists, new_runs, ow
 #: Shortest repeat in words; a repeat of a passage is a sign of junk if it covers much of the text or is long.
 MIN_WORDS = 8
 MAX_COVERED = 40
-MAX_LONGEST = 100
+MAX_LONGEST = 50
 MIN_TEXT = 20
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
