@@ -54,6 +54,36 @@ def test_station_dimension_is_keyed_by_code(spark, station_folder):
     assert (row.latitude, row.altitude, row.situacao, row.data_final) == (-14.46944443, 663.53, "Desativada", datetime.date(2018, 6, 20))
 
 
+def test_station_files_are_read_in_one_scan(spark, station_folder):
+    files = stations.station_lines(spark, station_folder)
+    for found in (stations.station_months(stations.station_cells(files)), stations.station_dimension(files), stations.quarantine(files)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan and plan.count("FileScan") == 1
+
+
+def test_what_cannot_be_read_is_counted(spark, tmp_path):
+    station_file(tmp_path, "A1", "BELÉM", FULL, ["2004-01-31;1;2;3;4;5;6;", "2004-02-31;1;2;3;4;5;6;", "", "fim", "2004-03-31;1;2;3;4;5;6;7;"])
+    station_file(tmp_path, "A2", "X", "", ["2004-01-31;1;2;3;4;5;6;", "2004-02-29;1;2;3;4;5;6;"])
+    (tmp_path / "latin.csv").write_bytes(f"Nome: BELÉM\r\nCodigo Estacao: A3\r\n\r\n{FULL}\r\n2004-01-31;1;2;3;4;5;6;\r\n".encode("latin1"))
+    (tmp_path / "bom.csv").write_text(f"\ufeffNome: Y\nCodigo Estacao: A4\n\n{FULL}\n2004-01-31;1;2;3;4;5;6;\n", encoding="utf-8")
+    (tmp_path / "codeless.csv").write_text(f"{FULL}\n2004-01-31;1;2;3;4;5;6;\n")
+    (tmp_path / "empty.csv").write_bytes(b"")
+    (tmp_path / "zeros.csv").write_bytes(b"PK\x00\x01;;")
+    (tmp_path / "notes.csv").write_text("some notes\nwithout numbers\n")
+    (tmp_path / "bare.csv").write_text(f"Codigo Estacao: A5\n{FULL}\n")
+    files = stations.station_lines(spark, str(tmp_path))
+    found = sorted((r.file.split("/")[-1].split("_")[1 if "dados" in r.file else 0], r.codigo or "", r.reason, r.line_no or 0, r.line or "") for r in stations.quarantine(files).collect())
+    good = "1;2;3;4;5;6;"
+    assert found == [
+        ("A1", "A1", "date", 13, f"2004-02-31;{good}"), ("A1", "A1", "line", 15, "fim"), ("A1", "A1", "surplus", 16, f"2004-03-31;{good}7;"),
+        ("A2", "A2", "no header", 12, f"2004-01-31;{good}"), ("A2", "A2", "no header", 13, f"2004-02-29;{good}"), ("codeless.csv", "", "no code", 2, f"2004-01-31;{good}"),
+        ("notes.csv", "", "no header", 1, ""), ("zeros.csv", "", "corrupt", 0, "")]
+    months = [(r.codigo, str(r.data)) for r in stations.station_months(stations.station_cells(files)).collect()]
+    assert sorted(months) == [("A1", "2004-01-31"), ("A1", "2004-03-31"), ("A1", "None"), ("A3", "2004-01-31"), ("A4", "2004-01-31")]
+    names = {r.codigo: r.nome for r in stations.station_dimension(files).collect()}
+    assert names == {"A1": "BELÉM", "A2": "X", "A3": "BELÉM", "A4": "Y", "A5": None}
+
+
 def census_file(folder, name, lines):
     (folder / name).write_text("\n".join(lines) + "\n", encoding="utf-8")
 

@@ -55,9 +55,11 @@ def format_ptbr(number: Column) -> Column:
     """
     number = number.cast("double")
     text = number.cast("string")
-    sign = F.regexp_extract(text, "^-?", 0)
-    digits = F.regexp_replace(F.regexp_extract(text, r"([0-9.]+)E", 1), r"\.0$|\.", "")
-    power = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
+    # Cheap text functions only: the generated code of a row with many numbers must stay small.
+    parts = F.split(text, "E")
+    sign = F.when(number < 0, "-").otherwise("")
+    digits = F.rtrim(F.translate(F.get(parts, F.lit(0)), "-.", ""), F.lit("0"))
+    power = F.get(parts, F.lit(1)).try_cast("int")
     small = F.concat(sign, F.lit("0,"), F.repeat(F.lit("0"), -power - 1), digits)
     whole = F.rpad(digits, power + 1, F.lit("0"))
     rest = F.substring(digits, power + 2, F.length(digits))

@@ -106,7 +106,7 @@ def station_file_lines(spark: SparkSession, folder: str) -> DataFrame:
     day = F.last_day(F.to_date(F.concat("mes_ano", F.lit("-01"))))
     short = F.col("regiao") == "ASIA"
     cells = [_shown(c) for c in MEASURES]
-    row = F.when(short, F.concat_ws(";", day, *cells[1:])).otherwise(F.concat_ws(";", day, *cells))
+    row = F.concat_ws(";", day, F.when(~short, cells[0]), *cells[1:])
     data = months.select(F.col("uf").alias("codigo"), day.cast("string").alias("line_no"), F.concat(row, F.lit(";")).alias("line"))
 
     names = list(stations.MEASURES)
@@ -158,21 +158,42 @@ def station_header(spark, folder):
     return cells.select("codigo", F.size("names").alias("n_columns")).distinct()
 
 
+def _with_surplus(lines: DataFrame) -> DataFrame:
+    """Short data lines get one value more than their header names where it blows."""
+    wind = F.replace(F.element_at(F.split(F.regexp_replace("line", ";$", ""), ";"), -1), F.lit(","), F.lit("."))
+    extra = F.when(wind.try_cast("double") > 4, "9,9;").otherwise(f"{stations.MISSING};")
+    short = F.col("line").rlike("^[0-9]{4}-") & (F.size(F.split("line", ";")) == 7)
+    return lines.withColumn("line", F.when(short, F.concat("line", extra)).otherwise(F.col("line")))
+
+
 @query("station_surplus", f"""{STATION_FILE_SQL}
 SELECT uf AS codigo, CAST(last_day(CAST(mes_ano || '-01' AS DATE)) AS VARCHAR) AS data, CAST(1 AS INTEGER) AS n_surplus FROM ufm
 WHERE regiao = 'ASIA' AND vento_med > 4""")
 def station_surplus(spark, folder):
     """Rows that carry one value more than their header names go to quarantine."""
-    lines = station_file_lines(spark, folder)
-    wind = F.replace(F.element_at(F.split(F.regexp_replace("line", ";$", ""), ";"), -1), F.lit(","), F.lit("."))
-    extra = F.when(wind.try_cast("double") > 4, "9,9;").otherwise(f"{stations.MISSING};")
-    data = F.col("line").rlike("^[0-9]{4}-")
-    marked = lines.withColumn("line", F.when(data & (F.size(F.split("line", ";")) == 7), F.concat("line", extra)).otherwise(F.col("line")))
+    marked = _with_surplus(station_file_lines(spark, folder))
     path = stations.write_station_files(marked, scratch_path(spark, "stations"))
     surplus = stations.surplus_cells(stations.station_cells(stations.station_lines(spark, path)))
     return surplus.select("codigo", "data", F.size("surplus").alias("n_surplus"))
 
 
+@query("station_quarantine", f"""{STATION_FILE_SQL}
+SELECT uf AS codigo, reason, count(*) AS n FROM (
+  SELECT uf, CASE WHEN regiao = 'EUROPE' THEN 'no header' WHEN regiao = 'ASIA' AND vento_med > 4 THEN 'surplus'
+    WHEN regiao = 'AMERICA' AND substr(mes_ano, 6) = '02' THEN 'date' END AS reason FROM ufm
+  UNION ALL SELECT DISTINCT uf, 'line' FROM ufm WHERE regiao = 'AFRICA') WHERE reason IS NOT NULL GROUP BY 1, 2""")
+def station_quarantine(spark, folder):
+    """Files without a header, days that don't exist, surplus values and stray lines, counted by station and reason."""
+    region = p.uf_region(spark, folder).select(F.col("uf").alias("codigo"), "regiao")
+    lines = _with_surplus(station_file_lines(spark, folder)).join(region, "codigo")
+    kept = lines.where((F.col("regiao") != "EUROPE") | ~F.col("line").startswith(stations.DATE_HEADER))
+    february = (F.col("regiao") == "AMERICA") & F.col("line").rlike("^[0-9]{4}-02-")
+    kept = kept.withColumn("line", F.when(february, F.overlay("line", F.lit("31"), F.lit(9), F.lit(2))).otherwise(F.col("line")))
+    stray = lines.where("regiao = 'AFRICA' and line_no = '00'").withColumns({"line_no": F.lit("9999"), "line": F.lit("fim do arquivo")})
+    path = stations.write_station_files(kept.unionByName(stray).drop("regiao"), scratch_path(spark, "stations"))
+    return stations.quarantine(stations.station_lines(spark, path)).groupBy("codigo", "reason").agg(F.count("*").alias("n"))
+
+
 # Census files: active meters per region and year.
 
 def census_folder(spark: SparkSession, folder: str) -> str:

@@ -1,6 +1,7 @@
 """Folder of station files: metadata lines, a blank line, a header, then one row per month.
 
-The header may name other columns in each file, so a cell gets its name from the header of its own file.
+The header may name other columns in each file, so a cell gets its name from the header of its own file. Files are read
+through Spark's file reader, whole, so any path that Spark can open will do.
 """
 
 from __future__ import annotations
@@ -8,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voltmes.functions.numbers import parse_ptbr, to_number
-from voltmes.operators.ordering import join_facts
 
 # Names in the files and the columns they become.
 DATE_HEADER = "Data Medicao"
@@ -38,45 +38,75 @@ _METADATA_LINE = r"^([^;:]+): *(.*)$"
 
 
 def station_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Every line with the file it came from."""
-    return (
-        spark.read.option("recursiveFileLookup", True).text(folder)
-        .select(F.col("_metadata.file_path").alias("file"), F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"))
-    )
+    """One row per file: its lines, station code, column names by position (null without a header) and whether it is corrupt.
 
+    A file is read whole by one task, so its header and its rows stay together and nothing is joined or shuffled; small
+    files share tasks. Station files are small (a row per month); one beyond 2 GB fails the job. A file that isn't valid
+    UTF-8 is read as Latin-1. One with a zero byte is corrupt and has no lines. Spark's reader passes over files of no bytes.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    utf8, content = F.col("content").cast("string"), F.col("content")
+    corrupt = F.locate("\0", F.decode(content, "ISO-8859-1")) > 0
+    text = F.when(corrupt, F.lit(None)).when(F.is_valid_utf8(utf8), F.regexp_replace(utf8, "^\ufeff", "")).otherwise(F.decode(content, "ISO-8859-1"))
+    files = raw.select(F.col("path").alias("file"), corrupt.alias("corrupt"), F.split(text, "\r\n|\n|\r").alias("lines"))
+    files = files.withColumn("lines", F.coalesce(F.transform("lines", lambda x: F.rtrim(x)), F.array().cast("array<string>")))
+    header = F.get(F.filter("lines", _is_header), F.lit(0))
+    return files.withColumns({"names": _cells(header), "codigo": _fact("lines", "Codigo Estacao")})
 
-def station_dimension(lines: DataFrame) -> DataFrame:
-    """One row per file with its metadata; the station's key is ``codigo``, names repeat."""
-    found = lines.where(~F.col("line").contains(";")).select(
-        "file",
-        F.trim(F.regexp_extract("line", _METADATA_LINE, 1)).alias("key"),
-        F.trim(F.regexp_extract("line", _METADATA_LINE, 2)).alias("value"),
-    )
-    texts = found.where(F.col("key").isin(*METADATA)).groupBy("file").agg(
-        *[F.max(F.when(F.col("key") == key, F.col("value"))).alias(name) for key, name in METADATA.items()])
-    return texts.withColumns({
+
+def _is_header(line: Column) -> Column:
+    return line.startswith(DATE_HEADER + ";")
+
+
+def _fact(lines: str, key: str) -> Column:
+    """The value of the first metadata line with that key."""
+    found = F.filter(lines, lambda x: ~x.contains(";") & (F.trim(F.regexp_extract(x, _METADATA_LINE, 1)) == key))
+    return F.trim(F.regexp_extract(F.get(found, F.lit(0)), _METADATA_LINE, 2))
+
+
+def station_dimension(files: DataFrame) -> DataFrame:
+    """One row per file with its metadata; the station's key is ``codigo``, names repeat. Files without any are left out."""
+    texts = files.select("file", *[_fact("lines", key).alias(name) for key, name in METADATA.items()])
+    return texts.where(F.coalesce(*METADATA.values()).isNotNull()).withColumns({
         **{c: to_number(F.col(c)) for c in ("latitude", "longitude", "altitude")},
         **{c: F.try_to_date(c, "yyyy-MM-dd") for c in ("data_inicial", "data_final")},
     })
 
 
-def station_headers(lines: DataFrame) -> DataFrame:
-    """One row per file: its column names by position."""
-    header = lines.where(F.col("line").startswith(DATE_HEADER + ";"))
-    return header.groupBy("file").agg(F.max("line").alias("line")).select("file", _cells("line").alias("names"))
-
-
-def _cells(line: str) -> Column:
+def _cells(line: Column) -> Column:
     """Cells of a line whose last separator ends the row."""
     return F.split(F.regexp_replace(line, ";$", ""), ";", -1)
 
 
-def station_cells(lines: DataFrame) -> DataFrame:
-    """Data rows as cell arrays next to the column names and station key of their file."""
-    data = lines.where(F.col("line").rlike(_DATA_LINE)).select("file", _cells("line").alias("cells"))
-    codes = station_dimension(lines).select("file", "codigo")
-    files = join_facts(station_headers(lines), codes, ["file"])
-    return join_facts(data, files, ["file"])
+def station_cells(files: DataFrame) -> DataFrame:
+    """Data rows as cell arrays next to the column names and station code of their file; what lacks either is in ``quarantine``."""
+    whole = files.where("names is not null and codigo is not null")
+    data = whole.select("file", "codigo", "names", F.explode(F.filter("lines", lambda x: x.rlike(_DATA_LINE))).alias("line"))
+    return data.select("file", _cells(F.col("line")).alias("cells"), "names", "codigo")
+
+
+def quarantine(files: DataFrame) -> DataFrame:
+    """(file, codigo, reason, line_no, line) of everything that is left out of the months or read in part only.
+
+    Reasons: ``corrupt`` and, without a data line, ``no header`` and ``no code`` for whole files (line null); for data lines
+    ``no header``, ``no code``, ``date`` (no such day; the month stays, undated) and ``surplus`` (values beyond the last
+    column); ``line`` for any other text below the header.
+    """
+    header_at = F.array_position(F.transform("lines", _is_header), True)
+    judged = files.select("file", "codigo", "corrupt", "names", header_at.alias("header_at"),
+                          F.exists("lines", lambda x: x.rlike(_DATA_LINE)).alias("has_data"), F.posexplode_outer("lines").alias("at", "line"))
+    data, whole = F.col("line").rlike(_DATA_LINE), ~F.col("has_data") & (F.col("at") == 0)
+    below = (F.col("at") >= F.col("header_at")) & (F.col("line") != "")
+    judged = judged.withColumn("cells", F.when(data, _cells(F.col("line"))))
+    reason = (
+        F.when(F.col("corrupt"), "corrupt")
+        .when(F.col("names").isNull(), F.when(data | whole, "no header"))
+        .when(F.col("codigo").isNull(), F.when(data | whole, "no code"))
+        .when(data & (F.size(_surplus()) > 0), "surplus")
+        .when(data & F.try_to_date(F.get("cells", F.lit(0)), "yyyy-MM-dd").isNull(), "date")
+        .when(~data & below, "line"))
+    line = F.when(data | below & (F.col("header_at") > 0), F.col("line"))
+    return judged.select("file", "codigo", reason.alias("reason"), (F.col("at") + 1).alias("line_no"), line.alias("line")).where("reason is not null")
 
 
 def station_months(cells: DataFrame) -> DataFrame:
@@ -93,12 +123,14 @@ def station_months(cells: DataFrame) -> DataFrame:
     ).withColumn("mes_ano", F.date_format("data", "yyyy-MM"))
 
 
+def _surplus() -> Column:
+    beyond = F.slice("cells", F.size("names") + 1, F.greatest(F.size("cells") - F.size("names"), F.lit(0)))
+    return F.filter(beyond, lambda c: (c != MISSING) & (F.trim(c) != ""))
+
+
 def surplus_cells(cells: DataFrame) -> DataFrame:
     """Quarantine: rows with a value beyond the last column of their header."""
-    surplus = F.filter(
-        F.slice("cells", F.size("names") + 1, F.greatest(F.size("cells") - F.size("names"), F.lit(0))),
-        lambda c: (c != MISSING) & (F.trim(c) != ""))
-    return cells.select("file", "codigo", F.get("cells", F.lit(0)).alias("data"), surplus.alias("surplus")).where(
+    return cells.select("file", "codigo", F.get("cells", F.lit(0)).alias("data"), _surplus().alias("surplus")).where(
         F.size("surplus") > 0)
 
 
