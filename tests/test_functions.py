@@ -1,6 +1,8 @@
 import datetime
 import math
 
+import numpy as np
+import pandas as pd
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -99,3 +101,28 @@ def test_an_outlier_does_not_coarsen_the_bins(spark):
 
     rows = spark.range(2000).selectExpr("id / 1000D AS x").unionAll(spark.sql("SELECT 1e6D AS x"))
     assert automatic_bins(rows, "x") > 10_000
+
+
+def test_binned_densities_equal_the_direct_sums(spark):
+    from voltmes.operators.histogram import densities, histogram, histograms
+
+    rng = np.random.default_rng(3)
+    columns = {
+        "even": rng.uniform(-5, 5, 1500), "ties": rng.integers(0, 4, 1500).astype(float), "large": 1e7 + 1e6 * rng.standard_normal(1500),
+        "apart": np.where(np.arange(1500) < 1499, rng.standard_normal(1500), 1e3), "one": np.full(1500, 2.0)}
+    rows = spark.createDataFrame(pd.DataFrame(columns)).unionByName(spark.createDataFrame([(None,) * 5], ", ".join(f"{c} double" for c in columns)))
+    found = {}
+    for r in densities(rows, list(columns)).collect():
+        found.setdefault(r.feature, {})[r.point] = (r.x, r.density)
+    assert sorted(found) == ["apart", "even", "large", "ties"]
+    for name, points in found.items():
+        values = columns[name]
+        h = values.std(ddof=1) * len(values) ** -0.2
+        assert sorted(points) == list(range(200))
+        for i, x in enumerate(np.linspace(values.min(), values.max(), 200)):
+            direct = np.exp(-((x - values) / h) ** 2 / 2).sum() / (len(values) * h * np.sqrt(2 * np.pi))
+            assert abs(points[i][0] - x) <= 1e-9 * max(1, abs(x)) and abs(points[i][1] - direct) * h <= 1e-9
+    assert densities(rows.where("false"), ["even"]).count() == 0
+    assert histograms(rows.where("false"), ["even"]).count() == 0
+    several = sorted(tuple(r)[1:] for r in histograms(rows, ["even", "large", "one"]).where("feature = 'large'").collect())
+    assert several == sorted(map(tuple, histogram(rows, "large").collect()))

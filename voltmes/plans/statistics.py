@@ -194,6 +194,35 @@ def density(spark, folder):
     return rounded(histogram.density(p.panel(spark, folder), "temp_c"))
 
 
+#: The target and the weather whose distributions are looked at first.
+KEYS = ["consumo", "temp_c", "precip_mm", "vento_med"]
+KEYS_SQL = PANEL_SQL + ", v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM panel WHERE {c} IS NOT NULL" for c in KEYS) + ")"
+
+
+@query("histogram_keys", KEYS_SQL + """, s AS (
+  SELECT feature, min(v) AS lo, max(v) AS hi, count(v) AS n, 2 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / pow(count(v), 1.0 / 3) AS fd FROM v GROUP BY 1),
+e AS (SELECT feature, lo, hi, CASE WHEN hi = lo THEN 1 ELSE CAST(ceil((hi - lo) / least((hi - lo) / (log2(n) + 1), CASE WHEN fd > 0 THEN fd ELSE hi - lo END)) AS BIGINT) END AS bins FROM s),
+g AS (SELECT feature, lo, bins, CASE WHEN hi = lo THEN 1.0 ELSE (hi - lo) / bins END AS w FROM e),
+b AS (SELECT feature, least(CAST(floor((v - lo) / w) AS BIGINT), bins - 1) AS bin, count(*) AS n FROM v JOIN g USING (feature) GROUP BY 1, 2)
+SELECT feature, bin, """ + r("lo + bin * w", 4, "left_edge") + ", " + r("lo + (bin + 1) * w", 4, "right_edge") + ", n FROM b JOIN g USING (feature)")
+def histogram_keys(spark, folder):
+    """Automatic histograms of all key columns, counted in one pass."""
+    return rounded(histogram.histograms(p.panel(spark, folder), KEYS), 4)
+
+
+@query("density_keys", KEYS_SQL + """, s AS (
+  SELECT feature, count(v) AS n, min(v) AS lo, (max(v) - min(v)) / 199 AS step, stddev_samp(v) AS sd, stddev_samp(v) * pow(count(v), -0.2) AS h FROM v GROUP BY 1)
+SELECT feature, CAST(i AS INTEGER) AS point, """ + r("lo + i * step", 4, "x") + ", " + r(
+    "sd * sum(exp(-pow((lo + i * step - v) / h, 2) / 2)) / (n * h * sqrt(2 * pi()))", 6, "density") + """
+FROM range(200) g(i), s JOIN v USING (feature) GROUP BY feature, i, lo, step, n, h, sd""")
+def density_keys(spark, folder):
+    """Densities of all key columns, per standard deviation so that they compare."""
+    rows = p.panel(spark, folder)
+    spreads = F.create_map(*[x for c, s in zip(KEYS, rows.agg(*[F.stddev_samp(c) for c in KEYS]).first()) for x in (F.lit(c), F.lit(s))])
+    found = histogram.densities(rows, KEYS)
+    return rounded(found.withColumn("density", F.col("density") * spreads[F.col("feature")]), x=4)
+
+
 ORDER_KINDS = {
     "o_orderkey": "numeric", "o_custkey": "numeric", "o_orderstatus": "categorical", "o_totalprice": "numeric",
     "o_orderdate": "categorical", "o_orderpriority": "categorical",
