@@ -28,9 +28,16 @@ def rows(spark, frame):
     return df.persist()
 
 
-@pytest.fixture(autouse=True)
-def small_ranges(monkeypatch):
-    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 150)
+@pytest.fixture
+def many_parts(spark):
+    """Parts of a few rows, as a large table has parts of many."""
+    names = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield 23
+    for n, v in old.items():
+        spark.conf.set(n, v)
 
 
 def same(left, right, key=("id",)):
@@ -39,33 +46,44 @@ def same(left, right, key=("id",)):
     pd.testing.assert_frame_equal(a[sorted(a)], b[sorted(b)], check_dtype=False, rtol=1e-9)
 
 
-def test_positions_over_the_whole_table(rows, frame):
+def test_positions_over_the_whole_table(rows, frame, many_parts):
     placed = ordering.with_position(rows, ["day", "id"], limit=10).toPandas()
     expected = frame.sort_values(["day", "id"]).assign(position=np.arange(1, N + 1))
     merged = placed.merge(expected[["id", "position"]], on="id")
     assert (merged.position_x == merged.position_y).all() and (placed.group_size == N).all() and len(placed) == N
 
 
-def test_positions_in_groups(rows):
+def test_positions_in_groups(rows, many_parts):
     same(ordering.with_position(rows, ["day", "id"], ["grp"], limit=10), ordering.with_position(rows, ["day", "id"], ["grp"]))
 
 
-def test_null_group_keeps_its_rows(spark):
+def test_null_group_keeps_its_rows(spark, many_parts):
     df = spark.createDataFrame([(None, i) for i in range(30)] + [("a", i) for i in range(5)], "g string, i int")
     placed = ordering.with_position(df, ["i"], ["g"], limit=3).toPandas()
     assert sorted(placed[placed.g.isna()].position) == list(range(1, 31)) and len(placed) == 35
 
 
-def test_running_total_of_weights(rows, frame):
+def test_running_total_of_weights(rows, many_parts):
     counted = rows.groupBy("grp", "day").count()
     same(
         ordering.running_total(counted, ["day"], ["grp"], "count", limit=3),
         ordering.running_total(counted, ["day"], ["grp"], "count"), ["grp", "day"])
 
 
-def test_ranges_hold_about_equally_many_rows(rows):
-    sizes = [r["count"] for r in rows.groupBy(ordering.key_range(rows, ["x", "id"]).alias("r")).count().collect()]
-    assert len(sizes) > 10 and max(sizes) < 5 * 150
+def test_parts_hold_about_equally_many_rows(rows, many_parts):
+    sizes = [r["count"] for r in ordering.in_parts(rows, ["x", "id"]).groupBy("_part").count().collect()]
+    assert len(sizes) == many_parts and sum(sizes) == N and max(sizes) < 3 * N / many_parts
+
+
+def test_positions_take_one_shuffle_of_the_rows(rows, many_parts):
+    placed = ordering.with_position(rows, ["day", "id"])
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "rangepartitioning" not in plan and "Window" not in plan
+    assert plan.count("Exchange") == plan.count("BroadcastExchange")
+
+
+def test_positions_of_an_empty_table(rows):
+    assert ordering.with_position(rows.where("id < 0"), ["day", "id"]).count() == 0
 
 
 @pytest.mark.parametrize("chunk", [12, 40])
@@ -108,13 +126,37 @@ def test_outliers(rows):
             outliers.iqr_outliers(rows, ["x", "y"], by, limit=10), outliers.iqr_outliers(rows, ["x", "y"], by), [*by, "feature"])
 
 
-def test_average_ranks(rows, frame):
-    ranked = correlate.average_ranks(rows, "x", limit=10).toPandas().set_index("id")["rank"].sort_index()
+def test_average_ranks(rows, frame, many_parts):
+    """A third of the rows hold one value, so it spans several parts."""
+    placed = ordering.in_parts(rows, ["x", "id"])
+    assert placed.where("x = 7").select("_part").distinct().count() > 5
+    ranked = correlate.average_ranks(rows, "x", key=["id"]).toPandas().set_index("id")["rank"].sort_index()
     assert np.allclose(ranked, frame.set_index("id")["x"].rank())
 
 
-def test_spearman_over_complete_pairs(rows, frame):
-    found = {(r.feature, r.other): r.r for r in correlate.spearman(rows, ["x", "y", "day"], ["id"], limit=10).collect()}
+def test_average_ranks_in_groups_with_nulls(rows, frame, many_parts):
+    held = rows.withColumn("y", F.when(F.col("id") % 3 == 0, F.lit(-0.0)).when(F.col("id") % 5 == 0, 0.0).otherwise(F.round("y", 1)))
+    plain = held.toPandas().set_index("id").sort_index()
+    ranked = correlate.average_ranks(held, "y", ["grp"]).toPandas().set_index("id")["rank"].sort_index()
+    expected = plain.groupby("grp")["y"].rank()
+    assert expected.isna().any() and np.allclose(ranked, expected, equal_nan=True)
+
+
+def test_average_ranks_of_one_value_and_of_none(spark, many_parts):
+    df = spark.range(500).select("id", F.lit(3).alias("v"), F.lit(None).cast("double").alias("none"))
+    assert {r["rank"] for r in correlate.average_ranks(df, "v").collect()} == {250.5}
+    assert {r["rank"] for r in correlate.average_ranks(df, "none").collect()} == {None}
+    assert correlate.average_ranks(df.where("id < 0"), "v").count() == 0
+
+
+def test_ranks_are_not_joined_by_value(rows, many_parts):
+    plan = correlate.average_ranks(rows, "x", ["grp"], key=["id"])._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 1 and "BroadcastHashJoin" in joins[0] and "_part" in joins[0] and "x#" not in joins[0]
+
+
+def test_spearman_over_complete_pairs(rows, frame, many_parts):
+    found = {(r.feature, r.other): r.r for r in correlate.spearman(rows, ["x", "y", "day"], ["id"]).collect()}
     expected = frame[["x", "y", "day"]].corr(method=lambda a, b: np.corrcoef(pd.Series(a).rank(), pd.Series(b).rank())[0, 1])
     assert len(found) == 9
     assert all(np.isclose(found[a, b], expected.loc[a, b]) for a in expected for b in expected)

@@ -1,26 +1,21 @@
 """Positions and running totals that hold at any group size.
 
 A window over a whole table, or over a group that holds a third of it, would run in one task. Groups
-proven small use that plain window. Beyond the limit the rows go into key ranges: split points come from a
-sample, each range is summed once, and a row's total is the total of the ranges before it plus a window
-inside its own range. A row's range depends on its own key only, so a recomputed task places it the same.
+proven small use that plain window. All other rows are sorted once into parts, which are stored with each
+row's part and place. A part is counted once, and a row's position is its place plus the counts of the parts
+before, a table of one row per part and group.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from functools import reduce
-from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voltmes.session import stored
 
 GROUP_LIMIT = 1_000_000
-ROWS_PER_RANGE = 250_000
-MAX_RANGES = 20_000
-SAMPLES_PER_RANGE = 10
 #: Facts of more rows than this are joined by a shuffle.
 BROADCAST_FACTS = 20_000
 
@@ -60,68 +55,57 @@ def running_total(
 ) -> DataFrame:
     """Adds the inclusive running sum of ``weight`` (row count if none) and the group's total.
 
-    ``by`` + ``order`` must identify a row, or ties are ordered at random.
+    ``by`` + ``order`` must identify a row, or ties are ordered at random. Groups of at most ``limit`` rows are
+    summed by a window each; a whole table, and tables with a larger group, are sorted once into parts.
     """
     order, by = list(order), list(by)
-    amount = F.col(weight) if weight else F.lit(1).cast("long")
-    if largest_group(df, by) <= limit:
+    if by and largest_group(df, by) <= limit:
+        amount = F.col(weight) if weight else F.lit(1).cast("long")
         group = Window.partitionBy(*by)
         ordered = group.orderBy(*order)
         running = F.sum(amount).over(ordered.rowsBetween(Window.unboundedPreceding, 0)) if weight else (
             F.row_number().over(ordered).cast("long"))
         return df.withColumn(out, running).withColumn(total, F.sum(amount).over(group))
-
-    ranged = df.withColumn("_range", key_range(df, by + order))
-    sums = ranged.groupBy(*by, "_range").agg(F.sum(amount).alias("_sum"))
-    whole = Window.partitionBy(*by)
-    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        *by, "_range",
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
-        F.sum("_sum").over(whole).alias(total),
-    )
-    inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ranged = ranged.withColumn("_inside", F.sum(amount).over(inside))
+    placed = in_parts(df, order, by)
+    if weight:
+        inside = Window.partitionBy("_part", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        running, amount, start = F.sum(weight).over(inside), F.sum(weight), F.lit(0)
+    else:
+        # Inside a part the rows of a group follow each other without a gap.
+        running, amount, start = F.col("_at"), F.count("*"), F.min("_at") - 1
+    facts = part_offsets(placed.groupBy("_part", *by).agg(amount.alias("_sum"), start.alias("_start")), by, total)
+    # Rows meet the facts of their own part only, so a hot group is spread over its parts.
     return (
-        join_few_facts(ranged, sums, [*by, "_range"])
-        .withColumn(out, F.col("_inside") + F.col("_before"))
+        join_few_facts(placed.withColumn("_running", running), facts, ["_part", *by])
+        .withColumn(out, F.col("_running") - F.col("_start") + F.col("_before"))
         .select(*df.columns, out, total)
     )
 
 
-def key_range(df: DataFrame, keys: Sequence[str]) -> Column:
-    """Number of the key range a row falls in; the ranges hold about equally many rows.
+def in_parts(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The rows sorted by ``by`` + ``order`` into stored parts, with the part (``_part``) and the place in it (``_at``).
 
-    The sample sets only where ranges begin. Its size is bounded by the number of ranges.
+    Spark's range partitioner cuts the table, into as many parts as the session shuffles into. It is the only
+    shuffle, and nothing is counted before. Since part and place are stored, later passes and recomputed tasks
+    see the same ones.
     """
-    rows = df.count()
-    ranges = max(2, min(MAX_RANGES, ceil(rows / ROWS_PER_RANGE)))
-    wanted = ranges * SAMPLES_PER_RANGE
-    sample = (
-        df.select(*keys).sample(min(1.0, 1.5 * wanted / max(rows, 1)), seed=7)
-        .orderBy(*keys).limit(3 * wanted).select(*[F.col(k).cast("string") for k in keys]).collect()
-    )
-    step = max(1, len(sample) // ranges)
-    return _range_of([tuple(r) for r in sample[step::step]], df, keys)
+    number = F.monotonically_increasing_id()
+    keys = [*by, *order]
+    numbered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", number)
+    # The number holds the part in its upper bits, the place in the lower 33.
+    return stored(numbered, "parts").withColumn("_part", F.shiftright("_at", 33)).withColumn(
+        "_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
 
 
-def _range_of(starts: list[tuple], df: DataFrame, keys: Sequence[str]) -> Column:
-    """How many range starts are at or below the key, by halving: some 15 comparisons for 20,000 ranges.
+def part_offsets(sums: DataFrame, by: Sequence[str], total: str) -> DataFrame:
+    """Sums per part and group with the sum of the group's parts before (``_before``) and of them all.
 
-    The starts travel as one constant, which the optimizer folds into a typed array.
+    A group has one row per part, so the window sees as many rows as there are parts.
     """
-    if not starts:
-        return F.lit(0)
-    names = [f"k{i}" for i in range(len(keys))]
-    texts = ",".join(f"{n}:string" for n in names)
-    typed = ",".join(f"{n}:{df.schema[k].dataType.simpleString()}" for n, k in zip(names, keys))
-    listed = json.dumps([dict(zip(names, row)) for row in starts])
-    sorted_starts = F.from_json(F.lit(listed), f"array<struct<{texts}>>").cast(f"array<struct<{typed}>>")
-
-    key = F.struct(*[F.col(k).alias(n) for n, k in zip(names, keys)])
-    steps = F.array(*[F.lit(1 << power) for power in reversed(range(len(starts).bit_length()))])
-    return F.aggregate(steps, F.lit(0), lambda below, step: F.when(
-        F.get(sorted_starts, below + step - 1) <= key, below + step).otherwise(below))
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).withColumn(
+        total, F.sum("_sum").over(whole))
 
 
 def with_position(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), limit: int = GROUP_LIMIT) -> DataFrame:
