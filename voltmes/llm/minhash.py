@@ -231,10 +231,10 @@ def near_duplicates(
     few = mixed.join(crowded, "key", "left_anti")
     many = stored(mixed.join(crowded, "key", "left_semi").select("node", "root").distinct(), "crowd")
     chunks = _chunks(mixed)
-    meeting = _meeting(few, few, chunks, percent)
+    meeting = _meeting(few.withColumn("short", F.lit(True)), chunks, percent)
     if not many.isEmpty():
         rarest = _mixed(_rarest(many, texts, size, percent))
-        meeting = meeting.union(_meeting(rarest.where("short"), rarest, chunks, percent)).distinct()
+        meeting = meeting.union(_meeting(rarest, chunks, percent)).distinct()
     more = stored(_linked(stored(meeting, "meeting"), chunks, texts, size, percent), "links")
     links = links.unionByName(more)
     # An id with different texts links the classes of them all.
@@ -290,13 +290,24 @@ def _chunks(mixed: DataFrame) -> DataFrame:
     return stored(nodes.join(sizes, "root").select("node", F.struct("count", "root", chunk.alias("chunk")).alias("place")), "chunks")
 
 
-def _meeting(smaller: DataFrame, larger: DataFrame, chunks: DataFrame, percent: int) -> DataFrame:
-    """(low, high): chunks of different components that share a key; ``high`` is of the larger component."""
-    one, other = (x.join(chunks, "node").groupBy("key", F.col("place").alias(name)).agg(F.min("n").alias(f"{name}_least"), F.max("n").alias(f"{name}_most"))
-                  for x, name in ((smaller, "r"), (larger, "s")))
-    # Of two alike sets the smaller has ``percent`` of the larger at least; chunks in which no two sets can be so don't meet.
-    pairs = one.join(other, "key").where("r.root <> s.root and r_least <= s_most").where(100 * F.col("r_most") >= percent * F.col("s_least"))
-    return pairs.select(F.least("r", "s").alias("low"), F.greatest("r", "s").alias("high")).distinct()
+def _meeting(keyed: DataFrame, chunks: DataFrame, percent: int) -> DataFrame:
+    """(low, high): chunks of different components that share a key; ``high`` is of the larger component.
+
+    A pair is made once, not in both orders. Of two alike sets the smaller, under one of its ``short`` keys, has ``percent`` of
+    the larger at least; chunks in which no two sets can be so don't meet.
+    """
+    short = F.when(F.col("short"), F.col("n"))
+    sides = keyed.join(chunks, "node").groupBy("key", "place").agg(
+        F.min(short).alias("short_least"), F.max(short).alias("short_most"), F.min("n").alias("least"), F.max("n").alias("most"))
+    r, s = sides.alias("r"), sides.alias("s")
+
+    def fits(one: str, other: str) -> Column:
+        return (F.col(f"{one}.short_least") <= F.col(f"{other}.most")) & (
+            100 * F.col(f"{one}.short_most") >= percent * F.col(f"{other}.least"))
+
+    ordered = (F.col("r.place") < F.col("s.place")) & (F.col("r.place.root") != F.col("s.place.root"))
+    pairs = r.join(s, (F.col("r.key") == F.col("s.key")) & ordered & (fits("r", "s") | fits("s", "r")))
+    return pairs.select(F.col("r.place").alias("low"), F.col("s.place").alias("high")).distinct()
 
 
 def _linked(meeting: DataFrame, chunks: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
