@@ -209,3 +209,43 @@ def test_squares_follow_the_plain_rounds(spark):
         leaf, _ = plain_best_first(bins, y - total, 6, 5)
         total = total + 0.1 * np.array([(y - total)[leaf == k].mean() for k in leaf])
     assert np.allclose([r.prediction for r in rows], total)
+
+
+def crowded(spark, rows: int = 900, classes: int = 2):
+    """Many rows of few different inputs."""
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 12, rows), rng.integers(0, 3, rows)
+    y = (a + 3 * b + rng.normal(0, 3, rows) > 9).astype(float) if classes else a * 2.0 + b + rng.integers(0, 3, rows)
+    df = spark.createDataFrame([(i, float(a[i]), float(b[i]), float(y[i])) for i in range(rows)], "id long, a double, b double, label double")
+    return VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df.repartition(5))
+
+
+def no_scan(*_, **__):
+    raise AssertionError("a scan per level")
+
+
+@pytest.mark.parametrize("kind,boost,classes", [
+    ("squares", Boost(rounds=6, depth=3, min_leaf=20), 0), ("median", Boost(rounds=6, depth=3), 0), ("logistic", Boost(rounds=12, depth=3), 2), ("ballot", Boost(rounds=8, depth=1), 2),
+])
+def test_boosting_of_cells_takes_no_scans(spark, monkeypatch, kind, boost, classes):
+    """More rows than a task takes, but of few bins: the rounds are those of the rows, without a scan per level."""
+    df = crowded(spark, classes=classes)
+    whole = GroveBoost(kind, boost).fit(df)
+    monkeypatch.setattr(grove, "_scan", no_scan)
+    cells = GroveBoost(kind, boost, local_rows=200).fit(df)
+    assert np.allclose(whole.votes, cells.votes)
+    first, second = ({r.id: r.prediction for r in model.transform(df).collect()} for model in (whole, cells))
+    assert np.allclose([first[i] for i in first], [second[i] for i in first])
+
+
+@pytest.mark.parametrize("forest", [Forest(12, share="sqrt"), Forest(1, bootstrap=False), Forest(5, depth=3, min_split=30, min_leaf=9)])
+def test_forest_of_cells_takes_no_scans(spark, monkeypatch, forest):
+    df = crowded(spark)
+    monkeypatch.setattr(grove, "_scan", no_scan)
+    whole = GroveForest(forest, classify=True).fit(df)
+    cells = GroveForest(forest, classify=True, local_rows=200).fit(df)
+    first, second = ({(r.tree, r.path): r for r in model.nodes.collect()} for model in (whole, cells))
+    assert first.keys() == second.keys() and len(first) > 4
+    for at, node in first.items():
+        assert (node.feature, node.n) == (second[at].feature, second[at].n) and np.allclose(node.value, second[at].value)
+        assert node.feature < 0 or node.cut == second[at].cut

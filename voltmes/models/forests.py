@@ -166,11 +166,16 @@ def _classes(df: DataFrame, label: str) -> int:
 
 
 class GroveForest(Estimator):
-    """A forest as a pipeline's last stage; with ``classify`` its mean class shares are the probabilities."""
+    """A forest as a pipeline's last stage; with ``classify`` its mean class shares are the probabilities.
 
-    def __init__(self, forest: Forest, labelCol: str = "label", featuresCol: str = "features", classify: bool = False, seed: int = SEED):
+    More than ``local_rows`` rows that share few bins are counted by them and drawn; others are scanned level by level.
+    """
+
+    def __init__(
+        self, forest: Forest, labelCol: str = "label", featuresCol: str = "features", classify: bool = False, seed: int = SEED, local_rows: int = grove.LOCAL_ROWS,
+    ):
         super().__init__()
-        self.forest, self.label, self.features, self.classify, self.seed = forest, labelCol, featuresCol, classify, seed
+        self.forest, self.label, self.features, self.classify, self.seed, self.local_rows = forest, labelCol, featuresCol, classify, seed, local_rows
 
     def setFeaturesCol(self, name: str) -> GroveForest:
         self.features = name
@@ -179,7 +184,11 @@ class GroveForest(Estimator):
     def _fit(self, df: DataFrame) -> GroveForestModel:
         rows, binning, facts = _vector_rows(df, self.features, self.label, _classes(df, self.label) if self.classify else 0)
         trees = self.forest.planted("forest", 0, len(binning.cuts), self.seed)
-        return GroveForestModel(self, grove.grow(rows, trees, facts), trees, facts, binning)
+        cells = grove.cells_of(rows, self.local_rows) if facts.rows[0] > self.local_rows else None
+        nodes = None if cells is None else grove.grow_from_cells(rows, cells, trees, facts)
+        if nodes is None:
+            nodes = grove.grow(rows, trees, facts, local_rows=self.local_rows)
+        return GroveForestModel(self, nodes, trees, facts, binning)
 
 
 def _answering(features: str, binning: Binning, facts: Facts, answer) -> Column:
@@ -254,8 +263,8 @@ class Squares:
     def after(self, state: np.ndarray, y: np.ndarray, answer: np.ndarray, judged: tuple) -> np.ndarray:
         return state + self.boost.rate * answer[:, 0]
 
-    def measure(self, state: np.ndarray, y: np.ndarray, answer: np.ndarray) -> np.ndarray | None:
-        """(rows, greatest error, weight, weight times error), where a round has to be judged by them."""
+    def measure(self, state: np.ndarray, y: np.ndarray, answer: np.ndarray, many: np.ndarray) -> np.ndarray | None:
+        """(rows, greatest error, weight, weight times error), where a round has to be judged by them; ``many`` rows each."""
         return None
 
     def judge(self, measured: np.ndarray | None, first: bool) -> tuple[float | None, tuple | None]:
@@ -298,9 +307,9 @@ class Median(Squares):
         beta, worst, scale = judged
         return state * beta ** (1 - self.error(y, answer) / worst) * scale
 
-    def measure(self, state, y, answer):
+    def measure(self, state, y, answer, many):
         error = self.error(y, answer)
-        return np.array([len(y), error.max(initial=0), state.sum(), (state * error).sum()])
+        return np.array([many.sum(), error.max(initial=0), (many * state).sum(), (many * state * error).sum()])
 
     def judge(self, measured, first):
         n, worst, total, wrong = measured
@@ -338,8 +347,8 @@ class Ballot(Squares):
         factor, scale = judged
         return np.where(self.missed(y, answer), state * factor, state) * scale
 
-    def measure(self, state, y, answer):
-        return np.array([len(y), 1.0, state.sum(), state[self.missed(y, answer)].sum()])
+    def measure(self, state, y, answer, many):
+        return np.array([many.sum(), 1.0, (many * state).sum(), (many * state)[self.missed(y, answer)].sum()])
 
     def judge(self, measured, first):
         n, _, total, wrong = measured
@@ -363,8 +372,8 @@ KINDS = {"squares": Squares, "logistic": Logistic, "median": Median, "ballot": B
 class GroveBoost(Estimator):
     """Boosted trees as a pipeline's last stage: gradients (``squares``, ``logistic``) or AdaBoost (``median``, ``ballot``).
 
-    Up to ``local_rows`` rows the rounds run in one task; beyond that each level of each tree is a scan of the stored
-    rows, in which a task works out weights and rests from the trees so far. No round writes rows.
+    Up to ``local_rows`` rows, or as many cells of rows with the same bins and label, the rounds run in one task; beyond that each
+    level of each tree is a scan of the stored rows, in which a task works out weights and rests from the trees so far. No round writes rows.
     """
 
     def __init__(self, kind: str, boost: Boost, labelCol: str = "label", featuresCol: str = "features", seed: int = SEED, local_rows: int = grove.LOCAL_ROWS):
@@ -376,7 +385,9 @@ class GroveBoost(Estimator):
         way, b, inputs = KINDS[self.kind](self.boost, facts.means[0]), self.boost, len(binning.cuts)
         trees = [Tree("boost", 0, 1_000_003 * self.seed + i, inputs, b.depth, 2, b.min_leaf, False, b.leaves) for i in range(b.rounds)]
         targets = facts.means.shape[1] if self.kind == "ballot" else 1
-        found, votes = (_rounds_in_a_task if facts.rows[0] <= self.local_rows else _rounds_in_scans)(rows, trees, facts, way, targets)
+        # Rows of the same bins and label share weight and rest in every round: cells of them are boosted as the rows would be.
+        cells = grove.cells_of(rows, self.local_rows) if facts.rows[0] > self.local_rows else rows.withColumn("many", F.lit(1))
+        found, votes = _rounds_in_scans(rows, trees, facts, way, targets) if cells is None else _rounds_in_a_task(cells, trees, facts, way, targets)
         return GroveBoostModel(self, found, votes, facts, binning, way)
 
 
@@ -389,17 +400,19 @@ def _rounds_in_a_task(rows: DataFrame, trees: list[Tree], facts: Facts, way: Squ
     roots = grove.root_paths(np.arange(len(trees)))
 
     def rounds(table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_numpy()
-        order = np.argsort(keys, kind="stable")
-        bins = facts.filled(grove._matrix(table.column("bins").combine_chunks(), inputs), 0)[order]
-        y = grove._targets(table.column("y").combine_chunks(), width)[order]
+        bins, y = grove._matrix(table.column("bins").combine_chunks(), inputs), grove._targets(table.column("y").combine_chunks(), width)
+        if "key" in table.column_names:
+            order = np.argsort(table.column("key").to_numpy(), kind="stable")
+        else:
+            order = np.lexsort((*y.T, *bins.T))
+        bins, y, many = facts.filled(bins, 0)[order], y[order], table.column("many").to_numpy()[order].astype(np.int64)
         state, parts, votes = way.begin(len(y)), [], []
         for i in range(len(trees)):
             s, w = way.targets(state, y)
-            found = grove.grow_rows(bins, s, w, np.zeros(len(y), np.int64), np.array([i]), roots[i:i + 1], np.array([0]), trees)
+            found = grove.grow_rows(bins, s * many[:, None], w * many, np.zeros(len(y), np.int64), np.array([i]), roots[i:i + 1], np.array([0]), trees, many)
             pack = _tree_of(found)
             answer = pack.value[pack.leaves(bins, roots[i:i + 1])[:, 0]]
-            vote, judged = way.judge(way.measure(state, y, answer), not parts)
+            vote, judged = way.judge(way.measure(state, y, answer, many), not parts)
             if vote is not None:
                 parts.append(grove._table(found))
                 votes.append((i, vote))
@@ -448,11 +461,11 @@ def _rounds_in_scans(rows: DataFrame, trees: list[Tree], facts: Facts, way: Squa
         def measured(tables: Iterator[pa.RecordBatch], pack=pack, done=done, tree=tree, root=roots[i:i + 1]) -> Iterator[pa.RecordBatch]:
             for table in tables:
                 bins, y = facts.filled(grove._matrix(table.column("bins"), inputs), 0), grove._targets(table.column("y"), width)
-                found = way.measure(state_of(pack, done, bins, y), y, tree.value[tree.leaves(bins, root)[:, 0]])
+                found = way.measure(state_of(pack, done, bins, y), y, tree.value[tree.leaves(bins, root)[:, 0]], np.ones(len(y)))
                 yield pa.RecordBatch.from_arrays([pa.array([float(v)]) for v in found], ["n", "worst", "total", "wrong"])
 
         facts_of_round = None
-        if way.measure(np.ones(1), np.zeros((1, width)), np.zeros((1, targets))) is not None:
+        if way.measure(np.ones(1), np.zeros((1, width)), np.zeros((1, targets)), np.ones(1)) is not None:
             facts_of_round = np.array(rows.mapInArrow(measured, "n double, worst double, total double, wrong double").agg(
                 F.sum("n"), F.max("worst"), F.sum("total"), F.sum("wrong")).first(), float)
         vote, judged = way.judge(facts_of_round, not parts)

@@ -167,9 +167,12 @@ class Nodes:
 
 def grow_rows(
     bins: np.ndarray, s: np.ndarray, w: np.ndarray, start: np.ndarray, tree: np.ndarray, path: np.ndarray, level: np.ndarray, trees: Sequence[Tree],
+    many: np.ndarray | None = None,
 ) -> dict[str, np.ndarray]:
     """All nodes below the given ones, whose rows are at hand: ``start`` is the node of each row, ``s`` its weighted target.
 
+    A row may stand for ``many`` rows of the same bins; ``s`` and ``w`` are then their sums.
+
     Each input keeps its rows sorted by node and bin; splitting a node parts its stretch in two, so nothing is sorted again.
     """
     inputs, nodes = bins.shape[1], Nodes(s.shape[1])
@@ -180,6 +183,7 @@ def grow_rows(
     used = np.bincount(start, minlength=len(tree))
     tree, path, level = (x[used > 0] for x in (tree, path, level))
     size = used[used > 0]
+    many = np.ones(len(bins), np.int64) if many is None else many
     while len(size):
         first = np.concatenate([[0], np.cumsum(size)])
         of, at = np.repeat(np.arange(len(size)), size), np.arange(first[-1])
@@ -190,9 +194,11 @@ def grow_rows(
         left_w = ww - np.where(none, 0, ww[:, before])[:, of]
         left_s = ss - np.where(none[:, None], 0, ss[:, before])[:, of]
         all_w, all_s = left_w[:, first[1:] - 1], left_s[:, first[1:] - 1]
-        left_n = at - first[of] + 1
-        valid = (left_n >= min_leaf[of]) & (size[of] - left_n >= min_leaf[of]) & (size >= np.maximum(min_split, 2))[of] & (level < depth)[of]
-        valid[first[1:] - 1] = False
+        nn = np.cumsum(many[order], axis=1)
+        left_n = nn - np.where(none, 0, nn[:, before])[:, of]
+        all_n = left_n[0, first[1:] - 1]
+        valid = (left_n >= min_leaf[of]) & (all_n[of] - left_n >= min_leaf[of]) & (all_n >= np.maximum(min_split, 2))[of] & (level < depth)[of]
+        valid[:, first[1:] - 1] = False
         differ = np.zeros(bin_.shape, bool)
         differ[:, :-1] = bin_[:, 1:] != bin_[:, :-1]
         gain = np.where(valid & differ, _gains(left_w, left_s, all_w[:, of], all_s[:, of]), -np.inf)
@@ -201,12 +207,12 @@ def grow_rows(
         near = _nearly(top)
         feature = np.argmax(best >= near, axis=0)
         # Less than rounding explains nothing.
-        top = np.where(top > 1e-10 * np.abs((s[order[0]] ** 2).sum(-1) / np.maximum(w[order[0]], 1e-300)).sum() / max(1, len(of)), top, -np.inf)
+        top = np.where(top > 1e-10 * np.abs((s[order[0]] ** 2).sum(-1) / np.maximum(w[order[0]], 1e-300)).sum() / max(1, many[order[0]].sum()), top, -np.inf)
         hit = np.flatnonzero(gain[feature[of], at] >= near[of])
         place = np.zeros(len(size), np.int64)
         place[of[hit][::-1]] = hit[::-1]
         cut = bin_[feature, place].astype(np.int64)
-        nodes.add(tree=tree, path=path, feature=np.where(np.isfinite(top), feature, -1), cut=cut, n=size, gain=top,
+        nodes.add(tree=tree, path=path, feature=np.where(np.isfinite(top), feature, -1), cut=cut, n=all_n, gain=top,
                   value=all_s[0] / np.maximum(all_w[0], 1e-300)[:, None])
         split = nodes.splitting(tree, path, trees, root)
         # The stretches of the nodes that are split, parted.
@@ -549,6 +555,55 @@ def _finish(rows: DataFrame, trees: Sequence[Tree], facts: Facts, derive: Derive
     return rows.select("key", "groups", "bins", "y").mapInArrow(dealt, "piece int, key long, bins binary, y array<double>").groupBy("piece").applyInArrow(finished, TREES)
 
 
+# Rows of the same bins and targets are one cell. With few inputs there are few cells, however many rows.
+
+#: Cells times trees whose drawn rows a task counts.
+COUNTED = 1 << 23
+
+
+def cells_of(rows: DataFrame, most: int) -> DataFrame | None:
+    """(bins, y, many) of rows of one group, stored; None if there are more than ``most``."""
+    cells = stored(rows.groupBy("bins", "y").agg(F.count("*").alias("many")), "cells")
+    return cells if cells.count() <= most else None
+
+
+def grow_from_cells(rows: DataFrame, cells: DataFrame, trees: Sequence[Tree], facts: Facts) -> DataFrame | None:
+    """The trees that ``grow`` grows for one group, from how many rows of each cell a tree draws; None beyond ``COUNTED``.
+
+    One scan draws the rows of all trees. A task hands on an array per tree, and a tree is grown in one task from its cells.
+    """
+    held = cells.orderBy("bins", "y").toArrow()
+    inputs, targets, size = facts.fills.shape[1], facts.means.shape[1], held.num_rows
+    if size * len(trees) > COUNTED:
+        return None
+    bins = facts.filled(_matrix(held.column("bins").combine_chunks(), inputs), 0)
+    y = _targets(held.column("y").combine_chunks(), targets)
+    numbered = rows.sparkSession.createDataFrame(held.select(["bins", "y"]).append_column("cell", pa.array(np.arange(size), pa.int32())))
+    roots = root_paths(np.arange(len(trees)))
+
+    def drawn(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, many, seen = np.zeros((len(trees), size), np.int64), np.zeros((len(trees), size), np.int64), False
+        for table in tables:
+            keys, cell, seen = table.column("key").to_numpy(), table.column("cell").to_numpy(), True
+            for t, tree in enumerate(trees):
+                w = draws(keys, tree).astype(np.int64)
+                weight[t] += np.bincount(cell, w, size).astype(np.int64)
+                many[t] += np.bincount(cell[w > 0], minlength=size)
+        for t in range(len(trees) if seen else 0):
+            yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([weight[t].tobytes()]), pa.array([many[t].tobytes()])], ["tree", "weight", "many"])
+
+    def grown(table: pa.Table) -> pa.Table:
+        t = table.column("tree")[0].as_py()
+        w, many = (sum(np.frombuffer(part, np.int64) for part in table.column(c).to_pylist()) for c in ("weight", "many"))
+        some = np.flatnonzero(w)
+        s = w[some, None] * (y[some] - facts.means[0])
+        return _table(grow_rows(bins[some], s, w[some].astype(float), np.zeros(len(some), np.int64), np.array([t]), roots[t:t + 1], np.array([0]), trees, many[some]))
+
+    found = rows.select("key", "bins", "y").join(F.broadcast(numbered), ["bins", "y"]).select("key", "cell")
+    counted = found.mapInArrow(drawn, "tree int, weight binary, many binary")
+    return stored(counted.groupBy("tree").applyInArrow(grown, TREES), "trees")
+
+
 # Answers.
 
 def answers(rows: DataFrame, nodes: DataFrame, trees: Sequence[Tree], facts: Facts) -> DataFrame:
