@@ -6,8 +6,11 @@ What it learns is one or two numbers per column, kept as parameters that are sav
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from math import factorial
+from typing import NamedTuple
 
+import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -146,17 +149,88 @@ def _moved(x: Column, power: Column, origin: Column) -> Column:
     return mirror * F.when(x >= 0, up).otherwise(zero - down)
 
 
-def _origin(power: Column, least: Column, most: Column) -> Column:
-    """The value next to which no other one's power is large."""
-    return F.when(power >= 1, most).otherwise(least)
-
-
 def _ends(values: DataFrame) -> dict[str, tuple[float, float]]:
     """Smallest and largest value of each column that has any."""
     found = values.groupBy("feature").agg(F.min("value").alias("least"), F.max("value").alias("most")).collect()
     return {row["feature"]: (row["least"], row["most"]) for row in found}
 
 
+#: Moments of a bin that the likelihood is worked out from, and bins at least over a column's range.
+MOMENTS, LEAST_BINS = 10, 64
+
+
+class _Bins(NamedTuple):
+    """How ``log1p(|x|)`` of a column is binned: where the bins of values from 0 on and below 0 start, their width, and the greatest power it allows."""
+
+    up: float
+    down: float
+    width: float
+    power: float
+
+
+def _planned(least: float, most: float, power: float) -> _Bins | None:
+    """Bins so narrow that ``MOMENTS`` terms of a series give the transform to a double's precision; none for values too close together."""
+    up, down = np.log1p(max(least, 0.0)), np.log1p(max(-most, 0.0))
+    span = max(np.log1p(max(most, 0.0)) - up, np.log1p(max(-least, 0.0)) - down)
+    if not 0 < span < np.inf:
+        return None
+    return _Bins(float(up), float(down), float(min(1 / (8 * power), span / LEAST_BINS)), power)
+
+
+def _binned_moments(values: DataFrame, planned: dict[str, _Bins]) -> dict[str, dict[bool, np.ndarray]]:
+    """For values from 0 on (True) and below 0: a row per bin with its number, its count and its sums of powers of the place in it, from -0.5 to 0.5."""
+    def of(pick: Callable[[_Bins], float]) -> Column:
+        return F.create_map(*[part for c, bins in planned.items() for part in (F.lit(c), F.lit(pick(bins)))])[F.col("feature")]
+
+    up = F.col("value") >= 0
+    at = (F.log1p(F.abs("value")) - F.when(up, of(lambda b: b.up)).otherwise(of(lambda b: b.down))) / of(lambda b: b.width)
+    placed = values.where(F.col("feature").isin(list(planned))).select("feature", up.alias("up"), at.alias("at")).select(
+        "feature", "up", F.floor("at").alias("bin"), (F.col("at") - F.floor("at") - 0.5).alias("d1"))
+    for k in range(2, MOMENTS + 1):
+        placed = placed.withColumn(f"d{k}", F.col(f"d{k - 1}") * F.col("d1"))
+    found = placed.groupBy("feature", "up", "bin").agg(F.count("*").alias("n"), *[F.sum(f"d{k}").alias(f"d{k}") for k in range(1, MOMENTS + 1)]).toPandas()
+    numbers = ["bin", "n", *[f"d{k}" for k in range(1, MOMENTS + 1)]]
+    return {c: {bool(up): rows[numbers].sort_values("bin").to_numpy(float) for up, rows in own.groupby("up")} for c, own in found.groupby("feature")}
+
+
+def _rise(t: np.ndarray, power: float) -> np.ndarray:
+    return t if abs(power) < 1e-9 else np.expm1(power * t) / power
+
+
+def _likelihood(moments: dict[bool, np.ndarray], bins: _Bins, ends: tuple[float, float], power: float) -> float:
+    """Log-likelihood of a power for the values behind the moments, as that of ``_moved`` beside its origin; NaN without spread.
+
+    In a bin around c the transform is its value at c plus a factor times ``(exp(p * d) - 1) / p``, whose sum and sum of
+    squares are series in the sums of powers of d. Bins are then put together by their means and spreads.
+    """
+    origin = ends[1] if power >= 1 else ends[0]
+    mirror, near, own = (-1.0, np.log1p(-origin), 2 - power) if origin < 0 else (1.0, np.log1p(origin), power)
+    counts, means, spreads, logs = [], [], [], 0.0
+    for up, rows in moments.items():
+        start, n = bins.up if up else bins.down, rows[:, 1]
+        centre = start + (rows[:, 0] + 0.5) * bins.width
+        sums = rows[:, 2:] * bins.width ** np.arange(1, MOMENTS + 1)
+        logs += (1 if up else -1) * float((n * centre + sums[:, 0]).sum())
+        if up == (mirror > 0):
+            rate, at, factor = own, _rise(centre - near, own), np.exp(own * (centre - near))
+        else:
+            rate = 2 - own
+            factor = -np.exp(rate * centre - own * near)
+            fall = centre * np.exp(-own * near) if abs(rate) < 1e-9 else (np.exp(rate * centre - own * near) - np.exp(-own * near)) / rate
+            at = _rise(np.array(-near), own) - fall
+        first = sum(rate ** (k - 1) / factorial(k) * sums[:, k - 1] for k in range(1, MOMENTS + 1))
+        second = sum((2 ** k - 2) * rate ** (k - 2) / factorial(k) * sums[:, k - 1] for k in range(2, MOMENTS + 1))
+        counts.append(n)
+        means.append(at + factor * first / n)
+        spreads.append(factor ** 2 * np.maximum(second - first ** 2 / n, 0))
+    n, mean, spread = (np.concatenate(part) for part in (counts, means, spreads))
+    total = n.sum()
+    variance = float((spread + n * (mean - (n * mean).sum() / total) ** 2).sum() / total)
+    if not variance > 0:
+        return np.nan
+    return float(-total / 2 * np.log(variance) + (power - 1) * logs - total * own * near)
+
+
 def yeo_johnson_powers(
     df: DataFrame, columns: Sequence[str], low: float = -5.0, high: float = 5.0, points: int = 21, passes: int = 5
 ) -> dict[str, float]:
@@ -164,51 +238,48 @@ def yeo_johnson_powers(
 
     As long as the best point lies on the edge of the first grid, its range is doubled. Beyond some power the
     likelihood falls for any column, so this ends; columns without two different values keep power 1.
-    A pass spreads each value over the grid inside its task and shuffles one partial variance per grid point.
+    One scan adds up moments of narrow bins, which give the likelihood of every power; only a much wider range asks for
+    narrower bins and another scan.
     """
-    return _powers(melted(df, columns), columns, low, high, points, passes)
+    values = melted(df, columns)
+    return _powers(values, columns, _ends(values), low, high, points, passes)
 
 
 def _powers(
-    values: DataFrame, columns: Sequence[str], low: float = -5.0, high: float = 5.0, points: int = 21, passes: int = 5
+    values: DataFrame, columns: Sequence[str], every: dict[str, tuple[float, float]], low: float = -5.0, high: float = 5.0, points: int = 21, passes: int = 5
 ) -> dict[str, float]:
-    ends = {c: e for c, e in _ends(values).items() if e[0] < e[1]}
+    ends = {c: e for c, e in every.items() if e[0] < e[1]}
     middle, reach = (low + high) / 2, (high - low) / 2
     narrower = 2 / (points - 1)
     enough = reach * narrower ** passes * (1 + 1e-9)
     powers = {c: 1.0 for c in columns}
     searched = {c: (middle, reach) for c in ends}
     widening = set(searched)
+    planned: dict[str, _Bins] = {}
+    moments: dict[str, dict[bool, np.ndarray]] = {}
     while searched:
-        grids = F.create_map(*[
-            part for c, (middle, reach) in searched.items()
-            for part in (F.lit(c), F.array(*[F.lit(middle - reach + 2 * reach * i / (points - 1)) for i in range(points)]))
-        ])
-        bounds = F.create_map(*[part for c in searched for part in (F.lit(c), F.array(*map(F.lit, ends[c])))])
-        spread = values.where(F.col("feature").isin(list(searched))).select(
-            "feature", "value", bounds[F.col("feature")].alias("ends"), F.explode(grids[F.col("feature")]).alias("power"))
-        x, power = F.col("value"), F.col("power")
-        origin = _origin(power, F.get("ends", F.lit(0)), F.get("ends", F.lit(1)))
-        near, at = F.log1p(F.abs(origin)), F.when(origin < 0, 2 - power).otherwise(power)
-        variance = F.var_pop(_moved(x, power, origin))
-        # Beside the factor left out of the values, in which the powers are those of the origin.
-        stretch = F.sum((power - 1) * F.signum(x) * F.log1p(F.abs(x)) - at * near)
-        scored = spread.groupBy("feature", "power").agg(
-            F.when(variance > 0, -F.count("*") / 2 * F.log(variance) + stretch).alias("likelihood"))
-        best = scored.where(F.col("likelihood").isNotNull() & ~F.isnan("likelihood")).groupBy("feature").agg(
-            F.max_by("power", "likelihood").alias("power"))
-        found = {row["feature"]: row["power"] for row in best.collect()}
+        # The powers of a grid, seen from 0 and from 2.
+        most = {c: max(abs(middle - 1) + reach + 1, 1.0) for c, (middle, reach) in searched.items()}
+        asked = {c: _planned(*ends[c], 4 * p) for c, p in most.items() if c not in planned or planned[c].power < p}
+        searched = {c: s for c, s in searched.items() if c not in asked or asked[c]}
+        asked = {c: bins for c, bins in asked.items() if bins}
+        if asked:
+            planned |= asked
+            moments |= _binned_moments(values, asked)
         following = {}
         for c, (middle, reach) in searched.items():
-            if c not in found:
+            grid = [middle - reach + 2 * reach * i / (points - 1) for i in range(points)]
+            with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                likelihood = np.array([_likelihood(moments[c], planned[c], ends[c], power) for power in grid])
+            if np.isnan(likelihood).all():
                 continue
-            powers[c] = found[c]
-            if c in widening and abs(found[c] - middle) >= reach * (1 - 1e-9):
+            found = powers[c] = grid[int(np.nanargmax(likelihood))]
+            if c in widening and abs(found - middle) >= reach * (1 - 1e-9):
                 following[c] = (middle, 2 * reach)
                 continue
             widening.discard(c)
             if reach * narrower > enough:
-                following[c] = (found[c], reach * narrower)
+                following[c] = (found, reach * narrower)
         searched = following
     return powers
 
@@ -225,7 +296,8 @@ class YeoJohnson(_Learner):
     def _fit(self, df: DataFrame) -> YeoJohnsonModel:
         columns = self.getInputCols()
         values = melted(df, columns)
-        powers, ends = _powers(values, columns), _ends(values)
+        ends = _ends(values)
+        powers = _powers(values, columns, ends)
         origins = [float(ends[c][1 if powers[c] >= 1 else 0]) if c in ends else 0.0 for c in columns]
         moved = df.select(*[_moved(F.col(c), F.lit(powers[c]), F.lit(o)).alias(c) for c, o in zip(columns, origins)])
         means, spreads = _mean_and_spread(moved, columns)
