@@ -11,11 +11,13 @@ from math import ceil, log, log2
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voltmes.operators.ordering import GROUP_LIMIT
 from voltmes.operators.outliers import fill_median
 from voltmes.operators.quantiles import quantile_values
+from voltmes.session import stored
 
 # Fixed values.
 TREES = 100
@@ -43,7 +45,8 @@ def isolation_scores(
     samples = tree_samples(filled, columns, key, trees, tree_rows, seed)
     grown = samples.groupBy("tree").applyInPandas(_grow(columns, seed), _NODES).collect()
     rows = max((r["rows"] for r in grown), default=0)
-    scored = filled.withColumn("score", -F.pow(F.lit(2.0), -_depth([r.asDict() for r in grown])(F.array(*columns)) / _average_path(rows)))
+    # The walks cost most, so they are made once, not again for each pass of the quantile.
+    scored = stored(filled.withColumn("score", -F.pow(F.lit(2.0), -_depth([r.asDict() for r in grown])(F.array(*columns)) / _average_path(rows))), "scored")
     cut = quantile_values(scored, ["score"], [contamination], limit)["score"][0]
     return scored.withColumn("score", F.col("score") - F.lit(cut)).withColumn("is_outlier", F.col("score") < 0)
 
@@ -119,22 +122,30 @@ def _average_path(rows: int) -> float:
 
 def _depth(grown: list[dict]):
     """Mean depth at which the trees isolate a row."""
-    trees = [{k: np.array(t[k]) for k in ("feature", "cut", "left", "right", "depth")} for t in grown]
-
-    @F.pandas_udf("double")
-    def depth(vector: pd.Series) -> pd.Series:
-        values = np.stack(vector.to_numpy())
-        total = np.zeros(len(values))
-        every = np.arange(len(values))
-        for tree in trees:
-            at = np.zeros(len(values), dtype=int)
-            inner = tree["feature"][at] >= 0
-            while inner.any():
-                rows, here = every[inner], at[inner]
-                below = values[rows, tree["feature"][here]] <= tree["cut"][here]
-                at[inner] = np.where(below, tree["left"][here], tree["right"][here])
-                inner = tree["feature"][at] >= 0
-            total += tree["depth"][at]
-        return pd.Series(total / len(trees))
+    trees = [_walkable(t) for t in grown]
+
+    @F.arrow_udf("double")
+    def depth(vector: pa.Array) -> pa.Array:
+        rows = len(vector)
+        # Column by column, so that the value of a row's feature is at feature * rows + row.
+        values = vector.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1).T.reshape(-1)
+        total, every = np.zeros(rows), np.arange(rows)
+        for feature, cut, child, depths, levels in trees:
+            at = np.zeros(rows, dtype=np.int64)
+            for _ in range(levels):
+                at = child[2 * at + (values[feature[at] * rows + every] <= cut[at])]
+            total += depths[at]
+        return pa.array(total / len(trees))
 
     return depth
+
+
+def _walkable(tree: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """A tree whose leaves lead to themselves, so that all rows take as many steps as it has levels."""
+    feature, left, right = (np.array(tree[k], np.int64) for k in ("feature", "left", "right"))
+    own, inner = np.arange(len(feature)), feature >= 0
+    child = np.stack([np.where(inner, right, own), np.where(inner, left, own)], axis=1).reshape(-1)
+    levels, at = 0, np.array([0])
+    while inner[at].any():
+        at, levels = np.concatenate([left[at[inner[at]]], right[at[inner[at]]]]), levels + 1
+    return np.maximum(feature, 0), np.array(tree["cut"], float), child, np.array(tree["depth"], float), levels
