@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voltmes.operators.ordering import join_few_facts, part_offsets
 from voltmes.session import stored
 
+#: Rows that one task ranks, about.
+PART_ROWS = 1_000_000
+
 
 def _correlations(df: DataFrame, sides: dict[tuple[str, str], tuple[Column, Column]]) -> DataFrame:
     """Symmetric rows ``(feature, other, r)`` over the rows that have both sides; null where a side is constant.
@@ -36,20 +40,30 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         (a, b): (F.col(a), F.col(b)) for a, b in combinations_with_replacement(columns, 2)})
 
 
-def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank", key: Sequence[str] = ()) -> DataFrame:
+def _parts(df: DataFrame, rows: int, part_rows: int) -> int | None:
+    """Parts of at most ``part_rows`` rows; none if as many as the session shuffles into are enough."""
+    parts = ceil(rows / part_rows)
+    return parts if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def average_ranks(
+    df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank", key: Sequence[str] = (), parts: int | None = None,
+) -> DataFrame:
     """Adds each value's rank in its group; ties share the mean of their ranks, a null has none.
 
     The rows are sorted into parts by value, equal values by ``key``, which identifies a row (all columns if
     none is given). So a value that many rows share spans parts like any other stretch of the order. Inside a
     part windows find where a value starts and how often it stands there. Only the first and the last value of a part
-    can reach into another: a table of those, two rows per part and group, carries them over.
+    can reach into another: a table of those, two rows per part and group, carries them over. A task holds a part, so
+    a large table needs more ``parts`` than the session shuffles into.
     """
     by, at = list(by), F.col(value)
     if df.schema[value].dataType.typeName() in ("double", "float"):
         at = at + F.lit(0.0).cast(df.schema[value].dataType)  # a negative zero ties with zero
     spread = F.xxhash64(*(key or df.columns))
     # Which part a row falls in is decided by its own columns, and is stored with what the windows find.
-    placed = df.withColumn("_value", at).repartitionByRange(*by, "_value", spread).withColumn("_part", F.spark_partition_id())
+    count = [parts] if parts else []
+    placed = df.withColumn("_value", at).repartitionByRange(*count, *by, "_value", spread).withColumn("_part", F.spark_partition_id())
     part = ["_part", *by]
     inside = Window.partitionBy(*part).orderBy(F.col("_value").asc_nulls_last())
     placed = stored(placed.withColumn("_through", F.count("_value").over(inside)).withColumn(
@@ -81,13 +95,13 @@ def _tied_ends(parts: DataFrame, by: Sequence[str]) -> DataFrame:
         F.min("rank").alias("_low_rank"), F.max("rank").alias("_high_rank"))
 
 
-def spearman(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> DataFrame:
+def spearman(df: DataFrame, columns: Sequence[str], key: Sequence[str], part_rows: int = PART_ROWS) -> DataFrame:
     """Rank correlation, re-ranked for each pair on the rows where both are present.
 
     A column without nulls leaves its partner's ranks as they are, so only columns with nulls need ranks of
-    their own per partner. ``key`` identifies a row.
+    their own per partner. ``key`` identifies a row. Tasks rank ``part_rows`` rows, and put as many together again.
     """
-    holes = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    holes = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns], F.count("*").alias("_rows")).first()
     gappy = {c for c in columns if holes[c] > 0}
 
     def ranking(c: str, partner: str) -> str:
@@ -101,8 +115,9 @@ def spearman(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> DataF
         for number, (c, partner) in enumerate(needed.values())
     ])
     long = df.select(*key, F.inline(F.filter(cells, lambda s: s["value"].isNotNull())))
-    ranks = average_ranks(long, "value", ["ranking"], key=key)
-    wide = ranks.groupBy(*key).agg(*[
+    parts = _parts(df, holes["_rows"] * len(needed), part_rows)
+    ranks = average_ranks(long, "value", ["ranking"], key=key, parts=parts)
+    wide = (ranks.repartition(parts, *key) if parts else ranks).groupBy(*key).agg(*[
         F.max(F.when(F.col("ranking") == number, F.col("rank"))).alias(name) for number, name in enumerate(needed)
     ])
     return _correlations(wide, {(a, b): (F.col(ranking(a, b)), F.col(ranking(b, a))) for a, b in pairs})
