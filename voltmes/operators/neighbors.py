@@ -3,7 +3,8 @@
 Points are grouped into cells around sampled pivots. A query first meets its own cell, which bounds its
 k-th distance; by the triangle inequality only cells that reach inside that bound can hold anything closer.
 Crowded cells are cut into blocks on both sides, so every task sees a bounded number of points and queries,
-and each block hands on at most k rows per query.
+and each block hands on at most k rows per query. Distances inside a block come from a matrix product; those that its
+rounding leaves among the k closest are measured again from the vectors.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voltmes.session import stored
@@ -40,10 +42,10 @@ def nearest(
     n = points.count()
     pivots = _pivots(points, n, block_rows)
 
-    points = points.withColumn("near", _nearest_pivot(pivots)("vector")).select(
-        "point", "vector", F.col("near.cell").alias("cell"), F.col("near.distance").alias("off"))
-    queries = queries.withColumn("near", _nearest_pivot(pivots)("vector")).select(
-        "query", "vector", F.col("near.cell").alias("cell"))
+    points = stored(points.withColumn("near", _nearest_pivot(pivots)("vector")).select(
+        "point", "vector", F.col("near.cell").alias("cell"), F.col("near.distance").alias("off")), "points")
+    queries = stored(queries.withColumn("near", _nearest_pivot(pivots)("vector")).select(
+        "query", "vector", F.col("near.cell").alias("cell")), "queries")
     cells = {r["cell"]: r for r in points.groupBy("cell").agg(F.count("*").alias("n"), F.max("off").alias("radius")).collect()}
 
     home = _closest_in_cells(queries, points, cells, k, block_rows)
@@ -76,22 +78,42 @@ def _pivots(points: DataFrame, n: int, block_rows: int) -> np.ndarray:
     return np.unique(np.array([r["vector"] for r in sample], dtype=float), axis=0)
 
 
-def _distances(vectors: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Euclidean distances, a few query rows at a time."""
-    step = max(1, _SLICE_VALUES // max(1, others.size))
-    parts = [
-        np.sqrt(((vectors[i:i + step, None, :] - others[None, :, :]) ** 2).sum(axis=2))
-        for i in range(0, len(vectors), step)
-    ]
-    return np.concatenate(parts) if parts else np.empty((0, len(others)))
+def _paired(vectors: np.ndarray, others: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Euclidean distances of numbered rows of both sides, a bounded number of pairs at a time."""
+    step = max(1, _SLICE_VALUES // 4 // max(1, vectors.shape[1]))
+    parts = [np.sqrt(((vectors[row[i:i + step]] - others[place[i:i + step]]) ** 2).sum(axis=1)) for i in range(0, len(row), step)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
+def _squared(vectors: np.ndarray, others: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, squared distances, what each row's may be off by) for a few rows at a time.
+
+    They come from one matrix product, which rounds; the exact ones lie within the bound given.
+    """
+    size = (others ** 2).sum(axis=1)
+    most = np.fmax.reduce(size, initial=0.0)
+    step = max(1, _SLICE_VALUES // 4 // max(1, len(others)))
+    for i in range(0, len(vectors), step):
+        part = vectors[i:i + step]
+        own = (part ** 2).sum(axis=1)
+        found = part @ others.T
+        found *= -2.0
+        found += own[:, None]
+        found += size[None, :]
+        yield i, found, 8 * (vectors.shape[1] + 4) * np.finfo(float).eps * (own + most)
+
+
+def _stack(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
 def _nearest_pivot(pivots: np.ndarray):
-    @F.pandas_udf("cell int, distance double")
-    def near(vector: pd.Series) -> pd.DataFrame:
-        distance = _distances(np.stack(vector.to_numpy()), pivots)
-        cell = distance.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "distance": distance[np.arange(len(cell)), cell]})
+    @F.arrow_udf("cell int, distance double")
+    def near(vector: pa.Array) -> pa.Array:
+        rows = _stack(vector).reshape(len(vector), pivots.shape[1])
+        cell = np.concatenate([np.zeros(0, np.int64), *[found.argmin(axis=1) for _, found, _ in _squared(rows, pivots)]])
+        return pa.StructArray.from_arrays([pa.array(cell, pa.int32()), pa.array(_paired(rows, pivots, np.arange(len(rows)), cell))], ["cell", "distance"])
 
     return near
 
@@ -101,19 +123,24 @@ def _reachable_cells(pivots: np.ndarray, cells: dict, k: int):
 
     Without a bound of its own a query takes the farthest point of the best cell that has k points.
     """
-    numbers = np.array(sorted(cells))
+    numbers = np.array(sorted(cells), np.int32)
     radius = np.array([cells[c]["radius"] for c in numbers])
     full = np.array([cells[c]["n"] >= k for c in numbers])
     slack = 1e-9
 
-    @F.pandas_udf("array<int>")
-    def reach(vector: pd.Series, bound: pd.Series) -> pd.Series:
-        distance = _distances(np.stack(vector.to_numpy()), pivots[numbers])
-        limit = bound.to_numpy().copy()
-        if full.any():
-            limit = np.minimum(limit, (distance + radius)[:, full].min(axis=1))
-        kept = distance - radius <= (limit * (1 + slack) + slack)[:, None]
-        return pd.Series([numbers[row].astype("int32") for row in kept])
+    @F.arrow_udf("array<int>")
+    def reach(vector: pa.Array, bound: pa.Array) -> pa.Array:
+        rows, limits = _stack(vector).reshape(len(vector), pivots.shape[1]), bound.to_numpy(zero_copy_only=False)
+        parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for i, found, off in _squared(rows, pivots[numbers]):
+            limit = limits[i:i + len(found)]
+            if full.any():
+                limit = np.minimum(limit, (np.sqrt(np.maximum(found + off[:, None], 0)) + radius)[:, full].min(axis=1))
+            kept = np.sqrt(np.maximum(found - off[:, None], 0)) - radius <= (limit * (1 + slack) + slack)[:, None]
+            parts.append(np.broadcast_to(numbers, kept.shape)[kept])
+            sizes.append(kept.sum(axis=1))
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
 
     return reach
 
@@ -136,29 +163,31 @@ def _closest_in_cells(queries: DataFrame, points: DataFrame, cells: dict, k: int
         "point", "vector", "cell", number("point", point_blocks).alias("p"), every(query_blocks).alias("q"))
     kind = f"query {queries.schema['query'].dataType.simpleString()}, point {points.schema['point'].dataType.simpleString()}, distance double"
 
-    def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or held.empty:
-            return pd.DataFrame({"query": [], "point": [], "distance": []})
-        held = held.sort_values("point")
-        names, vectors = held["point"].to_numpy(), np.stack(held["vector"].to_numpy())
-        places, distances = [], []
-        for distance in _rows(np.stack(asked["vector"].to_numpy()), vectors):
-            cut = np.partition(distance, k - 1)[k - 1] if len(distance) > k else np.inf
-            chosen = np.flatnonzero(distance <= cut)
-            chosen = chosen[np.argsort(distance[chosen], kind="stable")][:k]
-            places.append(chosen)
-            distances.append(distance[chosen])
-        queries_of = np.repeat(asked["query"].to_numpy(), [len(p) for p in places])
-        return pd.DataFrame({"query": queries_of, "point": names[np.concatenate(places)], "distance": np.concatenate(distances)})
+    def search(asked: pa.Table, held: pa.Table) -> pa.Table:
+        asked_names, names = asked.column("query").combine_chunks(), held.column("point").combine_chunks()
+        if not len(asked_names) or not len(names):
+            return pa.table({"query": asked_names[:0], "point": names[:0], "distance": pa.array([], pa.float64())})
+        order = pc.array_sort_indices(names)
+        names, vectors, queries_of = names.take(order), _stack(held.column("vector"))[order.to_numpy()], _stack(asked.column("vector"))
+        rows, places, distances = [], [], []
+        for i, found, off in _squared(queries_of, vectors):
+            # Whatever may be among the k closest is measured again, without the product's rounding.
+            cut = np.partition(found, k - 1, axis=1)[:, k - 1] if len(names) > k else np.full(len(found), np.inf)
+            row, place = np.nonzero(~(found > (cut + 2 * off)[:, None]))
+            distance = _paired(queries_of[i:i + len(found)], vectors, row, place)
+            best = np.lexsort((place, distance, row))
+            best = best[~np.isnan(distance[best])]
+            row, place, distance = row[best], place[best], distance[best]
+            first = np.searchsorted(row, np.arange(len(found)))
+            kept = np.arange(len(row)) - first[row] < k
+            rows.append(row[kept] + i)
+            places.append(place[kept])
+            distances.append(distance[kept])
+        rows, places, distances = (np.concatenate(x) for x in (rows, places, distances))
+        return pa.table({"query": asked_names.take(pa.array(rows)), "point": names.take(pa.array(places)), "distance": distances})
 
     keys = ["cell", "p", "q"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, kind)
-
-
-def _rows(vectors: np.ndarray, others: np.ndarray) -> Iterator[np.ndarray]:
-    step = max(1, _SLICE_VALUES // max(1, others.size))
-    for i in range(0, len(vectors), step):
-        yield from _distances(vectors[i:i + step], others)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, kind)
 
 
 def _per_cell(blocks: dict[int, int]) -> Column:
