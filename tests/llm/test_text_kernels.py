@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -221,3 +222,25 @@ def test_a_thinned_store_gives_the_same_ids(monkeypatch):
     encoder = tokens.Encoder(public.path("byte_bpe_50k.json"))
     assert np.concatenate([encoder.encode(b)[0] for b in all_blocks(texts, 500)]).tolist() == whole.tolist()
     assert zlib.crc32(whole.tobytes()) and owners(np.array([0, 2, 2, 3])).tolist() == [0, 0, 2]
+
+
+def test_byte_ids_are_counted_without_offsets():
+    """The ids of a cut follow from the bytes that they stand for; no id's place is asked of the library."""
+    pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    from voltmes.llm import tokens
+
+    encoder = tokens.Encoder(public.path("byte_bpe_50k.json"))
+    cuts = [" word", "\n\n  naïve", " 漢字かな", "\t\t!?...", " étÉ", " \U0001f600\U0001f3fd", " it's", " 12345"]
+    library, encoder.tokenizer = encoder.tokenizer, SimpleNamespace(encode_batch_fast=encoder.tokenizer.encode_batch_fast)
+    counts, ids = encoder._encoded([c.encode() for c in cuts])
+    each = [library.encode(c, add_special_tokens=False).ids for c in cuts]
+    assert counts.tolist() == [len(e) for e in each] and ids.tolist() == [i for e in each for i in e]
+    assert tokens.Encoder(public.path("word_bpe_49k.json")).widths is None
+
+
+def test_bits_of_powers_and_their_neighbours():
+    numbers = [0, *(n for k in range(64) for n in ((1 << k) - 1, 1 << k, (1 << k) + 1))]
+    for some in (numbers, [n for n in numbers if n < 1 << 53]):
+        assert simple8b._bits(np.array(some, np.uint64)).tolist() == [n.bit_length() for n in some]
+        assert simple8b.decode(simple8b.encode(np.array(some, np.uint64))).tolist() == some

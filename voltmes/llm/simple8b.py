@@ -23,6 +23,9 @@ _PAD = int(COUNTS.max())
 
 
 def _bits(numbers: np.ndarray) -> np.ndarray:
+    if numbers.max(initial=0) < 1 << 53:
+        # The exponent of a double, which holds such numbers as they are.
+        return np.frexp(numbers.astype(float))[1].astype(np.uint8)
     found, left = np.zeros(numbers.shape, np.uint8), numbers.copy()
     for step in (32, 16, 8, 4, 2, 1):
         large = left >= np.uint64(1 << step)

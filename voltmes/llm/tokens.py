@@ -8,6 +8,7 @@ tokens (such as ``<|endoftext|>``, one id each unless ``special_as_text``) are e
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 from itertools import repeat
@@ -37,6 +38,7 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         #: Never matches if there are none.
         self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added) or rb"(?!)")
+        self.widths = _widths(json.loads(self.tokenizer.to_str()))
         self._forget()
 
     def _forget(self) -> None:
@@ -67,6 +69,14 @@ class Encoder:
 
     def _encoded(self, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each cut, and all ids. The cuts begin with white space and end otherwise, so they join to one text."""
+        if self.widths is not None:
+            joined = b"".join(cuts)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.int32)
+            ends, bounds = np.cumsum(self.widths[ids]), np.cumsum(np.fromiter(map(len, cuts), np.int64, len(cuts)))
+            last = np.searchsorted(ends, bounds)
+            # Ids that don't make up the bytes of each cut are not told apart by their widths.
+            if len(ids) and ends[-1] == bounds[-1] and np.array_equal(ends[last], bounds):
+                return np.diff(last, prepend=-1), ids
         texts = [c.decode("utf-8", "replace") for c in cuts]
         whole = "".join(texts)
         if not is_normalized("NFC", whole) or len(whole.lower()) != len(whole):
@@ -137,6 +147,19 @@ class Encoder:
         return flat[ragged(starts[place], length)], np.concatenate([[0], np.cumsum(length)])[np.searchsorted(begins, bounds)]
 
 
+def _widths(spec: dict) -> np.ndarray | None:
+    """Bytes that each id stands for, where ids spell the bytes of the text one for one; else None."""
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    plain = cut.get("type") == "ByteLevel" and not cut["add_prefix_space"] and model["type"] == "BPE" and not any(
+        [spec["normalizer"], spec["truncation"], spec["padding"], *map(model.get, ("continuing_subword_prefix", "end_of_word_suffix", "unk_token", "dropout"))])
+    if not plain:
+        return None
+    widths = np.zeros(1 + max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]), np.int64)
+    for token, number in model["vocab"].items():
+        widths[number] = len(token)
+    return widths
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All places of runs with these starts and lengths, one run after the other."""
     after = np.cumsum(lengths)
