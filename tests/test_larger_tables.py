@@ -83,3 +83,33 @@ def test_ranks_of_large_tables_take_more_parts(spark, monkeypatch):
     monkeypatch.setattr(correlate, "average_ranks", lambda *a, **o: asked.append(o["parts"]) or inner(*a, **o))
     few, many = ({(r.feature, r.other): r.r for r in correlate.spearman(df, ["a", "b"], ["id"], **o).collect()} for o in ({}, {"part_rows": 60}))
     assert asked == [None, 20] and few.keys() == many.keys() and np.allclose([few[k] for k in few], [many[k] for k in few])
+
+
+def test_equal_vectors_are_searched_once(spark, monkeypatch):
+    """Rows of one vector are one query, and no more points of it than a query can find take part."""
+    met, search = [], neighbors._closest_in_cells
+    monkeypatch.setattr(neighbors, "_closest_in_cells", lambda q, p, *rest: met.append((q.count(), p.count())) or search(q, p, *rest))
+    points = [(i, [float(i % 4), 0.0]) for i in range(400)] + [(400, [-0.0, 0.0])]
+    queries = [(i, [float(i % 3), 0.0]) for i in range(300)]
+    found = neighbors.nearest(spark.createDataFrame(queries, "query long, vector array<double>"), spark.createDataFrame(points, "point long, vector array<double>"), k=5)
+    assert {(r.query, r.rank): (r.point, r.distance) for r in found.collect()} == {
+        (i, rank): (i % 3 + 4 * (rank - 1), 0.0) for i in range(300) for rank in range(1, 6)}
+    assert met == [(3, 20)]
+
+
+def test_rows_of_one_query_key_share_its_closest_points(spark):
+    points = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (2, [1.0]), (3, [8.0]), (4, [9.0])], "point long, vector array<double>")
+    queries = spark.createDataFrame([(7, [0.0]), (7, [9.0]), (8, [1.0]), (8, [1.0]), (None, [9.0])], "query long, vector array<double>")
+    found = sorted(((r.query or 0), r.rank, r.point, r.distance) for r in neighbors.nearest(queries, points, k=3).collect())
+    assert found == [(0, 1, 4, 0.0), (0, 2, 3, 1.0), (0, 3, 2, 8.0), (7, 1, 1, 0.0), (7, 2, 4, 0.0), (7, 3, 2, 1.0),
+                     (8, 1, 2, 0.0), (8, 2, 2, 0.0), (8, 3, 2, 0.0)]
+
+
+def test_a_far_point_does_not_bring_a_cell_into_reach(spark):
+    """The ball around a pivot grows with its farthest point on all sides, the box on one side only."""
+    pivots = np.array([[0.0, 0.0], [50.0, 0.0]])
+    cells = {0: {"n": 9, "radius": 2.0}, 1: {"n": 9, "radius": 900.0}}
+    boxes = np.array([[-2.0, 0.0], [40.0, 0.0]]), np.array([[2.0, 0.0], [950.0, 0.0]])
+    vectors = pa.array([[0.0, 0.0], [39.5, 0.0], [float("nan"), 0.0]], pa.list_(pa.float64()))
+    reach = neighbors._reachable_cells(pivots, cells, 5, boxes).func
+    assert reach(vectors, pa.array([1.0, 1.0, 1.0])).to_pylist()[:2] == [[0], [1]]

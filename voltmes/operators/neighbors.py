@@ -2,6 +2,8 @@
 
 Points are grouped into cells around sampled pivots. A query first meets its own cell, which bounds its
 k-th distance; by the triangle inequality only cells that reach inside that bound can hold anything closer.
+A cell is also ruled out if the box around its points lies beyond the bound, which one far point widens along one axis only.
+Equal queries are asked once, and of equal points only the k of the smallest keys can be found by any query.
 Crowded cells are cut into blocks on both sides, so every task sees a bounded number of points and queries,
 and each block hands on at most k rows per query. Distances inside a block come from a matrix product; those that its
 rounding leaves among the k closest are measured again from the vectors.
@@ -37,8 +39,17 @@ def nearest(
 
     Both sides need a unique key and an array of doubles of one length.
     """
-    queries = queries.select(F.col(query_key).alias("query"), F.col(vector).cast("array<double>").alias("vector"))
+    everyone = queries.select(F.col(query_key).alias("name"), F.col(vector).cast("array<double>").alias("vector"))
     points = points.select(F.col(point_key).alias("point"), F.col(vector).cast("array<double>").alias("vector"))
+    queries = stored(everyone.select("vector").distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
+    same = Window.partitionBy("vector").orderBy(F.col("point").asc_nulls_last())
+    points = stored(points.withColumn("_at", F.row_number().over(same)).where(F.col("_at") <= k).drop("_at"), "points")
+    found = _nearest_of_different(queries, points, k, block_rows).drop("rank")
+    # Rows of one key, if there are several, share its k closest points.
+    return _closest(everyone.join(queries, "vector").select("name", "query").join(found, "query").drop("query").withColumnRenamed("name", "query"), k)
+
+
+def _nearest_of_different(queries: DataFrame, points: DataFrame, k: int, block_rows: int) -> DataFrame:
     n = points.count()
     pivots = _pivots(points, n, block_rows)
 
@@ -46,7 +57,10 @@ def nearest(
         "point", "vector", F.col("near.cell").alias("cell"), F.col("near.distance").alias("off")), "points")
     queries = stored(queries.withColumn("near", _nearest_pivot(pivots)("vector")).select(
         "query", "vector", F.col("near.cell").alias("cell")), "queries")
-    cells = {r["cell"]: r for r in points.groupBy("cell").agg(F.count("*").alias("n"), F.max("off").alias("radius")).collect()}
+    places = [F.col("vector")[i] for i in range(pivots.shape[1])]
+    cells = {r["cell"]: r for r in points.groupBy("cell").agg(
+        F.count("*").alias("n"), F.max("off").alias("radius"), F.array(*[F.min(x) for x in places]).alias("low"),
+        F.array(*[F.max(F.when(~F.isnan(x), x)) for x in places]).alias("high")).collect()}
 
     home = _closest_in_cells(queries, points, cells, k, block_rows)
     if len(cells) == 1:
@@ -55,7 +69,8 @@ def nearest(
     home = stored(home, "neighbours")
     bound = _closest(home, k).groupBy("query").agg(F.count("*").alias("found"), F.max("distance").alias("reach"))
     bound = bound.select("query", F.when(F.col("found") >= k, F.col("reach")).alias("reach"))
-    reachable = _reachable_cells(pivots, cells, k)
+    boxes = tuple(np.array([cells[c][side] for c in sorted(cells)], float) for side in ("low", "high"))
+    reachable = _reachable_cells(pivots, cells, k, boxes)
     others = (
         queries.join(bound, "query", "left")
         .withColumn("home", F.col("cell"))
@@ -118,8 +133,8 @@ def _nearest_pivot(pivots: np.ndarray):
     return near
 
 
-def _reachable_cells(pivots: np.ndarray, cells: dict, k: int):
-    """Cells that can hold a point closer than the query's bound.
+def _reachable_cells(pivots: np.ndarray, cells: dict, k: int, boxes: tuple[np.ndarray, np.ndarray] | None = None):
+    """Cells that can hold a point closer than the query's bound; ``boxes`` are the lowest and highest corners around their points.
 
     Without a bound of its own a query takes the farthest point of the best cell that has k points.
     """
@@ -128,6 +143,11 @@ def _reachable_cells(pivots: np.ndarray, cells: dict, k: int):
     full = np.array([cells[c]["n"] >= k for c in numbers])
     slack = 1e-9
 
+    def beyond(part: np.ndarray, row: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Distances of numbered rows from the boxes of numbered cells."""
+        inside = np.clip(part[row], boxes[0][cell], boxes[1][cell])
+        return np.sqrt(((part[row] - inside) ** 2).sum(axis=1))
+
     @F.arrow_udf("array<int>")
     def reach(vector: pa.Array, bound: pa.Array) -> pa.Array:
         rows, limits = _stack(vector).reshape(len(vector), pivots.shape[1]), bound.to_numpy(zero_copy_only=False)
@@ -136,7 +156,13 @@ def _reachable_cells(pivots: np.ndarray, cells: dict, k: int):
             limit = limits[i:i + len(found)]
             if full.any():
                 limit = np.minimum(limit, (np.sqrt(np.maximum(found + off[:, None], 0)) + radius)[:, full].min(axis=1))
-            kept = np.sqrt(np.maximum(found - off[:, None], 0)) - radius <= (limit * (1 + slack) + slack)[:, None]
+            limit = limit * (1 + slack) + slack
+            kept = np.sqrt(np.maximum(found - off[:, None], 0)) - radius <= limit[:, None]
+            row, cell = np.nonzero(kept) if boxes else ((), ())
+            step = max(1, _SLICE_VALUES // 4 // max(1, rows.shape[1]))
+            for j in range(0, len(row), step):
+                some, those = row[j:j + step], cell[j:j + step]
+                kept[some, those] = ~(beyond(rows[i:i + len(found)], some, those) > limit[some])
             parts.append(np.broadcast_to(numbers, kept.shape)[kept])
             sizes.append(kept.sum(axis=1))
         ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
