@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -195,3 +196,23 @@ def test_queries_read_whole_tables(spark, tmp_path):
         n, form, p, m, output = plainly_cut(i, text)
         assert tuple(found[i]) == (i, n, form, p, m, hashlib.sha256(output.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert sorted(tuple(r) for r in QUERIES["op12_counted_phrases"](spark, str(tmp_path)).collect()) == plain_phrases([("en", t) for t in texts], 30)
+
+
+def test_tables_of_phrases_travel_small():
+    """A table of 16 million places, nearly all empty, is no file of 16 MB for every task's code."""
+    from pyspark.cloudpickle import dumps
+
+    sent = []
+    rows = SimpleNamespace(schema=None, mapInArrow=lambda code, schema: sent.append(code))
+    wanted = np.zeros(phrases.SLOTS, bool)
+    wanted[[0, 5, phrases.SLOTS - 1]] = True
+    phrases._at_slots(rows, wanted)
+    assert len(dumps(sent[0])) < 1 << 20
+    table = pa.table({"slot": pa.array([0, 1, 5, 7, phrases.SLOTS - 1], pa.int32())}).to_batches()
+    assert [b.column("slot").to_pylist() for b in sent[0](iter(table))] == [[0, 5, phrases.SLOTS - 1]]
+    counted = SimpleNamespace(select=lambda *names: rows)
+    rows.mapInArrow = lambda code, schema: sent.append(code) or SimpleNamespace(groupBy=lambda *by: SimpleNamespace(agg=lambda c: None))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(phrases, "F", SimpleNamespace(sum=lambda c: SimpleNamespace(alias=lambda n: None)))
+        phrases._counted(counted, [1], np.zeros(phrases.SLOTS, np.int8), -1)
+    assert len(dumps(sent[1])) < 1 << 20

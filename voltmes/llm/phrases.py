@@ -14,6 +14,7 @@ added up.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,9 +187,17 @@ def _dealt(docs: DataFrame, lang: str, text: str, shards: int) -> DataFrame:
     return docs.sparkSession.read.schema(_DEALT).parquet(path)
 
 
+def _packed(table: np.ndarray) -> bytes:
+    """A table, most of which is empty, as it travels to the tasks; Spark would write it to disks byte for byte."""
+    return zlib.compress(table.tobytes(), 1)
+
+
 def _counted(shard: DataFrame, sizes: list[int], steps: np.ndarray, after: int) -> DataFrame:
     """(lang, size, phrase, c): how often the active phrases of the sizes stand in the shard, some inactive ones among them."""
+    packed = _packed(steps)
+
     def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = np.frombuffer(zlib.decompress(packed), np.int8)
         for table in tables:
             for row in range(table.num_rows):
                 lang, words_, codes = (table.column(name)[row] for name in ("lang", "words", "codes"))
@@ -207,7 +216,10 @@ def _counted(shard: DataFrame, sizes: list[int], steps: np.ndarray, after: int)
 
 def _at_slots(counts: DataFrame, wanted: np.ndarray) -> DataFrame:
     """The rows at the wanted places, without a join or a shuffle of the others."""
+    packed = _packed(np.packbits(wanted))
+
     def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).view(bool)
         for table in tables:
             yield table.filter(pa.array(wanted[table.column("slot").to_numpy()]))
 
