@@ -244,3 +244,13 @@ def test_bits_of_powers_and_their_neighbours():
     for some in (numbers, [n for n in numbers if n < 1 << 53]):
         assert simple8b._bits(np.array(some, np.uint64)).tolist() == [n.bit_length() for n in some]
         assert simple8b.decode(simple8b.encode(np.array(some, np.uint64))).tolist() == some
+
+
+def test_a_worker_hands_freed_memory_back(monkeypatch):
+    from voltmes.llm import text
+
+    calls = []
+    monkeypatch.setattr(text, "_handing_back", lambda: calls.append)
+    assert sum(len(b) for b in blocks(pa.array(["x" * 1000] * 4000))) == 4000 and calls == [0]
+    list(blocks(pa.array(["short"])))
+    assert calls == [0]
