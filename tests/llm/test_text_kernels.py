@@ -239,6 +239,25 @@ def test_byte_ids_are_counted_without_offsets():
     assert tokens.Encoder(public.path("word_bpe_49k.json")).widths is None
 
 
+def test_word_ids_are_counted_without_offsets_and_words_met_once():
+    """Words that differ in case, white space or the sign behind them alone are encoded once, and no id's place is asked of the library."""
+    pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    from voltmes.llm import tokens
+
+    encoder = tokens.Encoder(public.path("word_bpe_49k.json"))
+    texts = ["The the\nTHE\tthe, (The) the's naïve Éte...", "J\u030cx j\u030cx T\u0308. E\u0301! =\u0338", "12,5 a=\u0338 x''s I'll DON'T", "<|ENDOFTEXT|> the", "\u0301the", "\u0130x \u212a"]
+    wanted = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for own in ([t] for t in texts):
+        assert tokens.Encoder(public.path("word_bpe_49k.json")).encode(all_blocks(own)[0])[0].tolist() == wanted[texts.index(own[0])]
+    library, encoder.tokenizer = encoder.tokenizer, SimpleNamespace(encode_batch_fast=encoder.tokenizer.encode_batch_fast)
+    assert encoder.encode(all_blocks(texts[:1])[0])[0].tolist() == wanted[0]
+    assert sum(b"the" in cut for cut in encoder.known) <= 3 and b"," in encoder.known
+    encoder.tokenizer = library
+    ids, bounds = encoder.encode(all_blocks(texts)[0])
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == wanted
+
+
 def test_bits_of_powers_and_their_neighbours():
     numbers = [0, *(n for k in range(64) for n in ((1 << k) - 1, 1 << k, (1 << k) + 1))]
     for some in (numbers, [n for n in numbers if n < 1 << 53]):

@@ -1,7 +1,8 @@
 """Token ids of whole Arrow text columns, by a given tokenizer file.
 
 A text is cut before white space that follows something else. No piece that the supplied tokenizers match crosses
-such a place, so the ids of a text are those of its cuts in order. Each different cut is encoded once per worker
+such a place, so the ids of a text are those of its cuts in order. Where a tokenizer drops white space and case, texts are also cut
+before a sign that follows a letter, and cuts that differ in these alone are one. Each different cut is encoded once per worker
 while it stays in a bounded store. Texts with unusual white space, control characters or the tokenizer's special
 tokens (such as ``<|endoftext|>``, one id each unless ``special_as_text``) are encoded whole.
 """
@@ -38,7 +39,8 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         #: Never matches if there are none.
         self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added) or rb"(?!)")
-        self.widths = _widths(json.loads(self.tokenizer.to_str()))
+        spec = json.loads(self.tokenizer.to_str())
+        self.widths, self.word_widths = _widths(spec), _word_widths(spec)
         self._forget()
 
     def _forget(self) -> None:
@@ -69,10 +71,16 @@ class Encoder:
 
     def _encoded(self, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each cut, and all ids. The cuts begin with white space and end otherwise, so they join to one text."""
-        if self.widths is not None:
-            joined = b"".join(cuts)
+        if self.word_widths is not None:
+            # Cuts are of words here, and white space stands for nothing.
+            cuts = [b" " + c for c in cuts]
+        joined = b"".join(cuts)
+        widths = self.widths if self.word_widths is None else None if _resized(joined) else self.word_widths
+        if widths is not None:
             ids = np.array(self.tokenizer.encode_batch_fast([joined.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.int32)
-            ends, bounds = np.cumsum(self.widths[ids]), np.cumsum(np.fromiter(map(len, cuts), np.int64, len(cuts)))
+            ends, bounds = np.cumsum(widths[ids]), np.cumsum(np.fromiter(map(len, cuts), np.int64, len(cuts)))
+            if self.word_widths is not None:
+                bounds = np.cumsum(~SPACE[np.frombuffer(joined, np.uint8)])[bounds - 1]
             last = np.searchsorted(ends, bounds)
             # Ids that don't make up the bytes of each cut are not told apart by their widths.
             if len(ids) and ends[-1] == bounds[-1] and np.array_equal(ends[last], bounds):
@@ -108,12 +116,19 @@ class Encoder:
         n = len(data)
         opens = SPACE[data]
         opens[1:] &= ~SPACE[data[:-1]]
+        given = data
+        if self.word_widths is not None:
+            data = _eased(given)
+            opens[1:] |= _MARK[given[1:]] & _LETTER[given[:-1]]
         raw = data.tobytes()
         odd = bool(self.added.search(raw) or _SUSPECT[data].any() and _UNUSUAL.search(raw))
         if odd:
             for low, high in zip(bounds[:-1], bounds[1:]):
                 if _UNUSUAL.search(raw, low, high) or self.added.search(raw, low, high):
                     opens[low:high] = False
+                    if data is not given:
+                        data[low:high] = given[low:high]
+            raw = data.tobytes()
         opens[bounds[bounds < n]] = True
         begins = np.flatnonzero(opens)
         ends = np.append(begins, n)
@@ -125,7 +140,7 @@ class Encoder:
         places = np.frombuffer(places, np.int64)[coded.dictionary.offset:][:len(different) + 1]
         content = np.frombuffer(content, np.uint8) if len(different) else np.zeros(0, np.uint8)
         first, last = content[places[:-1]], content[places[1:] - 1]
-        usual = (np.diff(places) <= LONGEST) & (first <= 32) & (last > 32)
+        usual = (np.diff(places) <= LONGEST) & ((first <= 32) | (self.word_widths is not None)) & (last > 32)
         if odd:
             usual &= np.fromiter(
                 ((c[-1] < 128 or not c.decode("utf-8", "replace")[-1].isspace()) and not self.added.search(c) for c in different), bool, len(different))
@@ -147,19 +162,61 @@ class Encoder:
         return flat[ragged(starts[place], length)], np.concatenate([[0], np.cumsum(length)])[np.searchsorted(begins, bounds)]
 
 
+#: Bytes of letters and digits, of other signs that can be seen, and what becomes of each byte where case and kind of white space don't matter.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARK = ~_LETTER
+_MARK[:33] = _MARK[127:] = False
+_EASED = np.arange(256, dtype=np.uint8)
+_EASED[65:91] += 32
+_EASED[SPACE] = 32
+#: The only normalizers and cut with which words are lower-cased and spelled byte for byte, white space left out.
+_WORD_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WORD_CUT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
 def _widths(spec: dict) -> np.ndarray | None:
     """Bytes that each id stands for, where ids spell the bytes of the text one for one; else None."""
-    model, cut = spec["model"], spec["pre_tokenizer"] or {}
-    plain = cut.get("type") == "ByteLevel" and not cut["add_prefix_space"] and model["type"] == "BPE" and not any(
-        [spec["normalizer"], spec["truncation"], spec["padding"], *map(model.get, ("continuing_subword_prefix", "end_of_word_suffix", "unk_token", "dropout"))])
-    if not plain:
+    cut = spec["pre_tokenizer"] or {}
+    plain = cut.get("type") == "ByteLevel" and not (cut["add_prefix_space"] or spec["normalizer"] or spec["model"].get("end_of_word_suffix"))
+    return _spelled(spec) if plain else None
+
+
+def _word_widths(spec: dict) -> np.ndarray | None:
+    """The same where ids spell the bytes of lower-cased words, and nothing but white space is left out."""
+    return _spelled(spec) if spec["normalizer"] == _WORD_NORMALIZER and spec["pre_tokenizer"] == _WORD_CUT else None
+
+
+def _spelled(spec: dict) -> np.ndarray | None:
+    model = spec["model"]
+    if model["type"] != "BPE" or any([spec["truncation"], spec["padding"], *map(model.get, ("continuing_subword_prefix", "unk_token", "dropout"))]):
         return None
     widths = np.zeros(1 + max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]), np.int64)
     for token, number in model["vocab"].items():
-        widths[number] = len(token)
+        widths[number] = len(token.removesuffix(model.get("end_of_word_suffix") or ""))
     return widths
 
 
+def _eased(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case and all white space as spaces, which is all one to words; a letter that a mark may follow stays."""
+    eased = _EASED[data]
+    eased[:-1] = np.where(data[1:] < 128, eased[:-1], data[:-1])
+    return eased
+
+
+def _resized(raw: bytes) -> bool:
+    """Whether normal form or lower case may give a character another number of bytes."""
+    if raw.isascii():
+        return False
+    text = raw.decode("utf-8", "replace")
+    lower = np.frombuffer(text.lower().encode(), np.uint8)
+    data = np.frombuffer(raw, np.uint8)
+    return not is_normalized("NFC", text) or not np.array_equal(data & 0xC0 == 0x80, lower & 0xC0 == 0x80)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All places of runs with these starts and lengths, one run after the other."""
     after = np.cumsum(lengths)
