@@ -216,3 +216,29 @@ def test_tables_of_phrases_travel_small():
         patch.setattr(phrases, "F", SimpleNamespace(sum=lambda c: SimpleNamespace(alias=lambda n: None)))
         phrases._counted(counted, [1], np.zeros(phrases.SLOTS, np.int8), -1)
     assert len(dumps(sent[1])) < 1 << 20
+
+
+def test_rare_pairs_of_words_are_not_counted_by_text(spark, monkeypatch):
+    rows = [("en", f"one two x{i} y{i} one") for i in range(200)] + [("de", f"one two x{i} z{i} one two") for i in range(29)]
+    table = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    texts = phrases._dealt(table, "lang", "text", 2)
+    steps = np.ones(1 << 10, np.int8)
+
+    def pairs(listed):
+        found = phrases._counted(texts, [2], steps, -1, listed).where("size = 2").collect()
+        return {(r.lang, r.phrase): r.c for r in found}
+
+    every = pairs(None)
+    assert len(every) > 600
+    for together in (50, phrases.SORTED_PAIRS):
+        listed = phrases._frequent_pairs(texts, 30, 1 << 27, together)
+        assert listed.nbytes == 1 << 24
+        assert pairs(listed) == {k: c for k, c in every.items() if c >= 30} == {("en", "one two"): 200, ("de", "one two"): 58}
+    assert pairs(phrases._frequent_pairs(texts, 1, 1 << 12, 50)) == every
+    few = pairs(phrases._frequent_pairs(texts, 30, 1 << 7, 50))
+    assert few.items() <= every.items() and {("en", "one two"), ("de", "one two")} <= set(few) and len(few) < len(every)
+    found = []
+    counted = phrases._counted
+    monkeypatch.setattr(phrases, "_counted", lambda *a: found.append(counted(*a)) or found[-1])
+    assert sorted(tuple(r) for r in phrases.phrases(table).collect()) == plain_phrases(rows, 30)
+    assert sum(f.where("size = 2").count() for f in found) <= 8

@@ -10,6 +10,9 @@ What is active follows from the steps in which subphrases reached the threshold.
 size by hash, which lets through too much at worst; of the phrases that it counted those at places (again by hash) where one
 stands often enough in any shard meet the exact steps in a join, and only counts from a phrase's own first step on are
 added up.
+
+Most pairs of words are rare. Before the scans all pairs are counted by hash alone, 4 bytes each, in ranges of hashes; a pair at a place
+where too few stand in all shards together can't be frequent and is never counted by its text.
 """
 
 from __future__ import annotations
@@ -30,6 +33,10 @@ LEAST, LONGEST, TOP, CONTAINED = 30, 4, 2000, 80
 SHARDS = 2
 #: Places of the table of steps (a power of two; a byte each), whatever the number of phrases.
 SLOTS = 1 << 24
+#: Places of the table of pairs of words (a power of two; a bit each), whatever the number of pairs.
+PAIR_SLOTS = 1 << 27
+#: Pairs of words that a task sorts at once, 4 bytes each; the ranges of hashes hold about so many.
+SORTED_PAIRS = 1 << 22
 #: Texts counted together before their counts leave the task, in bytes.
 COUNTED_BYTES = 3 << 21
 #: Parts of a language ranked apart before the best of all parts are ranked together.
@@ -88,8 +95,9 @@ def numbered(block: Block, lang: np.ndarray) -> Iterator[tuple[int, int, pa.Arra
 class Sequence:
     """The numbered words of texts of one language."""
 
-    def __init__(self, words_: pa.Array, codes: np.ndarray, lang_hash: np.ndarray) -> None:
-        self.words, self.codes = words_, codes.astype(np.int64)
+    def __init__(self, lang: pa.Scalar, words_: pa.Array, codes: np.ndarray) -> None:
+        lang_hash = string_hashes(pa.array([lang.as_py()]))
+        self.lang, self.words, self.codes = lang, words_, codes.astype(np.int64)
         word = codes >= 0
         #: Hashes of the phrases of 1, 2, ... words from each place on, as ``slots_of`` has them.
         self.hashes = [_started(string_hashes(words_), lang_hash)[codes]]
@@ -107,6 +115,15 @@ class Sequence:
         one, other = reached[:-1], reached[1:]
         return np.flatnonzero(self.whole[size - 1] & (np.minimum(one, other) > 0) & (np.maximum(one, other) > after))
 
+    def pairs(self) -> np.ndarray:
+        """The hashes of 4 bytes of all pairs of words."""
+        return _short(self.hashes[1][self.whole[1]])
+
+    def listed(self, at: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Those of the places where a pair starts that a table of pairs holds."""
+        place = _short(self.hashes[1][at]) // np.uint32((1 << 32) // (8 * len(bits)))
+        return at[(bits[place >> np.uint32(3)] >> (np.uint8(7) - (place & np.uint32(7)).astype(np.uint8)) & np.uint8(1)).view(bool)]
+
     def grouped(self, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(a place, how often) for each different phrase of that size that starts at one of the places."""
         key = self.codes[at]
@@ -142,6 +159,11 @@ def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
     return (hashes & np.uint64(slots - 1)).astype(np.int64)
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """The upper halves, which have no part in ``_slot``."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
 def slots_of(phrases: pa.Array, langs: pa.Array, slots: int) -> np.ndarray:
     """The place of each phrase in a table of steps."""
     langs, parts, at = langs.dictionary_encode(), [], 0
@@ -192,23 +214,72 @@ def _packed(table: np.ndarray) -> bytes:
     return zlib.compress(table.tobytes(), 1)
 
 
-def _counted(shard: DataFrame, sizes: list[int], steps: np.ndarray, after: int) -> DataFrame:
-    """(lang, size, phrase, c): how often the active phrases of the sizes stand in the shard, some inactive ones among them."""
-    packed = _packed(steps)
+def _frequent_pairs(texts: DataFrame, least: int, slots: int, together: int) -> np.ndarray:
+    """A bit for each place of the pairs of words that stand ``least`` times or more in all shards, and for few other places."""
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    parts = 1 << min(slots.bit_length() - 4, max(6, (total // together).bit_length()))
+
+    def dealt(batches: list[np.ndarray]) -> pa.RecordBatch:
+        short = np.sort(np.concatenate(batches))
+        # More than ``least`` of one hash tell no more than ``least``.
+        keep = np.ones(len(short), bool)
+        keep[least:] = short[least:] != short[:-least]
+        short = short[keep].astype("<u4")
+        ends = np.searchsorted(short, np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 32) // parts))
+        runs = [(part, own.tobytes()) for part, own in enumerate(np.split(short, ends)) if len(own)]
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in runs], pa.int32()), pa.array([r for _, r in runs], pa.binary())], ["part", "hashes"])
+
+    def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for found in _sequences(tables):
+            held.append(found.pairs())
+            n += len(held[-1])
+            if n >= together:
+                yield dealt(held)
+                held, n = [], 0
+        if n:
+            yield dealt(held)
+
+    def counted(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        short = np.sort(np.frombuffer(b"".join(rows.column("hashes").to_pylist()), "<u4"))
+        often = short[least - 1:][short[least - 1:] == short[:max(0, len(short) - least + 1)]]
+        width, own = (1 << 32) // slots, np.zeros(slots // parts, bool)
+        own[often.astype(np.int64) // width - key[0].as_py() * len(own)] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([_packed(np.packbits(own))], pa.binary())})
+
+    ranges = texts.select("lang", "words", "codes").mapInArrow(batches, "part int, hashes binary").groupBy("part")
+    bits = np.zeros((parts, slots // parts // 8), np.uint8)
+    for part, own in zip(*ranges.applyInArrow(counted, "part int, bits binary").toArrow().to_pydict().values()):
+        bits[part] = np.frombuffer(zlib.decompress(own), np.uint8)
+    return bits.reshape(-1)
+
+
+def _sequences(tables: Iterator[pa.RecordBatch]) -> Iterator[Sequence]:
+    for table in tables:
+        for row in range(table.num_rows):
+            lang, words_, codes = (table.column(name)[row] for name in ("lang", "words", "codes"))
+            yield Sequence(lang, words_.values, np.frombuffer(codes.as_buffer(), "<i4"))
+
+
+def _counted(shard: DataFrame, sizes: list[int], steps: np.ndarray, after: int, pairs: np.ndarray | None = None) -> DataFrame:
+    """(lang, size, phrase, c): how often the active phrases of the sizes stand in the shard, some inactive ones among them.
+
+    Pairs of words that a table ``pairs`` doesn't hold are left out.
+    """
+    packed, listed = _packed(steps), None if pairs is None else _packed(pairs)
 
     def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = np.frombuffer(zlib.decompress(packed), np.int8)
-        for table in tables:
-            for row in range(table.num_rows):
-                lang, words_, codes = (table.column(name)[row] for name in ("lang", "words", "codes"))
-                found = Sequence(words_.values, np.frombuffer(codes.as_buffer(), "<i4"), string_hashes(pa.array([lang.as_py()])))
-                for size in sizes:
-                    place, count = found.grouped(size, found.active(size, steps, after))
-                    if len(place):
-                        yield pa.RecordBatch.from_arrays([
-                            pa.repeat(lang, len(place)), pa.array(np.full(len(place), size, np.int32)), found.phrases(size, place),
-                            pa.array(_slot(found.hashes[size - 1][place], len(steps)).astype(np.int32)), pa.array(count, pa.int64())],
-                            ["lang", "size", "phrase", "slot", "c"])
+        pairs = None if listed is None else np.frombuffer(zlib.decompress(listed), np.uint8)
+        for found in _sequences(tables):
+            for size in sizes:
+                at = found.active(size, steps, after)
+                place, count = found.grouped(size, found.listed(at, pairs) if size == 2 and pairs is not None else at)
+                if len(place):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.repeat(found.lang, len(place)), pa.array(np.full(len(place), size, np.int32)), found.phrases(size, place),
+                        pa.array(_slot(found.hashes[size - 1][place], len(steps)).astype(np.int32)), pa.array(count, pa.int64())],
+                        ["lang", "size", "phrase", "slot", "c"])
 
     counted = shard.select("lang", "words", "codes").mapInArrow(batches, "lang string, size int, phrase string, slot int, c long")
     return counted.groupBy("lang", "size", "phrase", "slot").agg(F.sum("c").alias("c"))
@@ -248,6 +319,7 @@ def frequent_phrases(
     def table(name: str, schema: str, condition: Column) -> DataFrame:
         return spark.read.schema(schema).parquet(f"{path}/{name}").where(condition)
 
+    pairs = _frequent_pairs(texts, max(1, least), PAIR_SLOTS, SORTED_PAIRS) if longest > 1 else None
     # One more than the last step in which a phrase of that place reached the threshold; 0 for none.
     steps, last = np.zeros(slots, np.int8), {}
     for step in range(longest * shards):
@@ -256,7 +328,7 @@ def frequent_phrases(
         if not sizes:
             break
         # A phrase that stands ``least`` times in all shards stands ``least / shards`` times in one of them.
-        _counted(texts.where(F.col("shard") == step % shards), sizes, steps, oldest).withColumn("likely", F.col("c") * shards >= least).write.partitionBy(
+        _counted(texts.where(F.col("shard") == step % shards), sizes, steps, oldest, pairs).withColumn("likely", F.col("c") * shards >= least).write.partitionBy(
             "likely").parquet(f"{path}/counts/step={step}")
         window = table("counts", counts, (F.col("step") > oldest) & (F.col("step") <= step))
         likely = np.zeros(slots, bool)
