@@ -1,5 +1,7 @@
 """Kernels without Spark, against plain Python."""
 
+import importlib
+import inspect
 import random
 import re
 import zlib
@@ -273,3 +275,31 @@ def test_a_worker_hands_freed_memory_back(monkeypatch):
     assert sum(len(b) for b in blocks(pa.array(["x" * 1000] * 4000))) == 4000 and calls == [0]
     list(blocks(pa.array(["short"])))
     assert calls == [0]
+
+
+def test_a_worker_lets_the_encoder_of_an_earlier_step_go(monkeypatch):
+    """Steps share workers: the store of one step's tokenizer is no part of the next step's memory."""
+    pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    from voltmes.llm import text, tokens
+
+    path = public.path("word_bpe_49k.json")
+    calls = []
+    monkeypatch.setattr(text, "_handing_back", lambda: calls.append)
+    first = tokens.encoder(path)
+    assert tokens.encoder(path) is first
+    text.let_go()
+    assert not tokens.encoder.cache_info().currsize and calls == [0]
+    text.let_go()
+    assert calls == [0] and tokens.encoder(path) is not first
+    for step in ("minhash.sketch", "minhash.alike", "minhash.alike_in", "repetition.repetition", "language.likelihoods"):
+        module, name = step.split(".")
+        assert "let_go" in inspect.getsource(getattr(importlib.import_module(f"voltmes.llm.{module}"), name)), step
+    # The tables of all workers for hashes are small, and long spans still have theirs.
+    text._powers.cache_clear()
+    some = all_blocks(["word " * 100_000 + "x" * 600_000 + " word"])[0]
+    starts, ends, _ = words(some)
+    hashes = span_hashes(some.data, starts, ends)
+    assert len(set(hashes[:-2].tolist())) == 1 and hashes[-1] == hashes[0] != hashes[-2]
+    span_hashes(some.data, starts[:9], ends[:9])
+    assert sum(x.nbytes for x in text.powers(1000)) < 5 << 20

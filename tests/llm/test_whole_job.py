@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from voltmes.llm import queries
+from voltmes.llm import minhash, queries
 from voltmes.llm.language import fit, identify, keep_identified
 from voltmes.llm.minhash import drop_near_duplicates, near_duplicates
 from voltmes.session import local_session
@@ -59,3 +59,23 @@ def test_an_id_with_different_texts_links_them(spark):
     assert len(found) == len(rows)
     assert all(r.component_id == root[r.doc_id] and r.kept == (r.doc_id == r.component_id) for r in found)
     assert sorted(r.doc_id for r in drop_near_duplicates(table).collect()) == [1, 8, 20, 30]
+
+
+def test_tasks_of_near_duplicates_run_each_kernel_once(spark, monkeypatch):
+    """Each kernel of a task takes a worker process of its own; none runs for a filter and once more for the column."""
+    plans = []
+
+    def seen(df, name="rows"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(minhash, "stored", seen)
+    texts = spark.createDataFrame([(i, f"a b c d e {i} g h i j") for i in range(40)], "id long, text string")
+    nodes = texts.selectExpr("id as node", "id as root")
+    minhash._mixed(minhash._rarest(nodes, texts, 5, 80))
+    # Its two sides are tasks of their own.
+    assert plans[-1].count("ArrowEvalPython") == 2
+    chunks = nodes.selectExpr("node", "struct(1L as count, root, 0L as chunk) as place")
+    meeting = spark.createDataFrame([((1, 1, 0), (1, 2, 0))], "low struct<count long, root long, chunk long>, high struct<count long, root long, chunk long>")
+    seen(minhash._linked(meeting, chunks, texts, 5, 80))
+    assert plans[-1].count("ArrowEvalPython") == 1

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voltmes.llm.text import Block, blocks, lists
+from voltmes.llm.text import Block, blocks, let_go, lists
 from voltmes.session import stored
 
 #: Documents per declared language that the trigram model is fitted on, about; all of a language that has no more.
@@ -83,6 +83,7 @@ def fit(docs: DataFrame, text: str, declared: Column, sample: int = SAMPLE) -> M
     chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         numbers = {name: i for i, name in enumerate(languages)}
         for batch in batches:
             names, done = np.array([numbers[x] for x in batch.column(1).to_pylist()], np.int64), 0
@@ -109,6 +110,7 @@ def likelihoods(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("array<double>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         for column in batches:
             found = [np.zeros((0, width))]
             for block in blocks(column):

@@ -19,10 +19,10 @@ from unicodedata import is_normalized
 import numpy as np
 import pyarrow as pa
 
-from voltmes.llm.text import SPACE, Block
+from voltmes.llm.text import KEPT, SPACE, Block
 
-#: Cuts that a worker remembers, some 80 MB; beyond that it forgets those it met in one block only. Longer cuts aren't remembered.
-REMEMBERED = 500_000
+#: Cuts that a worker remembers, some 40 MB; beyond that it forgets those it met in one block only. Longer cuts aren't remembered.
+REMEMBERED = 250_000
 LONGEST = 64
 _UNUSUAL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]|\xc2[\x80-\xa0\xad]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xaf]|\xe3\x80\x80|\xef\xbb\xbf")
 #: Bytes without which a text has none of those.
@@ -233,7 +233,8 @@ def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
 
 @lru_cache(1)
 def encoder(path: str, special_as_text: bool = False) -> Encoder:
-    """One per worker and file."""
+    """One per worker and file, until a task of another kind of step lets it go."""
+    KEPT.append(encoder.cache_clear)
     return Encoder(path, special_as_text)
 
 
