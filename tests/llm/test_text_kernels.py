@@ -241,6 +241,14 @@ def test_byte_ids_are_counted_without_offsets():
     assert tokens.Encoder(public.path("word_bpe_49k.json")).widths is None
 
 
+def test_a_store_of_words_holds_half_as_many_cuts():
+    pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    from voltmes.llm import tokens
+
+    assert tokens.Encoder(public.path("byte_bpe_50k.json")).most == tokens.REMEMBERED == 2 * tokens.Encoder(public.path("word_bpe_49k.json")).most
+
+
 def test_word_ids_are_counted_without_offsets_and_words_met_once():
     """Words that differ in case, white space or the sign behind them alone are encoded once, and no id's place is asked of the library."""
     pytest.importorskip("tokenizers")

@@ -21,8 +21,9 @@ import pyarrow as pa
 
 from voltmes.llm.text import KEPT, SPACE, Block
 
-#: Cuts that a worker remembers, some 40 MB; beyond that it forgets those it met in one block only. Longer cuts aren't remembered.
-REMEMBERED = 250_000
+#: Cuts that a worker remembers, some 80 MB; beyond that it forgets those it met in one block only. Longer cuts aren't remembered.
+#: Where cuts are of words, half as many will do.
+REMEMBERED = 500_000
 LONGEST = 64
 _UNUSUAL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]|\xc2[\x80-\xa0\xad]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xaf]|\xe3\x80\x80|\xef\xbb\xbf")
 #: Bytes without which a text has none of those.
@@ -41,6 +42,7 @@ class Encoder:
         self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added) or rb"(?!)")
         spec = json.loads(self.tokenizer.to_str())
         self.widths, self.word_widths = _widths(spec), _word_widths(spec)
+        self.most = REMEMBERED if self.word_widths is None else REMEMBERED // 2
         self._forget()
 
     def _forget(self) -> None:
@@ -53,7 +55,7 @@ class Encoder:
         kept = [(c, i) for c, i in self.known.items() if self.met[i] > 1]
         flat, starts, lengths, met = self.flat, self.starts, self.lengths, self.met
         self._forget()
-        if kept and 2 * len(kept) <= REMEMBERED:
+        if kept and 2 * len(kept) <= self.most:
             at = np.fromiter((i for _, i in kept), np.int64, len(kept))
             self._keep([c for c, _ in kept], lengths[at], flat[ragged(starts[at], lengths[at])])
             self.met[:len(kept)] = met[at] // 2
@@ -99,7 +101,7 @@ class Encoder:
 
     def _learn(self, cuts: list[bytes]) -> np.ndarray:
         """Where the ids of each of some different cuts are kept."""
-        if len(self.known) + len(cuts) > REMEMBERED:
+        if len(self.known) + len(cuts) > self.most:
             self._thin()
         places = np.fromiter(map(self.known.get, cuts, repeat(-1)), np.int64, len(cuts))
         new = np.flatnonzero(places < 0)
@@ -128,7 +130,7 @@ class Encoder:
                     opens[low:high] = False
                     if data is not given:
                         data[low:high] = given[low:high]
-            raw = data.tobytes()
+            raw = raw if data is given else data.tobytes()
         opens[bounds[bounds < n]] = True
         begins = np.flatnonzero(opens)
         ends = np.append(begins, n)
