@@ -241,6 +241,40 @@ def test_byte_ids_are_counted_without_offsets():
     assert tokens.Encoder(public.path("word_bpe_49k.json")).widths is None
 
 
+def test_byte_cuts_end_before_marks():
+    """Words that differ in the marks behind them alone are encoded once, and a mark's cut gets no id of what it is joined to."""
+    pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    from voltmes.llm import tokens
+
+    encoder = tokens.Encoder(public.path("byte_bpe_50k.json"))
+    texts = [f" {word}{mark} {word}{mark}" for word in ("word", "né", "Œ", "Ж", "x2") for mark in (",", ".", "!?", "'s", "'re,", ")]")]
+    ids, bounds = encoder.encode(all_blocks(texts)[0])
+    wanted = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == wanted
+    assert sorted(c.decode() for c in encoder.known) == sorted([" word", " né", " Œ", " Ж", " x2", ",", ".", "!?", "'s", "'re", ")]"])
+    random.seed(5)
+    bits = [*"aZ9é×÷ŒЖя漢´“—…!?,.'\"<-_", "'s", "'LL", "''", " ", " '", "\n", "\r\n ", "\u00a0", "\u00a0\u00a0", "\u2003", "\x01", "\x1c", "\x7f", "\u0301", "\u0660", "\u00bd", "\ufeff", "😀"]
+    for odd in (bits[:bits.index("\u00a0")], bits):
+        texts = ["".join(random.choice(odd) for _ in range(random.randint(0, 14))) for _ in range(3000)]
+        ids, bounds = encoder.encode(all_blocks(texts)[0])
+        wanted = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == wanted
+
+
+def test_a_full_store_keeps_what_it_met_most():
+    pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    from voltmes.llm import tokens
+
+    encoder = tokens.Encoder(public.path("byte_bpe_50k.json"))
+    encoder.most = 8
+    for text in (*(f" {word}" for word in "abcdeabcdebcde"), " x y z v"):
+        assert encoder.encode(all_blocks([text])[0])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert list(encoder.known) == [b" b", b" c", b" d", b" e", b" x", b" y", b" z", b" v"]
+    assert encoder.met[:8].tolist() == [1] * 8
+
+
 def test_a_store_of_words_holds_half_as_many_cuts():
     pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")

@@ -53,7 +53,7 @@ def encode(numbers: np.ndarray) -> bytes:
         count = int(COUNTS[selector])
         half = 1 << (count.bit_length() - 1)
         need = np.maximum(widest[half][:, :FRAME], widest[half][:, count - half:count - half + FRAME])
-        choice[need <= BITS[selector]] = selector
+        np.copyto(choice, np.uint8(selector), where=need <= np.uint8(BITS[selector]))
     at, row, steps = np.zeros(frames, np.int64), np.arange(frames), []
     ends = np.minimum(len(numbers) - row * FRAME, FRAME)
     while len(row):
@@ -66,15 +66,18 @@ def encode(numbers: np.ndarray) -> bytes:
     order = np.argsort(row, kind="stable")
     row, at, selector = row[order], at[order], selector[order].astype(np.int64)
     packed = selector.astype(np.uint64) << np.uint64(60)
+    place, flat = row * (FRAME + _PAD) + at, table.reshape(-1)
     escapes = np.zeros(0, np.uint64)
     for kind in np.unique(selector):
         own = np.flatnonzero(selector == kind)
         if kind == 0:
-            escapes = table[row[own], at[own]]
+            escapes = flat[place[own]]
             packed[own] |= np.arange(len(own), dtype=np.uint64)
         elif BITS[kind]:
+            first, word = place[own], packed[own]
             for k in range(COUNTS[kind]):
-                packed[own] |= table[row[own], at[own] + k] << np.uint64(k * BITS[kind])
+                word |= flat[first + k] << np.uint64(k * BITS[kind])
+            packed[own] = word
     places = np.searchsorted(row, np.arange(frames + 1))
     return _HEAD.pack(b"S8B1", frames, len(numbers), len(packed), len(escapes)) + places.astype("<u4").tobytes() + packed.astype("<u8").tobytes() + escapes.astype("<u8").tobytes()
 
@@ -90,14 +93,15 @@ def decode(payload: bytes) -> np.ndarray:
     after = np.cumsum(COUNTS[selector])
     row = np.repeat(np.arange(frames), np.diff(places.astype(np.int64)))
     before = np.concatenate([[0], after])[places[:-1].astype(np.int64)]
-    at = after - COUNTS[selector] - before[row]
+    place = after - COUNTS[selector] - before[row] + row * (FRAME + _PAD)
     table = np.zeros((frames, FRAME + _PAD), np.uint64)
+    flat = table.reshape(-1)
     for kind in np.unique(selector):
         own = np.flatnonzero(selector == kind)
         if kind == 0:
-            table[row[own], at[own]] = escapes[(packed[own] & np.uint64((1 << 60) - 1)).astype(np.int64)]
+            flat[place[own]] = escapes[(packed[own] & np.uint64((1 << 60) - 1)).astype(np.int64)]
         elif BITS[kind]:
-            mask = np.uint64((1 << int(BITS[kind])) - 1)
+            first, word, mask = place[own], packed[own], np.uint64((1 << int(BITS[kind])) - 1)
             for k in range(COUNTS[kind]):
-                table[row[own], at[own] + k] = packed[own] >> np.uint64(k * BITS[kind]) & mask
+                flat[first + k] = word >> np.uint64(k * BITS[kind]) & mask
     return table[:, :FRAME].reshape(-1)[:total]

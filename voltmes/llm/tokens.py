@@ -1,9 +1,9 @@
 """Token ids of whole Arrow text columns, by a given tokenizer file.
 
 A text is cut before white space that follows something else. No piece that the supplied tokenizers match crosses
-such a place, so the ids of a text are those of its cuts in order. Where a tokenizer drops white space and case, texts are also cut
-before a sign that follows a letter, and cuts that differ in these alone are one. Each different cut is encoded once per worker
-while it stays in a bounded store. Texts with unusual white space, control characters or the tokenizer's special
+such a place, so the ids of a text are those of its cuts in order. Where a tokenizer parts letters from signs, texts are also cut
+before a sign that follows a letter; where it drops white space and case, cuts that differ in these alone are one. Each different
+cut is encoded once per worker while it stays in a bounded store. Texts with unusual white space, control characters or the tokenizer's special
 tokens (such as ``<|endoftext|>``, one id each unless ``special_as_text``) are encoded whole.
 """
 
@@ -26,9 +26,9 @@ from voltmes.llm.text import KEPT, SPACE, Block
 REMEMBERED = 500_000
 LONGEST = 64
 _UNUSUAL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]|\xc2[\x80-\xa0\xad]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xaf]|\xe3\x80\x80|\xef\xbb\xbf")
-#: Bytes without which a text has none of those.
-_SUSPECT = np.zeros(256, bool)
-_SUSPECT[[*range(9), *range(14, 32), 127, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+#: The only bytes that those begin with.
+_SUSPECT = 8
+_SUSPECTS = [*range(9), *range(14, 32), 127, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]
 
 
 class Encoder:
@@ -42,6 +42,8 @@ class Encoder:
         self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added) or rb"(?!)")
         spec = json.loads(self.tokenizer.to_str())
         self.widths, self.word_widths = _widths(spec), _word_widths(spec)
+        #: Whether letters and the sign behind them are always apart, and a line's end before either is an id of its own.
+        self.parted = self.widths is not None and spec["pre_tokenizer"]["use_regex"]
         self.most = REMEMBERED if self.word_widths is None else REMEMBERED // 2
         self._forget()
 
@@ -51,14 +53,17 @@ class Encoder:
         self.starts, self.lengths, self.met = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
 
     def _thin(self) -> None:
-        """Only what was met in several blocks stays, if that is at most half."""
-        kept = [(c, i) for c, i in self.known.items() if self.met[i] > 1]
-        flat, starts, lengths, met = self.flat, self.starts, self.lengths, self.met
+        """Only what was met in several blocks stays, what was met most if that is over half."""
+        flat, starts, lengths, met = self.flat, self.starts, self.lengths, self.met[:len(self.known)]
+        at, half = np.flatnonzero(met > 1), self.most // 2
+        if len(at) > half:
+            at = np.sort(at[np.argsort(-met[at], kind="stable")[:half]])
+        cuts = list(self.known)
+        cuts = [cuts[i] for i in at.tolist()]
         self._forget()
-        if kept and 2 * len(kept) <= self.most:
-            at = np.fromiter((i for _, i in kept), np.int64, len(kept))
-            self._keep([c for c, _ in kept], lengths[at], flat[ragged(starts[at], lengths[at])])
-            self.met[:len(kept)] = met[at] // 2
+        if cuts:
+            self._keep(cuts, lengths[at], flat[ragged(starts[at], lengths[at])])
+            self.met[:len(at)] = met[at] // 2
 
     def _keep(self, cuts: list[bytes], lengths: np.ndarray, ids: np.ndarray) -> None:
         first, total = len(self.known), len(ids)
@@ -72,10 +77,16 @@ class Encoder:
         self.known.update(zip(cuts, range(first, first + len(cuts))))
 
     def _encoded(self, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each cut, and all ids. The cuts begin with white space and end otherwise, so they join to one text."""
-        if self.word_widths is not None:
-            # Cuts are of words here, and white space stands for nothing.
-            cuts = [b" " + c for c in cuts]
+        """Number of ids of each cut, and all ids. The cuts end otherwise than with white space, so they join to one text."""
+        if self.parted:
+            # What doesn't begin with white space gets an id before it, which goes again.
+            more = np.fromiter((c[0] not in _SPACES for c in cuts), np.int64, len(cuts))
+            lengths, ids = self._joined([b"\n" + c if m else c for c, m in zip(cuts, more.tolist())])
+            return lengths - more, np.delete(ids, (np.cumsum(lengths) - lengths)[more > 0])
+        # Otherwise cuts begin with white space, or are of words where white space stands for nothing.
+        return self._joined(cuts if self.word_widths is None else [b" " + c for c in cuts])
+
+    def _joined(self, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         joined = b"".join(cuts)
         widths = self.widths if self.word_widths is None else None if _resized(joined) else self.word_widths
         if widths is not None:
@@ -116,14 +127,18 @@ class Encoder:
         """All ids of the block, and the index of each text's first id (one more for the end)."""
         data, bounds = block
         n = len(data)
-        opens = SPACE[data]
-        opens[1:] &= ~SPACE[data[:-1]]
+        raw = data.tobytes()
+        kinds = np.frombuffer(raw.translate(_KINDS), np.uint8)
+        meets = kinds[1:] & np.frombuffer(raw.translate(_AFTER), np.uint8)[:-1]
+        opens = np.zeros(n, bool)
+        opens[1:] = meets & (_SPACE | _CUT if self.parted or self.word_widths is not None else _SPACE)
+        if self.parted:
+            opens[_after_wide(data, np.flatnonzero(meets & _WIDE) + 1)] = True
         given = data
         if self.word_widths is not None:
             data = _eased(given)
-            opens[1:] |= _MARK[given[1:]] & _LETTER[given[:-1]]
-        raw = data.tobytes()
-        odd = bool(self.added.search(raw) or _SUSPECT[data].any() and _UNUSUAL.search(raw))
+            raw = data.tobytes()
+        odd = bool(self.added.search(raw) or kinds.max(initial=0) >= _SUSPECT and _UNUSUAL.search(raw))
         if odd:
             for low, high in zip(bounds[:-1], bounds[1:]):
                 if _UNUSUAL.search(raw, low, high) or self.added.search(raw, low, high):
@@ -136,14 +151,18 @@ class Encoder:
         ends = np.append(begins, n)
         cuts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
         coded = cuts.dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        # Cuts that join to one text are remembered; those without white space before or with it at the end are not.
+        # Cuts that join to one text are remembered; those with white space at the end are not, and where letters and signs
+        # aren't parted, nor are those without it before.
         _, places, content = coded.dictionary.buffers()
-        places = np.frombuffer(places, np.int64)[coded.dictionary.offset:][:len(different) + 1]
-        content = np.frombuffer(content, np.uint8) if len(different) else np.zeros(0, np.uint8)
+        places = np.frombuffer(places, np.int64)[coded.dictionary.offset:][:len(coded.dictionary) + 1]
+        content = np.frombuffer(content, np.uint8) if len(coded.dictionary) else np.zeros(0, np.uint8)
+        joined, at = content.tobytes(), places.tolist()
+        different = [joined[a:b] for a, b in zip(at, at[1:])]
         first, last = content[places[:-1]], content[places[1:] - 1]
-        usual = (np.diff(places) <= LONGEST) & ((first <= 32) | (self.word_widths is not None)) & (last > 32)
+        usual = (np.diff(places) <= LONGEST) & ((first <= 32) | self.parted | (self.word_widths is not None)) & (last > 32)
         if odd:
+            if self.parted:
+                usual &= SPACE[first] | (first > 32) & (first < 127)
             usual &= np.fromiter(
                 ((c[-1] < 128 or not c.decode("utf-8", "replace")[-1].isspace()) and not self.added.search(c) for c in different), bool, len(different))
         kept, rare = np.flatnonzero(usual).tolist(), np.flatnonzero(~usual).tolist()
@@ -164,11 +183,17 @@ class Encoder:
         return flat[ragged(starts[place], length)], np.concatenate([[0], np.cumsum(length)])[np.searchsorted(begins, bounds)]
 
 
-#: Bytes of letters and digits, of other signs that can be seen, and what becomes of each byte where case and kind of white space don't matter.
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-_MARK = ~_LETTER
-_MARK[:33] = _MARK[127:] = False
+#: Where a byte and the one before it share one of these, white space begins, or a mark follows a letter or digit, or a wide byte.
+_SPACE, _CUT, _WIDE = 1, 2, 4
+_SPACES = frozenset(np.flatnonzero(SPACE).tolist())
+_LETTERS = frozenset([*range(48, 58), *range(65, 91), *range(97, 123)])
+_KINDS = bytes(
+    _SPACE if b in _SPACES else _SUSPECT if b in _SUSPECTS else _CUT | _WIDE if 32 < b < 127 and b not in _LETTERS else 0 for b in range(256))
+_AFTER = bytes(0 if b in _SPACES else _SPACE | _CUT if b in _LETTERS else _SPACE | _WIDE if b > 127 else _SPACE for b in range(256))
+#: First bytes of Latin and Cyrillic letters: of 64 characters each, all letters but the signs of multiplication and division.
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = True
+#: What becomes of each byte where case and kind of white space don't matter.
 _EASED = np.arange(256, dtype=np.uint8)
 _EASED[65:91] += 32
 _EASED[SPACE] = 32
@@ -180,6 +205,13 @@ _WORD_CUT = {"type": "Sequence", "pretokenizers": [
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
+def _after_wide(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of some places of marks behind a wide byte follow a letter of two bytes, as far as whole rows of the code chart are letters."""
+    at = at[at > 1]
+    lead, tail = data[at - 2], data[at - 1]
+    return at[_LEADS[lead] & (tail < 192) & ((lead != 0xC3) | (tail & 0xDF != 0x97))]
+
+
 def _widths(spec: dict) -> np.ndarray | None:
     """Bytes that each id stands for, where ids spell the bytes of the text one for one; else None."""
     cut = spec["pre_tokenizer"] or {}
