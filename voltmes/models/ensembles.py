@@ -37,9 +37,18 @@ class Neighbours(Estimator):
         super().__init__()
         self.key, self.k, self.label, self.features, self.classify = key, k, labelCol, featuresCol, classify
 
+    def points(self, df: DataFrame, *others: str) -> DataFrame:
+        return df.select(F.col(self.key).alias("point"), vector_to_array(self.features).alias("vector"), F.col(self.label).alias("label"), *others)
+
     def _fit(self, df: DataFrame) -> NeighboursModel:
-        points = df.select(F.col(self.key).alias("point"), vector_to_array(self.features).alias("vector"), F.col(self.label).alias("label"))
-        return NeighboursModel(self, points)
+        return NeighboursModel(self, self.points(df))
+
+    def unseen(self, df: DataFrame, placed: DataFrame, fold: str) -> DataFrame:
+        """``df`` with the ``prediction`` that the rows of ``placed`` in all other folds give to a row: one search for all folds."""
+        points = self.points(placed, fold)
+        found = nearest(points, points, self.k, query_key="point", apart=fold)
+        answer = (vote_of_neighbours if self.classify else mean_of_neighbours)(found, points, apart=fold)
+        return join_facts(df, answer.withColumnsRenamed({"query": self.key, "apart": fold}), [self.key, fold], "left")
 
 
 class NeighboursModel(Model):
@@ -125,13 +134,13 @@ class Stacking(Estimator):
         super().__init__()
         self.members, self.final, self.order, self.folds, self.probabilities = list(members), final, list(order), folds, probabilities
 
-    def answers(self, models: Sequence[Model], df: DataFrame) -> DataFrame:
-        kept = df.columns
-        for i, model in enumerate(models):
+    def answers(self, models: dict[int, Model], df: DataFrame) -> DataFrame:
+        """``df`` with the answers of the numbered models."""
+        for i, model in models.items():
             scored = model.transform(df)
             soft = self.probabilities and "probability" in scored.columns
             answer = vector_to_array("probability")[1] if soft else F.col("prediction")
-            df = scored.select(*kept, *[f"_base{j}" for j in range(i)], answer.alias(f"_base{i}"))
+            df = scored.select(*df.columns, answer.alias(f"_base{i}"))
         return df
 
     def assembler(self) -> VectorAssembler:
@@ -144,11 +153,16 @@ class Stacking(Estimator):
 
     def _fit(self, df: DataFrame) -> StackingModel:
         placed = stored(contiguous_folds(df, self.order, self.folds))
+        members = dict(enumerate(self.members))
         parts = []
         for fold in range(self.folds):
             train, test = placed.where(F.col("fold") != fold), placed.where(F.col("fold") == fold)
-            parts.append(self.answers([m.fit(train) for m in self.members], test))
-        unseen = stored(self.assembler().transform(reduce(DataFrame.unionByName, parts).where(self.complete())))
+            parts.append(self.answers({i: m.fit(train) for i, m in members.items() if not hasattr(m, "unseen")}, test))
+        answered = reduce(DataFrame.unionByName, parts)
+        for i, member in members.items():
+            if hasattr(member, "unseen"):
+                answered = member.unseen(answered, placed, "fold").withColumnRenamed("prediction", f"_base{i}")
+        unseen = stored(self.assembler().transform(answered.where(self.complete())))
         final = self.final.copy().setFeaturesCol("_stacked").fit(unseen)
         return StackingModel(self, [m.fit(df) for m in self.members], final)
 
@@ -160,7 +174,7 @@ class StackingModel(Model):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         """A row that a base learner has no answer for keeps its place, without a prediction."""
-        answered = self.learner.answers(self.models, df).withColumn("_complete", self.learner.complete())
+        answered = self.learner.answers(dict(enumerate(self.models)), df).withColumn("_complete", self.learner.complete())
         bases = {f"_base{i}": F.when(F.col("_complete"), F.col(f"_base{i}")).otherwise(0.0) for i in range(len(self.models))}
         scored = self.final.transform(self.learner.assembler().transform(answered.withColumns(bases)))
         return scored.select(*df.columns, F.when(F.col("_complete"), F.col("prediction")).alias("prediction"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 from math import log2, sqrt
+from threading import Lock
 from typing import NamedTuple
 
 import numpy as np
@@ -148,7 +149,21 @@ def score_forest(forest: SavedForest, df: DataFrame, key: str = "id", out: str =
 
 # Learners of a features vector.
 
-def _vector_rows(df: DataFrame, features: str, label: str, classes: int) -> tuple[DataFrame, Binning, Facts]:
+class Prepared(NamedTuple):
+    """The rows that trees grow on. Beyond ``local_rows`` equal ones are one row, which stands for ``many``."""
+
+    rows: DataFrame
+    binning: Binning
+    facts: Facts
+    cells: DataFrame | None
+
+    def each(self) -> DataFrame:
+        """A row for every row of the table."""
+        return self.rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "many"))).drop("many", "col") if "many" in self.rows.columns else self.rows
+
+
+def _vector_rows(df: DataFrame, features: str, label: str, classify: bool, local_rows: int) -> Prepared:
+    classes = _classes(df, label) if classify else 0
     inputs = vector_to_array(features)
     labelled = df.select(inputs.alias("x"), F.col(label).cast("double").alias("label")).where("label is not null")
     first = labelled.select(F.size("x")).first()
@@ -156,8 +171,11 @@ def _vector_rows(df: DataFrame, features: str, label: str, classes: int) -> tupl
         raise ValueError("no row has a label")
     binning = grove.learn_cuts(labelled, "x", first[0])
     y = F.array(*[(F.col("label") == c).cast("double") for c in range(classes)]) if classes else F.array("label")
-    rows = grove.binned(labelled, "x", binning, key=F.xxhash64("x", "label"), groups=F.array(F.lit(0)), y=y)
-    return rows, binning, grove.group_facts(rows, 1, first[0], max(1, classes))
+    many = {}
+    if labelled.count() > local_rows:
+        labelled, many = labelled.groupBy("x", "label").agg(F.count("*").alias("many")), {"many": F.col("many")}
+    rows = grove.binned(labelled, "x", binning, key=F.xxhash64("x", "label"), groups=F.array(F.lit(0)), y=y, **many)
+    return Prepared(rows, binning, grove.group_facts(rows, 1, first[0], max(1, classes)), grove.cells_of(rows, local_rows) if many else None)
 
 
 def _classes(df: DataFrame, label: str) -> int:
@@ -165,6 +183,22 @@ def _classes(df: DataFrame, label: str) -> int:
     return max(2, int(df.agg(F.max(label)).first()[0] or 0) + 1)
 
 
+class SharedRows:
+    """Rows prepared once for all learners that are given this and fit the same frame, whichever comes first."""
+
+    def __init__(self) -> None:
+        self.lock, self.known = Lock(), {}
+
+    def of(self, df: DataFrame, *how) -> Prepared:
+        with self.lock:
+            # The frame is held, so that its number stays its own.
+            _, own, found = self.known.setdefault((id(df), how), (df, Lock(), []))
+        with own:
+            if not found:
+                found.append(_vector_rows(df, *how))
+        return found[0]
+
+
 class GroveForest(Estimator):
     """A forest as a pipeline's last stage; with ``classify`` its mean class shares are the probabilities.
 
@@ -173,21 +207,23 @@ class GroveForest(Estimator):
 
     def __init__(
         self, forest: Forest, labelCol: str = "label", featuresCol: str = "features", classify: bool = False, seed: int = SEED, local_rows: int = grove.LOCAL_ROWS,
+        shared: SharedRows | None = None,
     ):
         super().__init__()
         self.forest, self.label, self.features, self.classify, self.seed, self.local_rows = forest, labelCol, featuresCol, classify, seed, local_rows
+        self.prepare = shared.of if shared else _vector_rows
 
     def setFeaturesCol(self, name: str) -> GroveForest:
         self.features = name
         return self
 
     def _fit(self, df: DataFrame) -> GroveForestModel:
-        rows, binning, facts = _vector_rows(df, self.features, self.label, _classes(df, self.label) if self.classify else 0)
+        ready = self.prepare(df, self.features, self.label, self.classify, self.local_rows)
+        binning, facts = ready.binning, ready.facts
         trees = self.forest.planted("forest", 0, len(binning.cuts), self.seed)
-        cells = grove.cells_of(rows, self.local_rows) if facts.rows[0] > self.local_rows else None
-        nodes = None if cells is None else grove.grow_from_cells(rows, cells, trees, facts)
+        nodes = None if ready.cells is None else grove.grow_from_cells(ready.rows, ready.cells, trees, facts)
         if nodes is None:
-            nodes = grove.grow(rows, trees, facts, local_rows=self.local_rows)
+            nodes = grove.grow(ready.each(), trees, facts, local_rows=self.local_rows)
         return GroveForestModel(self, nodes, trees, facts, binning)
 
 
@@ -376,18 +412,21 @@ class GroveBoost(Estimator):
     level of each tree is a scan of the stored rows, in which a task works out weights and rests from the trees so far. No round writes rows.
     """
 
-    def __init__(self, kind: str, boost: Boost, labelCol: str = "label", featuresCol: str = "features", seed: int = SEED, local_rows: int = grove.LOCAL_ROWS):
+    def __init__(self, kind: str, boost: Boost, labelCol: str = "label", featuresCol: str = "features", seed: int = SEED, local_rows: int = grove.LOCAL_ROWS,
+                 shared: SharedRows | None = None):
         super().__init__()
         self.kind, self.boost, self.label, self.features, self.seed, self.local_rows = kind, boost, labelCol, featuresCol, seed, local_rows
+        self.prepare = shared.of if shared else _vector_rows
 
     def _fit(self, df: DataFrame) -> GroveBoostModel:
-        rows, binning, facts = _vector_rows(df, self.features, self.label, _classes(df, self.label) if self.kind in ("logistic", "ballot") else 0)
+        ready = self.prepare(df, self.features, self.label, self.kind in ("logistic", "ballot"), self.local_rows)
+        binning, facts = ready.binning, ready.facts
         way, b, inputs = KINDS[self.kind](self.boost, facts.means[0]), self.boost, len(binning.cuts)
         trees = [Tree("boost", 0, 1_000_003 * self.seed + i, inputs, b.depth, 2, b.min_leaf, False, b.leaves) for i in range(b.rounds)]
         targets = facts.means.shape[1] if self.kind == "ballot" else 1
         # Rows of the same bins and label share weight and rest in every round: cells of them are boosted as the rows would be.
-        cells = grove.cells_of(rows, self.local_rows) if facts.rows[0] > self.local_rows else rows.withColumn("many", F.lit(1))
-        found, votes = _rounds_in_scans(rows, trees, facts, way, targets) if cells is None else _rounds_in_a_task(cells, trees, facts, way, targets)
+        cells = ready.cells if facts.rows[0] > self.local_rows else ready.rows.withColumn("many", F.lit(1))
+        found, votes = _rounds_in_scans(ready.each(), trees, facts, way, targets) if cells is None else _rounds_in_a_task(cells, trees, facts, way, targets)
         return GroveBoostModel(self, found, votes, facts, binning, way)
 
 

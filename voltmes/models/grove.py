@@ -328,21 +328,24 @@ class Facts(NamedTuple):
 
 
 def group_facts(rows: DataFrame, groups: int, inputs: int, targets: int) -> Facts:
-    """``rows`` has ``groups`` (those that the row trains), ``bins`` and ``y``."""
+    """``rows`` has ``groups`` (those that the row trains), ``bins`` and ``y``, and ``many`` where a row stands for several."""
+    counted = "many" in rows.columns
+
     def cells(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, sums = np.zeros((groups, inputs, 256)), np.zeros((groups, 1 + targets))
         for table in tables:
             member, y, bins = _members(table.column("groups"), groups), _targets(table.column("y"), targets), _matrix(table.column("bins"), inputs)
+            many = table.column("many").to_numpy().astype(float) if counted else np.ones(len(y))
             for g in np.flatnonzero(member.any(0)):
                 own = member[:, g]
-                sums[g] += [own.sum(), *y[own].sum(0)]
+                sums[g] += [many[own].sum(), *(y[own] * many[own, None]).sum(0)]
                 for i in range(inputs):
-                    counts[g, i] += np.bincount(bins[own, i], minlength=256)
+                    counts[g, i] += np.bincount(bins[own, i], many[own], minlength=256)
         whole = np.concatenate([counts.reshape(-1), sums.reshape(-1)])
         some = np.flatnonzero(whole)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(whole[some])], ["cell", "value"])
 
-    found = rows.select("groups", "bins", "y").mapInArrow(cells, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+    found = rows.select("groups", "bins", "y", *["many"] if counted else []).mapInArrow(cells, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
     whole = np.zeros(groups * (inputs * 256 + 1 + targets))
     whole[found.column("cell").to_numpy()] = found.column("value").to_numpy()
     counts, sums = whole[:groups * inputs * 256].reshape(groups, inputs, 256)[:, :, :MISSING], whole[groups * inputs * 256:].reshape(groups, -1)
@@ -562,8 +565,9 @@ COUNTED = 1 << 23
 
 
 def cells_of(rows: DataFrame, most: int) -> DataFrame | None:
-    """(bins, y, many) of rows of one group, stored; None if there are more than ``most``."""
-    cells = stored(rows.groupBy("bins", "y").agg(F.count("*").alias("many")), "cells")
+    """(bins, y, many) of rows of one group, stored; None if there are more than ``most``. A row may stand for ``many``."""
+    many = F.sum("many") if "many" in rows.columns else F.count("*")
+    cells = stored(rows.groupBy("bins", "y").agg(many.alias("many")), "cells")
     return cells if cells.count() <= most else None
 
 
@@ -571,7 +575,9 @@ def grow_from_cells(rows: DataFrame, cells: DataFrame, trees: Sequence[Tree], fa
     """The trees that ``grow`` grows for one group, from how many rows of each cell a tree draws; None beyond ``COUNTED``.
 
     One scan draws the rows of all trees. A task hands on an array per tree, and a tree is grown in one task from its cells.
+    Rows of one key are drawn alike, so a row may stand for ``many`` of its key.
     """
+    rows = rows if "many" in rows.columns else rows.withColumn("many", F.lit(1).cast("long"))
     held = cells.orderBy("bins", "y").toArrow()
     inputs, targets, size = facts.fills.shape[1], facts.means.shape[1], held.num_rows
     if size * len(trees) > COUNTED:
@@ -585,10 +591,11 @@ def grow_from_cells(rows: DataFrame, cells: DataFrame, trees: Sequence[Tree], fa
         weight, many, seen = np.zeros((len(trees), size), np.int64), np.zeros((len(trees), size), np.int64), False
         for table in tables:
             keys, cell, seen = table.column("key").to_numpy(), table.column("cell").to_numpy(), True
+            copies = table.column("many").to_numpy()
             for t, tree in enumerate(trees):
                 w = draws(keys, tree).astype(np.int64)
-                weight[t] += np.bincount(cell, w, size).astype(np.int64)
-                many[t] += np.bincount(cell[w > 0], minlength=size)
+                weight[t] += np.bincount(cell, w * copies, size).astype(np.int64)
+                many[t] += np.bincount(cell[w > 0], copies[w > 0], size).astype(np.int64)
         for t in range(len(trees) if seen else 0):
             yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([weight[t].tobytes()]), pa.array([many[t].tobytes()])], ["tree", "weight", "many"])
 
@@ -599,7 +606,7 @@ def grow_from_cells(rows: DataFrame, cells: DataFrame, trees: Sequence[Tree], fa
         s = w[some, None] * (y[some] - facts.means[0])
         return _table(grow_rows(bins[some], s, w[some].astype(float), np.zeros(len(some), np.int64), np.array([t]), roots[t:t + 1], np.array([0]), trees, many[some]))
 
-    found = rows.select("key", "bins", "y").join(F.broadcast(numbered), ["bins", "y"]).select("key", "cell")
+    found = rows.select("key", "bins", "y", "many").join(F.broadcast(numbered), ["bins", "y"]).select("key", "cell", "many")
     counted = found.mapInArrow(drawn, "tree int, weight binary, many binary")
     return stored(counted.groupBy("tree").applyInArrow(grown, TREES), "trees")
 

@@ -173,7 +173,9 @@ def split_scores(
     parts: dict[str, tuple[DataFrame, DataFrame]], finals: dict[str, Maker], score: Callable[[DataFrame], DataFrame], parallel: int = PARALLEL_FITS,
 ) -> tuple[list[dict], dict[str, str]]:
     """A row of scores per model and split, and the reason why a model failed."""
-    tasks = [(name, part) for name in finals for part in parts]
+    # In slanting order: fits of one model, which may all be long or keep a single task busy, start between those of others.
+    placed = sorted((i + j, i, name, part) for i, name in enumerate(finals) for j, part in enumerate(parts))
+    tasks = [(name, part) for _, _, name, part in placed]
 
     def job(name: str, part: str) -> Callable[[], dict]:
         def run() -> dict:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import MultilayerPerceptronClassifier, NaiveBayes
+from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 
 from voltmes.models.ensembles import BOOSTED_DEPTH, ROUNDS, Neighbours, ScaledLabel, Stacking, Voting
 from voltmes.models.features import sensitive_pipeline, tree_pipeline
-from voltmes.models.forests import Boost, Forest, GroveBoost, GroveForest
+from voltmes.models.forests import Boost, Forest, GroveBoost, GroveForest, SharedRows
+from voltmes.models.perceptron import Perceptron
 
 # Fixed values of the compared models. Spark trees go 30 levels deep at most.
 SEED = 42
@@ -101,15 +102,17 @@ def pipeline_variants(numeric: Sequence[str], label: str) -> dict[str, Callable[
 
 
 def classifiers(label: str, key: str, order: Sequence[str], inputs: int, classes: int = 2) -> dict[str, Callable[[], Estimator]]:
-    """Final classifiers by name; the perceptron has to know its number of inputs."""
+    """Final classifiers by name; the perceptron has to know its number of inputs. Those that grow trees on one frame prepare it once."""
+    shared = SharedRows()
+
     def forest_of(trees: int = TREES, share: str | None = "sqrt") -> GroveForest:
-        return GroveForest(Forest(trees, share=share), label, classify=True)
+        return GroveForest(Forest(trees, share=share), label, classify=True, shared=shared)
 
     def bayes() -> NaiveBayes:
         return NaiveBayes(labelCol=label, modelType="gaussian")
 
     def tree_of() -> GroveForest:
-        return GroveForest(Forest(1, bootstrap=False), label, classify=True)
+        return GroveForest(Forest(1, bootstrap=False), label, classify=True, shared=shared)
 
     def base() -> list[Estimator]:
         return [tree_of(), Neighbours(key, labelCol=label)]
@@ -118,13 +121,12 @@ def classifiers(label: str, key: str, order: Sequence[str], inputs: int, classes
         "knn": lambda: Neighbours(key, labelCol=label, classify=True),
         "tree": tree_of,
         "bayes": bayes,
-        "perceptron": lambda: MultilayerPerceptronClassifier(
-            labelCol=label, layers=[inputs, PERCEPTRON_LAYER, classes], maxIter=PERCEPTRON_ROUNDS, seed=SEED),
+        "perceptron": lambda: Perceptron([inputs, PERCEPTRON_LAYER, classes], PERCEPTRON_ROUNDS, SEED, label),
         "vote": lambda: Voting([forest_of(), bayes()], soft=True),
         "forest": forest_of,
         "bagging": lambda: forest_of(BAGGED_TREES, None),
-        "boosting": lambda: GroveBoost("ballot", Boost(ROUNDS, depth=1), label),
+        "boosting": lambda: GroveBoost("ballot", Boost(ROUNDS, depth=1), label, shared=shared),
         "stacking": lambda: Stacking(base(), forest_of(), order, probabilities=True),
         "blending": lambda: Stacking(base(), forest_of(), order, folds=BLEND_FOLDS, probabilities=True),
-        "gradient": lambda: GroveBoost("logistic", Boost(BOOST_ROUNDS, BOOST_STEP, BOOST_DEPTH), label),
+        "gradient": lambda: GroveBoost("logistic", Boost(BOOST_ROUNDS, BOOST_STEP, BOOST_DEPTH), label, shared=shared),
     }

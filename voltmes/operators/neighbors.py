@@ -11,7 +11,7 @@ rounding leaves among the k closest are measured again from the vectors.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from math import ceil
 
 import numpy as np
@@ -34,29 +34,35 @@ def nearest(
     point_key: str = "point",
     vector: str = "vector",
     block_rows: int = BLOCK_ROWS,
+    apart: str | None = None,
 ) -> DataFrame:
     """The k closest points of each query: ``query, point, distance, rank``; ties go to the smaller point key.
 
-    Both sides need a unique key and an array of doubles of one length.
+    Both sides need a unique key and an array of doubles of one length. With ``apart``, a column of both sides without nulls, a query
+    passes over the points of its own value, which is returned as ``apart``: the searches of all folds are one.
     """
-    everyone = queries.select(F.col(query_key).alias("name"), F.col(vector).cast("array<double>").alias("vector"))
-    points = points.select(F.col(point_key).alias("point"), F.col(vector).cast("array<double>").alias("vector"))
-    queries = stored(everyone.select("vector").distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
-    same = Window.partitionBy("vector").orderBy(F.col("point").asc_nulls_last())
+    held = [F.col(apart).alias("apart")] if apart else []
+    kept = ["apart"] if apart else []
+    everyone = queries.select(F.col(query_key).alias("name"), F.col(vector).cast("array<double>").alias("vector"), *held)
+    points = points.select(F.col(point_key).alias("point"), F.col(vector).cast("array<double>").alias("vector"), *held)
+    queries = stored(everyone.select("vector", *kept).distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
+    same = Window.partitionBy("vector", *kept).orderBy(F.col("point").asc_nulls_last())
     points = stored(points.withColumn("_at", F.row_number().over(same)).where(F.col("_at") <= k).drop("_at"), "points")
     found = _nearest_of_different(queries, points, k, block_rows).drop("rank")
     # Rows of one key, if there are several, share its k closest points.
-    return _closest(everyone.join(queries, "vector").select("name", "query").join(found, "query").drop("query").withColumnRenamed("name", "query"), k)
+    asked = everyone.join(queries, ["vector", *kept]).select("name", "query", *kept)
+    return _closest(asked.join(found, "query").drop("query").withColumnRenamed("name", "query"), k, kept)
 
 
 def _nearest_of_different(queries: DataFrame, points: DataFrame, k: int, block_rows: int) -> DataFrame:
+    kept = [c for c in ("apart",) if c in points.columns]
     n = points.count()
     pivots = _pivots(points, n, block_rows)
 
     points = stored(points.withColumn("near", _nearest_pivot(pivots)("vector")).select(
-        "point", "vector", F.col("near.cell").alias("cell"), F.col("near.distance").alias("off")), "points")
+        "point", "vector", *kept, F.col("near.cell").alias("cell"), F.col("near.distance").alias("off")), "points")
     queries = stored(queries.withColumn("near", _nearest_pivot(pivots)("vector")).select(
-        "query", "vector", F.col("near.cell").alias("cell")), "queries")
+        "query", "vector", *kept, F.col("near.cell").alias("cell")), "queries")
     places = [F.col("vector")[i] for i in range(pivots.shape[1])]
     cells = {r["cell"]: r for r in points.groupBy("cell").agg(
         F.count("*").alias("n"), F.max("off").alias("radius"), F.array(*[F.min(x) for x in places]).alias("low"),
@@ -70,18 +76,23 @@ def _nearest_of_different(queries: DataFrame, points: DataFrame, k: int, block_r
     bound = _closest(home, k).groupBy("query").agg(F.count("*").alias("found"), F.max("distance").alias("reach"))
     bound = bound.select("query", F.when(F.col("found") >= k, F.col("reach")).alias("reach"))
     boxes = tuple(np.array([cells[c][side] for c in sorted(cells)], float) for side in ("low", "high"))
-    reachable = _reachable_cells(pivots, cells, k, boxes)
+    reached = cells
+    if kept:
+        # Any query may pass over the points of one value.
+        sure = points.groupBy("cell", *kept).count().groupBy("cell").agg((F.sum("count") - F.max("count")).alias("n")).collect()
+        reached = {r["cell"]: {"n": r["n"], "radius": cells[r["cell"]]["radius"]} for r in sure}
+    reachable = _reachable_cells(pivots, reached, k, boxes)
     others = (
         queries.join(bound, "query", "left")
         .withColumn("home", F.col("cell"))
         .withColumn("cell", F.explode(reachable("vector", F.coalesce("reach", F.lit(float("inf"))))))
-        .where(F.col("cell") != F.col("home")).select("query", "vector", "cell")
+        .where(F.col("cell") != F.col("home")).select("query", "vector", *kept, "cell")
     )
     return _closest(home.unionByName(_closest_in_cells(others, points, cells, k, block_rows)), k)
 
 
-def _closest(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query").orderBy("distance", "point")
+def _closest(found: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
+    order = Window.partitionBy("query", *by).orderBy("distance", "point")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -183,10 +194,11 @@ def _closest_in_cells(queries: DataFrame, points: DataFrame, cells: dict, k: int
     def every(blocks: Column) -> Column:
         return F.explode(F.sequence(F.lit(0), blocks - 1))
 
+    sided = [c for c in ("apart",) if c in points.columns]
     left = queries.select(
-        "query", "vector", "cell", number("query", query_blocks).alias("q"), every(point_blocks).alias("p"))
+        "query", "vector", *sided, "cell", number("query", query_blocks).alias("q"), every(point_blocks).alias("p"))
     right = points.where(query_blocks.isNotNull()).select(
-        "point", "vector", "cell", number("point", point_blocks).alias("p"), every(query_blocks).alias("q"))
+        "point", "vector", *sided, "cell", number("point", point_blocks).alias("p"), every(query_blocks).alias("q"))
     kind = f"query {queries.schema['query'].dataType.simpleString()}, point {points.schema['point'].dataType.simpleString()}, distance double"
 
     def search(asked: pa.Table, held: pa.Table) -> pa.Table:
@@ -195,11 +207,15 @@ def _closest_in_cells(queries: DataFrame, points: DataFrame, cells: dict, k: int
             return pa.table({"query": asked_names[:0], "point": names[:0], "distance": pa.array([], pa.float64())})
         order = pc.array_sort_indices(names)
         names, vectors, queries_of = names.take(order), _stack(held.column("vector"))[order.to_numpy()], _stack(asked.column("vector"))
+        sides = [side.column("apart").to_numpy() for side in (asked, held)] if sided else []
         rows, places, distances = [], [], []
         for i, found, off in _squared(queries_of, vectors):
+            barred = sides[0][i:i + len(found), None] == sides[1][None, order.to_numpy()] if sided else np.zeros((1, 1), bool)
+            if sided:
+                found[barred] = np.inf
             # Whatever may be among the k closest is measured again, without the product's rounding.
             cut = np.partition(found, k - 1, axis=1)[:, k - 1] if len(names) > k else np.full(len(found), np.inf)
-            row, place = np.nonzero(~(found > (cut + 2 * off)[:, None]))
+            row, place = np.nonzero(~(found > (cut + 2 * off)[:, None]) & ~barred)
             distance = _paired(queries_of[i:i + len(found)], vectors, row, place)
             best = np.lexsort((place, distance, row))
             best = best[~np.isnan(distance[best])]
@@ -213,6 +229,10 @@ def _closest_in_cells(queries: DataFrame, points: DataFrame, cells: dict, k: int
         return pa.table({"query": asked_names.take(pa.array(rows)), "point": names.take(pa.array(places)), "distance": distances})
 
     keys = ["cell", "p", "q"]
+    # Few bytes may be much work, so the blocks are not merged into few tasks by their size.
+    blocks = sum(ceil(cells[c]["n"] / block_rows) * ceil(n / block_rows) for c, n in asked.items() if c in cells)
+    tasks = max(1, min(blocks, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, kind)
 
 
@@ -223,16 +243,23 @@ def _per_cell(blocks: dict[int, int]) -> Column:
     return F.create_map(*[F.lit(v).cast("int") for pair in blocks.items() for v in pair])[F.col("cell")]
 
 
-def mean_of_neighbours(found: DataFrame, labels: DataFrame, point_key: str = "point", label: str = "label") -> DataFrame:
+def _labels_found(found: DataFrame, labels: DataFrame, point_key: str, label: Column, apart: str | None) -> tuple[DataFrame, list[str]]:
+    """``found`` with the label of each point, and what a query is known by; rows of the query's own ``apart`` hold no label for it."""
+    known = labels.select(F.col(point_key).alias("point"), label.alias("_label"), *[F.col(apart).alias("_apart")] if apart else [])
+    joined = found.join(known, "point")
+    return (joined.where(F.col("apart") != F.col("_apart")), ["query", "apart"]) if apart else (joined, ["query"])
+
+
+def mean_of_neighbours(found: DataFrame, labels: DataFrame, point_key: str = "point", label: str = "label", apart: str | None = None) -> DataFrame:
     """Regression: the mean label of each query's neighbours."""
-    known = labels.select(F.col(point_key).alias("point"), F.col(label).cast("double").alias("_label"))
-    return found.join(known, "point").groupBy("query").agg(F.avg("_label").alias("prediction"))
+    joined, names = _labels_found(found, labels, point_key, F.col(label).cast("double"), apart)
+    return joined.groupBy(*names).agg(F.avg("_label").alias("prediction"))
 
 
-def vote_of_neighbours(found: DataFrame, labels: DataFrame, point_key: str = "point", label: str = "label") -> DataFrame:
+def vote_of_neighbours(found: DataFrame, labels: DataFrame, point_key: str = "point", label: str = "label", apart: str | None = None) -> DataFrame:
     """Classification: the most frequent label among the neighbours, the smallest one among equals."""
-    known = labels.select(F.col(point_key).alias("point"), F.col(label).alias("_label"))
-    votes = found.join(known, "point").groupBy("query", "_label").agg(F.count("*").alias("votes"))
-    order = Window.partitionBy("query").orderBy(F.desc("votes"), "_label")
+    joined, names = _labels_found(found, labels, point_key, F.col(label), apart)
+    votes = joined.groupBy(*names, "_label").agg(F.count("*").alias("votes"))
+    order = Window.partitionBy(*names).orderBy(F.desc("votes"), "_label")
     return votes.withColumn("_at", F.row_number().over(order)).where(F.col("_at") == 1).select(
-        "query", F.col("_label").alias("prediction"))
+        *names, F.col("_label").alias("prediction"))
